@@ -255,10 +255,12 @@ def encode_pair(
             target = F.lit(int(longest))
         else:
             raise ValueError(f"unknown padding {padding!r}")
-        pad = F.greatest(target - F.size("tokens"), F.lit(0))
+        out = out.withColumn("__pad", F.greatest(target - F.size("tokens"), F.lit(0)))
+        pad = F.col("__pad")
         out = (
             out.withColumn("tokens", F.concat("tokens", F.array_repeat(F.lit(PAD_TOKEN), pad)))
             .withColumn("segment_ids", F.concat("segment_ids", F.array_repeat(F.lit(0), pad)))
             .withColumn("attention_mask", F.concat("attention_mask", F.array_repeat(F.lit(0), pad)))
+            .drop("__pad")
         )
     return out.drop("__ta", "__tb", "__ml")
