@@ -10,6 +10,16 @@ def _col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once per row and pass it to ``body`` as a lambda variable.
+
+    Catalyst does not share common subexpressions inside higher-order-function lambdas, so an
+    expression such as ``array_max(x)`` written inside ``transform(x, ...)`` would run once
+    per element.  Binding it through a one-element ``transform`` runs it once per row.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def as_double_array(x: Column | str) -> Column:
     """Cast an ``array<float>`` (or any numeric array) to ``array<double>``."""
     return _col(x).cast("array<double>")
@@ -18,10 +28,16 @@ def as_double_array(x: Column | str) -> Column:
 def softmax(x: Column | str) -> Column:
     """Row softmax, shifted by the row maximum for stability."""
     x = _col(x)
-    m = F.array_max(x)
-    e = F.transform(x, lambda v: F.exp(v - m))
-    total = F.aggregate(e, F.lit(0.0).cast("double"), lambda acc, v: acc + v)
-    return F.transform(e, lambda v: v / total)
+    return let(
+        F.array_max(x),
+        lambda m: let(
+            F.transform(x, lambda v: F.exp(v - m)),
+            lambda e: let(
+                F.aggregate(e, F.lit(0.0).cast("double"), lambda acc, v: acc + v),
+                lambda total: F.transform(e, lambda v: v / total),
+            ),
+        ),
+    )
 
 
 def sigmoid(x: Column | str) -> Column:
@@ -37,17 +53,16 @@ def sigmoid_array(x: Column | str) -> Column:
 
 def argmax(x: Column | str) -> Column:
     """0-based index of the first maximum; NaN counts as the largest value; empty -> null."""
-    x = _col(x)
-    return (F.array_position(x, F.array_max(x)) - F.lit(1)).cast("int")
+    return let(_col(x), lambda a: (F.array_position(a, F.array_max(a)) - F.lit(1)).cast("int"))
 
 
 def elementwise_mean(arrays: Column, width: Column | None = None) -> Column:
     """Mean over a (bounded) array of equally long arrays, summed in array order."""
-    first = F.element_at(arrays, 1)
-    zero = F.transform(first, lambda v: F.lit(0.0).cast("double"))
+    zero = F.transform(F.element_at(arrays, 1), lambda v: F.lit(0.0).cast("double"))
     total = F.aggregate(arrays, zero, lambda acc, a: F.zip_with(acc, a, lambda p, q: p + q))
-    n = F.size(arrays).cast("double")
-    return F.transform(total, lambda v: v / n)
+    return let(
+        F.size(arrays).cast("double"), lambda n: F.transform(total, lambda v: v / n)
+    )
 
 
 def bce_with_logits_sum(logits: Column | str, targets: Column | str) -> Column:

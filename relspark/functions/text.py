@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scores import let
+
 PLACEHOLDER = "{}"
 
 
@@ -61,8 +63,12 @@ def mark_spans(
             F.struct(e2_e.alias("pos"), F.lit(3).alias("ord"), F.lit(2).alias("ent")),
         )
     )
-    p = [points[i]["pos"] for i in range(4)]
-    n = [points[i]["ent"].cast("string") for i in range(4)]
+    return let(points, lambda pts: _marked(sentence, pts))
+
+
+def _marked(sentence: Column, pts: Column) -> Column:
+    p = [pts[i]["pos"] for i in range(4)]
+    n = [pts[i]["ent"].cast("string") for i in range(4)]
     return F.concat(
         slice_to(sentence, p[0]),
         F.lit("[E"), n[0], F.lit("]"),

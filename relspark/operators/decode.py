@@ -80,10 +80,11 @@ def _soft_vote(
         ),
     )
     mean = elementwise_mean(F.transform("items", lambda it: it["p"]))
-    return grouped.select(
+    voted = grouped.select(*[F.col(c) for c in group_cols], guard.alias("__guard"), mean.alias("probs"))
+    return voted.select(
         *[F.col(c) for c in group_cols],
-        F.coalesce(guard.cast("int"), argmax(mean)).alias("pred"),
-        mean.alias("probs"),
+        F.coalesce(F.col("__guard").cast("int"), argmax("probs")).alias("pred"),
+        "probs",
     )
 
 
@@ -108,11 +109,13 @@ def ensemble_soft_vote(
     """Model ensemble: softmax per model, mean over models, argmax (first index on ties).
 
     ``expected_models`` defaults to the number of distinct ``model_id`` values (one small
-    aggregate); every example must be scored by exactly that many models.
+    aggregate); every example must be scored by exactly that many models (one row each), so
+    the vote groups by ``example_id`` alone and its output stays hash-partitioned by
+    ``example_id`` for a following keyed join.
     """
     if expected_models is None:
         expected_models = scores.select("model_id").distinct().count()
-    group_cols = ["example_id"] + (["variant"] if "variant" in scores.columns else [])
+    group_cols = ["example_id"]
     return _soft_vote(
         scores, group_cols, "model_id", int(expected_models), "models", from_logits, scores_col
     )

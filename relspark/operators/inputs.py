@@ -180,8 +180,13 @@ PAD_TOKEN = "[PAD]"
 
 
 def whitespace_tokens(text: Column) -> Column:
-    """Tokens of ``text`` split on runs of whitespace (empty text -> empty array)."""
-    return F.filter(F.split(text, r"\s+"), lambda t: t != F.lit(""))
+    """Tokens of ``text`` split on runs of whitespace (empty text -> empty array).
+
+    Splitting on whitespace runs can leave an empty token only at either end (leading or
+    trailing whitespace, or empty text); ``array_remove`` drops them without a per-token
+    lambda.
+    """
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def truncated_lengths(la: Column, lb: Column, budget: Column) -> tuple[Column, Column]:

@@ -58,9 +58,17 @@ class LabelStats:
         return self.min_id == 0 and self.max_id == self.n_labels - 1
 
 
+_STATS_MEMO: dict[str, LabelStats] = {}
+
+
 def label_stats(dim: DataFrame) -> LabelStats:
     """Count, min and max of ``label_id``; raises on duplicate ids (an inverted map would
-    silently keep the last name)."""
+    silently keep the last name).  One small aggregate, memoized per analyzed plan."""
+    from ..plans.joins import _plan_key
+
+    key = _plan_key(dim)
+    if key is not None and key in _STATS_MEMO:
+        return _STATS_MEMO[key]
     row = dim.agg(
         F.count(F.lit(1)).alias("n"),
         F.countDistinct("label_id").alias("nd"),
@@ -72,7 +80,10 @@ def label_stats(dim: DataFrame) -> LabelStats:
         raise ValueError("label dimension has duplicate label_id values")
     if row["n"] != row["nn"]:
         raise ValueError("label dimension has duplicate label_name values")
-    return LabelStats(int(row["n"]), int(row["lo"] or 0), int(row["hi"] or 0))
+    stats = LabelStats(int(row["n"]), int(row["lo"] or 0), int(row["hi"] or 0))
+    if key is not None:
+        _STATS_MEMO[key] = stats
+    return stats
 
 
 def is_blind(relation: Column | str = "relation") -> Column:

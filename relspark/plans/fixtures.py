@@ -18,14 +18,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.labels import label_dimension
+from ..sources.files import spread_scan
 
 N_MODELS = 4
 MODEL_WIDTH = 10
 N_HYPOTHESIS_ROWS = 32
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+# Row key of the tables whose rows fan out into per-row text or score work.
+TABLE_KEYS = {"documents": "doc_id", "embeddings": "vec_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """A driver table; the DataFrame (file listing and footer schema) is reused per session.
+
+    Tables with a row key go through :func:`relspark.sources.files.spread_scan`, so a scan of
+    a single unsplittable file still feeds every core.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    if key not in _TABLES:
+        df = spark.read.parquet(path)
+        if name in TABLE_KEYS:
+            df = spread_scan(df, TABLE_KEYS[name])
+        _TABLES[key] = df
+    return _TABLES[key]
 
 
 def rel_labels_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +69,12 @@ def rel_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = docs.select(F.col("doc_id"), sentence.alias("sentence")).filter(
         F.instr(F.col("sentence"), " ") > 0
     )
-    words = F.split(F.col("sentence"), " ")
+    # first and last space-separated word, without materialising the word array
     t = b.select(
-        "doc_id", "sentence", words.getItem(0).alias("a"), F.element_at(words, -1).alias("z")
+        "doc_id",
+        "sentence",
+        F.substring_index("sentence", " ", 1).alias("a"),
+        F.substring_index("sentence", " ", -1).alias("z"),
     )
     even = (F.col("doc_id") % 2) == 0
     ln = F.length("sentence")

@@ -63,6 +63,11 @@ def load_test_dataset(spark: SparkSession, path: str, dim: DataFrame, style: str
     return build_inputs(examples.project_examples(raw, dim), style, dim=dim, **kw)
 
 
+def load_marked_examples(spark: SparkSession, path: str, dim: DataFrame) -> DataFrame:
+    """Raw example file -> ``MARKED_EXAMPLE`` (entity markers inserted at the offsets)."""
+    return examples.mark_entities(files.read_raw_examples(spark, path), dim)
+
+
 def tagged_test_dataset(spark: SparkSession, path: str, tagger: Callable) -> DataFrame:
     """Tagged example file -> typed-pair model inputs."""
     tagged = files.read_tagged_examples(spark, path)

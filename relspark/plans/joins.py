@@ -1,8 +1,10 @@
 """Join-strategy helpers: broadcast only sides whose size has been checked.
 
-A dimension (label map, template table, distinct-entity tags) is broadcast only after one
-cheap count proves it small; beyond the bound the same join is left to Catalyst, which then
-plans a shuffle (sort-merge or shuffle-hash) join and lets AQE split skewed partitions.
+A dimension (label map, template table, distinct-entity tags, split offsets) is broadcast
+only after its size is shown to be small, either by Catalyst's size estimate of the plan
+(derived from file sizes, no job) or, when that estimate is unknown or large, by a bounded
+row count (reads at most ``limit + 1`` rows).  Beyond the bound the same join is left to
+Catalyst, which then plans a shuffle join and lets AQE split skewed partitions.
 """
 
 from __future__ import annotations
@@ -13,18 +15,51 @@ from pyspark.sql import functions as F
 # Upper bound on rows of a side we are willing to ship to every executor.  A label dimension
 # has tens of rows; a distinct-entity tag table can grow with the data, hence the check.
 DEFAULT_BROADCAST_ROWS = 2_000_000
+# Upper bound on Catalyst's estimated size (bytes) for broadcasting without a counting job.
+DEFAULT_BROADCAST_BYTES = 8 << 20
 
+_COUNT_MEMO: dict[tuple[str, int], bool] = {}
 
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True if ``df`` has at most ``limit`` rows; reads at most ``limit + 1`` rows."""
-    return df.limit(limit + 1).count() <= limit
+
+def estimated_size_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate of the optimized plan, or None when unavailable."""
+    try:
+        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    except Exception:  # noqa: BLE001 - not available (e.g. a remote session)
+        return None
+
+
+def _plan_key(df: DataFrame) -> str | None:
+    try:
+        return f"{df.sparkSession.sparkContext.applicationId}:{df._jdf.queryExecution().analyzed().semanticHash()}"
+    except Exception:  # noqa: BLE001
+        return None
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS) -> DataFrame:
-    """``F.broadcast(df)`` when ``df`` provably has at most ``max_rows`` rows, else ``df``.
+def row_count_at_most(df: DataFrame, limit: int) -> bool:
+    """True if ``df`` has at most ``limit`` rows; reads at most ``limit + 1`` rows.
 
-    The unhinted frame falls back to Catalyst's own choice (a shuffle join for large sides).
+    Memoized per analyzed plan within an application, so a dimension used by several joins
+    of one query is counted once.
     """
+    key = _plan_key(df)
+    if key is not None and (key, limit) in _COUNT_MEMO:
+        return _COUNT_MEMO[(key, limit)]
+    small = df.limit(limit + 1).count() <= limit
+    if key is not None:
+        _COUNT_MEMO[(key, limit)] = small
+    return small
+
+
+def checked_broadcast(
+    df: DataFrame,
+    max_rows: int = DEFAULT_BROADCAST_ROWS,
+    max_bytes: int = DEFAULT_BROADCAST_BYTES,
+) -> DataFrame:
+    """``F.broadcast(df)`` when ``df`` is provably small, else ``df`` unchanged."""
+    est = estimated_size_bytes(df)
+    if est is not None and est <= max_bytes:
+        return F.broadcast(df)
     if row_count_at_most(df, max_rows):
         return F.broadcast(df)
     return df

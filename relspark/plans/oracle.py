@@ -220,7 +220,7 @@ SELECT example_id, 'pair' AS model_id, CAST(pos AS INTEGER) AS pred FROM (
   SELECT example_id, pos, row_number() OVER (PARTITION BY example_id ORDER BY p DESC, pos) AS rn
   FROM pp) WHERE rn = 1""",
     "ensemble_soft_vote": SC + ENSEMBLE_CTE
-    + "\nSELECT example_id, 0 AS variant, pred FROM ens",
+    + "\nSELECT example_id, pred FROM ens",
     "hard_vote": SC
     + ARGMAX_CTE
     + """,
@@ -288,3 +288,5 @@ FROM sb""",
     "read_raw_examples": EX + "SELECT example_id, sentence, entity_01, entity_02, label FROM enc",
     "read_tagged_examples": EX + "SELECT example_id, sentence, entity_01, entity_02, label FROM enc",
 }
+ORACLE["read_marked_examples"] = ORACLE["mark_entities"]
+ORACLE["write_predictions"] = ORACLE["align_predictions"]

@@ -208,7 +208,7 @@ def _ensemble(spark, d):
 
 
 def q_ensemble_soft_vote(spark, d):
-    return _ensemble(spark, d).select("example_id", "variant", "pred")
+    return _ensemble(spark, d).select("example_id", "pred")
 
 
 def q_hard_vote(spark, d):
@@ -346,6 +346,23 @@ def q_read_tagged_examples(spark, d):
     return examples.project_tagged(back.withColumn("example_id", F.col("row_tag").cast("long")))
 
 
+def q_read_marked_examples(spark, d):
+    """Raw file -> entity-marked examples (the marker-style loader)."""
+    path = scratch_path(spark, "marked_examples")
+    raw = fx.rel_examples(spark, d).withColumn("row_tag", F.col("example_id").cast("string"))
+    files.write_raw_examples(raw, path)
+    back = files.read_raw_examples(spark, path).withColumn("example_id", F.col("row_tag").cast("long"))
+    return examples.mark_entities(back, fx.rel_labels(spark, d))
+
+
+def q_write_predictions(spark, d):
+    """Ensemble predictions written with their key, read back and aligned with the answers."""
+    path = scratch_path(spark, "predictions")
+    files.write_predictions(_ensemble(spark, d), path)
+    back = files.read_keyed_predictions(spark, path)
+    return metrics.align_predictions(back, fx.rel_answers(spark, d))
+
+
 QUERIES: dict[str, Query] = {
     "project_examples": q_project_examples,
     "encode_label": q_encode_label,
@@ -387,4 +404,6 @@ QUERIES: dict[str, Query] = {
     "train_linear_classifier": q_train_linear_classifier,
     "read_raw_examples": q_read_raw_examples,
     "read_tagged_examples": q_read_tagged_examples,
+    "read_marked_examples": q_read_marked_examples,
+    "write_predictions": q_write_predictions,
 }
