@@ -1,11 +1,10 @@
 """Decoders: score vectors -> label ids.
 
 Per-row decoders (argmax, threshold, per-hypothesis) are pure projections.  The voting
-decoders group rows of one example; each group is bounded by a known count (2 variants, the
-number of models, or 2*(K-1) hypotheses) and that count is checked, so no group can grow
-with the data.  Groups are collected as arrays and reduced with higher-order functions in a
-fixed order (sorted by model / variant), which makes the floating-point sums independent of
-partitioning.
+decoders group rows of one example with fixed-width streaming aggregates (one sum per class
+and a row count): partial sums are combined map-side, buffers never grow with a group, and
+the expected row count per example (2 variants, the number of models, or 2*(K-1)
+hypotheses) is checked on the aggregated count, so no group is ever collected.
 """
 
 from __future__ import annotations
@@ -57,30 +56,48 @@ def _count_guard(n: Column, expected: int, what: str) -> Column:
     )
 
 
+def vector_width(scores: DataFrame, scores_col: str = "scores") -> int:
+    """Width of the score vectors, read from one row (every row is checked against it later)."""
+    row = scores.select(F.size(scores_col)).first()
+    if row is None:
+        raise ValueError("no score rows")
+    return int(row[0])
+
+
+def _width_checked(probs: Column, width: int) -> Column:
+    return F.when(
+        F.size(probs) != F.lit(width),
+        F.raise_error(F.lit(f"score vector width differs from {width}")),
+    ).otherwise(probs)
+
+
 def _soft_vote(
     scores: DataFrame,
     group_cols: list[str],
-    order_col: str,
     expected: int,
     what: str,
     from_logits: bool,
     scores_col: str,
+    width: int | None,
 ) -> DataFrame:
-    probs = softmax(as_double_array(scores_col)) if from_logits else as_double_array(scores_col)
-    items = scores.select(
-        *[F.col(c) for c in group_cols], F.struct(F.col(order_col).alias("k"), probs.alias("p")).alias("it")
-    )
-    grouped = items.groupBy(*group_cols).agg(F.array_sort(F.collect_list("it")).alias("items"))
-    n = F.size("items")
-    widths = F.array_distinct(F.transform("items", lambda it: F.size(it["p"])))
-    guard = F.coalesce(
-        _count_guard(n, expected, what),
-        F.when(
-            F.size(widths) != 1, F.raise_error(F.lit(f"score vectors of unequal width across {what}"))
-        ),
+    """Mean probability vector per group and its argmax, as a fixed-width aggregate.
+
+    One ``sum(p[i])`` per class plus a row count: hash aggregation with map-side partial
+    sums and constant-size buffers, so even a key holding a large share of the rows is
+    reduced before the shuffle and never collected in one task.  The row-count guard and the
+    width guard both run without materialising a group.
+    """
+    width = width if width is not None else vector_width(scores, scores_col)
+    raw = _width_checked(as_double_array(scores_col), width)
+    probs = softmax(raw) if from_logits else raw
+    rows = scores.select(*[F.col(c) for c in group_cols], probs.alias("__p"))
+    sums = [F.sum(F.col("__p")[i]).alias(f"__s{i}") for i in range(width)]
+    grouped = rows.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"), *sums)
+    n = F.col("__n")
+    mean = F.array(*[F.col(f"__s{i}") / n for i in range(width)])
+    voted = grouped.select(
+        *[F.col(c) for c in group_cols], _count_guard(n, expected, what).alias("__guard"), mean.alias("probs")
     )
-    mean = elementwise_mean(F.transform("items", lambda it: it["p"]))
-    voted = grouped.select(*[F.col(c) for c in group_cols], guard.alias("__guard"), mean.alias("probs"))
     return voted.select(
         *[F.col(c) for c in group_cols],
         F.coalesce(F.col("__guard").cast("int"), argmax("probs")).alias("pred"),
@@ -89,15 +106,18 @@ def _soft_vote(
 
 
 def pair_soft_vote(
-    scores: DataFrame, from_logits: bool = True, scores_col: str = "scores"
+    scores: DataFrame,
+    from_logits: bool = True,
+    scores_col: str = "scores",
+    width: int | None = None,
 ) -> DataFrame:
     """Two-sentence decoding: softmax each of the two variant rows, average, argmax.
 
     Groups by ``example_id`` (and ``model_id`` when present); each group must hold exactly two
-    variants.
+    variants.  ``width`` (number of classes) is read from one row when not given.
     """
     group_cols = ["example_id"] + (["model_id"] if "model_id" in scores.columns else [])
-    return _soft_vote(scores, group_cols, "variant", 2, "variants", from_logits, scores_col)
+    return _soft_vote(scores, group_cols, 2, "variants", from_logits, scores_col, width)
 
 
 def ensemble_soft_vote(
@@ -105,6 +125,7 @@ def ensemble_soft_vote(
     expected_models: int | None = None,
     from_logits: bool = True,
     scores_col: str = "scores",
+    width: int | None = None,
 ) -> DataFrame:
     """Model ensemble: softmax per model, mean over models, argmax (first index on ties).
 
@@ -115,32 +136,34 @@ def ensemble_soft_vote(
     """
     if expected_models is None:
         expected_models = scores.select("model_id").distinct().count()
-    group_cols = ["example_id"]
     return _soft_vote(
-        scores, group_cols, "model_id", int(expected_models), "models", from_logits, scores_col
+        scores, ["example_id"], int(expected_models), "models", from_logits, scores_col, width
     )
 
 
 def hard_vote(
     predictions: DataFrame, expected_models: int | None = None, pred_col: str = "pred"
 ) -> DataFrame:
-    """Majority label per example over model predictions; ties -> the smallest label id."""
+    """Majority label per example over model predictions; ties -> the smallest label id.
+
+    Votes are counted per (example, label) with map-side partial counts; the winner per
+    example is a streaming ``max_by`` over at most one row per distinct label.
+    """
     if expected_models is None:
         expected_models = predictions.select("model_id").distinct().count()
-    grouped = predictions.groupBy("example_id").agg(F.collect_list(F.col(pred_col)).alias("preds"))
-    preds = F.col("preds")
-    votes = F.transform(
-        F.array_distinct(preds),
-        lambda p: F.struct(
-            F.size(F.filter(preds, lambda x: x == p)).alias("n"), (-p).alias("neg")
-        ),
+    votes = predictions.groupBy("example_id", F.col(pred_col).alias("__pred")).agg(
+        F.count(F.lit(1)).alias("__n")
+    )
+    best = votes.groupBy("example_id").agg(
+        F.max_by(F.col("__pred"), F.struct(F.col("__n"), -F.col("__pred"))).alias("__best"),
+        F.max("__n").alias("__votes"),
+        F.sum("__n").alias("__total"),
     )
-    best = F.array_max(votes)
-    guard = _count_guard(F.size(preds), int(expected_models), "model predictions")
-    return grouped.select(
+    guard = _count_guard(F.col("__total"), int(expected_models), "model predictions")
+    return best.select(
         F.col("example_id"),
-        F.coalesce(guard.cast("int"), (-best["neg"]).cast("int")).alias("pred"),
-        best["n"].cast("int").alias("votes"),
+        F.coalesce(guard.cast("int"), F.col("__best").cast("int")).alias("pred"),
+        F.col("__votes").cast("int").alias("votes"),
     )
 
 
@@ -155,36 +178,50 @@ def hypothesis_rollup(
 
     Hypothesis ``variant v`` belongs to relation ``v div 2 + 1``.  Below ``threshold`` the
     example gets 0 (no relation); ties go to the smallest relation id.  Each example must carry
-    exactly ``2 * (n_labels - 1)`` hypothesis rows.
+    exactly ``2 * (n_labels - 1)`` hypothesis rows, one per variant.  One fixed-width
+    aggregate (a conditional sum per relation) with map-side partial sums.
     """
-    n_hyp = 2 * (n_labels - 1)
-    probs = softmax(as_double_array(scores_col)) if from_logits else as_double_array(scores_col)
+    n_rel = n_labels - 1
+    n_hyp = 2 * n_rel
+    raw = _width_checked(as_double_array(scores_col), 2)
+    probs = softmax(raw) if from_logits else raw
     group_cols = ["example_id"] + (["model_id"] if "model_id" in scores.columns else [])
-    items = scores.select(
+    v = F.col("variant")
+    in_range = F.when(
+        (v < 0) | (v >= n_hyp),
+        F.raise_error(F.concat(F.lit("hypothesis variant out of range: "), v.cast("string"))),
+    )
+    rows = scores.select(
         *[F.col(c) for c in group_cols],
-        F.struct(F.col("variant").alias("v"), F.element_at(probs, 2).alias("p")).alias("it"),
+        F.coalesce(in_range.cast("int"), v).alias("__v"),
+        F.element_at(probs, 2).alias("__p"),
+    )
+    rel = (F.col("__v") / 2).cast("int")
+    sums = [F.sum(F.when(rel == j, F.col("__p"))).alias(f"__s{j}") for j in range(n_rel)]
+    lv = F.col("__v").cast("long")
+    grouped = rows.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.sum(lv).alias("__sv"),
+        F.sum(lv * lv).alias("__sv2"),
+        *sums,
     )
-    grouped = items.groupBy(*group_cols).agg(F.array_sort(F.collect_list("it")).alias("items"))
-    its = F.col("items")
-    variants_ok = F.transform(its, lambda it, i: it["v"] == i)
+    exp_sv = n_hyp * (n_hyp - 1) // 2
+    exp_sv2 = (n_hyp - 1) * n_hyp * (2 * n_hyp - 1) // 6
     guard = F.coalesce(
-        _count_guard(F.size(its), n_hyp, "hypotheses"),
+        _count_guard(F.col("__n"), n_hyp, "hypotheses"),
         F.when(
-            ~F.aggregate(variants_ok, F.lit(True), lambda acc, b: acc & b),
+            (F.col("__sv") != exp_sv) | (F.col("__sv2") != exp_sv2),
             F.raise_error(F.lit("hypothesis variants must be 0..2*(K-1)-1 once each")),
         ),
     )
-    n_rel = n_labels - 1
-    means = F.transform(
-        F.sequence(F.lit(0), F.lit(n_rel - 1)),
-        lambda i: F.struct(
-            ((its[i * 2]["p"] + its[i * 2 + 1]["p"]) / 2).alias("m"), (-i).alias("neg")
-        ),
+    means = F.array(
+        *[F.struct((F.col(f"__s{j}") / 2).alias("m"), F.lit(-j).alias("neg")) for j in range(n_rel)]
     )
-    best = F.array_max(means)
+    voted = grouped.select(*[F.col(c) for c in group_cols], guard.alias("__guard"), F.array_max(means).alias("__best"))
+    best = F.col("__best")
     pred = F.when(best["m"] < F.lit(threshold), F.lit(0)).otherwise(-best["neg"] + 1)
-    return grouped.select(
+    return voted.select(
         *[F.col(c) for c in group_cols],
-        F.coalesce(guard.cast("int"), pred.cast("int")).alias("pred"),
+        F.coalesce(F.col("__guard").cast("int"), pred.cast("int")).alias("pred"),
         best["m"].alias("score"),
     )
