@@ -74,6 +74,32 @@ def tagged_test_dataset(spark: SparkSession, path: str, tagger: Callable) -> Dat
     return build_inputs(examples.project_tagged(tagged), inputs.STYLE_TYPED_PAIR, tagger=tagger)
 
 
+def score_hypotheses(
+    ex: DataFrame,
+    dim: DataFrame,
+    score_fn: Callable,
+    load_fn: Callable | None = None,
+    threshold: float = 0.5,
+    model_id: str = "rtq",
+    batch_size: int = 82,
+    **kw,
+) -> DataFrame:
+    """Hypothesis expansion, scoring and roll-up to one relation per example as one plan.
+
+    The 2*(K-1) rows per example are produced and scored in the same stage (the expansion is
+    never materialised); the only shuffle is the fixed-width roll-up aggregate.
+    """
+    from ..operators.jobs import score_batches
+    from ..operators.labels import label_stats
+
+    hyp = inputs.hypothesis_input(ex, dim, **kw)
+    scores = score_batches(
+        hyp, score_fn, ["text", "text_pair", "label_id", "direction"], load_fn=load_fn,
+        model_id=model_id, batch_size=batch_size,
+    )
+    return decode.hypothesis_rollup(scores, n_labels=label_stats(dim).n_labels, threshold=threshold)
+
+
 def evaluate(predictions: DataFrame, answers: DataFrame, **kw) -> DataFrame:
     """Accuracy of keyed predictions against keyed answers."""
     return metrics.accuracy(predictions, answers, **kw)

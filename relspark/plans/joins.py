@@ -1,10 +1,11 @@
 """Join-strategy helpers: broadcast only sides whose size has been checked.
 
-A dimension (label map, template table, distinct-entity tags, split offsets) is broadcast
-only after its size is shown to be small, either by Catalyst's size estimate of the plan
-(derived from file sizes, no job) or, when that estimate is unknown or large, by a bounded
-row count (reads at most ``limit + 1`` rows).  Beyond the bound the same join is left to
-Catalyst, which then plans a shuffle join and lets AQE split skewed partitions.
+A dimension (label map, distinct-entity tags, per-split offsets) is broadcast only after a
+bounded row count proves it small (it reads at most ``limit + 1`` rows and is memoized per
+plan, so a dimension used by several joins is counted once).  Catalyst's size estimate is
+used only to reject sides that are evidently too large without running a job.  Beyond the
+bounds the same join is left to Catalyst, which plans a shuffle join and lets AQE split
+skewed partitions.
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import functions as F
 # Upper bound on rows of a side we are willing to ship to every executor.  A label dimension
 # has tens of rows; a distinct-entity tag table can grow with the data, hence the check.
 DEFAULT_BROADCAST_ROWS = 2_000_000
-# Upper bound on Catalyst's estimated size (bytes) for broadcasting without a counting job.
-DEFAULT_BROADCAST_BYTES = 8 << 20
+# Sides whose estimated size exceeds this are never broadcast (no counting job is run).
+DEFAULT_BROADCAST_BYTES = 1 << 30
 
 _COUNT_MEMO: dict[tuple[str, int], bool] = {}
 
@@ -58,8 +59,8 @@ def checked_broadcast(
 ) -> DataFrame:
     """``F.broadcast(df)`` when ``df`` is provably small, else ``df`` unchanged."""
     est = estimated_size_bytes(df)
-    if est is not None and est <= max_bytes:
-        return F.broadcast(df)
+    if est is not None and est > max_bytes and est < (1 << 62):
+        return df
     if row_count_at_most(df, max_rows):
         return F.broadcast(df)
     return df

@@ -56,8 +56,9 @@ def with_row_position(
 
     ``scanned`` comes from :func:`_with_scan_meta`.  Rows of one split are contiguous in
     ``monotonically_increasing_id``; a small table with one row per split (count, first id)
-    gets running offsets from a window and is joined back.  The split table grows with the
-    number of splits, not rows, and is broadcast only after a size check.
+    gets running offsets from a window and is joined back on a 64-bit hash of the file path
+    and the split start.  That table grows with the number of splits, not rows, and is
+    broadcast only after a size check.
     """
     if scope == "file":
         group = F.col("__file")
@@ -65,8 +66,9 @@ def with_row_position(
         group = F.regexp_replace(F.col("__file"), "/[^/]*$", "")
     else:
         raise ValueError(f"unknown scope {scope!r}")
+    keyed = scanned.withColumn("__fid", F.xxhash64("__file"))
     blocks = (
-        scanned.groupBy("__file", "__block")
+        keyed.groupBy("__file", "__fid", "__block")
         .agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
         .withColumn("__group", group)
     )
@@ -76,11 +78,11 @@ def with_row_position(
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = blocks.withColumn("__offset", F.coalesce(F.sum("__n").over(w), F.lit(0))).select(
-        "__file", "__block", "__first", "__offset"
+        "__fid", "__block", (F.col("__offset") - F.col("__first")).alias("__shift")
     )
-    joined = scanned.join(checked_broadcast(offsets, max_broadcast_rows), ["__file", "__block"])
-    pos = (F.col("__offset") + F.col("__mid") - F.col("__first")).cast("long")
-    out = joined.withColumn(out_col, pos).drop("__block", "__mid", "__first", "__offset")
+    joined = keyed.join(checked_broadcast(offsets, max_broadcast_rows), ["__fid", "__block"])
+    pos = (F.col("__shift") + F.col("__mid")).cast("long")
+    out = joined.withColumn(out_col, pos).drop("__fid", "__block", "__mid", "__shift")
     return out if keep_file else out.drop("__file")
 
 
@@ -150,6 +152,19 @@ def read_templates(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 # --- S5: experiment configs -------------------------------------------------------------------
 
 
+def read_label_dimension(spark: SparkSession, path: str | Sequence[str], fmt: str = "csv") -> DataFrame:
+    """``(label_id, label_name)`` from a header CSV or parquet file -> validated ``LABEL_DIM``."""
+    from ..operators.labels import label_dimension
+
+    if fmt == "csv":
+        df = spark.read.csv(path, header=True, schema="label_id int, label_name string", mode="FAILFAST")
+    elif fmt == "parquet":
+        df = spark.read.parquet(path).select("label_id", "label_name")
+    else:
+        raise ValueError(f"unknown format {fmt!r}")
+    return label_dimension(df)
+
+
 def read_experiments(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """One row per JSON config file; a missing key is null (not "off")."""
     df = spark.read.schema(EXPERIMENT_JSON).option("multiLine", True).json(path)

@@ -182,3 +182,61 @@ def test_entry_contract(spark):
     q, o = E.queries(), E.oracle_sql()
     assert set(o) <= set(q)
     assert set(q) - set(o) == {"train_linear_classifier"}
+
+
+def test_label_dimension_file(spark, tmp_dir):
+    p = write(f"{tmp_dir}/labels/labels.csv", "label_id,label_name\n0,none\n1,p:spouse\n2,o:members\n")
+    dim = {r.label_id: r for r in files.read_label_dimension(spark, p).collect()}
+    assert dim[2].subject_part == "o" and dim[2].attribute_part == "members"
+
+
+def test_row_position_dir_scope_over_multipart_output(spark, tmp_dir):
+    df = spark.range(0, 5000).select(F.col("id").cast("int").alias("pred"))
+    df.repartitionByRange(6, "pred").sortWithinPartitions("pred").write.csv(f"{tmp_dir}/mp/m7", header=True)
+    out = files.read_predictions(spark, f"{tmp_dir}/mp/m7", scope="dir").collect()
+    assert len(out) == 5000
+    assert all(r.example_id == r.pred and r.model_id == "m7" for r in out)
+
+
+def test_score_hypotheses_flow(spark):
+    import numpy as np
+
+    dim = labels.label_dimension(
+        spark.createDataFrame([(0, "none"), (1, "p:spouse"), (2, "p:job")], "label_id int, label_name string")
+    )
+    ex = spark.createDataFrame(
+        [(0, "s", "A", "B", 2), (1, "s", "C", "D", 1)],
+        "example_id long, sentence string, entity_01 string, entity_02 string, label int",
+    )
+
+    def oracle_model(_, batch):
+        # "yes" exactly on relation 2 for entity A, relation 1 otherwise
+        yes = np.where(
+            (batch["text_pair"].str.contains("A")) == (batch["label_id"] == 2), 4.0, -4.0
+        )
+        return np.stack([-yes, yes], axis=1)
+
+    out = {r.example_id: r.pred for r in flows.score_hypotheses(ex, dim, oracle_model).collect()}
+    assert out == {0: 2, 1: 1}
+
+
+def test_broadcast_fallback_gives_same_result(spark):
+    from relspark.plans import fixtures as fx
+
+    d = "/root/testdata/sf0.001"
+    ex, dim = fx.rel_examples(spark, d), fx.rel_labels(spark, d)
+    a = labels.encode_label(ex, dim).select("example_id", "label")
+    assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        # a dimension over the row bound is not hinted: the join becomes a shuffle join
+        b = labels.encode_label(ex, dim, max_broadcast_rows=0).select("example_id", "label")
+        plan = b._jdf.queryExecution().executedPlan().toString()
+        got_b = sorted(map(tuple, b.collect()))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan
+    assert sorted(map(tuple, a.collect())) == got_b
