@@ -47,6 +47,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return _TABLES[key]
 
 
+_FIXTURES: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _memo(fn):
+    """Build a fixture DataFrame once per session and folder (DataFrames are immutable)."""
+
+    def wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"), fn.__name__)
+        if key not in _FIXTURES:
+            _FIXTURES[key] = fn(spark, sf_dir)
+        return _FIXTURES[key]
+
+    wrapper.__name__ = fn.__name__
+    wrapper.__doc__ = fn.__doc__
+    return wrapper
+
+
+@_memo
 def rel_labels_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation = table(spark, sf_dir, "nation")
     region = table(spark, sf_dir, "region")
@@ -56,11 +74,13 @@ def rel_labels_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def rel_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``LABEL_DIM`` of the fixture."""
     return label_dimension(rel_labels_raw(spark, sf_dir))
 
 
+@_memo
 def rel_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``example_id, sentence, entity_01, entity_02, e1_s, e1_e, e2_s, e2_e, relation``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -101,6 +121,7 @@ def rel_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def rel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``SCORES``: four 10-class models cut from each embedding."""
     emb = table(spark, sf_dir, "embeddings")
@@ -123,6 +144,7 @@ def rel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def rel_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ANSWER``: the embedding's class label."""
     return table(spark, sf_dir, "embeddings").select(
@@ -130,6 +152,7 @@ def rel_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_memo
 def rel_hypothesis_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``SCORES`` of 2-wide hypothesis rows: variant v = numbers 2v, 2v+1 (v in 0..31)."""
     emb = table(spark, sf_dir, "embeddings")
