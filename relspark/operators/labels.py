@@ -130,9 +130,10 @@ def decode_label(
 ) -> DataFrame:
     """Label id -> name; 100 -> ``blind``; an id outside the dimension gives null.
 
-    Duplicate ids in the dimension are rejected by :func:`label_stats` (call it once when the
-    dimension is built); the join itself is many-to-one.
+    Duplicate ids in the dimension are rejected (an inverted name map would silently keep one
+    of them), so the join is many-to-one.
     """
+    label_stats(dim)
     lookup = checked_broadcast(
         dim.select(F.col("label_id").alias("__lid"), F.col("label_name").alias("__lname")),
         max_broadcast_rows,

@@ -98,8 +98,9 @@ def read_raw_examples(spark: SparkSession, path: str | Sequence[str], mode: str
     """Tab-separated, header-less example file(s) -> ``RAW_EXAMPLE`` + ``example_id``.
 
     Quotes are doubled inside quoted fields (``escape='"'``).  The words ``NA``/``None`` stay
-    text; an empty field is null.  ``mode='FAILFAST'`` raises on short or malformed rows;
-    ``PERMISSIVE`` fills nulls.  ``example_id`` is the 0-based line position within the file.
+    text; an empty field is null; blank lines are skipped.  ``mode='FAILFAST'`` raises on
+    short or malformed rows; ``PERMISSIVE`` fills nulls, and :func:`split_rejects` then
+    separates incomplete rows.  ``example_id`` is the 0-based row position within the file.
     """
     df = spark.read.csv(
         path, schema=RAW_EXAMPLE, sep="\t", header=False, quote='"', escape='"', mode=mode
@@ -107,6 +108,19 @@ def read_raw_examples(spark: SparkSession, path: str | Sequence[str], mode: str
     return with_row_position(_with_scan_meta(df), out_col="example_id")
 
 
+REQUIRED_RAW = ("sentence", "entity_01", "e1_s", "e1_e", "entity_02", "e2_s", "e2_e", "relation")
+
+
+def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(complete rows, reject rows) of a ``PERMISSIVE`` read: a row is rejected when any
+    required field is missing or did not parse (null).  Decided on content, so it holds under
+    any later column selection."""
+    bad = F.lit(False)
+    for c in REQUIRED_RAW:
+        bad = bad | F.col(c).isNull()
+    return raw.filter(~bad), raw.filter(bad)
+
+
 def read_tagged_examples(spark: SparkSession, path: str | Sequence[str], mode: str = "FAILFAST") -> DataFrame:
     """Comma-separated tagged example file(s) with one header line -> ``TAGGED_EXAMPLE`` +
     ``example_id`` (0-based position after the header).  A non-integer label raises."""
@@ -223,15 +237,24 @@ def run_name(logging_dir: str = "logging_dir", suffix: str = "_2"):
 
 
 def write_predictions(
-    predictions: DataFrame, path: str, fmt: str = "csv", mode: str = "errorifexists"
+    predictions: DataFrame,
+    path: str,
+    fmt: str = "csv",
+    mode: str = "errorifexists",
+    partition_col: str | None = None,
 ) -> None:
     """Write ``(example_id, pred)`` (with the key, unlike a bare positional column).
 
     The default mode refuses an existing folder, so two runs sharing a name cannot overwrite
-    each other silently.
+    each other silently.  ``partition_col`` (e.g. a :func:`run_name` column) writes one
+    sub-folder per value.
     """
-    out = predictions.select(F.col("example_id").cast("long"), F.col("pred").cast("int"))
-    writer = out.write.mode(mode)
+    cols = [F.col("example_id").cast("long"), F.col("pred").cast("int")]
+    if partition_col:
+        cols.append(F.col(partition_col))
+    writer = predictions.select(*cols).write.mode(mode)
+    if partition_col:
+        writer = writer.partitionBy(partition_col)
     if fmt == "csv":
         writer.csv(path, header=True)
     elif fmt == "parquet":

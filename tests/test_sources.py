@@ -240,3 +240,49 @@ def test_broadcast_fallback_gives_same_result(spark):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
     assert "SortMergeJoin" in plan
     assert sorted(map(tuple, a.collect())) == got_b
+
+
+def test_blank_lines_and_reject_table(spark, tmp_dir):
+    text = "r0\ta b\ta\t0\t0\tb\t2\t2\tblind\n\nr1\tc d\tc\t0\t0\td\t2\t2\tblind\nr2\tshort\n"
+    p = write(f"{tmp_dir}/rej/a.tsv", text)
+    df = files.read_raw_examples(spark, p, mode="PERMISSIVE")
+    good, bad = files.split_rejects(df)
+    assert sorted((r.example_id, r.row_tag) for r in good.select("example_id", "row_tag").collect()) == [
+        (0, "r0"),
+        (1, "r1"),
+    ]
+    assert [(r.example_id, r.row_tag) for r in bad.select("example_id", "row_tag").collect()] == [(2, "r2")]
+
+
+def test_tagger_contract(spark):
+    from relspark.operators import jobs
+
+    ex = spark.createDataFrame([(0, "x", "A", "b")], "example_id long, sentence string, entity_01 string, entity_02 string")
+    none_for_lower = lambda c: F.when(c.rlike("^[A-Z]"), F.lit("CAP"))
+    with pytest.raises(Exception, match="no tag for entity: b"):
+        jobs.tag_entities(ex, tagger=none_for_lower).collect()
+    r = jobs.tag_entities(ex, tagger=none_for_lower, default_tag="O").first()
+    assert (r.tag_01, r.tag_02) == ("CAP", "O")
+
+
+def test_predictions_partitioned_by_run_name(spark, tmp_dir):
+    df = spark.createDataFrame(
+        [(0, 1, "./logs/conf3_x"), (1, 2, "./logs/conf3_x"), (0, 5, "./logs/conf9_y")],
+        "example_id long, pred int, logging_dir string",
+    ).withColumn("run", files.run_name("logging_dir"))
+    files.write_predictions(df, f"{tmp_dir}/runs", partition_col="run")
+    assert sorted(d for d in os.listdir(f"{tmp_dir}/runs") if d.startswith("run=")) == [
+        "run=conf3_x_2",
+        "run=conf9_y_2",
+    ]
+    back = files.read_keyed_predictions(spark, f"{tmp_dir}/runs/run=conf9_y_2").collect()
+    assert [(r.example_id, r.pred) for r in back] == [(0, 5)]
+
+
+def test_decode_label_rejects_duplicate_ids(spark):
+    dim = labels.label_dimension(
+        spark.createDataFrame([(0, "none"), (1, "a:b"), (1, "c:d")], "label_id int, label_name string")
+    )
+    df = spark.createDataFrame([(0, 1)], "example_id long, label int")
+    with pytest.raises(ValueError, match="duplicate"):
+        labels.decode_label(df, dim)
