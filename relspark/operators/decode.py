@@ -142,15 +142,36 @@ def ensemble_soft_vote(
 
 
 def hard_vote(
-    predictions: DataFrame, expected_models: int | None = None, pred_col: str = "pred"
+    predictions: DataFrame,
+    expected_models: int | None = None,
+    pred_col: str = "pred",
+    n_labels: int | None = None,
 ) -> DataFrame:
     """Majority label per example over model predictions; ties -> the smallest label id.
 
-    Votes are counted per (example, label) with map-side partial counts; the winner per
-    example is a streaming ``max_by`` over at most one row per distinct label.
+    With ``n_labels`` known, one fixed-width aggregate counts the votes of every label per
+    example (map-side partial counts, one shuffle); a prediction outside ``0..n_labels-1``
+    raises.  Without it, votes are counted per (example, label) map-side and the winner is a
+    streaming ``max_by`` over at most one row per distinct label (two small shuffles).
     """
     if expected_models is None:
         expected_models = predictions.select("model_id").distinct().count()
+    if n_labels is not None:
+        p = F.col(pred_col)
+        checked = F.when(
+            (p < 0) | (p >= n_labels),
+            F.raise_error(F.concat(F.lit("prediction outside label range: "), p.cast("string"))),
+        )
+        rows = predictions.select("example_id", F.coalesce(checked.cast("int"), p).alias("__pred"))
+        counts = [F.count(F.when(F.col("__pred") == j, 1)).alias(f"__c{j}") for j in range(n_labels)]
+        agg = rows.groupBy("example_id").agg(F.count(F.lit(1)).alias("__total"), *counts)
+        votes = F.array(*[F.col(f"__c{j}") for j in range(n_labels)])
+        guard = _count_guard(F.col("__total"), int(expected_models), "model predictions")
+        return agg.select(
+            "example_id",
+            F.coalesce(guard.cast("int"), argmax(votes)).alias("pred"),
+            F.array_max(votes).cast("int").alias("votes"),
+        )
     votes = predictions.groupBy("example_id", F.col(pred_col).alias("__pred")).agg(
         F.count(F.lit(1)).alias("__n")
     )

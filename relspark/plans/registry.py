@@ -213,7 +213,7 @@ def q_ensemble_soft_vote(spark, d):
 
 def q_hard_vote(spark, d):
     preds = decode.argmax_decode(fx.rel_scores(spark, d))
-    return decode.hard_vote(preds, expected_models=fx.N_MODELS)
+    return decode.hard_vote(preds, expected_models=fx.N_MODELS, n_labels=fx.MODEL_WIDTH)
 
 
 def q_stack_predictions(spark, d):

@@ -95,6 +95,10 @@ def test_hard_vote_majority_and_ties(spark):
     )
     got = {r.example_id: (r.pred, r.votes) for r in decode.hard_vote(df, 3).collect()}
     assert got == {0: (3, 2), 1: (2, 1)}
+    wide = {r.example_id: (r.pred, r.votes) for r in decode.hard_vote(df, 3, n_labels=8).collect()}
+    assert wide == got
+    with pytest.raises(Exception, match="outside label range"):
+        decode.hard_vote(df, 3, n_labels=4).collect()
 
 
 def test_hard_vote_count_guard(spark):
