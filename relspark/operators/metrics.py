@@ -7,30 +7,48 @@ being silently truncated.  Accuracy and loss are global aggregates with map-side
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import argmax, as_double_array, bce_with_logits_sum
 from ..schemas import BLIND_LABEL
 
 
+def _one_per_key(df: DataFrame, value: str, marker: str) -> DataFrame:
+    """One row per ``example_id`` with the row count in ``marker``.
+
+    The aggregation combines map-side and hash-partitions by ``example_id``, which the
+    following join reuses (no extra shuffle); a duplicated key is therefore detected from its
+    count instead of being joined into all pairs.
+    """
+    return df.groupBy("example_id").agg(
+        F.count(F.lit(1)).alias(marker), F.max(F.col(value)).alias(value)
+    )
+
+
+def _key_guard(col: str, side: str) -> Column:
+    return F.when(
+        F.col(col) > 1,
+        F.raise_error(
+            F.concat(F.lit(f"duplicate example_id in {side}: "), F.col("example_id").cast("string"))
+        ),
+    )
+
+
 def align_predictions(
     predictions: DataFrame,
     answers: DataFrame,
     pred_col: str = "pred",
     answer_col: str = "answer",
 ) -> DataFrame:
-    """``(example_id, pred, answer)``; raises if an id is on one side only."""
-    p = predictions.select(F.col("example_id"), F.col(pred_col).alias("pred"))
-    a = answers.select(F.col("example_id"), F.col(answer_col).alias("answer"))
-    # A missing side shows as a null marker, which tells it apart from a null value read
+    """``(example_id, pred, answer)``; raises if an id is on one side only or repeated."""
+    p = _one_per_key(predictions.select("example_id", F.col(pred_col).alias("pred")), "pred", "__p")
+    a = _one_per_key(answers.select("example_id", F.col(answer_col).alias("answer")), "answer", "__a")
+    joined = p.join(a, "example_id", "full_outer")
+    # A missing side shows as a null count, which tells it apart from a null value read
     # from a file.
-    p_marked = p.withColumn("__p", F.lit(True))
-    a_marked = a.withColumn("__a", F.lit(True))
-    joined = p_marked.join(a_marked, "example_id", "full_outer")
-    missing = F.col("__p").isNull() | F.col("__a").isNull()
-    check = F.when(
-        missing,
+    missing = F.when(
+        F.col("__p").isNull() | F.col("__a").isNull(),
         F.raise_error(
             F.concat(
                 F.lit("predictions and answers differ in length / keys at example_id "),
@@ -38,6 +56,7 @@ def align_predictions(
             )
         ),
     )
+    check = F.coalesce(missing, _key_guard("__p", "predictions"), _key_guard("__a", "answers"))
     return joined.select(
         F.col("example_id"),
         F.coalesce(check.cast("int"), F.col("pred")).alias("pred"),
@@ -95,11 +114,12 @@ def bce_with_logits(
 
     ``scores`` and ``targets`` are joined on ``example_id``; vectors must have equal width.
     """
-    s = scores.select(F.col("example_id"), as_double_array(scores_col).alias("x"))
-    t = targets.select(F.col("example_id"), as_double_array(target_col).alias("z"))
+    s = _one_per_key(scores.select("example_id", as_double_array(scores_col).alias("x")), "x", "__s")
+    t = _one_per_key(targets.select("example_id", as_double_array(target_col).alias("z")), "z", "__t")
     joined = s.join(t, "example_id", "inner")
     width_ok = F.size("x") == F.size("z")
-    row_sum = F.when(width_ok, bce_with_logits_sum("x", "z")).otherwise(
+    dup = F.coalesce(_key_guard("__s", "scores"), _key_guard("__t", "targets"))
+    row_sum = F.when(width_ok, F.coalesce(dup.cast("double"), bce_with_logits_sum("x", "z"))).otherwise(
         F.raise_error(F.lit("logit and target vectors differ in width")).cast("double")
     )
     return joined.agg(

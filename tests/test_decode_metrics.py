@@ -155,6 +155,13 @@ def test_accuracy_alignment(spark):
     assert ex.n == 2 and ex.accuracy == 1.0
 
 
+def test_alignment_rejects_repeated_keys(spark):
+    p = spark.createDataFrame([(0, 1), (0, 2), (1, 1)], "example_id long, pred int")
+    a = spark.createDataFrame([(0, 1), (1, 1)], "example_id long, answer int")
+    with pytest.raises(Exception, match="duplicate example_id in predictions"):
+        metrics.accuracy(p, a).collect()
+
+
 def test_bce_matches_numpy_and_is_stable(spark):
     x = [[1000.0, -1000.0, 0.5], [-2.0, 3.0, 0.0]]
     z = [[1.0, 0.0, 0.5], [0.0, 1.0, 1 / 3]]
