@@ -56,15 +56,6 @@ def argmax(x: Column | str) -> Column:
     return let(_col(x), lambda a: (F.array_position(a, F.array_max(a)) - F.lit(1)).cast("int"))
 
 
-def elementwise_mean(arrays: Column, width: Column | None = None) -> Column:
-    """Mean over a (bounded) array of equally long arrays, summed in array order."""
-    zero = F.transform(F.element_at(arrays, 1), lambda v: F.lit(0.0).cast("double"))
-    total = F.aggregate(arrays, zero, lambda acc, a: F.zip_with(acc, a, lambda p, q: p + q))
-    return let(
-        F.size(arrays).cast("double"), lambda n: F.transform(total, lambda v: v / n)
-    )
-
-
 def bce_with_logits_sum(logits: Column | str, targets: Column | str) -> Column:
     """Sum over one row of binary cross-entropy with logits, in the overflow-free form
     ``max(x, 0) - x * z + log(1 + exp(-|x|))``."""

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import argmax, as_double_array, elementwise_mean, sigmoid, softmax
+from ..functions.scores import argmax, as_double_array, sigmoid, softmax
 
 # fixed values: default decision threshold of the no-relation-free decoder
 EXCEPT0_THRESHOLD = 0.6
@@ -20,8 +20,8 @@ EXCEPT0_THRESHOLD = 0.6
 KEY_COLUMNS = ("example_id", "variant", "model_id")
 
 
-def _keys(df: DataFrame, drop: tuple[str, ...] = ()) -> list[Column]:
-    return [F.col(c) for c in KEY_COLUMNS if c in df.columns and c not in drop]
+def _keys(df: DataFrame) -> list[Column]:
+    return [F.col(c) for c in KEY_COLUMNS if c in df.columns]
 
 
 def argmax_decode(scores: DataFrame, scores_col: str = "scores") -> DataFrame:
