@@ -57,7 +57,11 @@ def _count_guard(n: Column, expected: int, what: str) -> Column:
 
 
 def vector_width(scores: DataFrame, scores_col: str = "scores") -> int:
-    """Width of the score vectors, read from one row (every row is checked against it later)."""
+    """Width of the score vectors, read from one row (every row is checked against it later).
+
+    Callers that know the class count (it follows from the label set) should pass it as
+    ``width`` instead: reading a row runs the plan up to that row.
+    """
     row = scores.select(F.size(scores_col)).first()
     if row is None:
         raise ValueError("no score rows")

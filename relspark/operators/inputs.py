@@ -111,7 +111,7 @@ def _hypothesis_dim(dim: DataFrame, max_broadcast_rows: int) -> tuple[DataFrame,
         F.col("subject_part").alias("__subj"),
         F.col("attribute_part").alias("__attr"),
     )
-    return checked_broadcast(small, max_broadcast_rows), stats.n_labels
+    return checked_broadcast(small, max_broadcast_rows, size_of=dim), stats.n_labels
 
 
 def expand_hypotheses(

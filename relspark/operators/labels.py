@@ -9,6 +9,7 @@ costs nothing extra.
 
 from __future__ import annotations
 
+import weakref
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -58,17 +59,14 @@ class LabelStats:
         return self.min_id == 0 and self.max_id == self.n_labels - 1
 
 
-_STATS_MEMO: dict[str, LabelStats] = {}
+_STATS_MEMO: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def label_stats(dim: DataFrame) -> LabelStats:
     """Count, min and max of ``label_id``; raises on duplicate ids (an inverted map would
-    silently keep the last name).  One small aggregate, memoized per analyzed plan."""
-    from ..plans.joins import _plan_key
-
-    key = _plan_key(dim)
-    if key is not None and key in _STATS_MEMO:
-        return _STATS_MEMO[key]
+    silently keep the last name).  One small aggregate, remembered per DataFrame."""
+    if dim in _STATS_MEMO:
+        return _STATS_MEMO[dim]
     row = dim.agg(
         F.count(F.lit(1)).alias("n"),
         F.countDistinct("label_id").alias("nd"),
@@ -81,8 +79,7 @@ def label_stats(dim: DataFrame) -> LabelStats:
     if row["n"] != row["nn"]:
         raise ValueError("label dimension has duplicate label_name values")
     stats = LabelStats(int(row["n"]), int(row["lo"] or 0), int(row["hi"] or 0))
-    if key is not None:
-        _STATS_MEMO[key] = stats
+    _STATS_MEMO[dim] = stats
     return stats
 
 
@@ -106,6 +103,7 @@ def encode_label(
     lookup = checked_broadcast(
         dim.select(F.col("label_name").alias("__lname"), F.col("label_id").alias("__lid")),
         max_broadcast_rows,
+        size_of=dim,
     )
     joined = examples.join(lookup, examples[relation_col] == lookup["__lname"], "left")
     label = (
@@ -137,6 +135,7 @@ def decode_label(
     lookup = checked_broadcast(
         dim.select(F.col("label_id").alias("__lid"), F.col("label_name").alias("__lname")),
         max_broadcast_rows,
+        size_of=dim,
     )
     joined = df.join(lookup, df[id_col] == lookup["__lid"], "left")
     name = F.when(F.col(id_col) == F.lit(BLIND_LABEL), F.lit(BLIND_RELATION)).otherwise(

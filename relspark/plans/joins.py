@@ -1,66 +1,42 @@
 """Join-strategy helpers: broadcast only sides whose size has been checked.
 
 A dimension (label map, distinct-entity tags, per-split offsets) is broadcast only after a
-bounded row count proves it small (it reads at most ``limit + 1`` rows and is memoized per
-plan, so a dimension used by several joins is counted once).  Catalyst's size estimate is
-used only to reject sides that are evidently too large without running a job.  Beyond the
-bounds the same join is left to Catalyst, which plans a shuffle join and lets AQE split
-skewed partitions.
+bounded row count proves it small: ``limit(n + 1).count()`` reads at most ``n + 1`` rows, so
+the check stays cheap even on a large side.  The answer is remembered per DataFrame, so a
+dimension used by several joins is counted once.  Beyond the bound the same join is left to
+Catalyst, which plans a shuffle join and lets AQE split skewed partitions.
 """
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Upper bound on rows of a side we are willing to ship to every executor.  A label dimension
 # has tens of rows; a distinct-entity tag table can grow with the data, hence the check.
 DEFAULT_BROADCAST_ROWS = 2_000_000
-# Sides whose estimated size exceeds this are never broadcast (no counting job is run).
-DEFAULT_BROADCAST_BYTES = 1 << 30
-
-_COUNT_MEMO: dict[tuple[str, int], bool] = {}
-
-
-def estimated_size_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of the optimized plan, or None when unavailable."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - not available (e.g. a remote session)
-        return None
-
 
-def _plan_key(df: DataFrame) -> str | None:
-    try:
-        return f"{df.sparkSession.sparkContext.applicationId}:{df._jdf.queryExecution().analyzed().semanticHash()}"
-    except Exception:  # noqa: BLE001
-        return None
+_COUNT_MEMO: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True if ``df`` has at most ``limit`` rows; reads at most ``limit + 1`` rows.
-
-    Memoized per analyzed plan within an application, so a dimension used by several joins
-    of one query is counted once.
-    """
-    key = _plan_key(df)
-    if key is not None and (key, limit) in _COUNT_MEMO:
-        return _COUNT_MEMO[(key, limit)]
-    small = df.limit(limit + 1).count() <= limit
-    if key is not None:
-        _COUNT_MEMO[(key, limit)] = small
-    return small
+    """True if ``df`` has at most ``limit`` rows; reads at most ``limit + 1`` rows."""
+    memo = _COUNT_MEMO.setdefault(df, {})
+    if limit not in memo:
+        memo[limit] = df.limit(limit + 1).count() <= limit
+    return memo[limit]
 
 
 def checked_broadcast(
-    df: DataFrame,
-    max_rows: int = DEFAULT_BROADCAST_ROWS,
-    max_bytes: int = DEFAULT_BROADCAST_BYTES,
+    df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, size_of: DataFrame | None = None
 ) -> DataFrame:
-    """``F.broadcast(df)`` when ``df`` is provably small, else ``df`` unchanged."""
-    est = estimated_size_bytes(df)
-    if est is not None and est > max_bytes and est < (1 << 62):
-        return df
-    if row_count_at_most(df, max_rows):
+    """``F.broadcast(df)`` when it provably has at most ``max_rows`` rows, else ``df``.
+
+    ``size_of`` names the frame whose row count bounds ``df`` (e.g. the dimension a lookup
+    projection was taken from), so repeated lookups of one dimension share one count.
+    """
+    if row_count_at_most(size_of if size_of is not None else df, max_rows):
         return F.broadcast(df)
     return df

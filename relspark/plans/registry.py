@@ -200,11 +200,15 @@ def _pair_scores(spark, d):
 
 
 def q_pair_soft_vote(spark, d):
-    return decode.pair_soft_vote(_pair_scores(spark, d)).select("example_id", "model_id", "pred")
+    return decode.pair_soft_vote(_pair_scores(spark, d), width=fx.MODEL_WIDTH).select(
+        "example_id", "model_id", "pred"
+    )
 
 
 def _ensemble(spark, d):
-    return decode.ensemble_soft_vote(fx.rel_scores(spark, d), expected_models=fx.N_MODELS)
+    return decode.ensemble_soft_vote(
+        fx.rel_scores(spark, d), expected_models=fx.N_MODELS, width=fx.MODEL_WIDTH
+    )
 
 
 def q_ensemble_soft_vote(spark, d):

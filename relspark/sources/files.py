@@ -16,19 +16,14 @@ from ..schemas import EXPERIMENT_JSON, RAW_EXAMPLE, TAGGED_EXAMPLE
 # --- scan parallelism ------------------------------------------------------------------------
 
 
-def spread_scan(df: DataFrame, key: str | None = None, min_bytes: int = 4 << 20) -> DataFrame:
+def spread_scan(df: DataFrame, key: str | None = None) -> DataFrame:
     """Hash-partition a scan by ``key`` only when it yields fewer splits than the cluster has
-    task slots (e.g. one file with a single row group) and holds enough data to be worth it.
+    task slots (e.g. one file with a single row group).
 
     A large input already has more splits than slots and is returned unchanged, so no shuffle
-    is added at scale; a tiny input is not worth a shuffle.  When it does apply, rows are
-    placed by the key, which later keyed aggregations and joins on the same key can reuse.
+    is added at scale.  When it does apply, rows are placed by the key, which later keyed
+    aggregations and joins on the same key reuse.
     """
-    from ..plans.joins import estimated_size_bytes
-
-    est = estimated_size_bytes(df)
-    if est is not None and est < min_bytes:
-        return df
     slots = df.sparkSession.sparkContext.defaultParallelism
     # Planning only: the number of file splits of the scan, no job runs.
     if df.rdd.getNumPartitions() >= slots:

@@ -4,6 +4,8 @@ import math
 
 import numpy as np
 import pytest
+
+from relspark.plans.inspect import physical_plan
 from pyspark.sql import functions as F
 
 from relspark.functions.scores import argmax, softmax
@@ -122,7 +124,7 @@ def test_hot_example_is_aggregated_not_collected(spark):
         F.array(F.lit(0.1), F.lit(0.2)).alias("scores"),
     )
     voted = decode.ensemble_soft_vote(hot, expected_models=4, width=2)
-    plan = voted._jdf.queryExecution().executedPlan().toString()
+    plan = physical_plan(voted)
     assert "collect_list" not in plan
     with pytest.raises(Exception, match="expected 4 models"):
         voted.collect()

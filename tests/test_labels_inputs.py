@@ -1,6 +1,8 @@
 """Label lookups, input builders, hypothesis expansion and pair encoding."""
 
 import pytest
+
+from relspark.plans.inspect import physical_plan
 from pyspark.sql import functions as F
 
 from relspark.operators import examples, inputs, labels, targets
@@ -104,7 +106,7 @@ def test_hypothesis_plan_streams_examples(spark):
     """The label side is broadcast and equi-joined; no nested-loop or cartesian join."""
     ex = examples.project_examples(fx.rel_examples(spark, SF_SMALL), fx.rel_labels(spark, SF_SMALL))
     hyp = inputs.hypothesis_input(ex, fx.rel_labels(spark, SF_SMALL))
-    plan = hyp._jdf.queryExecution().executedPlan().toString()
+    plan = physical_plan(hyp)
     assert "BroadcastHashJoin" in plan
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 

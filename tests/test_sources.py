@@ -5,6 +5,8 @@ import json
 import os
 
 import pytest
+
+from relspark.plans.inspect import physical_plan
 from pyspark.sql import functions as F
 
 from relspark.operators import experiments, labels
@@ -226,14 +228,14 @@ def test_broadcast_fallback_gives_same_result(spark):
     d = "/root/testdata/sf0.001"
     ex, dim = fx.rel_examples(spark, d), fx.rel_labels(spark, d)
     a = labels.encode_label(ex, dim).select("example_id", "label")
-    assert "BroadcastHashJoin" in a._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in physical_plan(a)
     old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
     try:
         # a dimension over the row bound is not hinted: the join becomes a shuffle join
         b = labels.encode_label(ex, dim, max_broadcast_rows=0).select("example_id", "label")
-        plan = b._jdf.queryExecution().executedPlan().toString()
+        plan = physical_plan(b)
         got_b = sorted(map(tuple, b.collect()))
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
