@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators import decode
+from ..operators import decode, examples, inputs
 from ..schemas import SCORES
 from ..session import scratch_path
 
@@ -41,13 +41,30 @@ def decode_stream(scores: DataFrame, decoder: str = "argmax_decode", **kw) -> Da
     return PER_ROW_DECODERS[decoder](scores, **kw)
 
 
+def read_raw_example_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Parquet files of keyed raw examples (``example_id`` + ``RAW_EXAMPLE`` columns) as a
+    stream.  A stream has no global row order, so files must carry their key."""
+    from pyspark.sql import types as T
+
+    from ..schemas import RAW_EXAMPLE
+
+    schema = T.StructType(RAW_EXAMPLE.fields + [T.StructField("example_id", T.LongType(), False)])
+    return spark.readStream.schema(schema).parquet(folder)
+
+
+def pair_input_stream(raw: DataFrame, dim: DataFrame) -> DataFrame:
+    """Label encoding against the static label dimension, then pair inputs, on a stream."""
+    return inputs.pair_input(examples.project_examples(raw, dim))
+
+
 def write_prediction_stream(
     predictions: DataFrame,
     out_folder: str,
     checkpoint: str | None = None,
     available_now: bool = False,
 ) -> StreamingQuery:
-    """Append decoded rows to parquet; exactly-once through the file sink's commit log."""
+    """Append rows (decoded predictions or model inputs) to parquet; exactly-once through the
+    file sink's commit log."""
     spark = predictions.sparkSession
     ckpt = checkpoint or scratch_path(spark, "prediction-stream-checkpoint")
     writer = (

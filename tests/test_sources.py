@@ -288,3 +288,20 @@ def test_decode_label_rejects_duplicate_ids(spark):
     df = spark.createDataFrame([(0, 1)], "example_id long, label int")
     with pytest.raises(ValueError, match="duplicate"):
         labels.decode_label(df, dim)
+
+
+def test_streaming_input_builder(spark, tmp_dir):
+    dim = labels.label_dimension(
+        spark.createDataFrame([(0, "none"), (1, "p:spouse")], "label_id int, label_name string")
+    )
+    src = f"{tmp_dir}/ex_in"
+    spark.createDataFrame(
+        [("t", "A met B", "A", 0, 0, "B", 6, 6, "p:spouse", 10), ("t", "C saw D", "C", 0, 0, "D", 6, 6, "blind", 11)],
+        "row_tag string, sentence string, entity_01 string, e1_s int, e1_e int, entity_02 string, "
+        "e2_s int, e2_e int, relation string, example_id long",
+    ).write.parquet(src)
+    stream = ds.pair_input_stream(ds.read_raw_example_stream(spark, src), dim)
+    q = ds.write_prediction_stream(stream, f"{tmp_dir}/ex_out", f"{tmp_dir}/ex_ckpt", available_now=True)
+    q.awaitTermination(120)
+    got = {r.example_id: (r.text, r.text_pair) for r in spark.read.parquet(f"{tmp_dir}/ex_out").collect()}
+    assert got == {10: ("A[SEP]B", "A met B"), 11: ("C[SEP]D", "C saw D")}
