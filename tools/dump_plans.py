@@ -14,7 +14,7 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 NAMES = ["hypothesis_input", "encode_label", "mark_entities", "tag_entities", "accuracy",
-         "hard_vote", "hypothesis_rollup", "read_raw_examples", "score_batches"]
+         "hard_vote", "hypothesis_rollup", "read_raw_examples", "stack_predictions", "score_batches"]
 
 
 def main() -> None:
