@@ -54,8 +54,10 @@ def build_session(
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, choosing one only when the cluster names none."""
-    path = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getConf().get(
-        CHECKPOINT_CONF, None
+    path = (
+        spark.conf.get(CHECKPOINT_CONF, None)
+        or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+        or spark.sparkContext.getCheckpointDir()
     )
     if not path:
         # Local runs and tests only: a cluster sets spark.checkpoint.dir to shared storage.
