@@ -29,6 +29,7 @@ HEADLINE = [
     "tag_entities",
     "two_sentence_input",
     "hypothesis_input",
+    "hypothesis_statements",
     "encode_pair",
     "softmax",
     "threshold_decode",
@@ -40,6 +41,7 @@ HEADLINE = [
     "confusion_counts",
     "bce_with_logits",
     "score_batches",
+    "score_hypotheses",
 ]
 
 

@@ -10,8 +10,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.scores import let
 from ..functions.text import fill_template
-from ..plans.joins import DEFAULT_BROADCAST_ROWS, checked_broadcast
+from ..plans.joins import DEFAULT_BROADCAST_ROWS, checked_broadcast, row_count_at_most
 from .labels import NO_RELATION_ID, label_stats
 
 # --- fixed values: model-input layout -------------------------------------------------
@@ -172,6 +173,85 @@ def hypothesis_input(
     )
 
 
+# Upper bound on relation labels inlined into a plan by :func:`hypothesis_statements`.
+MAX_INLINE_LABELS = 10_000
+
+
+def hypothesis_statements(
+    examples: DataFrame,
+    dim: DataFrame,
+    templates: tuple[str, str] = HYPOTHESIS_TEMPLATES,
+    max_length: int = MAX_LENGTH_HYPOTHESIS,
+) -> DataFrame:
+    """Compact form of :func:`hypothesis_input`: one row per example carrying the sentence
+    once and an array of its ``2*(K-1)`` statements
+    (``struct<variant, label_id, direction, text_pair, target>``).
+
+    Built with one ``transform`` over the variant numbers, no explode and no join, so a
+    scorer can receive each sentence once instead of once per hypothesis.  The relation names
+    are inlined as literal arrays: the label dimension is first proven to hold at most
+    ``MAX_INLINE_LABELS`` rows (the same bound a broadcast needs) and then read, exactly as a
+    broadcast side would be.  ``posexplode(statements)`` gives back the row form.
+    """
+    stats = label_stats(dim)
+    if not stats.contiguous:
+        raise ValueError(
+            f"label ids must be 0..{stats.n_labels - 1}; got {stats.min_id}..{stats.max_id}"
+        )
+    if not row_count_at_most(dim, MAX_INLINE_LABELS):
+        raise ValueError(f"more than {MAX_INLINE_LABELS} labels; use hypothesis_input")
+    rel = (
+        dim.filter(F.col("label_id") != NO_RELATION_ID)
+        .orderBy("label_id")
+        .select("subject_part", "attribute_part")
+        .collect()
+    )
+    subj = F.array(*[F.lit(r["subject_part"]) for r in rel])
+    attr = F.array(*[F.lit(r["attribute_part"]) for r in rel])
+    e1, e2, label = F.col("entity_01"), F.col("entity_02"), F.col("label")
+    fwd, rev = templates
+
+    def statement(v):
+        return let(
+            (v / 2).cast("int") + 1,
+            lambda lid: F.struct(
+                v.cast("int").alias("variant"),
+                lid.alias("label_id"),
+                (v % 2).cast("int").alias("direction"),
+                F.when(v % 2 == 0, fill_template(fwd, e1, F.element_at(attr, lid), e2))
+                .otherwise(
+                    fill_template(rev, e2, F.element_at(subj, lid), e1, F.element_at(attr, lid))
+                )
+                .alias("text_pair"),
+                (label == lid).cast("int").alias("target"),
+            ),
+        )
+
+    n_hyp = 2 * (stats.n_labels - 1)
+    return examples.select(
+        F.col("example_id"),
+        F.col("sentence").alias("text"),
+        F.lit(max_length).cast("int").alias("max_length"),
+        F.transform(F.sequence(F.lit(0), F.lit(n_hyp - 1)), statement).alias("statements"),
+    )
+
+
+def statements_to_rows(compact: DataFrame) -> DataFrame:
+    """Row form (``HYPOTHESIS`` columns) of :func:`hypothesis_statements`."""
+    return compact.select(
+        "example_id", "text", "max_length", F.explode("statements").alias("s")
+    ).select(
+        "example_id",
+        F.col("s.variant").alias("variant"),
+        F.col("s.label_id").alias("label_id"),
+        F.col("s.direction").alias("direction"),
+        "text",
+        F.col("s.text_pair").alias("text_pair"),
+        "max_length",
+        F.col("s.target").alias("target"),
+    )
+
+
 # --- pair encoding ---------------------------------------------------------------------
 
 # fixed values: special tokens of the encoded layout

@@ -84,18 +84,17 @@ def score_hypotheses(
     batch_size: int = 82,
     **kw,
 ) -> DataFrame:
-    """Hypothesis expansion, scoring and roll-up to one relation per example as one plan.
+    """Hypothesis statements, scoring and roll-up to one relation per example as one plan.
 
-    The 2*(K-1) rows per example are produced and scored in the same stage (the expansion is
-    never materialised); the only shuffle is the fixed-width roll-up aggregate.
+    The compact form sends each sentence to the scorer once with its 2*(K-1) statements;
+    the only shuffle is the fixed-width roll-up aggregate.
     """
-    from ..operators.jobs import score_batches
+    from ..operators.jobs import score_statement_batches
     from ..operators.labels import label_stats
 
-    hyp = inputs.hypothesis_input(ex, dim, **kw)
-    scores = score_batches(
-        hyp, score_fn, ["text", "text_pair", "label_id", "direction"], load_fn=load_fn,
-        model_id=model_id, batch_size=batch_size,
+    compact = inputs.hypothesis_statements(ex, dim, **kw)
+    scores = score_statement_batches(
+        compact, score_fn, load_fn=load_fn, model_id=model_id, batch_size=batch_size
     )
     return decode.hypothesis_rollup(scores, n_labels=label_stats(dim).n_labels, threshold=threshold)
 

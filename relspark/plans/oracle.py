@@ -289,4 +289,29 @@ FROM sb""",
     "read_tagged_examples": EX + "SELECT example_id, sentence, entity_01, entity_02, label FROM enc",
 }
 ORACLE["read_marked_examples"] = ORACLE["mark_entities"]
+ORACLE["hypothesis_statements"] = ORACLE["hypothesis_input"]
+
+ORACLE["score_hypotheses"] = EX + f""",
+hyp AS (
+  SELECT e.example_id, rl.label_id, d.direction,
+    CASE WHEN d.direction = 0
+         THEN printf('{HYP_FWD_SQL}', e.entity_01, rl.attribute_part, e.entity_02)
+         ELSE printf('{HYP_REV_SQL}', e.entity_02, rl.subject_part, e.entity_01, rl.attribute_part) END
+      AS text_pair
+  FROM enc e CROSS JOIN rel_labels rl CROSS JOIN (VALUES (0), (1)) AS d(direction)
+  WHERE rl.label_id <> 0),
+sc AS (
+  SELECT example_id, label_id,
+    CAST(((length(text_pair) + label_id * 3 + direction) % 11 - 5) AS DOUBLE) * 0.5 AS s
+  FROM hyp),
+pr AS (
+  SELECT example_id, label_id,
+    exp(s - greatest(s, 0.0)) / (exp(0.0 - greatest(s, 0.0)) + exp(s - greatest(s, 0.0))) AS p
+  FROM sc),
+lm AS (SELECT example_id, label_id, sum(p) / 2 AS m FROM pr GROUP BY example_id, label_id),
+best AS (SELECT example_id, label_id, m,
+           row_number() OVER (PARTITION BY example_id ORDER BY m DESC, label_id) AS rn FROM lm)
+SELECT example_id, CAST(CASE WHEN m < 0.5 THEN 0 ELSE label_id END AS INTEGER) AS pred,
+  round(m, 6) AS score
+FROM best WHERE rn = 1"""
 ORACLE["write_predictions"] = ORACLE["align_predictions"]

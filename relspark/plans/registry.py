@@ -116,6 +116,14 @@ def q_hypothesis_input(spark, d):
     )
 
 
+def q_hypothesis_statements(spark, d):
+    """Compact hypothesis form (sentence once per example), laid back out as rows."""
+    compact = inputs.hypothesis_statements(
+        _examples(spark, d), fx.rel_labels(spark, d), templates=ASCII_HYPOTHESES
+    )
+    return inputs.statements_to_rows(compact)
+
+
 def q_encode_pair(spark, d):
     enc = inputs.encode_pair(inputs.pair_input(_examples(spark, d)))
     return enc.select(
@@ -318,6 +326,30 @@ def q_score_batches(spark, d):
     )
 
 
+def fixture_hypothesis_scores(_model, batch: pd.DataFrame) -> np.ndarray:
+    """Deterministic two-way "model" of the fixture: yes-logit from statement length, relation
+    and direction; no-logit 0."""
+    s = (
+        (batch["text_pair"].str.len().to_numpy() + batch["label_id"].to_numpy() * 3 + batch["direction"].to_numpy())
+        % 11
+        - 5
+    ) * 0.5
+    return np.stack([np.zeros(len(batch)), s], axis=1)
+
+
+def q_score_hypotheses(spark, d):
+    """Hypothesis statements -> batched scoring -> roll-up to one relation per example."""
+    from .flows import score_hypotheses
+
+    r = score_hypotheses(
+        _examples(spark, d),
+        fx.rel_labels(spark, d),
+        fixture_hypothesis_scores,
+        templates=ASCII_HYPOTHESES,
+    )
+    return r.select("example_id", "pred", F.round("score", 6).alias("score"))
+
+
 def q_train_linear_classifier(spark, d):
     ex = _examples(spark, d)
     train = inputs.pair_input(ex.filter(F.col("label") != 100)).join(
@@ -381,6 +413,7 @@ QUERIES: dict[str, Query] = {
     "typed_pair_input": q_typed_pair_input,
     "expand_hypotheses": q_expand_hypotheses,
     "hypothesis_input": q_hypothesis_input,
+    "hypothesis_statements": q_hypothesis_statements,
     "encode_pair": q_encode_pair,
     "first_example": q_first_example,
     "class_target": q_class_target,
@@ -405,6 +438,7 @@ QUERIES: dict[str, Query] = {
     "confusion_counts": q_confusion_counts,
     "bce_with_logits": q_bce_with_logits,
     "score_batches": q_score_batches,
+    "score_hypotheses": q_score_hypotheses,
     "train_linear_classifier": q_train_linear_classifier,
     "read_raw_examples": q_read_raw_examples,
     "read_tagged_examples": q_read_tagged_examples,

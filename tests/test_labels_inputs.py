@@ -144,3 +144,37 @@ def test_encode_pair_longest_padding(spark):
     out = {r.example_id: r for r in inputs.encode_pair(df, max_length=50, padding="longest").collect()}
     assert len(out[0].tokens) == len(out[1].tokens) == 5
     assert out[1].attention_mask == [1, 1, 1, 0, 0]
+
+
+def test_compact_statements_equal_row_form(spark):
+    ex = examples.project_examples(fx.rel_examples(spark, SF_SMALL), fx.rel_labels(spark, SF_SMALL))
+    dim = fx.rel_labels(spark, SF_SMALL)
+    rows = inputs.hypothesis_input(ex, dim)
+    compact = inputs.statements_to_rows(inputs.hypothesis_statements(ex, dim))
+    assert compact.columns == rows.columns
+    assert compact.exceptAll(rows).count() == 0 and rows.exceptAll(compact).count() == 0
+    plan = physical_plan(inputs.hypothesis_statements(ex, dim))
+    assert "Generate" not in plan and "explode" not in plan
+
+
+def test_compact_scoring_equals_row_scoring(spark):
+    import numpy as np
+
+    from relspark.operators import jobs
+
+    ex = examples.project_examples(fx.rel_examples(spark, SF_SMALL), fx.rel_labels(spark, SF_SMALL))
+    dim = fx.rel_labels(spark, SF_SMALL)
+
+    def model(_, batch):
+        n = batch["text"].str.len().to_numpy() % 7 + batch["text_pair"].str.len().to_numpy() % 5
+        return np.stack([n * 0.1, batch["label_id"].to_numpy() * 0.01 + batch["direction"].to_numpy()], axis=1)
+
+    row = jobs.score_batches(
+        inputs.hypothesis_input(ex, dim), model, ["text", "text_pair", "label_id", "direction"], batch_size=82
+    ).select("example_id", "variant", "scores")
+    cmp = jobs.score_statement_batches(inputs.hypothesis_statements(ex, dim), model).select(
+        "example_id", "variant", "scores"
+    )
+    a = sorted((r.example_id, r.variant, tuple(r.scores)) for r in row.collect())
+    b = sorted((r.example_id, r.variant, tuple(r.scores)) for r in cmp.collect())
+    assert a == b and len(a) == ex.count() * 48
