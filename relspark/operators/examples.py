@@ -35,7 +35,10 @@ def project_tagged(tagged: DataFrame, strict: bool = True) -> DataFrame:
     cols = [F.col("example_id")]
     for name in TEXT_COLUMNS:
         cols.append((_not_null(name) if strict else F.col(name)).alias(name))
-    cols.append(F.col("label").cast("int").alias("label"))
+    label = F.col("label").cast("int")
+    if strict:
+        label = F.when(label.isNull(), F.raise_error(F.lit("null label in tagged example")).cast("int")).otherwise(label)
+    cols.append(label.alias("label"))
     return tagged.select(*cols)
 
 
@@ -47,7 +50,13 @@ def mark_entities(raw: DataFrame, dim: DataFrame | None = None) -> DataFrame:
     the relation is encoded, otherwise an existing ``label`` column is kept.
     """
     df = encode_label(raw, dim, relation_col="relation", out_col="label") if dim is not None else raw
-    s, e1s, e1e, e2s, e2e = (F.col(c) for c in ("sentence", "e1_s", "e1_e", "e2_s", "e2_e"))
+
+    def offset(name: str) -> Column:
+        c = F.col(name)
+        return F.when(c.isNull() | (c < 0), F.raise_error(F.lit(f"missing or negative {name}")).cast("int")).otherwise(c)
+
+    s = F.col("sentence")
+    e1s, e1e, e2s, e2e = (offset(c) for c in ("e1_s", "e1_e", "e2_s", "e2_e"))
     return df.select(
         F.col("example_id"),
         mark_spans(s, e1s, e1e, e2s, e2e).alias("sentence"),

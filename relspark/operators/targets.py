@@ -38,9 +38,11 @@ def hypothesis_target(hypotheses: DataFrame, label_col: str = "label") -> DataFr
 
 def _checked_label(label: Column, n_classes: int) -> Column:
     """The label, raising when it cannot index a vector of ``n_classes`` relation classes."""
-    bad = (label < 0) | (label > n_classes) | (label == BLIND_LABEL)
+    bad = label.isNull() | (label < 0) | (label > n_classes) | (label == BLIND_LABEL)
     return F.when(
-        bad, F.raise_error(F.concat(F.lit("label outside target width: "), label.cast("string"))).cast("int")
+        bad, F.raise_error(
+            F.concat(F.lit("label outside target width: "), F.coalesce(label.cast("string"), F.lit("NULL")))
+        ).cast("int")
     ).otherwise(label)
 
 
@@ -61,9 +63,11 @@ def soft_target(df: DataFrame, n_classes: int = 41, label_col: str = "label") ->
 
 def smoothed_target_vector(label: Column, n_classes: int, epsilon: float) -> Column:
     """``(1 - eps) * one_hot(label) + eps / n_classes`` over ``n_classes`` entries."""
-    bad = (label < 0) | (label >= n_classes)
+    bad = label.isNull() | (label < 0) | (label >= n_classes)
     lab = F.when(
-        bad, F.raise_error(F.concat(F.lit("label outside target width: "), label.cast("string"))).cast("int")
+        bad, F.raise_error(
+            F.concat(F.lit("label outside target width: "), F.coalesce(label.cast("string"), F.lit("NULL")))
+        ).cast("int")
     ).otherwise(label)
     base = F.lit(epsilon / n_classes)
     return F.transform(

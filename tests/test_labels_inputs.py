@@ -178,3 +178,18 @@ def test_compact_scoring_equals_row_scoring(spark):
     a = sorted((r.example_id, r.variant, tuple(r.scores)) for r in row.collect())
     b = sorted((r.example_id, r.variant, tuple(r.scores)) for r in cmp.collect())
     assert a == b and len(a) == ex.count() * 48
+
+
+def test_null_inputs_raise(spark):
+    raw = raw_rows(spark, [(0, "a b", "a", None, 0, "b", 2, 2, "blind")])
+    with pytest.raises(Exception, match="missing or negative e1_s"):
+        examples.mark_entities(raw, small_dim(spark)).collect()
+    tagged = spark.createDataFrame(
+        [(0, "s", "x", "y", None)], "example_id long, sentence string, entity_01 string, entity_02 string, label int"
+    )
+    with pytest.raises(Exception, match="null label"):
+        examples.project_tagged(tagged).collect()
+    with pytest.raises(Exception, match="outside target width"):
+        targets.soft_target(tagged, 41).collect()
+    with pytest.raises(Exception, match="outside target width"):
+        targets.smoothed_target(tagged, 42).collect()
