@@ -231,6 +231,25 @@ def run_name(logging_dir: str = "logging_dir", suffix: str = "_2"):
     return F.concat(F.element_at(F.split(F.col(logging_dir), "/"), -1), F.lit(suffix))
 
 
+def save_bucketed(
+    df: DataFrame, table: str, n_buckets: int, key: str = "example_id", mode: str = "errorifexists"
+) -> None:
+    """Persist a keyed table (``SCORES``, ``ANSWER``, predictions) bucketed and sorted by
+    ``key``.
+
+    Tables bucketed on the same key with the same bucket count are read co-partitioned: the
+    votes (grouped by ``example_id``) and the alignment join between scores and answers then
+    run without any shuffle, and several decoders can reuse one stored copy of the scores.
+    """
+    (
+        df.write.mode(mode)
+        .format("parquet")
+        .bucketBy(n_buckets, key)
+        .sortBy(key)
+        .saveAsTable(table)
+    )
+
+
 def write_predictions(
     predictions: DataFrame,
     path: str,

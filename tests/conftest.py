@@ -11,9 +11,14 @@ SF_SMALL = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
+    import tempfile
+
     from relspark.session import build_session
 
-    s = build_session("local[4]", 8, app_name="relspark-tests")
+    warehouse = tempfile.mkdtemp(prefix="relspark-warehouse-")
+    s = build_session(
+        "local[4]", 8, app_name="relspark-tests", extra={"spark.sql.warehouse.dir": warehouse}
+    )
     yield s
     s.stop()
 

@@ -187,3 +187,26 @@ def test_targets(spark):
     assert abs(sm[1][1] - (0.5 + 0.5 / 42)) < 1e-12 and abs(sum(sm[1]) - 1) < 1e-12
     vt = targets.variant_target(df).collect()
     assert len(vt) == 6 and {r.variant for r in vt} == {0, 1}
+
+
+def test_bucketed_scores_and_answers_need_no_shuffle(spark, tmp_dir):
+    from relspark.sources import files
+
+    spark.sql("DROP TABLE IF EXISTS scores_b")
+    spark.sql("DROP TABLE IF EXISTS answers_b")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        files.save_bucketed(fx.rel_scores(spark, SF_SMALL), "scores_b", 4)
+        files.save_bucketed(fx.rel_answers(spark, SF_SMALL), "answers_b", 4)
+        vote = decode.ensemble_soft_vote(spark.table("scores_b"), expected_models=4, width=10)
+        acc = metrics.accuracy(vote, spark.table("answers_b"))
+        plan = physical_plan(acc)
+        assert "Exchange hashpartitioning" not in plan
+        direct = metrics.accuracy(
+            decode.ensemble_soft_vote(fx.rel_scores(spark, SF_SMALL), 4, width=10), fx.rel_answers(spark, SF_SMALL)
+        )
+        assert acc.first() == direct.first()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql("DROP TABLE IF EXISTS scores_b")
+        spark.sql("DROP TABLE IF EXISTS answers_b")
