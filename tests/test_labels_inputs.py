@@ -193,3 +193,14 @@ def test_null_inputs_raise(spark):
         targets.soft_target(tagged, 41).collect()
     with pytest.raises(Exception, match="outside target width"):
         targets.smoothed_target(tagged, 42).collect()
+
+
+def test_whitespace_tokens_match_regex_split(spark):
+    import re
+
+    texts = ["", "   ", "a", " a  b\tc\n\nd \x0be\ff\r\ng  ", "x\u00a0y z", "\ttab lead", "trail \n"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = [r.tok for r in df.select(inputs.whitespace_tokens(F.col("t")).alias("tok")).collect()]
+    want = [[w for w in re.split("[ \t\n\x0b\f\r]+", t) if w] for t in texts]
+    assert got == want
+    assert got[3] == ["a", "b", "c", "d", "e", "f", "g"]
