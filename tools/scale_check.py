@@ -26,8 +26,11 @@ def build_copy(spark, n: int, out: str) -> None:
     span = 10_000_000
     for name, key in [("documents", "doc_id"), ("labels", "doc_id"), ("embeddings", "vec_id")]:
         df = spark.read.parquet(f"{SRC}/{name}.parquet")
-        copies = spark.range(n).withColumnRenamed("id", "__copy")
-        big = df.crossJoin(F.broadcast(copies)).withColumn(key, F.col(key) + F.col("__copy") * span).drop("__copy")
+        big = (
+            df.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+            .withColumn(key, F.col(key) + F.col("__copy") * span)
+            .drop("__copy")
+        )
         big.repartition(max(8, n)).write.parquet(f"{out}/{name}.parquet")
     for name in ["nation", "region"]:
         spark.read.parquet(f"{SRC}/{name}.parquet").write.parquet(f"{out}/{name}.parquet")
