@@ -259,20 +259,14 @@ CLS_TOKEN = "[CLS]"
 PAD_TOKEN = "[PAD]"
 
 
-# whitespace characters of the tokenizer: space, tab, line feed, vertical tab, form feed, CR
-_OTHER_WHITESPACE = "\t\n\x0b\f\r"
-
-
 def whitespace_tokens(text: Column) -> Column:
     """Tokens of ``text`` split on runs of whitespace (empty text -> empty array).
 
-    The other whitespace characters are mapped to spaces with ``translate`` (a character
-    map, no regex) and the text is split on a single space, which takes the JVM's non-regex
-    split path; the empty tokens that runs of spaces leave are dropped by ``array_remove``
-    without a per-token lambda.  Same tokens as a regex split on runs of whitespace.
+    A split on whitespace runs leaves an empty token only at either end (leading or trailing
+    whitespace, or empty text); ``array_remove`` drops it without a per-token lambda.
+    (Measured against a character map plus a single-space split: no faster.)
     """
-    spaced = F.translate(text, _OTHER_WHITESPACE, " " * len(_OTHER_WHITESPACE))
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(text, r"\s+"), "")
 
 
 def truncated_lengths(la: Column, lb: Column, budget: Column) -> tuple[Column, Column]:
