@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scores import argmax, as_double_array, sigmoid, softmax
+from ..functions.scores import argmax, as_double_array, let, sigmoid, softmax
 
 # fixed values: default decision threshold of the no-relation-free decoder
 EXCEPT0_THRESHOLD = 0.6
@@ -250,3 +250,49 @@ def hypothesis_rollup(
         F.coalesce(F.col("__guard").cast("int"), pred.cast("int")).alias("pred"),
         best["m"].alias("score"),
     )
+
+
+def hypothesis_rollup_compact(
+    scores: DataFrame,
+    n_labels: int,
+    threshold: float = 0.5,
+    from_logits: bool = True,
+    scores_col: str = "scores",
+) -> DataFrame:
+    """:func:`hypothesis_rollup` for one row per example whose ``scores`` holds the 2-wide
+    score vectors of all ``2*(n_labels-1)`` hypotheses in variant order.
+
+    Everything is per row (higher-order functions over the score array): no explode, no
+    aggregation and no shuffle.  Same arithmetic as the grouped form: the mean of the two
+    "yes" probabilities of each relation, the best relation, ties to the smallest id.
+    """
+    n_rel = n_labels - 1
+    n_hyp = 2 * n_rel
+    arr = F.col(scores_col).cast("array<array<double>>")
+    shape_ok = (F.size(arr) == F.lit(n_hyp)) & F.aggregate(
+        arr, F.lit(True), lambda acc, s: acc & (F.size(s) == F.lit(2))
+    )
+    guard = F.when(
+        ~shape_ok,
+        F.raise_error(F.lit(f"expected {n_hyp} two-wide hypothesis score vectors per example")),
+    )
+
+    def yes(s):
+        return F.element_at(softmax(s) if from_logits else s, 2)
+
+    best = let(
+        F.transform(arr, yes),
+        lambda p: F.array_max(
+            F.transform(
+                F.sequence(F.lit(0), F.lit(n_rel - 1)),
+                lambda j: F.struct(((p[j * 2] + p[j * 2 + 1]) / 2).alias("m"), (-j).alias("neg")),
+            )
+        ),
+    )
+    keys = [F.col(c) for c in ("example_id", "model_id") if c in scores.columns]
+    voted = scores.select(*keys, guard.alias("__guard"), best.alias("__best"))
+    b = F.col("__best")
+    pred = F.when(b["m"] < F.lit(threshold), F.lit(0)).otherwise(-b["neg"] + 1)
+    return voted.select(
+        *keys, F.coalesce(F.col("__guard").cast("int"), pred.cast("int")).alias("pred"), b["m"].alias("score")
+    )

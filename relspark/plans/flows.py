@@ -86,17 +86,20 @@ def score_hypotheses(
 ) -> DataFrame:
     """Hypothesis statements, scoring and roll-up to one relation per example as one plan.
 
-    The compact form sends each sentence to the scorer once with its 2*(K-1) statements;
-    the only shuffle is the fixed-width roll-up aggregate.
+    The compact form sends each sentence to the scorer once with its 2*(K-1) statements,
+    and the scores of one example come back in one row, so the roll-up is a per-row
+    expression: the whole pipeline runs without a shuffle.
     """
     from ..operators.jobs import score_statement_batches
     from ..operators.labels import label_stats
 
     compact = inputs.hypothesis_statements(ex, dim, **kw)
     scores = score_statement_batches(
-        compact, score_fn, load_fn=load_fn, model_id=model_id, batch_size=batch_size
+        compact, score_fn, load_fn=load_fn, model_id=model_id, batch_size=batch_size, explode=False
+    )
+    return decode.hypothesis_rollup_compact(
+        scores, n_labels=label_stats(dim).n_labels, threshold=threshold
     )
-    return decode.hypothesis_rollup(scores, n_labels=label_stats(dim).n_labels, threshold=threshold)
 
 
 def evaluate(predictions: DataFrame, answers: DataFrame, **kw) -> DataFrame:

@@ -210,3 +210,16 @@ def test_bucketed_scores_and_answers_need_no_shuffle(spark, tmp_dir):
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.sql("DROP TABLE IF EXISTS scores_b")
         spark.sql("DROP TABLE IF EXISTS answers_b")
+
+
+def test_compact_rollup_equals_grouped_rollup(spark):
+    s = fx.rel_hypothesis_scores(spark, SF_SMALL)
+    grouped = {r.example_id: (r.pred, r.score) for r in decode.hypothesis_rollup(s, n_labels=17).collect()}
+    compact_in = s.groupBy("example_id", "model_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("variant", "scores"))), lambda x: x["scores"]).alias("scores")
+    )
+    compact = {r.example_id: (r.pred, r.score) for r in decode.hypothesis_rollup_compact(compact_in, n_labels=17).collect()}
+    assert compact == grouped
+    bad = compact_in.select("example_id", F.slice("scores", 1, 5).alias("scores"))
+    with pytest.raises(Exception, match="two-wide hypothesis score vectors"):
+        decode.hypothesis_rollup_compact(bad, n_labels=17).collect()
