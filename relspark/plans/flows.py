@@ -102,6 +102,15 @@ def score_hypotheses(
     )
 
 
+def evaluate_files(spark: SparkSession, pred_path: str, answer_path: str, **kw) -> DataFrame:
+    """Accuracy of a positional prediction file (column ``pred``) against a positional answer
+    file (column ``answer``): rows are aligned by their position, and files of different
+    length fail."""
+    preds = files.read_predictions(spark, pred_path, column="pred").select("example_id", "pred")
+    answers = files.read_predictions(spark, answer_path, column="answer").select("example_id", "answer")
+    return metrics.accuracy(preds, answers, **kw)
+
+
 def evaluate(predictions: DataFrame, answers: DataFrame, **kw) -> DataFrame:
     """Accuracy of keyed predictions against keyed answers."""
     return metrics.accuracy(predictions, answers, **kw)

@@ -194,7 +194,8 @@ def read_predictions(
     column: str = "pred",
     scope: str = "file",
 ) -> DataFrame:
-    """Header CSV prediction files with one column ``column`` -> ``(example_id, model_id, pred)``.
+    """Header CSV files with one integer column ``column`` (``pred`` or ``answer``) ->
+    ``(example_id, model_id, <column>)``.
 
     Several files (or folders) are read in one scan; ``model_id`` is the file name without
     extension (``scope='file'``) or the folder name (``scope='dir'``, multi-part outputs), and
@@ -207,7 +208,7 @@ def read_predictions(
         if scope == "dir"
         else F.regexp_replace(F.regexp_extract(F.col("__file"), r"([^/]+)$", 1), r"\.[^.]*$", "")
     )
-    return pos.select("example_id", name.alias("model_id"), F.col(column).alias("pred"))
+    return pos.select("example_id", name.alias("model_id"), F.col(column))
 
 
 def read_keyed_predictions(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:

@@ -46,3 +46,13 @@ def test_decode_scores_dispatch(spark):
     assert {r.pred for r in flows.decode_scores(s, "threshold_decode", threshold=0.5).collect()} == {2}
     with pytest.raises(ValueError):
         flows.decode_scores(s, "nope")
+
+
+def test_evaluate_positional_files(spark, tmp_path):
+    (tmp_path / "pred.csv").write_text("pred\n1\n2\n3\n4\n")
+    (tmp_path / "answer.csv").write_text("answer\n1\n2\n0\n4\n")
+    (tmp_path / "short.csv").write_text("answer\n1\n2\n")
+    r = flows.evaluate_files(spark, str(tmp_path / "pred.csv"), str(tmp_path / "answer.csv")).first()
+    assert r.accuracy == 0.75 and r.n == 4
+    with pytest.raises(Exception, match="differ in length"):
+        flows.evaluate_files(spark, str(tmp_path / "pred.csv"), str(tmp_path / "short.csv")).collect()
