@@ -56,3 +56,17 @@ def test_evaluate_positional_files(spark, tmp_path):
     assert r.accuracy == 0.75 and r.n == 4
     with pytest.raises(Exception, match="differ in length"):
         flows.evaluate_files(spark, str(tmp_path / "pred.csv"), str(tmp_path / "short.csv")).collect()
+
+
+def test_score_batches_rectangular_and_ragged(spark):
+    import numpy as np
+
+    from relspark.operators import jobs
+
+    df = spark.range(0, 250).select(F.col("id").alias("example_id"), (F.col("id") % 7).cast("double").alias("x"))
+    rect = jobs.score_batches(df, lambda _, b: np.stack([b["x"].to_numpy(), -b["x"].to_numpy()], axis=1), ["x"])
+    got = {r.example_id: r.scores for r in rect.collect()}
+    assert len(got) == 250 and got[10] == [3.0, -3.0]
+    ragged = jobs.score_batches(df, lambda _, b: [[v] * (int(v) + 1) for v in b["x"]], ["x"], batch_size=7)
+    got = {r.example_id: r.scores for r in ragged.collect()}
+    assert got[3] == [3.0] * 4 and got[7] == [0.0]
