@@ -7,6 +7,8 @@ dimension, so it runs as one pipelined stage that streams the example side.
 
 from __future__ import annotations
 
+import weakref
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -176,6 +178,23 @@ def hypothesis_input(
 # Upper bound on relation labels inlined into a plan by :func:`hypothesis_statements`.
 MAX_INLINE_LABELS = 10_000
 
+_RELATION_NAMES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def _relation_names(dim: DataFrame) -> list[tuple[str, str]]:
+    """(subject, attribute) of relations 1..K-1 in id order; read once per dimension frame."""
+    if dim not in _RELATION_NAMES:
+        if not row_count_at_most(dim, MAX_INLINE_LABELS):
+            raise ValueError(f"more than {MAX_INLINE_LABELS} labels; use hypothesis_input")
+        rows = (
+            dim.filter(F.col("label_id") != NO_RELATION_ID)
+            .orderBy("label_id")
+            .select("subject_part", "attribute_part")
+            .collect()
+        )
+        _RELATION_NAMES[dim] = [(r["subject_part"], r["attribute_part"]) for r in rows]
+    return _RELATION_NAMES[dim]
+
 
 def hypothesis_statements(
     examples: DataFrame,
@@ -198,16 +217,9 @@ def hypothesis_statements(
         raise ValueError(
             f"label ids must be 0..{stats.n_labels - 1}; got {stats.min_id}..{stats.max_id}"
         )
-    if not row_count_at_most(dim, MAX_INLINE_LABELS):
-        raise ValueError(f"more than {MAX_INLINE_LABELS} labels; use hypothesis_input")
-    rel = (
-        dim.filter(F.col("label_id") != NO_RELATION_ID)
-        .orderBy("label_id")
-        .select("subject_part", "attribute_part")
-        .collect()
-    )
-    subj = F.array(*[F.lit(r["subject_part"]) for r in rel])
-    attr = F.array(*[F.lit(r["attribute_part"]) for r in rel])
+    rel = _relation_names(dim)
+    subj = F.array(*[F.lit(sp) for sp, _ in rel])
+    attr = F.array(*[F.lit(ap) for _, ap in rel])
     e1, e2, label = F.col("entity_01"), F.col("entity_02"), F.col("label")
     fwd, rev = templates
 
