@@ -296,3 +296,21 @@ def hypothesis_rollup_compact(
     return voted.select(
         *keys, F.coalesce(F.col("__guard").cast("int"), pred.cast("int")).alias("pred"), b["m"].alias("score")
     )
+
+
+def pair_soft_vote_compact(
+    scores: DataFrame, from_logits: bool = True, scores_col: str = "scores"
+) -> DataFrame:
+    """:func:`pair_soft_vote` for one row per example whose ``scores`` holds the score vectors
+    of its two question variants (in variant order): softmax each, average, argmax — per row,
+    no shuffle."""
+    arr = F.col(scores_col).cast("array<array<double>>")
+    shape_ok = (F.size(arr) == F.lit(2)) & (F.size(arr[0]) == F.size(arr[1]))
+    guard = F.when(~shape_ok, F.raise_error(F.lit("expected two equally wide score vectors per example")))
+    probs = F.transform(arr, lambda s: softmax(s) if from_logits else s)
+    mean = let(probs, lambda p: F.zip_with(p[0], p[1], lambda a, b: (a + b) / 2))
+    keys = [F.col(c) for c in ("example_id", "model_id") if c in scores.columns]
+    voted = scores.select(*keys, guard.alias("__guard"), mean.alias("probs"))
+    return voted.select(
+        *keys, F.coalesce(F.col("__guard").cast("int"), argmax("probs")).alias("pred"), "probs"
+    )

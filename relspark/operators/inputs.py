@@ -103,6 +103,26 @@ def two_sentence_input(
     )
 
 
+def two_sentence_statements(
+    examples: DataFrame,
+    template: str = TWO_SENTENCE_TEMPLATE,
+    max_length: int = MAX_LENGTH_TWO_SENTENCE,
+) -> DataFrame:
+    """Compact form of :func:`two_sentence_input`: one row per example with the sentence once
+    and ``statements`` = both questions (``struct<variant, text_pair>``), for scoring without
+    sending the sentence twice and voting without a shuffle."""
+    e1, e2 = F.col("entity_01"), F.col("entity_02")
+    return examples.select(
+        F.col("example_id"),
+        F.col("sentence").alias("text"),
+        F.lit(max_length).cast("int").alias("max_length"),
+        F.array(
+            F.struct(F.lit(0).alias("variant"), fill_template(template, e1, e2).alias("text_pair")),
+            F.struct(F.lit(1).alias("variant"), fill_template(template, e2, e1).alias("text_pair")),
+        ).alias("statements"),
+    )
+
+
 def _hypothesis_dim(dim: DataFrame, max_broadcast_rows: int) -> tuple[DataFrame, int]:
     stats = label_stats(dim)
     if not stats.contiguous:

@@ -102,6 +102,25 @@ def score_hypotheses(
     )
 
 
+def score_two_sentence(
+    ex: DataFrame,
+    score_fn: Callable,
+    load_fn: Callable | None = None,
+    model_id: str = "two_sentence",
+    batch_size: int = 32,
+    **kw,
+) -> DataFrame:
+    """Both questions of each example scored together (sentence sent once) and soft-voted per
+    row: the two-sentence inference as one plan without a shuffle."""
+    from ..operators.jobs import score_statement_batches
+
+    compact = inputs.two_sentence_statements(ex, **kw)
+    scores = score_statement_batches(
+        compact, score_fn, load_fn=load_fn, model_id=model_id, batch_size=batch_size, explode=False
+    )
+    return decode.pair_soft_vote_compact(scores)
+
+
 def evaluate_files(spark: SparkSession, pred_path: str, answer_path: str, **kw) -> DataFrame:
     """Accuracy of a positional prediction file (column ``pred``) against a positional answer
     file (column ``answer``): rows are aligned by their position, and files of different

@@ -315,3 +315,22 @@ SELECT example_id, CAST(CASE WHEN m < 0.5 THEN 0 ELSE label_id END AS INTEGER) A
   round(m, 6) AS score
 FROM best WHERE rn = 1"""
 ORACLE["write_predictions"] = ORACLE["align_predictions"]
+
+ORACLE["score_two_sentence"] = EX + f""",
+q AS (
+  SELECT example_id, 0 AS variant, printf('{TWO_SENTENCE_SQL}', entity_01, entity_02) AS tp FROM enc
+  UNION ALL
+  SELECT example_id, 1 AS variant, printf('{TWO_SENTENCE_SQL}', entity_02, entity_01) AS tp FROM enc),
+lg AS (
+  SELECT example_id, variant, c,
+    CASE c WHEN 0 THEN CAST(length(tp) % 5 AS DOUBLE) * CAST(0.3 AS DOUBLE)
+           WHEN 1 THEN CAST(length(tp) % 3 AS DOUBLE) * CAST(0.5 AS DOUBLE)
+           ELSE CAST(variant AS DOUBLE) * CAST(0.2 AS DOUBLE) END AS x
+  FROM q CROSS JOIN (VALUES (0), (1), (2)) AS cc(c)),
+mx AS (SELECT example_id, variant, c, x, max(x) OVER (PARTITION BY example_id, variant) AS m FROM lg),
+sm AS (SELECT example_id, variant, c,
+         exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY example_id, variant) AS p FROM mx),
+av AS (SELECT example_id, c, sum(p) / 2 AS p FROM sm GROUP BY example_id, c),
+best AS (SELECT example_id, c, p,
+           row_number() OVER (PARTITION BY example_id ORDER BY p DESC, c) AS rn FROM av)
+SELECT example_id, CAST(c AS INTEGER) AS pred, round(p, 6) AS score FROM best WHERE rn = 1"""

@@ -350,6 +350,21 @@ def q_score_hypotheses(spark, d):
     return r.select("example_id", "pred", F.round("score", 6).alias("score"))
 
 
+def fixture_question_scores(_model, batch: pd.DataFrame) -> np.ndarray:
+    """Deterministic three-way "model" of the fixture for the two-question style."""
+    n = batch["text_pair"].str.len().to_numpy()
+    v = batch["variant"].to_numpy().astype(np.float64)
+    return np.stack([(n % 5) * 0.3, (n % 3) * 0.5, v * 0.2], axis=1)
+
+
+def q_score_two_sentence(spark, d):
+    """Both questions of each example scored together and soft-voted per row."""
+    from .flows import score_two_sentence
+
+    r = score_two_sentence(_examples(spark, d), fixture_question_scores, template=ASCII_TWO_SENTENCE)
+    return r.select("example_id", "pred", F.round(F.array_max("probs"), 6).alias("score"))
+
+
 def q_train_linear_classifier(spark, d):
     ex = _examples(spark, d)
     train = inputs.pair_input(ex.filter(F.col("label") != 100)).join(
@@ -439,6 +454,7 @@ QUERIES: dict[str, Query] = {
     "bce_with_logits": q_bce_with_logits,
     "score_batches": q_score_batches,
     "score_hypotheses": q_score_hypotheses,
+    "score_two_sentence": q_score_two_sentence,
     "train_linear_classifier": q_train_linear_classifier,
     "read_raw_examples": q_read_raw_examples,
     "read_tagged_examples": q_read_tagged_examples,

@@ -70,3 +70,26 @@ def test_score_batches_rectangular_and_ragged(spark):
     ragged = jobs.score_batches(df, lambda _, b: [[v] * (int(v) + 1) for v in b["x"]], ["x"], batch_size=7)
     got = {r.example_id: r.scores for r in ragged.collect()}
     assert got[3] == [3.0] * 4 and got[7] == [0.0]
+
+
+def test_two_sentence_compact_equals_row_form(spark):
+    import numpy as np
+
+    from relspark.operators import inputs, jobs
+    from relspark.plans import fixtures as fx
+    from relspark.plans.registry import fixture_question_scores
+
+    d = "/root/testdata/sf0.001"
+    ex = flows.examples.project_examples(fx.rel_examples(spark, d), fx.rel_labels(spark, d))
+    row_scores = jobs.score_batches(inputs.two_sentence_input(ex), fixture_question_scores, ["text_pair", "variant"])
+    row = {r.example_id: r.pred for r in decode.pair_soft_vote(row_scores, width=3).collect()}
+    cmp = {r.example_id: r.pred for r in flows.score_two_sentence(ex, fixture_question_scores).collect()}
+    assert row == cmp and len(cmp) == ex.count()
+    plan = flows.score_two_sentence(ex, fixture_question_scores)
+    from relspark.plans.inspect import physical_plan
+
+    text = physical_plan(plan, "simple")
+    assert "HashAggregate" not in text and "Generate" not in text
+    bad = spark.createDataFrame([(0, [[1.0, 2.0]])], "example_id long, scores array<array<double>>")
+    with pytest.raises(Exception, match="two equally wide"):
+        decode.pair_soft_vote_compact(bad).collect()
