@@ -43,6 +43,7 @@ HEADLINE = [
     "bce_with_logits",
     "score_batches",
     "score_hypotheses",
+    "score_two_sentence",
 ]
 
 
