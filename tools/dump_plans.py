@@ -13,7 +13,7 @@ import sys
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
-NAMES = ["hypothesis_input", "hypothesis_statements", "score_hypotheses", "encode_label", "mark_entities", "tag_entities", "accuracy",
+NAMES = ["hypothesis_input", "hypothesis_statements", "score_hypotheses", "score_two_sentence", "encode_label", "mark_entities", "tag_entities", "accuracy",
          "hard_vote", "hypothesis_rollup", "read_raw_examples", "stack_predictions", "score_batches"]
 
 
