@@ -24,9 +24,13 @@ def spread_scan(df: DataFrame, key: str | None = None) -> DataFrame:
     is added at scale.  When it does apply, rows are placed by the key, which later keyed
     aggregations and joins on the same key reuse.
     """
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    # Planning only: the number of file splits of the scan, no job runs.
-    if df.rdd.getNumPartitions() >= slots:
+    try:
+        slots = df.sparkSession.sparkContext.defaultParallelism
+        # Planning only: the number of file splits of the scan, no job runs.
+        splits = df.rdd.getNumPartitions()
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan as is
+        return df
+    if splits >= slots:
         return df
     return df.repartition(slots, key) if key else df.repartition(slots)
 
