@@ -93,3 +93,30 @@ def test_two_sentence_compact_equals_row_form(spark):
     bad = spark.createDataFrame([(0, [[1.0, 2.0]])], "example_id long, scores array<array<double>>")
     with pytest.raises(Exception, match="two equally wide"):
         decode.pair_soft_vote_compact(bad).collect()
+
+
+def test_tag_entities_with_a_hot_entity(spark):
+    """One entity on a third of the rows: the tagger sees each distinct entity once, and every
+    row still gets its tags."""
+    import pandas as pd
+
+    from relspark.operators import jobs
+
+    n = 30000
+    ex = spark.range(0, n, 1, 12).select(
+        F.col("id").alias("example_id"),
+        F.lit("s").alias("sentence"),
+        F.when(F.col("id") % 3 == 0, F.lit("HOT")).otherwise(F.concat(F.lit("e"), F.col("id").cast("string"))).alias("entity_01"),
+        F.lit("tail").alias("entity_02"),
+    )
+    seen = spark.sparkContext.accumulator(0)
+
+    def tagger(s: pd.Series) -> pd.Series:
+        seen.add(len(s))
+        return s.str.slice(0, 1)
+
+    out = jobs.tag_entities(ex, pandas_tagger=tagger)
+    rows = out.groupBy("tag_01", "tag_02").count().collect()
+    assert {(r.tag_01, r.tag_02): r["count"] for r in rows} == {("H", "t"): n // 3, ("e", "t"): n - n // 3}
+    # distinct entities: HOT, tail and the 20000 others
+    assert seen.value == 2 + (n - n // 3)
