@@ -120,3 +120,20 @@ def test_tag_entities_with_a_hot_entity(spark):
     assert {(r.tag_01, r.tag_02): r["count"] for r in rows} == {("H", "t"): n // 3, ("e", "t"): n - n // 3}
     # distinct entities: HOT, tail and the 20000 others
     assert seen.value == 2 + (n - n // 3)
+
+
+def test_file_loaders(spark, tmp_path):
+    dim = labels.label_dimension(
+        spark.createDataFrame([(0, "none"), (1, "p:spouse")], "label_id int, label_name string")
+    )
+    raw = tmp_path / "raw.tsv"
+    raw.write_text("t\tAB met CD\tAB\t0\t1\tCD\t7\t8\tp:spouse\n")
+    marked = flows.load_marked_examples(spark, str(raw), dim).first()
+    assert marked.sentence == "[E1]AB[/E1] met [E2]CD[/E2]" and marked.label == 1
+    tagged = tmp_path / "tagged.csv"
+    tagged.write_text("tag,sentence,e1,e2,label\n0,AB met cd,AB,cd,1\n")
+    typed = flows.tagged_test_dataset(
+        spark, str(tagged), lambda c: F.when(c.rlike("^[A-Z]"), F.lit("ORG")).otherwise(F.lit("O"))
+    ).first()
+    assert typed.text == "[E1][E1-NER]ORG[E1-NER]AB[E1][E2][E2-NER]O[E2-NER]cd[E2]"
+    assert typed.text_pair == "AB met cd" and typed.max_length == 200
