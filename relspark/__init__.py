@@ -11,8 +11,9 @@ Layout
 ``relspark.functions``   Column -> Column helpers (score math, templates, span marking)
 ``relspark.operators``   DataFrame -> DataFrame operators (labels, inputs, targets, decoders, metrics, jobs)
 ``relspark.sources``     readers and writers (TSV/CSV examples, templates, configs, predictions)
-``relspark.plans``       join-strategy helpers, end-to-end compositions, fixture views
-``relspark.streaming``   stateless operators wired to Structured Streaming sources and sinks
+``relspark.plans``       size-checked broadcasts, end-to-end compositions (``flows``), fixture
+                        tables, registered queries and their SQL oracles, plan inspection
+``relspark.streaming``   per-row operators wired to Structured Streaming sources and sinks
 """
 
 __version__ = "0.1.0"
