@@ -25,7 +25,7 @@ def build_session(
     """A session with the settings every operator in this library is planned for.
 
     AQE stays on (coalescing small shuffle partitions and splitting skewed join partitions);
-    the UI is off; Arrow carries the ``mapInPandas`` batches.
+    the UI is off; Arrow carries the Python batches (``mapInArrow``).
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
