@@ -305,3 +305,20 @@ def test_streaming_input_builder(spark, tmp_dir):
     q.awaitTermination(120)
     got = {r.example_id: (r.text, r.text_pair) for r in spark.read.parquet(f"{tmp_dir}/ex_out").collect()}
     assert got == {10: ("A[SEP]B", "A met B"), 11: ("C[SEP]D", "C saw D")}
+
+
+def test_row_position_per_file_with_many_splits_each(spark, tmp_dir):
+    paths = []
+    for k, n in enumerate([7000, 3000, 5000]):
+        lines = [f"f{k}r{i}\ts {i}\ta\t0\t0\tb\t2\t2\tblind" for i in range(n)]
+        paths.append(write(f"{tmp_dir}/multi/part{k}.tsv", "\n".join(lines) + "\n"))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        df = files.read_raw_examples(spark, f"{tmp_dir}/multi")
+        assert df.rdd.getNumPartitions() > 6
+        rows = df.select("example_id", "row_tag").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(rows) == 15000
+    assert all(r.row_tag.split("r")[1] == str(r.example_id) for r in rows)
