@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspark.llm import decontaminate
-from relspark.llm.common import table
+from relspark.llm import decontaminate, fixity, sharding
+from relspark.llm.common import stored, table
 
 
 def q_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +14,36 @@ def q_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def q_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Law ``rows``: shard row counts differ by one at most."""
+    out = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def q_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two replicas of the pages' WARC archives, the second with altered, cut and lost records
+    (by fixed rules on the page id), audited; one row for each record found to differ."""
+    pages = table(spark, sf_dir, "pages")
+    half = F.floor(F.length("html") / 2).cast("int")
+    altered = F.concat(F.substring("html", F.lit(1), half), F.lit("~"), F.substring("html", half + 2, F.length("html")))
+    html = F.when(F.pmod("page_id", F.lit(101)) == 7, altered).when(F.pmod("page_id", F.lit(103)) == 11, F.substring("html", F.lit(1), half)).otherwise(F.col("html"))
+    lost = F.coalesce(F.pmod("page_id", F.lit(107)) == 13, F.lit(False))
+    archive = F.coalesce(F.floor(F.col("page_id") / fixity.RECORDS_PER_ARCHIVE), F.lit(-1)).cast("long")
+    content = [fixity.warc_bytes("resource", F.col("url"), F.col("page_id"), x) for x in (F.col("html"), html)]
+    records = pages.select(
+        archive.alias("archive"), F.col("page_id").alias("record_id"), lost.alias("lost"),
+        *fixity.sealed(content[0]), *fixity.sealed(content[1], "_kept"),
+    )
+    both = stored(spark, fixity.with_offsets(records), "replicas")
+    left = both.select("archive", "record_id", "offset", "length", "digest")
+    right = both.where("not lost").select("archive", "record_id", "offset", F.col("length_kept").alias("length"), F.col("digest_kept").alias("digest"))
+    return fixity.audit(left, right)
+
+
 QUERIES = {
+    "op6_sharding": q_sharding,
     "op8_decontamination": q_decontamination,
+    "op10_fixity": q_fixity,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -36,4 +64,27 @@ SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_item
        sha256(coalesce(items, '')) AS items_sha256,
        coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
 FROM d LEFT JOIN pos USING (doc_id) LEFT JOIN it USING (doc_id)""",
+    "op10_fixity": r"""
+WITH r AS (
+  SELECT coalesce(floor(page_id / 1024), -1)::BIGINT AS archive, page_id, url, coalesce(html, '') AS a,
+         CASE WHEN ((page_id % 101) + 101) % 101 = 7 THEN substr(html, 1, (length(html) // 2)) || '~' || substr(html, (length(html) // 2 + 2))
+              WHEN ((page_id % 103) + 103) % 103 = 11 THEN substr(html, 1, (length(html) // 2))
+              ELSE html END AS b,
+         coalesce(((page_id % 107) + 107) % 107 = 13, false) AS lost
+  FROM pages),
+w AS (
+  SELECT archive, page_id, lost, coalesce(b, '') AS b, url, a,
+    replace('WARC/1.0|WARC-Type: resource|WARC-Record-ID: <urn:page:', '|', chr(13) || chr(10)) || coalesce(page_id::VARCHAR, '')
+      || replace('>|WARC-Date: 2000-01-01T00:00:00Z|WARC-Target-URI: ', '|', chr(13) || chr(10)) || coalesce(url, '')
+      || replace('|Content-Type: text/html|Content-Length: ', '|', chr(13) || chr(10)) AS head,
+    chr(13) || chr(10) || chr(13) || chr(10) AS gap FROM r),
+s AS (
+  SELECT archive, page_id, lost, head || strlen(a) || gap || a || gap AS ca, head || strlen(b) || gap || b || gap AS cb FROM w),
+h AS (
+  SELECT archive, page_id, lost, sha256(ca) AS da, sha256(cb) AS db, strlen(ca) AS n, strlen(cb) AS nb FROM s),
+o AS (
+  SELECT *, (sum(n) OVER (PARTITION BY archive ORDER BY page_id, da ROWS UNBOUNDED PRECEDING) - n)::BIGINT AS "offset" FROM h)
+SELECT archive, page_id AS record_id, "offset", CASE WHEN lost THEN 'lost' ELSE 'changed' END AS state,
+       da AS digest_left, CASE WHEN NOT lost THEN db END AS digest_right
+FROM o WHERE lost OR da <> db""",
 }
