@@ -109,12 +109,12 @@ def word_bounds(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of every word, A-Z lower-cased: eight bytes at a time, each chunk mixed
+def word_hashes(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = True) -> np.ndarray:
+    """A 64-bit hash of every word, A-Z lower-cased unless told otherwise: eight bytes at a time, each chunk mixed
     into the state of its word, so only the bytes of the words decide."""
     if not len(starts):
         return np.zeros(0, np.uint64)
-    low = np.concatenate([TO_LOWER[flat], np.zeros(8, np.uint8)])
+    low = np.concatenate([TO_LOWER[flat] if lower else flat, np.zeros(8, np.uint8)])
     # the little-endian 8-byte word that begins at each needed byte
     length = ends - starts
     state = mix64(length.astype(np.uint64) * _MULT + np.uint64(1))
@@ -154,7 +154,8 @@ def batch_rows(batch: pa.RecordBatch, max_bytes: int, text: str = "text"):
     """Slices of a batch that hold at most ``max_bytes`` of text each (one row at least), so
     the numpy arrays over a slice are bounded whatever the session's batch size is."""
     col = batch.column(batch.schema.get_field_index(text))
-    size = np.frombuffer(pa.compute.binary_length(col).fill_null(0).cast(pa.int64()).buffers()[1], np.int64)[: len(col)]
+    size = col if pa.types.is_integer(col.type) else pa.compute.binary_length(col)  # or a column of sizes
+    size = size.fill_null(0).to_numpy(zero_copy_only=False)
     begin, total = 0, 0
     for i, n in enumerate(size):
         if total and total + n > max_bytes:

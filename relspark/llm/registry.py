@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspark.llm import decontaminate, fixity, sharding
+from relspark.llm import decontaminate, fixity, sharding, tokens
 from relspark.llm.common import stored, table
 
 
@@ -20,6 +20,17 @@ def q_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def q_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.encode(table(spark, sf_dir, "documents"), vocabulary_path(), digests=True)
+
+
+def vocabulary_path() -> str:
+    """The byte-level vocabulary file of the public tokenizers that the machines carry."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def q_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two replicas of the pages' WARC archives, the second with altered, cut and lost records
     (by fixed rules on the page id), audited; one row for each record found to differ."""
@@ -42,6 +53,7 @@ def q_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op6_sharding": q_sharding,
+    "op7_tokens": q_tokens,
     "op8_decontamination": q_decontamination,
     "op10_fixity": q_fixity,
 }
