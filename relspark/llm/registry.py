@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspark.llm import decontaminate, fixity, secret_scan, sharding, tokens
+from relspark.llm import decontaminate, fixity, near_dups, secret_scan, sharding, tokens
 from relspark.llm.common import stored, table
 
 
@@ -14,6 +14,10 @@ def q_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def q_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def q_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def q_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_near_dups": q_near_dups,
     "op4_secrets": q_secrets,
     "op6_sharding": q_sharding,
     "op7_tokens": q_tokens,
