@@ -47,6 +47,15 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(store(spark, df, name))
 
 
+def bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` as a table below the shared checkpoint folder, bucketed by ``key``: later groupings and
+    joins on ``key`` read it without a shuffle."""
+    path = scratch_path(spark, name)
+    named = path.rstrip("/").rpartition("/")[2].replace("-", "_")
+    df.write.bucketBy(buckets, key).option("path", path).option("compression", "zstd").saveAsTable(named)
+    return spark.table(named)
+
+
 BROADCAST_BYTES = 64 << 20
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from relspark.llm.common import batch_rows, store, text_bytes, word_hashes
+from relspark.llm.common import batch_rows, bucketed, text_bytes, word_hashes
 
 BLOCK_BYTES = 16 << 20  # text bytes of a block
 WORDS_PER_BUCKET = 400_000
@@ -121,17 +121,25 @@ def split_words(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
     )
 
 
-def _pack(numbers: np.ndarray) -> bytes:
-    """Little-endian 32-bit numbers, byte plane by byte plane, compressed."""
+def _press(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=3).compress(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
-def _unpack(data: bytes) -> np.ndarray:
+def _expand(data: bytes) -> bytes:
     import zstandard
 
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8).reshape(4, -1)
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _pack(numbers: np.ndarray) -> bytes:
+    """Little-endian 32-bit numbers, byte plane by byte plane, compressed."""
+    return _press(numbers.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes())
+
+
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(_expand(data), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<i4").ravel()
 
 
@@ -139,23 +147,32 @@ def _blocks(path: str, buckets: int, key_type: pa.DataType):
     """mapInArrow function: documents to blocks, each a dictionary of distinct words dealt to
     ``buckets`` and the documents as numbers into it."""
     chunk_words = 1 << 18
-    schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("first", pa.int32()), ("words", pa.list_(pa.string())),
-                        ("keys", pa.list_(key_type)), ("counts", pa.list_(pa.int32())), ("numbers", pa.binary())])
+    schema = pa.schema([("kind", pa.string()), ("block", pa.int64()), ("bucket", pa.int32()), ("numbers", pa.binary()), ("sizes", pa.binary()), ("words", pa.binary()),
+                        ("keys", pa.list_(key_type)), ("counts", pa.list_(pa.int32()))])
+
+    def row(**values):
+        arrays = [pa.array([values.get(f.name)], f.type) if not isinstance(values.get(f.name), pa.Array) else
+                  pa.ListArray.from_arrays(pa.array([0, len(values[f.name])], pa.int32()), values[f.name]) for f in schema]
+        return pa.RecordBatch.from_arrays(arrays, schema=schema)
 
     def flush(block: int, keys, counts, flats):
         flat = pa.concat_arrays(flats) if flats else pa.array([], pa.string())
         coded = flat.dictionary_encode()
-        number = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        words = coded.dictionary.cast(pa.string())
-        data, at = text_bytes(words)
+        number = coded.indices.to_numpy(zero_copy_only=False)
+        data, at = text_bytes(coded.dictionary.cast(pa.string()))
+        size = np.diff(at)
         bucket = (word_hashes(data, at[:-1], at[1:], lower=False) % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        # frequent words get small numbers, which compress well
+        by_count = np.argsort(-np.bincount(number, minlength=len(size)), kind="stable")
+        rank = np.empty(len(size), np.int64)
+        rank[by_count] = np.arange(len(size))
+        order = by_count[np.argsort(bucket[by_count], kind="stable")]
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        sorted_words = words.take(pa.array(order))
-        rows = [{"kind": "words", "block": block, "bucket": b, "first": int(cut[b]), "words": sorted_words[cut[b] : cut[b + 1]]}
-                for b in range(buckets) if cut[b] < cut[b + 1]]
+        for b in range(buckets):
+            mine = order[cut[b] : cut[b + 1]]
+            if len(mine):
+                take = np.repeat(at[:-1][mine] - np.concatenate([[0], np.cumsum(size[mine])[:-1]]), size[mine]) + np.arange(size[mine].sum())
+                yield row(kind="words", block=block, bucket=b, numbers=_pack(np.diff(rank[mine], prepend=0)), sizes=_pack(size[mine]), words=_press(data[take].tobytes()))
         count = np.concatenate(counts)
         ends = np.cumsum(count)
         all_keys = pa.concat_arrays(keys)
@@ -163,11 +180,8 @@ def _blocks(path: str, buckets: int, key_type: pa.DataType):
         while i < len(count):  # about chunk_words words to a row
             begin = ends[i] - count[i]
             j = max(i + 1, int(np.searchsorted(ends, begin + chunk_words)))
-            rows.append({"kind": "docs", "block": block, "keys": all_keys[i:j], "counts": count[i:j],
-                         "numbers": _pack(place[number[begin : ends[j - 1]]])})
+            yield row(kind="docs", block=block, keys=all_keys[i:j], counts=pa.array(count[i:j], pa.int32()), numbers=_pack(rank[number[begin : ends[j - 1]]]))
             i = j
-        for r in rows:
-            yield pa.RecordBatch.from_pylist([{k: (v.to_pylist() if isinstance(v, pa.Array) else v.tolist() if isinstance(v, np.ndarray) else v) for k, v in r.items()}], schema)
 
     def run(batches):
         from pyspark import TaskContext
@@ -199,28 +213,38 @@ def _encode_bucket(path: str):
 
     def run(table: pa.Table) -> pa.Table:
         vocab = vocabulary(path)
-        lists = table.column("words").combine_chunks()
-        coded = lists.flatten().dictionary_encode()
+        sizes = [_unpack(x) for x in table.column("sizes").to_pylist()]
+        data = b"".join(_expand(x) for x in table.column("words").to_pylist())
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+        coded = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends), pa.py_buffer(data)).dictionary_encode()
         words, ids = coded.dictionary.to_pylist(), []
         for i in range(0, len(words), 4096):
             ids += [",".join(map(str, x)) for x in vocab.encode_words(words[i : i + 4096])]
-        at = np.concatenate([[0], np.cumsum(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False))]).astype(np.int64)
         took = pa.array(ids, pa.string()).take(coded.indices).to_pylist()
+        at = np.concatenate([[0], np.cumsum([len(x) for x in sizes])]).tolist()
         packed = [" ".join(took[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.table({"block": table.column("block"), "first": table.column("first"), "vocab": pa.array([0] * len(packed), pa.int32()), "ids": pa.array(packed, pa.string())})
+        return pa.table({"block": table.column("block"), "numbers": table.column("numbers"), "vocab": pa.array([0] * len(packed), pa.int32()), "ids": pa.array(packed, pa.string())})
 
     return run
 
 
+def _pressed(batches):
+    """Word strings compressed for the way back to their block."""
+    for b in batches:
+        yield pa.RecordBatch.from_arrays(
+            [b.column("block"), b.column("numbers"), *(pa.array([_press(x.encode()) for x in b.column(c).to_pylist()], pa.binary()) for c in ("ids", "pieces"))],
+            ["block", "numbers", "ids", "pieces"])
+
+
 def _assemble(key_type: pa.DataType, digests: bool):
     """Cogrouped function over one block: ids and pieces put back by position."""
     letter_byte = np.zeros(512, np.uint8)
     for b, c in enumerate(byte_letters()):
         letter_byte[ord(c)] = b
 
-    def words_of(packed: list[str]) -> list[bytes]:
+    def words_of(packed: str) -> list[bytes]:
         """The words of space-joined byte letters, as bytes."""
-        points = np.frombuffer(" ".join(packed).encode("utf-32-le"), np.uint32)
+        points = np.frombuffer(packed.encode("utf-32-le"), np.uint32)
         gap = points == 32
         data = letter_byte[points[~gap]].tobytes()
         cut = np.flatnonzero(gap) - np.arange(gap.sum())
@@ -228,11 +252,11 @@ def _assemble(key_type: pa.DataType, digests: bool):
         return [data[a:b] for a, b in zip([0] + ends[:-1], ends, strict=True)]
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        found = found.sort_by("first")
-        if len(found):
-            ids = np.array(" ".join(found.column("ids").to_pylist()).split(" "), dtype=object)
-            pieces = np.array([*words_of(found.column("pieces").to_pylist()), b""], dtype=object)[:-1]
-            n_ids = np.fromiter((x.count(",") + 1 for x in ids), np.int64, len(ids))
+        rank = np.concatenate([np.cumsum(_unpack(x)) for x in found.column("numbers").to_pylist()] or [np.zeros(0, np.int64)])
+        ids, pieces = np.empty(len(rank), object), np.empty(len(rank), object)
+        ids[rank] = [w for x in found.column("ids").to_pylist() for w in _expand(x).decode().split(" ")]
+        pieces[rank] = [w for x in found.column("pieces").to_pylist() for w in words_of(_expand(x).decode())]
+        n_ids = np.fromiter((x.count(",") + 1 for x in ids), np.int64, len(ids))
         keys, out = [], []
         for k, counts, numbers in zip(docs.column("keys").to_pylist(), docs.column("counts").to_pylist(), docs.column("numbers").to_pylist(), strict=True):
             number, at = _unpack(numbers), 0
@@ -259,7 +283,7 @@ def with_pieces(rows: DataFrame, path: str) -> DataFrame:
     table = piece_table(rows.sparkSession, path)
     word = lambda w: F.array_join(F.transform(F.split(w, ","), lambda i: F.get("pieces", i.cast("int"))), "")
     joined = rows.join(F.broadcast(table), "vocab")  # a vocabulary file: fixed size
-    return joined.select("block", "first", "ids", F.array_join(F.transform(F.split("ids", " "), word), " ").alias("pieces"))
+    return joined.select("block", "numbers", "ids", F.array_join(F.transform(F.split("ids", " "), word), " ").alias("pieces"))
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", digests: bool = False) -> DataFrame:
@@ -271,15 +295,16 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", digests: bool = Fals
     # a bucket gets about WORDS_PER_BUCKET dictionary words, whatever the corpus' size
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(8, total // (BLOCK_BYTES // 2) // (WORDS_PER_BUCKET // 200_000) + 1)
-    schema = f"kind string, block long, bucket int, first int, words array<string>, keys array<{key_sql}>, counts array<int>, numbers binary"
+    schema = f"kind string, block long, bucket int, numbers binary, sizes binary, words binary, keys array<{key_sql}>, counts array<int>"
     blocks = split_words(docs, path, key).mapInArrow(_blocks(path, buckets, key_type), schema)
-    at = store(spark, blocks, "word-blocks", partition_by="kind")
-    kept = spark.read.schema(schema).parquet(at)
-    words = kept.where("kind = 'words'").select("block", "bucket", "first", "words")
-    coded = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block long, first int, vocab int, ids string")
+    # bucketed by block: the documents are not shuffled again when their ids come back
+    kept = bucketed(spark, blocks, "word_blocks", "block", max(8, total // BLOCK_BYTES))
+    words = kept.where("kind = 'words'").select("block", "bucket", "numbers", "sizes", "words")
+    coded = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block long, numbers binary, vocab int, ids string")
+    back = with_pieces(coded, path).mapInArrow(_pressed, "block long, numbers binary, ids binary, pieces binary")
     numbered = kept.where("kind = 'docs'").select("block", "keys", "counts", "numbers")
     names = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    out = numbered.groupBy("block").cogroup(with_pieces(coded, path).groupBy("block")).applyInArrow(_assemble(key_type, digests), f"key {key_sql}, {names}")
+    out = numbered.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_assemble(key_type, digests), f"key {key_sql}, {names}")
     return out.withColumnRenamed("key", key)
 
 
