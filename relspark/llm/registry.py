@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspark.llm import decontaminate, fixity, near_dups, secret_scan, sharding, tokens
+from relspark.llm import decontaminate, fixity, near_dups, quality, secret_scan, sharding, tokens
 from relspark.llm.common import stored, table
 
 
@@ -18,6 +18,12 @@ def q_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dups.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    weights = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, weights).select("doc_id", "held_out", "score", "predicted")
+
+
 def q_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -61,6 +67,7 @@ def q_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_near_dups": q_near_dups,
+    "op2_quality": q_quality,
     "op4_secrets": q_secrets,
     "op6_sharding": q_sharding,
     "op7_tokens": q_tokens,
