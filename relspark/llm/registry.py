@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspark.llm import decontaminate, fixity, near_dups, quality, secret_scan, sharding, tokens
+from relspark.llm import decontaminate, fixity, html_text, near_dups, quality, secret_scan, sharding, tokens
 from relspark.llm.common import stored, table
 
 
@@ -24,6 +24,11 @@ def q_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, weights).select("doc_id", "held_out", "score", "predicted")
 
 
+def q_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return html_text.extract(pages, html_text.fit(pages))
+
+
 def q_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
@@ -68,6 +73,7 @@ def q_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_near_dups": q_near_dups,
     "op2_quality": q_quality,
+    "op3_html_text": q_html_text,
     "op4_secrets": q_secrets,
     "op6_sharding": q_sharding,
     "op7_tokens": q_tokens,
@@ -116,4 +122,10 @@ o AS (
 SELECT archive, page_id AS record_id, "offset", CASE WHEN lost THEN 'lost' ELSE 'changed' END AS state,
        da AS digest_left, CASE WHEN NOT lost THEN db END AS digest_right
 FROM o WHERE lost OR da <> db""",
+    "op3_html_text": r"""
+WITH a AS (SELECT page_id, url, coalesce(regexp_extract(html, '(?s)<article>(.*?)</article>', 1), '') AS h FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(p|h1|br)>', ' ', 'g'), '</?b>', '', 'g') AS t FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(regexp_replace(t, '&amp;?', chr(1), 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), chr(1), '&') AS t FROM b),
+d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, length(text) AS n_chars FROM d""",
 }
