@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspark.llm import decontaminate, fixity, html_text, near_dups, quality, secret_scan, sharding, tokens
+from relspark.llm import ann, decontaminate, fixity, html_text, near_dups, quality, secret_scan, sharding, tokens
 from relspark.llm.common import stored, table
 
 
@@ -33,6 +33,11 @@ def q_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(table(spark, sf_dir, "documents"))
 
 
+def q_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 def q_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Law ``rows``: shard row counts differ by one at most."""
     out = sharding.shard_documents(table(spark, sf_dir, "documents"), shards=40)
@@ -75,6 +80,7 @@ QUERIES = {
     "op2_quality": q_quality,
     "op3_html_text": q_html_text,
     "op4_secrets": q_secrets,
+    "op5_neighbours": q_neighbours,
     "op6_sharding": q_sharding,
     "op7_tokens": q_tokens,
     "op8_decontamination": q_decontamination,
