@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspark.llm import ann, decontaminate, fixity, html_text, near_dups, quality, secret_scan, sharding, tokens
+from relspark.llm import ann, decontaminate, fixity, html_text, near_dups, passages, quality, secret_scan, sharding, tokens
 from relspark.llm.common import stored, table
 
 
@@ -55,6 +55,10 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def q_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
 def q_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two replicas of the pages' WARC archives, the second with altered, cut and lost records
     (by fixed rules on the page id), audited; one row for each record found to differ."""
@@ -84,6 +88,7 @@ QUERIES = {
     "op6_sharding": q_sharding,
     "op7_tokens": q_tokens,
     "op8_decontamination": q_decontamination,
+    "op9_passages": q_passages,
     "op10_fixity": q_fixity,
 }
 
