@@ -257,22 +257,31 @@ def _assemble(key_type: pa.DataType, digests: bool):
         ids[rank] = [w for x in found.column("ids").to_pylist() for w in _expand(x).decode().split(" ")]
         pieces[rank] = [w for x in found.column("pieces").to_pylist() for w in words_of(_expand(x).decode())]
         n_ids = np.fromiter((x.count(",") + 1 for x in ids), np.int64, len(ids))
-        keys, out = [], []
-        for k, counts, numbers in zip(docs.column("keys").to_pylist(), docs.column("counts").to_pylist(), docs.column("numbers").to_pylist(), strict=True):
-            number, at = _unpack(numbers), 0
-            keys += k
-            for n in counts:
-                mine, at = number[at : at + n], at + n
-                text_ids = ",".join(ids[mine].tolist()) if n else ""
-                data = b"".join(pieces[mine].tolist()) if n else b""
-                if digests:
-                    out.append((int(n_ids[mine].sum()) if n else 0, hashlib.sha256(text_ids.encode()).hexdigest(), hashlib.sha256(data).hexdigest()))
-                else:
-                    out.append(([int(x) for x in text_ids.split(",")] if n else [], data.decode("utf-8", "replace")))
-        cols = list(zip(*out, strict=True)) if out else [()] * (3 if digests else 2)
-        kinds = [pa.int64(), pa.string(), pa.string()] if digests else [pa.list_(pa.int32()), pa.string()]
-        names = ["n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["ids", "decoded"]
-        return pa.table([pa.array(keys, key_type), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], names=["key", *names])
+        flat_ids = np.array(",".join(ids).split(","), dtype=np.int32) if not digests and len(ids) else np.zeros(0, np.int32)
+        id_at = np.concatenate([[0], np.cumsum(n_ids)])[:-1]
+        keys, cols = [], ([], [], [])
+        for k, counts, numbers in zip(docs.column("keys").combine_chunks(), docs.column("counts"), docs.column("numbers").to_pylist(), strict=True):
+            number, count = _unpack(numbers), counts.values.to_numpy()
+            keys.append(k.values)
+            ends = np.cumsum(count)
+            data = [b"".join(pieces[number[e - n : e]].tolist()) for n, e in zip(count, ends, strict=True)]
+            if digests:
+                texts = (",".join(ids[number[e - n : e]].tolist()) for n, e in zip(count, ends, strict=True))
+                cols[0].append(np.diff(np.concatenate([[0], np.cumsum(n_ids[number])])[np.concatenate([[0], ends])]))
+                cols[1].extend(hashlib.sha256(t.encode()).hexdigest() for t in texts)
+                cols[2].extend(hashlib.sha256(d).hexdigest() for d in data)
+            else:
+                size = n_ids[number]
+                total = np.concatenate([[0], np.cumsum(size)])
+                take = np.repeat(id_at[number] - total[:-1], size) + np.arange(total[-1])
+                cols[0].append(pa.ListArray.from_arrays(total[np.concatenate([[0], ends])].astype(np.int32), pa.array(flat_ids[take])))
+                cols[1].extend(d.decode("utf-8", "replace") for d in data)
+        keys = pa.concat_arrays(keys) if keys else pa.array([], key_type)
+        if digests:
+            return pa.table([keys, pa.array(np.concatenate(cols[0]) if cols[0] else [], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.string())],
+                            names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+        lists = pa.concat_arrays(cols[0]) if cols[0] else pa.array([], pa.list_(pa.int32()))
+        return pa.table([keys, lists, pa.array(cols[1], pa.string())], names=["key", "ids", "decoded"])
 
     return run
 
