@@ -33,8 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from relspark.llm.common import batch_rows, bucketed, text_bytes, word_hashes
 
-BLOCK_BYTES = 16 << 20  # text bytes of a block
-WORDS_PER_BUCKET = 400_000
+BLOCK_BYTES = 8 << 20  # text bytes of a block
 # fixed values: the byte-level pre-tokenizer's word pattern, with Unicode white space
 WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # characters on which both regular-expression engines agree (tested one by one)
@@ -157,7 +156,9 @@ def _blocks(path: str, buckets: int, key_type: pa.DataType):
 
     def flush(block: int, keys, counts, flats):
         flat = pa.concat_arrays(flats) if flats else pa.array([], pa.string())
+        flats.clear()
         coded = flat.dictionary_encode()
+        del flat
         number = coded.indices.to_numpy(zero_copy_only=False)
         data, at = text_bytes(coded.dictionary.cast(pa.string()))
         size = np.diff(at)
@@ -202,6 +203,7 @@ def _blocks(path: str, buckets: int, key_type: pa.DataType):
                 if held >= BLOCK_BYTES:
                     yield from flush(base + seq, keys, counts, flats)
                     keys, counts, flats, held, seq = [], [], [], 0, seq + 1
+                    pa.default_memory_pool().release_unused()
         if keys:
             yield from flush(base + seq, keys, counts, flats)
 
@@ -252,6 +254,7 @@ def _assemble(key_type: pa.DataType, digests: bool):
         return [data[a:b] for a, b in zip([0] + ends[:-1], ends, strict=True)]
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         rank = np.concatenate([np.cumsum(_unpack(x)) for x in found.column("numbers").to_pylist()] or [np.zeros(0, np.int64)])
         ids, pieces = np.empty(len(rank), object), np.empty(len(rank), object)
         ids[rank] = [w for x in found.column("ids").to_pylist() for w in _expand(x).decode().split(" ")]
@@ -301,13 +304,13 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", digests: bool = Fals
     spark = docs.sparkSession
     key_field = docs.schema[key].dataType
     key_sql, key_type = key_field.simpleString(), to_arrow_type(key_field)
-    # a bucket gets about WORDS_PER_BUCKET dictionary words, whatever the corpus' size
+    # the dictionaries of two blocks fill a bucket, whatever the corpus' size
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(8, total // (BLOCK_BYTES // 2) // (WORDS_PER_BUCKET // 200_000) + 1)
+    buckets = max(8, total // (2 * BLOCK_BYTES) + 1)
     schema = f"kind string, block long, bucket int, numbers binary, sizes binary, words binary, keys array<{key_sql}>, counts array<int>"
     blocks = split_words(docs, path, key).mapInArrow(_blocks(path, buckets, key_type), schema)
     # bucketed by block: the documents are not shuffled again when their ids come back
-    kept = bucketed(spark, blocks, "word_blocks", "block", max(8, total // BLOCK_BYTES))
+    kept = bucketed(spark, blocks, "word_blocks", "block", max(8, total // (2 * BLOCK_BYTES)))
     words = kept.where("kind = 'words'").select("block", "bucket", "numbers", "sizes", "words")
     coded = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block long, numbers binary, vocab int, ids string")
     back = with_pieces(coded, path).mapInArrow(_pressed, "block long, numbers binary, ids binary, pieces binary")
