@@ -10,10 +10,10 @@ document's length) and further for the few documents that are not filled by then
 
 Equal texts are one class before anything else.  Classes that agree in a whole band meet in a
 bucket.  A bucket does not emit its pairs: its members are compared with the bucket's smallest
-class first, the verified links give components, and only members outside the bucket's largest
-component are then compared with the bucket's other components.  Every pair of a bucket that
-could join two components is therefore verified, and a bucket of many copies costs one
-comparison for each.  A link needs an exact weighted Jaccard similarity of ``SIMILARITY``.
+class first and the verified links give components.  Where many members stay outside their bucket's
+largest component, they meet further centres of it, one a turn, which is linear in the members
+and soon joins what belongs together.  Then every pair of a bucket that could still join two
+components is verified, so no link is lost.  A link needs an exact weighted Jaccard similarity of ``SIMILARITY``.
 
 Cases: null counts as empty; texts without words are linked only to equal texts; a text of fewer
 than five words is one run.  Repeated rows and ids give one row each.  An empty table gives no
@@ -35,6 +35,7 @@ SIMILARITY = 0.8
 BANDS, ROWS = 21, 6
 COORDINATES = BANDS * ROWS
 DARTS = 10.0  # darts expected at each coordinate
+LINEAR, TURNS = 4, 12  # further centres are tried while the pairs left exceed LINEAR for each member
 BATCH_BYTES = 4 << 20
 
 
@@ -123,6 +124,18 @@ def verified(pairs: DataFrame, cells: DataFrame, similarity: float = SIMILARITY)
     return both.where(common >= similarity * union).select("a", "b")
 
 
+def _split_buckets(members: DataFrame, comp: DataFrame) -> tuple[DataFrame, int, int]:
+    """Members of the buckets that hold several components (``main``: the bucket's largest), the pairs
+    that remain between an outsider and another member, and the members' number."""
+    placed = members.join(comp, members["cid"] == comp["node"], "left").select("band", "cid", "centre", F.coalesce("component", "cid").alias("comp"))
+    groups = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
+    largest = groups.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    split = stored(members.sparkSession, placed.join(largest.select("band", "main"), "band"), "split-buckets")
+    size = split.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("comp") != F.col("main"), 1).otherwise(0)).alias("o"))
+    cross, rows = size.agg(F.coalesce(F.sum(F.col("n") * F.col("o")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return split, cross, rows
+
+
 def has_repeats(ids: DataFrame) -> bool:
     """Whether a row (``key``, ``cid``) comes more than once."""
     return not ids.groupBy("key", "cid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
@@ -153,10 +166,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     cells = stored(spark, cells, "cells")
     links = stored(spark, verified(star, cells, similarity), "links")
     comp = stored(spark, connected_components(links), "components")
-    placed = members.join(comp, members["cid"] == comp["node"], "left").select("band", "cid", "centre", F.coalesce("component", "cid").alias("comp"))
-    groups = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = groups.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    split = stored(spark, placed.join(largest.select("band", "main"), "band"), "split-buckets")
+    split, cross, rows = _split_buckets(members, comp)
+    turn = 0
+    while cross > LINEAR * rows and turn < TURNS:
+        # another centre for each bucket: members elsewhere meet one more of its largest component
+        turn += 1
+        others = split.where("comp = main").groupBy("band").agg(F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("c"))
+        pairs = split.where("comp <> main").join(others, "band").select(F.least("c", "cid").alias("a"), F.greatest("c", "cid").alias("b")).distinct()
+        links = stored(spark, links.unionByName(verified(pairs, cells, similarity)), "links")
+        comp = stored(spark, connected_components(links), "components")
+        split, cross, rows = _split_buckets(members, comp)
     out = split.where("comp <> main").select("band", F.col("cid").alias("o"), F.col("comp").alias("o_comp"))
     rest = split.join(out, "band").where("comp <> o_comp and cid <> centre and o <> centre and (comp = main or cid < o)")
     more = verified(rest.select(F.least("o", "cid").alias("a"), F.greatest("o", "cid").alias("b")).distinct(), cells, similarity)
