@@ -32,7 +32,7 @@ from relspark.llm.components import connected_components
 
 RUN = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 21, 6
+BANDS, ROWS = 25, 5
 COORDINATES = BANDS * ROWS
 DARTS = 10.0  # darts expected at each coordinate
 LINEAR, TURNS = 4, 12  # further centres are tried while the pairs left exceed LINEAR for each member
