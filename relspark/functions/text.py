@@ -67,18 +67,22 @@ def mark_spans(
 
 
 def _marked(sentence: Column, pts: Column) -> Column:
-    p = [pts[i]["pos"] for i in range(4)]
-    n = [pts[i]["ent"].cast("string") for i in range(4)]
-    return F.concat(
-        slice_to(sentence, p[0]),
-        F.lit("[E"), n[0], F.lit("]"),
-        slice_between(sentence, p[0], p[1] + 1),
-        F.lit("[/E"), n[1], F.lit("]"),
-        slice_between(sentence, p[1] + 1, p[2]),
-        F.lit("[E"), n[2], F.lit("]"),
-        slice_between(sentence, p[2], p[3] + 1),
-        F.lit("[/E"), n[3], F.lit("]"),
-        slice_from(sentence, p[3] + 1),
+    """Fold over the ordered points with a cursor: an odd point writes the text before it and an
+    opening tag, an even point writes its text up to and including it and a closing tag."""
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"), F.lit(True).alias("opens"))
+
+    def step(acc, p):
+        stop = F.when(acc["opens"], p["pos"]).otherwise(p["pos"] + 1)
+        tag = F.concat(F.when(acc["opens"], "[E").otherwise("[/E"), p["ent"].cast("string"), F.lit("]"))
+        return F.struct(
+            F.concat(acc["out"], slice_between(sentence, acc["at"], stop), tag).alias("out"),
+            # an opening tag always leaves the cursor on its point, even if that steps back
+            stop.alias("at"),
+            (~acc["opens"]).alias("opens"),
+        )
+
+    return F.aggregate(
+        pts, start, step, lambda acc: F.concat(acc["out"], slice_from(sentence, acc["at"]))
     )
 
 

@@ -3,16 +3,20 @@
 Per-row decoders (argmax, threshold, per-hypothesis) are pure projections.  The voting
 decoders group rows of one example with fixed-width streaming aggregates (one sum per class
 and a row count): partial sums are combined map-side, buffers never grow with a group, and
-the expected row count per example (2 variants, the number of models, or 2*(K-1)
-hypotheses) is checked on the aggregated count, so no group is ever collected.
+that every expected key (variant, model or hypothesis) is there exactly once is checked on
+fixed-width counts, so no group is ever collected; the checks are filters, which no column
+selection can prune.
 """
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import argmax, as_double_array, let, sigmoid, softmax
+from ..plans.joins import require
 
 # fixed values: default decision threshold of the no-relation-free decoder
 EXCEPT0_THRESHOLD = 0.6
@@ -47,13 +51,40 @@ def threshold_decode(
     return scores.select(*_keys(scores), pred.alias("pred"))
 
 
-def _count_guard(n: Column, expected: int, what: str) -> Column:
-    return F.when(
-        n != F.lit(expected),
-        F.raise_error(
-            F.concat(F.lit(f"expected {expected} {what} per example, got "), n.cast("string"))
-        ),
-    )
+class _KeyCheck:
+    """Proof that a group has every expected key exactly once.
+
+    With the keys themselves: one fixed-width count for each, and the row count.  With only their
+    number: the row count and the count of distinct keys.
+    """
+
+    def __init__(self, key: str, expected: int | Sequence, what: str):
+        self.n = expected if isinstance(expected, int) else len(expected)
+        self.what = what
+        self.aggregates = [F.count(F.lit(1)).alias("__n")]
+        bad = F.col("__n") != self.n
+        if isinstance(expected, int):
+            self.aggregates.append(F.count_distinct(key).alias("__nd"))
+            bad = bad | (F.col("__nd") != self.n)
+        else:
+            for i, k in enumerate(expected):
+                self.aggregates.append(F.count(F.when(F.col(key) == F.lit(k), 1)).alias(f"__k{i}"))
+                bad = bad | (F.col(f"__k{i}") != 1)
+        self.bad = bad
+
+    def apply(self, grouped: DataFrame) -> DataFrame:
+        message = F.concat(
+            F.lit(f"expected {self.n} {self.what} per example, each once, got "),
+            F.col("__n").cast("string"), F.lit(" rows at example_id "), F.col("example_id").cast("string"),
+        )
+        return require(grouped, self.bad, message)
+
+
+def _models(scores: DataFrame, expected: int | Sequence[str] | None) -> int | list[str]:
+    """The expected models; read from the table (one small aggregate) when not given."""
+    if expected is None:
+        return sorted(r[0] for r in scores.select("model_id").distinct().collect())
+    return expected if isinstance(expected, int) else list(expected)
 
 
 def vector_width(scores: DataFrame, scores_col: str = "scores") -> int:
@@ -68,17 +99,11 @@ def vector_width(scores: DataFrame, scores_col: str = "scores") -> int:
     return int(row[0])
 
 
-def _width_checked(probs: Column, width: int) -> Column:
-    return F.when(
-        F.size(probs) != F.lit(width),
-        F.raise_error(F.lit(f"score vector width differs from {width}")),
-    ).otherwise(probs)
-
-
 def _soft_vote(
     scores: DataFrame,
     group_cols: list[str],
-    expected: int,
+    key: str,
+    expected: int | Sequence,
     what: str,
     from_logits: bool,
     scores_col: str,
@@ -88,25 +113,20 @@ def _soft_vote(
 
     One ``sum(p[i])`` per class plus a row count: hash aggregation with map-side partial
     sums and constant-size buffers, so even a key holding a large share of the rows is
-    reduced before the shuffle and never collected in one task.  The row-count guard and the
-    width guard both run without materialising a group.
+    reduced before the shuffle and never collected in one task.
     """
     width = width if width is not None else vector_width(scores, scores_col)
-    raw = _width_checked(as_double_array(scores_col), width)
+    # the width is a filter too: it holds whichever columns are selected later
+    checked = require(scores, F.coalesce(F.size(scores_col), F.lit(-1)) != width, f"score vector width differs from {width}")
+    raw = as_double_array(scores_col)
     probs = softmax(raw) if from_logits else raw
-    rows = scores.select(*[F.col(c) for c in group_cols], probs.alias("__p"))
+    rows = checked.select(*[F.col(c) for c in group_cols], F.col(key), probs.alias("__p"))
+    check = _KeyCheck(key, expected, what)
     sums = [F.sum(F.col("__p")[i]).alias(f"__s{i}") for i in range(width)]
-    grouped = rows.groupBy(*group_cols).agg(F.count(F.lit(1)).alias("__n"), *sums)
-    n = F.col("__n")
-    mean = F.array(*[F.col(f"__s{i}") / n for i in range(width)])
-    voted = grouped.select(
-        *[F.col(c) for c in group_cols], _count_guard(n, expected, what).alias("__guard"), mean.alias("probs")
-    )
-    return voted.select(
-        *[F.col(c) for c in group_cols],
-        F.coalesce(F.col("__guard").cast("int"), argmax("probs")).alias("pred"),
-        "probs",
-    )
+    grouped = check.apply(rows.groupBy(*group_cols).agg(*check.aggregates, *sums))
+    mean = F.array(*[F.col(f"__s{i}") / check.n for i in range(width)])
+    voted = grouped.select(*[F.col(c) for c in group_cols], mean.alias("probs"))
+    return voted.select(*[F.col(c) for c in group_cols], argmax("probs").alias("pred"), "probs")
 
 
 def pair_soft_vote(
@@ -117,37 +137,35 @@ def pair_soft_vote(
 ) -> DataFrame:
     """Two-sentence decoding: softmax each of the two variant rows, average, argmax.
 
-    Groups by ``example_id`` (and ``model_id`` when present); each group must hold exactly two
-    variants.  ``width`` (number of classes) is read from one row when not given.
+    Groups by ``example_id`` (and ``model_id`` when present); each group must hold variants 0 and
+    1, each once.  ``width`` (number of classes) is read from one row when not given.
     """
     group_cols = ["example_id"] + (["model_id"] if "model_id" in scores.columns else [])
-    return _soft_vote(scores, group_cols, 2, "variants", from_logits, scores_col, width)
+    return _soft_vote(scores, group_cols, "variant", (0, 1), "variants", from_logits, scores_col, width)
 
 
 def ensemble_soft_vote(
     scores: DataFrame,
-    expected_models: int | None = None,
+    expected_models: int | Sequence[str] | None = None,
     from_logits: bool = True,
     scores_col: str = "scores",
     width: int | None = None,
 ) -> DataFrame:
     """Model ensemble: softmax per model, mean over models, argmax (first index on ties).
 
-    ``expected_models`` defaults to the number of distinct ``model_id`` values (one small
-    aggregate); every example must be scored by exactly that many models (one row each), so
-    the vote groups by ``example_id`` alone and its output stays hash-partitioned by
-    ``example_id`` for a following keyed join.
+    ``expected_models`` are the model ids (default: those of the table, one small aggregate), each
+    of which must have scored every example exactly once; given only their number, that many
+    different models must have.  With the ids the vote groups by ``example_id`` alone and its
+    output stays hash-partitioned by ``example_id`` for a following keyed join.
     """
-    if expected_models is None:
-        expected_models = scores.select("model_id").distinct().count()
     return _soft_vote(
-        scores, ["example_id"], int(expected_models), "models", from_logits, scores_col, width
+        scores, ["example_id"], "model_id", _models(scores, expected_models), "models", from_logits, scores_col, width
     )
 
 
 def hard_vote(
     predictions: DataFrame,
-    expected_models: int | None = None,
+    expected_models: int | Sequence[str] | None = None,
     pred_col: str = "pred",
     n_labels: int | None = None,
 ) -> DataFrame:
@@ -155,40 +173,39 @@ def hard_vote(
 
     With ``n_labels`` known, one fixed-width aggregate counts the votes of every label per
     example (map-side partial counts, one shuffle); a prediction outside ``0..n_labels-1``
-    raises.  Without it, votes are counted per (example, label) map-side and the winner is a
-    streaming ``max_by`` over at most one row per distinct label (two small shuffles).
+    raises.  Without it, votes are counted per (example, label) and the winner is a streaming
+    ``max_by`` over at most one row per distinct label.  ``expected_models`` as in
+    :func:`ensemble_soft_vote`.
     """
-    if expected_models is None:
-        expected_models = predictions.select("model_id").distinct().count()
+    check = _KeyCheck("model_id", _models(predictions, expected_models), "model predictions")
     if n_labels is not None:
         p = F.col(pred_col)
-        checked = F.when(
-            (p < 0) | (p >= n_labels),
-            F.raise_error(F.concat(F.lit("prediction outside label range: "), p.cast("string"))),
+        rows = require(
+            predictions.select("example_id", "model_id", p.alias("__pred")),
+            F.col("__pred").isNull() | (F.col("__pred") < 0) | (F.col("__pred") >= n_labels),
+            F.concat(F.lit("prediction outside label range: "), F.coalesce(F.col("__pred").cast("string"), F.lit("null"))),
         )
-        rows = predictions.select("example_id", F.coalesce(checked.cast("int"), p).alias("__pred"))
         counts = [F.count(F.when(F.col("__pred") == j, 1)).alias(f"__c{j}") for j in range(n_labels)]
-        agg = rows.groupBy("example_id").agg(F.count(F.lit(1)).alias("__total"), *counts)
+        agg = check.apply(rows.groupBy("example_id").agg(*check.aggregates, *counts))
         votes = F.array(*[F.col(f"__c{j}") for j in range(n_labels)])
-        guard = _count_guard(F.col("__total"), int(expected_models), "model predictions")
-        return agg.select(
-            "example_id",
-            F.coalesce(guard.cast("int"), argmax(votes)).alias("pred"),
-            F.array_max(votes).cast("int").alias("votes"),
-        )
-    votes = predictions.groupBy("example_id", F.col(pred_col).alias("__pred")).agg(
-        F.count(F.lit(1)).alias("__n")
+        return agg.select("example_id", argmax(votes).alias("pred"), F.array_max(votes).cast("int").alias("votes"))
+    # models are counted first, so that no model's second row can stand for a missing one
+    models = predictions.groupBy("example_id", "model_id").agg(
+        F.count(F.lit(1)).alias("__rows"), F.max(pred_col).alias("__pred")
     )
+    models = require(models, F.col("__rows") > 1, f"expected {check.n} model predictions per example, each once")
+    votes = models.groupBy("example_id", "__pred").agg(F.count(F.lit(1)).alias("__n"))
     best = votes.groupBy("example_id").agg(
         F.max_by(F.col("__pred"), F.struct(F.col("__n"), -F.col("__pred"))).alias("__best"),
         F.max("__n").alias("__votes"),
         F.sum("__n").alias("__total"),
     )
-    guard = _count_guard(F.col("__total"), int(expected_models), "model predictions")
+    best = require(
+        best, F.col("__total") != check.n,
+        F.concat(F.lit(f"expected {check.n} model predictions per example, each once, got "), F.col("__total").cast("string")),
+    )
     return best.select(
-        F.col("example_id"),
-        F.coalesce(guard.cast("int"), F.col("__best").cast("int")).alias("pred"),
-        F.col("__votes").cast("int").alias("votes"),
+        "example_id", F.col("__best").cast("int").alias("pred"), F.col("__votes").cast("int").alias("votes")
     )
 
 
@@ -203,53 +220,38 @@ def hypothesis_rollup(
 
     Hypothesis ``variant v`` belongs to relation ``v div 2 + 1``.  Below ``threshold`` the
     example gets 0 (no relation); ties go to the smallest relation id.  Each example must carry
-    exactly ``2 * (n_labels - 1)`` hypothesis rows, one per variant.  One fixed-width
-    aggregate (a conditional sum per relation) with map-side partial sums.
+    exactly the hypotheses 0..2*(K-1)-1, each once.  The rows are dealt by example once; then one
+    row per relation (both directions counted and summed) and one streaming maximum per example,
+    so the work is linear in the hypotheses.
     """
     n_rel = n_labels - 1
     n_hyp = 2 * n_rel
-    raw = _width_checked(as_double_array(scores_col), 2)
-    probs = softmax(raw) if from_logits else raw
     group_cols = ["example_id"] + (["model_id"] if "model_id" in scores.columns else [])
     v = F.col("variant")
-    in_range = F.when(
-        (v < 0) | (v >= n_hyp),
-        F.raise_error(F.concat(F.lit("hypothesis variant out of range: "), v.cast("string"))),
-    )
-    rows = scores.select(
-        *[F.col(c) for c in group_cols],
-        F.coalesce(in_range.cast("int"), v).alias("__v"),
-        F.element_at(probs, 2).alias("__p"),
-    )
-    rel = (F.col("__v") / 2).cast("int")
-    sums = [F.sum(F.when(rel == j, F.col("__p"))).alias(f"__s{j}") for j in range(n_rel)]
-    lv = F.col("__v").cast("long")
-    grouped = rows.groupBy(*group_cols).agg(
-        F.count(F.lit(1)).alias("__n"),
-        F.sum(lv).alias("__sv"),
-        F.sum(lv * lv).alias("__sv2"),
-        *sums,
+    checked = require(scores, F.coalesce(F.size(scores_col), F.lit(-1)) != 2, "score vector width differs from 2")
+    checked = require(
+        checked, v.isNull() | (v < 0) | (v >= n_hyp),
+        F.concat(F.lit("hypothesis variant out of range: "), F.coalesce(v.cast("string"), F.lit("null"))),
     )
-    exp_sv = n_hyp * (n_hyp - 1) // 2
-    exp_sv2 = (n_hyp - 1) * n_hyp * (2 * n_hyp - 1) // 6
-    guard = F.coalesce(
-        _count_guard(F.col("__n"), n_hyp, "hypotheses"),
-        F.when(
-            (F.col("__sv") != exp_sv) | (F.col("__sv2") != exp_sv2),
-            F.raise_error(F.lit("hypothesis variants must be 0..2*(K-1)-1 once each")),
-        ),
-    )
-    means = F.array(
-        *[F.struct((F.col(f"__s{j}") / 2).alias("m"), F.lit(-j).alias("neg")) for j in range(n_rel)]
+    raw = as_double_array(scores_col)
+    probs = softmax(raw) if from_logits else raw
+    rows = checked.select(
+        *group_cols, F.floor(v / 2).cast("int").alias("__rel"), (v % 2).alias("__dir"), F.element_at(probs, 2).alias("__p")
+    ).repartition("example_id")
+    each = rows.groupBy(*group_cols, "__rel").agg(
+        F.count(F.when(F.col("__dir") == 0, 1)).alias("__forward"),
+        F.count(F.when(F.col("__dir") == 1, 1)).alias("__reverse"),
+        (F.sum("__p") / 2).alias("m"),
     )
-    voted = grouped.select(*[F.col(c) for c in group_cols], guard.alias("__guard"), F.array_max(means).alias("__best"))
-    best = F.col("__best")
-    pred = F.when(best["m"] < F.lit(threshold), F.lit(0)).otherwise(-best["neg"] + 1)
-    return voted.select(
-        *[F.col(c) for c in group_cols],
-        F.coalesce(F.col("__guard").cast("int"), pred.cast("int")).alias("pred"),
-        best["m"].alias("score"),
+    once = "hypothesis variants must be 0..2*(K-1)-1 once each"
+    each = require(each, (F.col("__forward") != 1) | (F.col("__reverse") != 1), once)
+    best = each.groupBy(*group_cols).agg(
+        F.count(F.lit(1)).alias("__n"), F.max(F.col("m")).alias("score"),
+        F.max_by(F.col("__rel"), F.struct("m", (-F.col("__rel")).alias("neg"))).alias("__best"),
     )
+    best = require(best, F.col("__n") != n_rel, f"expected {n_hyp} hypotheses per example: " + once)
+    pred = F.when(F.col("score") < F.lit(threshold), F.lit(0)).otherwise(F.col("__best") + 1)
+    return best.select(*group_cols, pred.cast("int").alias("pred"), "score")
 
 
 def hypothesis_rollup_compact(
@@ -272,10 +274,7 @@ def hypothesis_rollup_compact(
     shape_ok = (F.size(arr) == F.lit(n_hyp)) & F.aggregate(
         arr, F.lit(True), lambda acc, s: acc & (F.size(s) == F.lit(2))
     )
-    guard = F.when(
-        ~shape_ok,
-        F.raise_error(F.lit(f"expected {n_hyp} two-wide hypothesis score vectors per example")),
-    )
+    scores = require(scores, ~F.coalesce(shape_ok, F.lit(False)), f"expected {n_hyp} two-wide hypothesis score vectors per example")
 
     def yes(s):
         return F.element_at(softmax(s) if from_logits else s, 2)
@@ -290,12 +289,10 @@ def hypothesis_rollup_compact(
         ),
     )
     keys = [F.col(c) for c in ("example_id", "model_id") if c in scores.columns]
-    voted = scores.select(*keys, guard.alias("__guard"), best.alias("__best"))
+    voted = scores.select(*keys, best.alias("__best"))
     b = F.col("__best")
     pred = F.when(b["m"] < F.lit(threshold), F.lit(0)).otherwise(-b["neg"] + 1)
-    return voted.select(
-        *keys, F.coalesce(F.col("__guard").cast("int"), pred.cast("int")).alias("pred"), b["m"].alias("score")
-    )
+    return voted.select(*keys, pred.cast("int").alias("pred"), b["m"].alias("score"))
 
 
 def pair_soft_vote_compact(
@@ -306,11 +303,9 @@ def pair_soft_vote_compact(
     no shuffle."""
     arr = F.col(scores_col).cast("array<array<double>>")
     shape_ok = (F.size(arr) == F.lit(2)) & (F.size(arr[0]) == F.size(arr[1]))
-    guard = F.when(~shape_ok, F.raise_error(F.lit("expected two equally wide score vectors per example")))
+    scores = require(scores, ~F.coalesce(shape_ok, F.lit(False)), "expected two equally wide score vectors per example")
     probs = F.transform(arr, lambda s: softmax(s) if from_logits else s)
     mean = let(probs, lambda p: F.zip_with(p[0], p[1], lambda a, b: (a + b) / 2))
     keys = [F.col(c) for c in ("example_id", "model_id") if c in scores.columns]
-    voted = scores.select(*keys, guard.alias("__guard"), mean.alias("probs"))
-    return voted.select(
-        *keys, F.coalesce(F.col("__guard").cast("int"), argmax("probs")).alias("pred"), "probs"
-    )
+    voted = scores.select(*keys, mean.alias("probs"))
+    return voted.select(*keys, argmax("probs").alias("pred"), "probs")

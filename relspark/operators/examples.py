@@ -16,6 +16,12 @@ def _not_null(name: str) -> Column:
     return F.when(c.isNull(), F.raise_error(F.lit(f"null {name} in example")).cast("string")).otherwise(c)
 
 
+def project_texts(raw: DataFrame) -> DataFrame:
+    """Raw rows -> ``example_id`` and the three text columns, for builders whose output has no
+    label: no lookup, no join.  A null sentence or entity raises."""
+    return raw.select(F.col("example_id"), *[_not_null(name).alias(name) for name in TEXT_COLUMNS])
+
+
 def project_examples(raw: DataFrame, dim: DataFrame, strict: bool = True) -> DataFrame:
     """Raw rows -> ``EXAMPLE``: keep sentence and both entity texts, encode the relation.
 

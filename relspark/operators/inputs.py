@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scores import let
 from ..functions.text import fill_template
-from ..plans.joins import DEFAULT_BROADCAST_ROWS, checked_broadcast, row_count_at_most
+from ..plans.joins import BROADCAST_BYTES, broadcast_within, require
 from .labels import NO_RELATION_ID, label_stats
 
 # --- fixed values: model-input layout -------------------------------------------------
@@ -123,7 +123,7 @@ def two_sentence_statements(
     )
 
 
-def _hypothesis_dim(dim: DataFrame, max_broadcast_rows: int) -> tuple[DataFrame, int]:
+def _hypothesis_dim(dim: DataFrame, max_broadcast_bytes: int) -> tuple[DataFrame, int]:
     stats = label_stats(dim)
     if not stats.contiguous:
         raise ValueError(
@@ -134,11 +134,11 @@ def _hypothesis_dim(dim: DataFrame, max_broadcast_rows: int) -> tuple[DataFrame,
         F.col("subject_part").alias("__subj"),
         F.col("attribute_part").alias("__attr"),
     )
-    return checked_broadcast(small, max_broadcast_rows, size_of=dim), stats.n_labels
+    return broadcast_within(small, stats.size_bytes, max_broadcast_bytes), stats.n_labels
 
 
 def expand_hypotheses(
-    examples: DataFrame, dim: DataFrame, max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS
+    examples: DataFrame, dim: DataFrame, max_broadcast_bytes: int = BROADCAST_BYTES
 ) -> DataFrame:
     """Each example x each relation label except 0, times two directions.
 
@@ -146,7 +146,7 @@ def expand_hypotheses(
     0..K-1), never from a hard-coded width.  Output keeps every input column plus
     ``variant, label_id, direction, subject_part, attribute_part``.
     """
-    small, n_labels = _hypothesis_dim(dim, max_broadcast_rows)
+    small, n_labels = _hypothesis_dim(dim, max_broadcast_bytes)
     n_variants = 2 * (n_labels - 1)
     if n_variants <= 0:
         raise ValueError("label dimension has no relation besides id 0")
@@ -169,14 +169,14 @@ def hypothesis_input(
     dim: DataFrame,
     templates: tuple[str, str] = HYPOTHESIS_TEMPLATES,
     max_length: int = MAX_LENGTH_HYPOTHESIS,
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """``HYPOTHESIS`` rows: (sentence, one yes/no statement per relation and direction).
 
     Forward statement from (e1, attribute, e2), reverse from (e2, subject, e1, attribute).
     ``target`` is 1 exactly on the two rows of the example's own label (never for 0 or 100).
     """
-    ex = expand_hypotheses(examples, dim, max_broadcast_rows)
+    ex = expand_hypotheses(examples, dim, max_broadcast_bytes)
     e1, e2 = F.col("entity_01"), F.col("entity_02")
     subj, attr = F.col("subject_part"), F.col("attribute_part")
     fwd, rev = templates
@@ -195,17 +195,12 @@ def hypothesis_input(
     )
 
 
-# Upper bound on relation labels inlined into a plan by :func:`hypothesis_statements`.
-MAX_INLINE_LABELS = 10_000
-
 _RELATION_NAMES: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def _relation_names(dim: DataFrame) -> list[tuple[str, str]]:
     """(subject, attribute) of relations 1..K-1 in id order; read once per dimension frame."""
     if dim not in _RELATION_NAMES:
-        if not row_count_at_most(dim, MAX_INLINE_LABELS):
-            raise ValueError(f"more than {MAX_INLINE_LABELS} labels; use hypothesis_input")
         rows = (
             dim.filter(F.col("label_id") != NO_RELATION_ID)
             .orderBy("label_id")
@@ -228,15 +223,16 @@ def hypothesis_statements(
 
     Built with one ``transform`` over the variant numbers, no explode and no join, so a
     scorer can receive each sentence once instead of once per hypothesis.  The relation names
-    are inlined as literal arrays: the label dimension is first proven to hold at most
-    ``MAX_INLINE_LABELS`` rows (the same bound a broadcast needs) and then read, exactly as a
-    broadcast side would be.  ``posexplode(statements)`` gives back the row form.
+    are inlined as literal arrays: the label set is a constant of the model (ids proven
+    contiguous), read once as a broadcast side would be.  ``posexplode(statements)`` gives back the row form.
     """
     stats = label_stats(dim)
     if not stats.contiguous:
         raise ValueError(
             f"label ids must be 0..{stats.n_labels - 1}; got {stats.min_id}..{stats.max_id}"
         )
+    if "label" not in examples.columns:  # inputs for scoring carry no label
+        examples = examples.withColumn("label", F.lit(None).cast("int"))
     rel = _relation_names(dim)
     subj = F.array(*[F.lit(sp) for sp, _ in rel])
     attr = F.array(*[F.lit(ap) for _, ap in rel])
@@ -291,14 +287,15 @@ CLS_TOKEN = "[CLS]"
 PAD_TOKEN = "[PAD]"
 
 
-def whitespace_tokens(text: Column) -> Column:
-    """Tokens of ``text`` split on runs of whitespace (empty text -> empty array).
+def whitespace_tokens(text: Column, limit: Column | int = -1) -> Column:
+    """Tokens of ``text`` split on runs of whitespace (empty text -> empty array); with
+    ``limit`` the last of that many pieces is the unsplit rest of the text.
 
     A split on whitespace runs leaves an empty token only at either end (leading or trailing
     whitespace, or empty text); ``array_remove`` drops it without a per-token lambda.
     (Measured against a character map plus a single-space split: no faster.)
     """
-    return F.array_remove(F.split(text, r"\s+"), "")
+    return F.array_remove(F.split(text, r"\s+", limit), "")
 
 
 def truncated_lengths(la: Column, lb: Column, budget: Column) -> tuple[Column, Column]:
@@ -334,12 +331,19 @@ def encode_pair(
     every row to its ``max_length``) or ``longest`` (pad to the longest row of the whole
     frame, found with one aggregate).
     """
-    ta = tokens_a if tokens_a is not None else whitespace_tokens(F.col(text_col))
+    if not isinstance(max_length, str) and max_length < 3:
+        raise ValueError("max_length must leave room for the special tokens (3 or more)")
+    if isinstance(max_length, str):
+        df = require(df, F.col(max_length) < 3, "max_length must leave room for the special tokens (3 or more)")
+    # A side never keeps more than max_length - 2 tokens, so the rest need not be split: one more
+    # token than that decides the same cut (and one piece may be a leading empty one).
+    limit = F.col(max_length) + 1 if isinstance(max_length, str) else max_length + 1
+    ta = tokens_a if tokens_a is not None else whitespace_tokens(F.col(text_col), limit)
     has_pair = tokens_b is not None or pair_col is not None
     tb = (
         tokens_b
         if tokens_b is not None
-        else (whitespace_tokens(F.coalesce(F.col(pair_col), F.lit(""))) if pair_col else F.array().cast("array<string>"))
+        else (whitespace_tokens(F.coalesce(F.col(pair_col), F.lit("")), limit) if pair_col else F.array().cast("array<string>"))
     )
     ml = F.col(max_length) if isinstance(max_length, str) else F.lit(int(max_length))
     out = df.withColumn("__ta", ta).withColumn("__tb", tb).withColumn("__ml", ml.cast("int"))

@@ -1,8 +1,8 @@
 """Label dimension and the label lookups (encode by name, decode by id).
 
 The dimension is tiny (one row per class) but joined against every example, so every lookup
-goes through :func:`relspark.plans.joins.checked_broadcast`: a broadcast hash join when the
-dimension is provably small, Catalyst's shuffle join otherwise.  Example rows are never
+reads its size first (:func:`label_stats`): a broadcast hash join when the dimension is within
+a fixed number of bytes, Catalyst's shuffle join otherwise.  Example rows are never
 shuffled on the label key in the common case, so a label that holds a third of all rows
 costs nothing extra.
 """
@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.joins import DEFAULT_BROADCAST_ROWS, checked_broadcast
+from ..plans.joins import BROADCAST_BYTES, broadcast_within, require
 from ..schemas import BLIND_LABEL, BLIND_RELATION
 
 NO_RELATION_ID = 0
@@ -53,6 +53,7 @@ class LabelStats:
     n_labels: int
     min_id: int
     max_id: int
+    size_bytes: int
 
     @property
     def contiguous(self) -> bool:
@@ -73,12 +74,13 @@ def label_stats(dim: DataFrame) -> LabelStats:
         F.countDistinct("label_name").alias("nn"),
         F.min("label_id").alias("lo"),
         F.max("label_id").alias("hi"),
+        F.sum(F.octet_length("label_name") * 2 + 64).alias("bytes"),
     ).first()
     if row["n"] != row["nd"]:
         raise ValueError("label dimension has duplicate label_id values")
     if row["n"] != row["nn"]:
         raise ValueError("label dimension has duplicate label_name values")
-    stats = LabelStats(int(row["n"]), int(row["lo"] or 0), int(row["hi"] or 0))
+    stats = LabelStats(int(row["n"]), int(row["lo"] or 0), int(row["hi"] or 0), int(row["bytes"] or 0))
     _STATS_MEMO[dim] = stats
     return stats
 
@@ -94,28 +96,26 @@ def encode_label(
     dim: DataFrame,
     relation_col: str = "relation",
     out_col: str = "label",
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Relation name -> label id; ``blind`` -> 100; an unknown name raises.
 
-    Left join to the (checked-broadcast) dimension, then a strict check in the projection.
+    Left join to the dimension, whose names are proven unique, so no example is multiplied;
+    an unknown name raises whichever columns are selected later.
     """
-    lookup = checked_broadcast(
+    lookup = broadcast_within(
         dim.select(F.col("label_name").alias("__lname"), F.col("label_id").alias("__lid")),
-        max_broadcast_rows,
-        size_of=dim,
+        label_stats(dim).size_bytes,
+        max_broadcast_bytes,
     )
     joined = examples.join(lookup, examples[relation_col] == lookup["__lname"], "left")
-    label = (
-        F.when(is_blind(F.col(relation_col)), F.lit(BLIND_LABEL))
-        .when(F.col("__lid").isNotNull(), F.col("__lid"))
-        .otherwise(
-            F.raise_error(
-                F.concat(F.lit("unknown relation: "), F.coalesce(F.col(relation_col), F.lit("NULL")))
-            ).cast("int")
-        )
-        .cast("int")
+    blind = F.coalesce(is_blind(F.col(relation_col)), F.lit(False))
+    joined = require(
+        joined,
+        ~blind & F.col("__lid").isNull(),
+        F.concat(F.lit("unknown relation: "), F.coalesce(F.col(relation_col), F.lit("NULL"))),
     )
+    label = F.when(blind, F.lit(BLIND_LABEL)).otherwise(F.col("__lid")).cast("int")
     return joined.withColumn(out_col, label).drop("__lname", "__lid")
 
 
@@ -124,18 +124,17 @@ def decode_label(
     dim: DataFrame,
     id_col: str = "label",
     out_col: str = "label_name",
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
+    max_broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Label id -> name; 100 -> ``blind``; an id outside the dimension gives null.
 
     Duplicate ids in the dimension are rejected (an inverted name map would silently keep one
     of them), so the join is many-to-one.
     """
-    label_stats(dim)
-    lookup = checked_broadcast(
+    lookup = broadcast_within(
         dim.select(F.col("label_id").alias("__lid"), F.col("label_name").alias("__lname")),
-        max_broadcast_rows,
-        size_of=dim,
+        label_stats(dim).size_bytes,
+        max_broadcast_bytes,
     )
     joined = df.join(lookup, df[id_col] == lookup["__lid"], "left")
     name = F.when(F.col(id_col) == F.lit(BLIND_LABEL), F.lit(BLIND_RELATION)).otherwise(

@@ -2,7 +2,8 @@
 
 Alignment is an equi-join on ``example_id`` (a file position is turned into an id once, at
 ingest).  It is a full outer join with a check, so tables of unequal length fail instead of
-being silently truncated.  Accuracy and loss are global aggregates with map-side partial sums.
+being silently truncated; the checks are filters, so no column selection or count drops them.
+Accuracy and loss are global aggregates with map-side partial sums.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scores import argmax, as_double_array, bce_with_logits_sum
+from ..plans.joins import require
 from ..schemas import BLIND_LABEL
 
 
@@ -26,13 +28,16 @@ def _one_per_key(df: DataFrame, value: str, marker: str) -> DataFrame:
     )
 
 
-def _key_guard(col: str, side: str) -> Column:
-    return F.when(
-        F.col(col) > 1,
-        F.raise_error(
-            F.concat(F.lit(f"duplicate example_id in {side}: "), F.col("example_id").cast("string"))
-        ),
+def _paired(joined: DataFrame, left: str, right: str, left_name: str, right_name: str) -> DataFrame:
+    """Rows of a full outer join of key counts; raises unless each key is once on both sides."""
+    key = F.col("example_id").cast("string")
+    joined = require(
+        joined, F.col(left).isNull() | F.col(right).isNull(),
+        F.concat(F.lit(f"{left_name} and {right_name} differ in length / keys at example_id "), key),
     )
+    for col, name in ((left, left_name), (right, right_name)):
+        joined = require(joined, F.col(col) > 1, F.concat(F.lit(f"duplicate example_id in {name}: "), key))
+    return joined
 
 
 def align_predictions(
@@ -44,24 +49,9 @@ def align_predictions(
     """``(example_id, pred, answer)``; raises if an id is on one side only or repeated."""
     p = _one_per_key(predictions.select("example_id", F.col(pred_col).alias("pred")), "pred", "__p")
     a = _one_per_key(answers.select("example_id", F.col(answer_col).alias("answer")), "answer", "__a")
-    joined = p.join(a, "example_id", "full_outer")
-    # A missing side shows as a null count, which tells it apart from a null value read
-    # from a file.
-    missing = F.when(
-        F.col("__p").isNull() | F.col("__a").isNull(),
-        F.raise_error(
-            F.concat(
-                F.lit("predictions and answers differ in length / keys at example_id "),
-                F.col("example_id").cast("string"),
-            )
-        ),
-    )
-    check = F.coalesce(missing, _key_guard("__p", "predictions"), _key_guard("__a", "answers"))
-    return joined.select(
-        F.col("example_id"),
-        F.coalesce(check.cast("int"), F.col("pred")).alias("pred"),
-        F.col("answer"),
-    )
+    # a missing side shows as a null count, which tells it apart from a null value from a file
+    joined = _paired(p.join(a, "example_id", "full_outer"), "__p", "__a", "predictions", "answers")
+    return joined.select("example_id", "pred", "answer")
 
 
 def accuracy(
@@ -80,12 +70,7 @@ def accuracy(
     if exclude_hidden:
         aligned = aligned.filter(~hidden | F.col("answer").isNull())
     else:
-        aligned = aligned.withColumn(
-            "answer",
-            F.when(hidden, F.raise_error(F.lit("hidden label 100 among answers")).cast("int")).otherwise(
-                F.col("answer")
-            ),
-        )
+        aligned = require(aligned, hidden, "hidden label 100 among answers")
     hit = F.coalesce((F.col("pred") == F.col("answer")).cast("double"), F.lit(0.0))
     return aligned.agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))
 
@@ -112,17 +97,24 @@ def bce_with_logits(
 ) -> DataFrame:
     """One row: mean over all elements of binary cross-entropy with logits.
 
-    ``scores`` and ``targets`` are joined on ``example_id``; vectors must have equal width.
+    Every ``example_id`` must be once on both sides, with vectors of equal width.  The key check
+    runs on counts without the vectors (hash aggregation), and the vectors are joined once.
     """
-    s = _one_per_key(scores.select("example_id", as_double_array(scores_col).alias("x")), "x", "__s")
-    t = _one_per_key(targets.select("example_id", as_double_array(target_col).alias("z")), "z", "__t")
-    joined = s.join(t, "example_id", "inner")
-    width_ok = F.size("x") == F.size("z")
-    dup = F.coalesce(_key_guard("__s", "scores"), _key_guard("__t", "targets"))
-    row_sum = F.when(width_ok, F.coalesce(dup.cast("double"), bce_with_logits_sum("x", "z"))).otherwise(
-        F.raise_error(F.lit("logit and target vectors differ in width")).cast("double")
+    s = scores.select("example_id", as_double_array(scores_col).alias("x"))
+    t = targets.select("example_id", as_double_array(target_col).alias("z"))
+    sides = s.select("example_id", F.lit(1).alias("__in_s"), F.lit(0).alias("__in_t")).unionAll(
+        t.select("example_id", F.lit(0), F.lit(1))
+    )
+    keys = sides.groupBy("example_id").agg(
+        F.nullif(F.sum("__in_s"), F.lit(0)).alias("__s"), F.nullif(F.sum("__in_t"), F.lit(0)).alias("__t")
+    )
+    keys = _paired(keys, "__s", "__t", "scores", "targets").select("example_id")
+    joined = require(
+        keys.join(s, "example_id").join(t, "example_id"),
+        F.col("x").isNull() | F.col("z").isNull() | (F.size("x") != F.size("z")),
+        "logit and target vectors differ in width",
     )
     return joined.agg(
-        (F.sum(row_sum) / F.sum(F.size("x"))).alias("loss"),
+        (F.sum(bce_with_logits_sum("x", "z")) / F.sum(F.size("x"))).alias("loss"),
         F.count(F.lit(1)).alias("n"),
     )

@@ -3,13 +3,14 @@ region, embeddings), so that every operator runs over whole tables and has a SQL
 
 * ``rel_labels``: one relation class per nation, named ``REGION:NATION``; id 0 plays "no
   relation".
-* ``rel_examples``: one example per document with at least two words.  The sentence is the
-  whole document text with line breaks turned into spaces; the entities are its first and
-  last word (swapped on odd ``doc_id`` so both span orders occur).  Labelled documents carry
-  the class of ``doc_id mod 25``; the rest are ``blind``.
-* ``rel_scores``: the 64 embedding numbers read as four 10-class models (indices 0-39).
+* ``rel_texts``: one example per document with a word.  The sentence is the whole document
+  text with line breaks turned into spaces; the entities are its first and last word (swapped
+  on odd ``doc_id`` so both span orders occur; the same word in a one-word document).
+* ``rel_examples``: the same with a relation: labelled documents carry the class of
+  ``doc_id mod 25``; the rest are ``blind``.
+* ``rel_scores``: the 64 embedding numbers read as four 16-class models.
 * ``rel_answers``: the embedding's class label as the answer.
-* ``rel_hypothesis_scores``: the first 64 numbers as 32 two-wide hypothesis score rows.
+* ``rel_hypothesis_scores``: the 64 numbers as 32 two-wide hypothesis score rows.
 """
 
 from __future__ import annotations
@@ -18,32 +19,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.labels import label_dimension
-from ..sources.files import spread_scan
 
 N_MODELS = 4
-MODEL_WIDTH = 10
+MODEL_WIDTH = 16
 N_HYPOTHESIS_ROWS = 32
 
 
 _TABLES: dict[tuple[str, str], DataFrame] = {}
 
-# Row key of the tables whose rows fan out into per-row text or score work.
-TABLE_KEYS = {"documents": "doc_id", "embeddings": "vec_id"}
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; the DataFrame (file listing and footer schema) is reused per session.
-
-    Tables with a row key go through :func:`relspark.sources.files.spread_scan`, so a scan of
-    a single unsplittable file still feeds every core.
-    """
+    """A driver table; the DataFrame (file listing and footer schema) is reused per session."""
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
     key = (spark.sparkContext.applicationId, path)
     if key not in _TABLES:
-        df = spark.read.parquet(path)
-        if name in TABLE_KEYS:
-            df = spread_scan(df, TABLE_KEYS[name])
-        _TABLES[key] = df
+        _TABLES[key] = spark.read.parquet(path)
     return _TABLES[key]
 
 
@@ -81,14 +71,11 @@ def rel_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @_memo
-def rel_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``example_id, sentence, entity_01, entity_02, e1_s, e1_e, e2_s, e2_e, relation``."""
+def rel_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``example_id, sentence, entity_01, entity_02, e1_s, e1_e, e2_s, e2_e``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("l_doc_id"))
     sentence = F.trim(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")))
-    b = docs.select(F.col("doc_id"), sentence.alias("sentence")).filter(
-        F.instr(F.col("sentence"), " ") > 0
-    )
+    b = docs.select(F.col("doc_id"), sentence.alias("sentence")).filter(F.col("sentence") != "")
     # first and last space-separated word, without materialising the word array
     t = b.select(
         "doc_id",
@@ -99,14 +86,7 @@ def rel_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     even = (F.col("doc_id") % 2) == 0
     ln = F.length("sentence")
     la, lz = F.length("a"), F.length("z")
-    # The labels table holds one row per labelled document (doc_id is its key).
-    joined = t.join(labels, t.doc_id == labels.l_doc_id, "left")
-    names = rel_labels_raw(spark, sf_dir).select(
-        F.col("label_id").alias("__nk"), F.col("label_name").alias("__name")
-    )
-    # nation has 25 rows by definition of the schema: a proven bound for the broadcast.
-    joined = joined.join(F.broadcast(names), (F.col("doc_id") % 25).cast("int") == F.col("__nk"))
-    return joined.select(
+    return t.select(
         F.col("doc_id").alias("example_id"),
         F.col("sentence"),
         F.when(even, F.col("a")).otherwise(F.col("z")).alias("entity_01"),
@@ -115,15 +95,27 @@ def rel_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(even, la - 1).otherwise(ln - 1).cast("int").alias("e1_e"),
         F.when(~even, F.lit(0)).otherwise(ln - lz).cast("int").alias("e2_s"),
         F.when(~even, la - 1).otherwise(ln - 1).cast("int").alias("e2_e"),
-        F.when(F.col("l_doc_id").isNull(), F.lit("blind"))
-        .otherwise(F.col("__name"))
-        .alias("relation"),
     )
 
 
+@_memo
+def rel_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``rel_texts`` with ``relation``."""
+    # The labels table holds one row per labelled document (doc_id is its key).
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("__l"))
+    names = rel_labels_raw(spark, sf_dir).select(
+        F.col("label_id").alias("__nk"), F.col("label_name").alias("__name")
+    )
+    joined = rel_texts(spark, sf_dir).join(labels, F.col("example_id") == F.col("__l"), "left")
+    # nation has 25 rows by definition of the schema: a proven bound for the broadcast.
+    joined = joined.join(F.broadcast(names), (F.col("example_id") % 25).cast("int") == F.col("__nk"))
+    relation = F.when(F.col("__l").isNull(), F.lit("blind")).otherwise(F.col("__name"))
+    return joined.withColumn("relation", relation).drop("__l", "__nk", "__name")
+
+
 @_memo
 def rel_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``SCORES``: four 10-class models cut from each embedding."""
+    """``SCORES``: four 16-class models cut from each embedding."""
     emb = table(spark, sf_dir, "embeddings")
     return emb.select(
         F.col("vec_id").alias("example_id"),

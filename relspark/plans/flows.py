@@ -18,6 +18,8 @@ def build_inputs(
     style: str,
     dim: DataFrame | None = None,
     tagger: Callable | None = None,
+    pandas_tagger: Callable | None = None,
+    load_fn: Callable | None = None,
     **kw,
 ) -> DataFrame:
     """``EXAMPLE`` rows -> model inputs of one style (``pair``, ``typed_pair``, ``single``,
@@ -31,9 +33,9 @@ def build_inputs(
     if style == inputs.STYLE_TYPED_PAIR:
         from ..operators.jobs import tag_entities
 
-        if tagger is None:
+        if tagger is None and pandas_tagger is None:
             raise ValueError("typed_pair needs a tagger")
-        return inputs.typed_pair_input(tag_entities(ex, tagger=tagger))
+        return inputs.typed_pair_input(tag_entities(ex, tagger=tagger, pandas_tagger=pandas_tagger, load_fn=load_fn), **kw)
     if style == inputs.STYLE_HYPOTHESIS:
         if dim is None:
             raise ValueError("hypothesis inputs need the label dimension")
@@ -56,10 +58,12 @@ def decode_scores(scores: DataFrame, decoder: str, **kw) -> DataFrame:
     return table[decoder](scores, **kw)
 
 
-def load_test_dataset(spark: SparkSession, path: str, dim: DataFrame, style: str = "pair", **kw) -> DataFrame:
+def load_test_dataset(
+    spark: SparkSession, path: str, dim: DataFrame, style: str = "pair", scope: str = "file", **kw
+) -> DataFrame:
     """Raw example file -> model inputs of ``style`` (the plain, two-sentence and hypothesis
     test loaders are this with different styles)."""
-    raw = files.read_raw_examples(spark, path)
+    raw = files.read_raw_examples(spark, path, scope=scope)
     return build_inputs(examples.project_examples(raw, dim), style, dim=dim, **kw)
 
 
@@ -68,10 +72,55 @@ def load_marked_examples(spark: SparkSession, path: str, dim: DataFrame) -> Data
     return examples.mark_entities(files.read_raw_examples(spark, path), dim)
 
 
-def tagged_test_dataset(spark: SparkSession, path: str, tagger: Callable) -> DataFrame:
-    """Tagged example file -> typed-pair model inputs."""
-    tagged = files.read_tagged_examples(spark, path)
-    return build_inputs(examples.project_tagged(tagged), inputs.STYLE_TYPED_PAIR, tagger=tagger)
+def tagged_test_dataset(
+    spark: SparkSession,
+    path: str,
+    tagger: Callable | None = None,
+    pandas_tagger: Callable | None = None,
+    load_fn: Callable | None = None,
+    scope: str = "file",
+    **kw,
+) -> DataFrame:
+    """Tagged example file -> typed-pair model inputs, tags by a Column tagger or a model."""
+    tagged = files.read_tagged_examples(spark, path, scope=scope)
+    return build_inputs(
+        examples.project_tagged(tagged), inputs.STYLE_TYPED_PAIR, tagger=tagger, pandas_tagger=pandas_tagger, load_fn=load_fn, **kw
+    )
+
+
+def ensemble_files(
+    spark: SparkSession,
+    raw_path: str,
+    tagged_path: str,
+    dim: DataFrame,
+    pair_models: dict[str, Callable],
+    typed_models: dict[str, Callable],
+    score_fn: Callable,
+    pandas_tagger: Callable,
+    out_path: str,
+    tagger_load_fn: Callable | None = None,
+    width: int | None = None,
+    scope: str = "file",
+) -> DataFrame:
+    """The ensemble as one flow: a raw and a tagged file of the same examples in the same order,
+    models by name and loader on entity pairs and on typed pairs, soft vote, positional
+    predictions written to ``out_path``.  Returns the vote (``example_id``, ``pred``, ``probs``).
+
+    The two files are aligned by position; a row that only one of them has lacks some of the
+    models' scores, and the vote raises."""
+    from ..operators.jobs import score_batches
+
+    raw = files.read_raw_examples(spark, raw_path, scope=scope)
+    pairs = inputs.pair_input(examples.project_examples(raw, dim))
+    typed = tagged_test_dataset(spark, tagged_path, pandas_tagger=pandas_tagger, load_fn=tagger_load_fn, scope=scope)
+    scores = None
+    for frame, models in ((pairs, pair_models), (typed, typed_models)):
+        for name, load_fn in models.items():
+            part = score_batches(frame, score_fn, ["text", "text_pair"], load_fn=load_fn, model_id=name)
+            scores = part if scores is None else scores.unionByName(part)
+    vote = decode.ensemble_soft_vote(scores, expected_models=[*pair_models, *typed_models], width=width)
+    files.write_positional_predictions(vote, out_path)
+    return vote
 
 
 def score_hypotheses(
@@ -121,12 +170,12 @@ def score_two_sentence(
     return decode.pair_soft_vote_compact(scores)
 
 
-def evaluate_files(spark: SparkSession, pred_path: str, answer_path: str, **kw) -> DataFrame:
+def evaluate_files(spark: SparkSession, pred_path: str, answer_path: str, scope: str = "file", **kw) -> DataFrame:
     """Accuracy of a positional prediction file (column ``pred``) against a positional answer
     file (column ``answer``): rows are aligned by their position, and files of different
-    length fail."""
-    preds = files.read_predictions(spark, pred_path, column="pred").select("example_id", "pred")
-    answers = files.read_predictions(spark, answer_path, column="answer").select("example_id", "answer")
+    length fail.  ``scope='dir'`` reads multi-part folders."""
+    preds = files.read_predictions(spark, pred_path, column="pred", scope=scope).select("example_id", "pred")
+    answers = files.read_predictions(spark, answer_path, column="answer", scope=scope).select("example_id", "answer")
     return metrics.accuracy(preds, answers, **kw)
 
 

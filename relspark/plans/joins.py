@@ -1,42 +1,25 @@
-"""Join-strategy helpers: broadcast only sides whose size has been checked.
+"""Join strategy and run-time checks.
 
-A dimension (label map, distinct-entity tags, per-split offsets) is broadcast only after a
-bounded row count proves it small: ``limit(n + 1).count()`` reads at most ``n + 1`` rows, so
-the check stays cheap even on a large side.  The answer is remembered per DataFrame, so a
-dimension used by several joins is counted once.  Beyond the bound the same join is left to
-Catalyst, which plans a shuffle join and lets AQE split skewed partitions.
+Only the label dimension is broadcast by hint, and only behind a check of its size in bytes;
+every other join is left to Catalyst and AQE, which see bytes and split skewed partitions.
+Checks are filters, so no column selection or count can prune them away.
 """
 
 from __future__ import annotations
 
-import weakref
-
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Upper bound on rows of a side we are willing to ship to every executor.  A label dimension
-# has tens of rows; a distinct-entity tag table can grow with the data, hence the check.
-DEFAULT_BROADCAST_ROWS = 2_000_000
-
-_COUNT_MEMO: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
+# Upper bound on the bytes of a side that is shipped to every executor by hint.
+BROADCAST_BYTES = 64 << 20
 
-def row_count_at_most(df: DataFrame, limit: int) -> bool:
-    """True if ``df`` has at most ``limit`` rows; reads at most ``limit + 1`` rows."""
-    memo = _COUNT_MEMO.setdefault(df, {})
-    if limit not in memo:
-        memo[limit] = df.limit(limit + 1).count() <= limit
-    return memo[limit]
 
+def broadcast_within(df: DataFrame, size_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if its measured size is within ``limit``, else as it is."""
+    return F.broadcast(df) if size_bytes <= limit else df
 
-def checked_broadcast(
-    df: DataFrame, max_rows: int = DEFAULT_BROADCAST_ROWS, size_of: DataFrame | None = None
-) -> DataFrame:
-    """``F.broadcast(df)`` when it provably has at most ``max_rows`` rows, else ``df``.
 
-    ``size_of`` names the frame whose row count bounds ``df`` (e.g. the dimension a lookup
-    projection was taken from), so repeated lookups of one dimension share one count.
-    """
-    if row_count_at_most(size_of if size_of is not None else df, max_rows):
-        return F.broadcast(df)
-    return df
+def require(df: DataFrame, bad: Column, message: Column | str) -> DataFrame:
+    """``df``, raising ``message`` on the first row for which ``bad`` holds."""
+    text = F.lit(message) if isinstance(message, str) else message
+    return df.filter(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(text).cast("boolean")).otherwise(F.lit(True)))

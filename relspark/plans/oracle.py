@@ -22,7 +22,7 @@ REL_EXAMPLES = """
 b AS (SELECT doc_id, trim(replace(text, chr(10), ' ')) AS sentence FROM documents),
 t AS (SELECT doc_id, sentence,
         string_split(sentence, ' ')[1] AS a, string_split(sentence, ' ')[-1] AS z
-      FROM b WHERE instr(sentence, ' ') > 0),
+      FROM b WHERE sentence <> ''),
 rel_examples AS (
   SELECT t.doc_id AS example_id, sentence,
     CASE WHEN t.doc_id % 2 = 0 THEN a ELSE z END AS entity_01,
@@ -42,7 +42,7 @@ enc AS (
 REL_SCORES = """
 rel_scores AS (
   SELECT vec_id AS example_id, 0 AS variant, CAST(m AS VARCHAR) AS model_id,
-         list_transform(embedding[m * 10 + 1 : m * 10 + 10], lambda e: CAST(e AS DOUBLE)) AS scores
+         list_transform(embedding[m * 16 + 1 : m * 16 + 16], lambda e: CAST(e AS DOUBLE)) AS scores
   FROM embeddings CROSS JOIN (VALUES (0), (1), (2), (3)) AS mm(m)),
 rel_answers AS (SELECT vec_id AS example_id, CAST(label AS INTEGER) AS answer FROM embeddings),
 sx AS (
@@ -87,7 +87,11 @@ HYP_REV_SQL = ASCII_HYPOTHESES[1].replace("{}", "%s").replace("'", "''")
 TAG_SQL = "CASE WHEN regexp_matches({e}, '^[A-Z]') THEN 'CAP' ELSE 'LOW' END"
 
 MARK_SQL = """
-  CASE WHEN e1_s <= e2_s THEN
+  CASE WHEN e1_s = e2_s AND e1_e = 0 THEN '[E1]' || sentence || '[/E1][E2]' || sentence || '[/E2]'
+  WHEN e1_s = e2_s THEN  -- a one-word sentence: both spans are the word
+    '[E1]' || substr(sentence, 1, 1) || '[/E2]' || substr(sentence, 2, e1_e - 1) || '[E1]'
+    || substr(sentence, e1_e + 1, 1) || '[/E2]'
+  WHEN e1_s <= e2_s THEN
     substr(sentence, 1, e1_s) || '[E1]' || substr(sentence, e1_s + 1, e1_e - e1_s + 1) || '[/E1]'
     || substr(sentence, e1_e + 2, greatest(e2_s - e1_e - 1, 0)) || '[E2]'
     || substr(sentence, e2_s + 1, e2_e - e2_s + 1) || '[/E2]' || substr(sentence, e2_e + 2)
@@ -114,13 +118,27 @@ kp AS (
     CAST(CASE WHEN ov <= d THEN (CASE WHEN la > lb THEN lb ELSE lb - ov END)
          ELSE m - ceil((ov - d) / 2) END AS INTEGER) AS n_b
   FROM cut)
-SELECT example_id, n_a, n_b,
-  CAST(n_a + n_b + 3 AS INTEGER) AS n_tokens,
+SELECT example_id, n_a, n_b, 100 AS n_tokens,
   array_to_string(list_concat(list_concat(list_concat(list_concat(['[CLS]'], ta[1:n_a]), ['[SEP]']),
-    tb[1:n_b]), ['[SEP]']), ' ') AS input_text,
-  CAST(n_a + 2 AS INTEGER) AS n_segment_0
+    tb[1:n_b]), ['[SEP]']), ' ') || repeat(' [PAD]', CAST(97 - n_a - n_b AS BIGINT)) AS input_text,
+  repeat('0', CAST(n_a + 2 AS BIGINT)) || repeat('1', CAST(n_b + 1 AS BIGINT)) || repeat('0', CAST(97 - n_a - n_b AS BIGINT)) AS segments,
+  repeat('1', CAST(n_a + n_b + 3 AS BIGINT)) || repeat('0', CAST(97 - n_a - n_b AS BIGINT)) AS mask
 FROM kp"""
 
+
+
+def _linear(name: str, a: int, b: int) -> str:
+    """Scores of a fixed dense 64x10 layer as a CTE."""
+    return f"""{name} AS (
+  SELECT vec_id AS example_id, list_transform(range(10), lambda j: list_sum(list_transform(range(64),
+    lambda i: CAST(embedding[i + 1] AS DOUBLE) * ((i * {a} + j * {b}) % 11 - 5) / 8.0))) AS scores
+  FROM embeddings)"""
+
+
+_LINEAR_TOP = """
+SELECT example_id, '{name}' AS model_id, CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS pred,
+  round(list_max(scores), 6) AS top_score FROM {name}"""
+
 ORACLE: dict[str, str] = {
     # --- projections and label lookups ------------------------------------------------
     "project_examples": EX + "SELECT example_id, sentence, entity_01, entity_02, label FROM enc",
@@ -192,12 +210,12 @@ FROM enc e CROSS JOIN rel_labels rl CROSS JOIN (VALUES (0), (1)) AS d(direction)
 WHERE rl.label_id <> 0""",
     "soft_target": SC
     + """SELECT a.example_id, CAST(i AS INTEGER) AS pos,
-  round(CASE WHEN a.answer = 0 THEN 1.0 / 10 WHEN i = a.answer - 1 THEN 1.0 ELSE 0.0 END, 6) AS value
-FROM rel_answers a CROSS JOIN range(10) AS ii(i)""",
+  round(CASE WHEN a.answer = 0 THEN 1.0 / 16 WHEN i = a.answer - 1 THEN 1.0 ELSE 0.0 END, 6) AS value
+FROM rel_answers a CROSS JOIN range(16) AS ii(i)""",
     "smoothed_target": SC
     + """SELECT a.example_id, CAST(i AS INTEGER) AS pos,
-  round(0.5 / 10 + CASE WHEN i = a.answer THEN 0.5 ELSE 0.0 END, 6) AS value
-FROM rel_answers a CROSS JOIN range(10) AS ii(i)""",
+  round(0.5 / 16 + CASE WHEN i = a.answer THEN 0.5 ELSE 0.0 END, 6) AS value
+FROM rel_answers a CROSS JOIN range(16) AS ii(i)""",
     # --- score math and decoders ---------------------------------------------------------
     "softmax": SC
     + "SELECT example_id, model_id, CAST(pos AS INTEGER) AS pos, round(p, 6) AS value FROM soft",
@@ -213,9 +231,12 @@ FROM rel_answers a CROSS JOIN range(10) AS ii(i)""",
   CAST(CASE WHEN 1 / (1 + exp(-list_max(scores))) < 0.55 THEN 0
        ELSE list_position(scores, list_max(scores)) END AS INTEGER) AS pred
 FROM rel_scores""",
-    "pair_soft_vote": SC
-    + """, pp AS (SELECT example_id, pos, avg(p) AS p FROM soft WHERE model_id IN ('0', '1')
-       GROUP BY example_id, pos)
+    "pair_soft_vote": """WITH pv AS (
+  SELECT vec_id AS example_id, v, list_transform(embedding[v * 32 + 1 : v * 32 + 32], lambda e: CAST(e AS DOUBLE)) AS s
+  FROM embeddings CROSS JOIN (VALUES (0), (1)) AS vv(v)),
+px AS (SELECT example_id, v, generate_subscripts(s, 1) - 1 AS pos, exp(unnest(s)) AS e FROM pv),
+ps AS (SELECT example_id, pos, e / sum(e) OVER (PARTITION BY example_id, v) AS p FROM px),
+pp AS (SELECT example_id, pos, avg(p) AS p FROM ps GROUP BY example_id, pos)
 SELECT example_id, 'pair' AS model_id, CAST(pos AS INTEGER) AS pred FROM (
   SELECT example_id, pos, row_number() OVER (PARTITION BY example_id ORDER BY p DESC, pos) AS rn
   FROM pp) WHERE rn = 1""",
@@ -257,9 +278,9 @@ FROM best WHERE rn = 1""",
 SELECT round(avg(CASE WHEN e.pred = a.answer THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n
 FROM ens e JOIN rel_answers a USING (example_id)""",
     "accuracy_from_scores": SC
-    + """SELECT round(avg(CASE WHEN list_position(s.scores, list_max(s.scores)) - 1 = a.answer
+    + """SELECT s.model_id, round(avg(CASE WHEN list_position(s.scores, list_max(s.scores)) - 1 = a.answer
                 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n
-FROM rel_scores s JOIN rel_answers a USING (example_id) WHERE s.model_id = '0'""",
+FROM rel_scores s JOIN rel_answers a USING (example_id) GROUP BY s.model_id""",
     "confusion_counts": SC
     + ENSEMBLE_CTE
     + """
@@ -268,22 +289,15 @@ GROUP BY a.answer, e.pred""",
     "bce_with_logits": SC
     + """, tg AS (
   SELECT a.example_id, CAST(i AS INTEGER) AS pos,
-    CASE WHEN a.answer = 0 THEN 1.0 / 10 WHEN i = a.answer - 1 THEN 1.0 ELSE 0.0 END AS z
-  FROM rel_answers a CROSS JOIN range(10) AS ii(i))
-SELECT round(avg(greatest(x.v, 0) - x.v * tg.z + ln(1 + exp(-abs(x.v)))), 6) AS loss,
+    CASE WHEN a.answer = 0 THEN 1.0 / 16 WHEN i = a.answer - 1 THEN 1.0 ELSE 0.0 END AS z
+  FROM rel_answers a CROSS JOIN range(16) AS ii(i))
+SELECT x.model_id, round(avg(greatest(x.v, 0) - x.v * tg.z + ln(1 + exp(-abs(x.v)))), 6) AS loss,
   count(DISTINCT x.example_id) AS n
-FROM sx x JOIN tg ON x.example_id = tg.example_id AND x.pos = tg.pos WHERE x.model_id = '0'""",
+FROM sx x JOIN tg ON x.example_id = tg.example_id AND x.pos = tg.pos GROUP BY x.model_id""",
     # --- scoring -------------------------------------------------------------------------
-    "score_batches": """
-WITH sb AS (
-  SELECT vec_id AS example_id,
-    list_transform(range(10), lambda i: CAST(embedding[i + 1] AS DOUBLE) + CAST(embedding[i + 11] AS DOUBLE)
-                                   - CAST(embedding[i + 21] AS DOUBLE)) AS scores
-  FROM embeddings)
-SELECT example_id, 'linear' AS model_id,
-  CAST(list_position(scores, list_max(scores)) - 1 AS INTEGER) AS pred,
-  round(list_max(scores), 6) AS top_score
-FROM sb""",
+    "score_batches": "WITH " + _linear("linear", 7, 3) + _LINEAR_TOP.format(name="linear"),
+    "score_two_models": "WITH " + _linear("first", 7, 3) + ", " + _linear("second", 5, 4)
+    + _LINEAR_TOP.format(name="first") + " UNION ALL " + _LINEAR_TOP.format(name="second"),
     # --- sources (written by Spark from the driver tables, read back) --------------------
     "read_raw_examples": EX + "SELECT example_id, sentence, entity_01, entity_02, label FROM enc",
     "read_tagged_examples": EX + "SELECT example_id, sentence, entity_01, entity_02, label FROM enc",
@@ -334,3 +348,88 @@ av AS (SELECT example_id, c, sum(p) / 2 AS p FROM sm GROUP BY example_id, c),
 best AS (SELECT example_id, c, p,
            row_number() OVER (PARTITION BY example_id ORDER BY p DESC, c) AS rn FROM av)
 SELECT example_id, CAST(c AS INTEGER) AS pred, round(p, 6) AS score FROM best WHERE rn = 1"""
+
+
+ORACLE["train_linear_classifier"] = """
+SELECT doc_id AS example_id, 0 AS variant, 'bow_lr' AS model_id, CAST(((doc_id % 5) + 5) % 5 AS INTEGER) AS pred
+FROM documents WHERE trim(replace(text, chr(10), ' ')) <> ''"""
+
+ORACLE["row_position"] = EX + """
+SELECT example_id, CAST(row_number() OVER (ORDER BY example_id) - 1 AS BIGINT) AS position, true AS file_positions_ok
+FROM rel_examples"""
+
+ORACLE["read_predictions"] = SC + ARGMAX_CTE + """
+SELECT CAST(row_number() OVER (PARTITION BY model_id ORDER BY example_id) - 1 AS BIGINT) AS example_id,
+  'm' || model_id AS model_id, pred FROM am"""
+
+ORACLE["hard_vote_files"] = SC + ARGMAX_CTE + """,
+placed AS (SELECT row_number() OVER (PARTITION BY model_id ORDER BY example_id) - 1 AS position, pred FROM am),
+cnt AS (SELECT position, pred, count(*) AS n FROM placed GROUP BY position, pred)
+SELECT CAST(position AS BIGINT) AS example_id, pred, CAST(n AS INTEGER) AS votes FROM (
+  SELECT position, pred, n, row_number() OVER (PARTITION BY position ORDER BY n DESC, pred) AS rn FROM cnt) WHERE rn = 1"""
+
+ORACLE["read_quoted_breaks"] = EX + """
+SELECT e.example_id AS doc_id, CAST(row_number() OVER (ORDER BY e.example_id) - 1 AS BIGINT) AS position,
+  trim(d.text) AS sentence, e.relation
+FROM rel_examples e JOIN documents d ON d.doc_id = e.example_id"""
+
+ORACLE["label_dimension"] = "WITH " + REL_LABELS + "\nSELECT label_id, label_name, subject_part, attribute_part FROM rel_labels"
+
+ORACLE["read_templates"] = "WITH " + REL_LABELS + """
+SELECT label_id, label_name, attribute_part || ' of?' AS forward, subject_part || ' to?' AS reverse,
+  CASE WHEN label_id % 5 = 0 THEN '{1} ' || attribute_part || '|{2} ' || subject_part ELSE '' END AS extra
+FROM rel_labels"""
+
+CONFIGS = """WITH conf AS (
+  SELECT n_nationkey AS k, CAST(n_nationkey AS BIGINT) AS seed, n_name AS MODEL_NAME,
+    './out/' || CASE WHEN n_nationkey % 12 = 3 THEN 'shared' ELSE n_name END AS output_dir,
+    './log/' || n_regionkey || '/' || CASE WHEN n_nationkey % 9 = 4 THEN 'same' ELSE n_name END AS logging_dir,
+    CAST(2 AS BIGINT) AS EPOCH, 'SGD' AS optimizer, CAST(0.25 AS DOUBLE) AS learning_rate,
+    CASE WHEN n_nationkey % 8 <> 7 THEN CAST(4 AS BIGINT) END AS batch_size,
+    CASE WHEN n_nationkey % 5 = 1 THEN 'on' ELSE 'off' END AS rtq,
+    CASE WHEN n_nationkey % 3 = 0 THEN 'on' ELSE 'off' END AS two_sentence,
+    CASE WHEN n_nationkey % 4 = 2 THEN 'on' ELSE 'off' END AS except_0,
+    CASE WHEN n_nationkey % 10 <> 9 THEN CASE WHEN n_nationkey % 2 = 0 THEN 'on' ELSE 'off' END END AS entity_token,
+    CASE WHEN n_nationkey % 9 = 4 THEN 'same' ELSE n_name END || '_2' AS run
+  FROM nation)
+"""
+ORACLE["read_experiments"] = CONFIGS + "SELECT * EXCLUDE (k, run) FROM conf"
+ORACLE["num_labels"] = CONFIGS + """SELECT MODEL_NAME AS model,
+  CASE WHEN rtq = 'on' THEN 2 WHEN except_0 = 'on' THEN 41 ELSE 42 END AS num_labels FROM conf"""
+ORACLE["input_style"] = CONFIGS + """SELECT MODEL_NAME AS model,
+  CASE WHEN rtq = 'on' THEN 'hypothesis' WHEN two_sentence = 'on' THEN 'two_sentence'
+       WHEN entity_token IS NULL THEN NULL WHEN entity_token = 'on' THEN 'typed_pair' ELSE 'pair' END AS style,
+  CASE WHEN rtq = 'on' THEN 'hypothesis_decode' WHEN two_sentence = 'on' THEN 'pair_soft_vote'
+       WHEN except_0 = 'on' THEN 'threshold_decode' ELSE 'argmax_decode' END AS decoder FROM conf"""
+ORACLE["experiment_check"] = CONFIGS + """, c AS (
+  SELECT MODEL_NAME AS model,
+    concat_ws(',', CASE WHEN batch_size IS NULL THEN 'batch_size' END, CASE WHEN entity_token IS NULL THEN 'entity_token' END) AS missing_keys,
+    count(*) OVER (PARTITION BY output_dir) > 1 AS duplicate_output_dir,
+    count(*) OVER (PARTITION BY run) > 1 AS duplicate_run_name,
+    rtq = 'on' AND except_0 = 'on' AS conflict FROM conf)
+SELECT *, missing_keys = '' AND NOT duplicate_output_dir AND NOT duplicate_run_name AND NOT conflict AS ok FROM c"""
+ORACLE["run_name"] = CONFIGS + "SELECT MODEL_NAME AS model, run AS run_name FROM conf"
+
+_POSITIONED = EX + """,
+placed AS (SELECT CAST(row_number() OVER (ORDER BY example_id) - 1 AS BIGINT) AS position, * FROM enc)"""
+ORACLE["load_test_dataset"] = _POSITIONED + f"""
+SELECT position AS example_id, 0 AS variant, 'two_sentence' AS style, sentence AS text,
+  printf('{TWO_SENTENCE_SQL}', entity_01, entity_02) AS text_pair, 150 AS max_length FROM placed
+UNION ALL
+SELECT position, 1, 'two_sentence', sentence, printf('{TWO_SENTENCE_SQL}', entity_02, entity_01), 150 FROM placed"""
+_TYPED = (
+    "'[E1][E1-NER]' || " + TAG_SQL.format(e="entity_01") + " || '[E1-NER]' || entity_01 || '[E1][E2][E2-NER]' || "
+    + TAG_SQL.format(e="entity_02") + " || '[E2-NER]' || entity_02 || '[E2]'"
+)
+ORACLE["tagged_test_dataset"] = _POSITIONED + f"""
+SELECT position AS example_id, 0 AS variant, 'typed_pair' AS style, {_TYPED} AS text, sentence AS text_pair, 200 AS max_length FROM placed"""
+ORACLE["ensemble_files"] = _POSITIONED + f""",
+tx AS (SELECT position, example_id, length(entity_01 || '[SEP]' || entity_02) AS p, length({_TYPED}) AS t, length(sentence) AS m FROM placed),
+md AS (SELECT * FROM (VALUES ('p', 5, 3), ('p', 7, 4), ('t', 6, 5), ('t', 9, 2)) AS v(kind, a, b)),
+ln AS (SELECT position, example_id, a, b, CASE kind WHEN 'p' THEN p ELSE t END AS n, m FROM tx CROSS JOIN md),
+lg AS (SELECT position, example_id, a, b, c, CAST(CASE c WHEN 0 THEN (n % a) * 0.23 WHEN 1 THEN (m % b) * 0.51 ELSE ((n + m) % (a + b)) * 0.117 END AS DOUBLE) AS x
+       FROM ln CROSS JOIN (VALUES (0), (1), (2)) AS cc(c)),
+sf AS (SELECT position, example_id, c, exp(x) / sum(exp(x)) OVER (PARTITION BY position, a, b) AS p FROM lg),
+av AS (SELECT position, example_id, c, round(avg(p), 12) AS p FROM sf GROUP BY position, example_id, c),
+vt AS (SELECT position, example_id, c, row_number() OVER (PARTITION BY position ORDER BY p DESC, c) AS rn FROM av)
+SELECT round(avg(CASE WHEN c = example_id % 3 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM vt WHERE rn = 1"""

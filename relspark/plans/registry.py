@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import argmax, sigmoid_array, softmax
-from ..operators import decode, examples, inputs, jobs, labels, metrics, targets
+from ..operators import decode, examples, experiments, inputs, jobs, labels, metrics, targets
 from ..session import scratch_path
 from ..sources import files
 from . import fixtures as fx
+from . import flows
 from .oracle import ASCII_HYPOTHESES, ASCII_TWO_SENTENCE
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,14 @@ def _examples(spark: SparkSession, d: str) -> DataFrame:
     return examples.project_examples(fx.rel_examples(spark, d), fx.rel_labels(spark, d))
 
 
+def _texts(spark: SparkSession, d: str) -> DataFrame:
+    """Sentence and entities for builders whose output has no label: one scan, no join."""
+    return examples.project_texts(fx.rel_texts(spark, d))
+
+
+MODEL_IDS = [str(m) for m in range(fx.N_MODELS)]
+
+
 def _explode_vector(df: DataFrame, keys: list[str], vec: str) -> DataFrame:
     return df.select(*keys, F.posexplode(vec).alias("pos", "value")).select(
         *keys, F.col("pos").cast("int").alias("pos"), F.round("value", 6).alias("value")
@@ -48,6 +57,15 @@ def fixture_pandas_tagger(s: pd.Series) -> pd.Series:
     return pd.Series(np.where(s.str.match(r"^[A-Z]"), "CAP", "LOW"), index=s.index)
 
 
+def load_fixture_tagger() -> dict[bool, str]:
+    return {True: "CAP", False: "LOW"}
+
+
+def fixture_model_tagger(model: dict[bool, str], s: pd.Series) -> pd.Series:
+    """The same tags by a loaded model."""
+    return s.str.match(r"^[A-Z]").map(model)
+
+
 # --- projections and label lookups ---------------------------------------------------------
 
 
@@ -82,29 +100,31 @@ def q_mark_entities(spark, d):
 
 
 def q_pair_input(spark, d):
-    return inputs.pair_input(_examples(spark, d))
+    return inputs.pair_input(_texts(spark, d))
 
 
 def q_single_input(spark, d):
-    return inputs.single_input(_examples(spark, d))
+    return inputs.single_input(_texts(spark, d))
 
 
 def q_two_sentence_input(spark, d):
-    return inputs.two_sentence_input(_examples(spark, d), template=ASCII_TWO_SENTENCE)
+    return inputs.two_sentence_input(_texts(spark, d), template=ASCII_TWO_SENTENCE)
 
 
 def q_tag_entities(spark, d):
-    tagged = jobs.tag_entities(_examples(spark, d), pandas_tagger=fixture_pandas_tagger)
+    tagged = jobs.tag_entities(_texts(spark, d), pandas_tagger=fixture_pandas_tagger)
     return tagged.select("example_id", "entity_01", "tag_01", "entity_02", "tag_02")
 
 
 def q_typed_pair_input(spark, d):
-    tagged = jobs.tag_entities(_examples(spark, d), tagger=fixture_tagger)
-    return inputs.typed_pair_input(tagged)
+    """Tags by a loaded model: each distinct entity once, joined back without the text."""
+    return flows.build_inputs(
+        _texts(spark, d), inputs.STYLE_TYPED_PAIR, pandas_tagger=fixture_model_tagger, load_fn=load_fixture_tagger
+    )
 
 
 def q_expand_hypotheses(spark, d):
-    ex = _examples(spark, d).select("example_id", "label")
+    ex = _texts(spark, d).select("example_id")
     return inputs.expand_hypotheses(ex, fx.rel_labels(spark, d)).select(
         "example_id", "variant", "label_id", "direction", "subject_part", "attribute_part"
     )
@@ -125,20 +145,21 @@ def q_hypothesis_statements(spark, d):
 
 
 def q_encode_pair(spark, d):
-    enc = inputs.encode_pair(inputs.pair_input(_examples(spark, d)))
+    enc = inputs.encode_pair(inputs.pair_input(_texts(spark, d)), padding="max_length")
     return enc.select(
         "example_id",
         "n_a",
         "n_b",
         F.size("tokens").cast("int").alias("n_tokens"),
         F.array_join("tokens", " ").alias("input_text"),
-        F.size(F.filter("segment_ids", lambda s: s == 0)).cast("int").alias("n_segment_0"),
+        F.array_join(F.transform("segment_ids", lambda s: s.cast("string")), "").alias("segments"),
+        F.array_join(F.transform("attention_mask", lambda s: s.cast("string")), "").alias("mask"),
     )
 
 
 def q_first_example(spark, d):
     return (
-        inputs.pair_input(_examples(spark, d))
+        inputs.pair_input(_texts(spark, d))
         .orderBy("example_id")
         .limit(5)
         .select("example_id", "text", "text_pair")
@@ -163,12 +184,12 @@ def q_hypothesis_target(spark, d):
 
 
 def q_soft_target(spark, d):
-    t = targets.soft_target(fx.rel_answers(spark, d), n_classes=10, label_col="answer")
+    t = targets.soft_target(fx.rel_answers(spark, d), n_classes=fx.MODEL_WIDTH, label_col="answer")
     return _explode_vector(t, ["example_id"], "target")
 
 
 def q_smoothed_target(spark, d):
-    t = targets.smoothed_target(fx.rel_answers(spark, d), n_classes=10, epsilon=0.5, label_col="answer")
+    t = targets.smoothed_target(fx.rel_answers(spark, d), n_classes=fx.MODEL_WIDTH, epsilon=0.5, label_col="answer")
     return _explode_vector(t, ["example_id"], "target")
 
 
@@ -198,24 +219,23 @@ def q_threshold_decode(spark, d):
 
 
 def _pair_scores(spark, d):
-    s = fx.rel_scores(spark, d).filter(F.col("model_id").isin("0", "1"))
-    return s.select(
-        "example_id",
-        F.col("model_id").cast("int").alias("variant"),
-        F.lit("pair").alias("model_id"),
-        "scores",
+    """The 64 numbers as two 32-class question variants."""
+    halves = F.array(F.slice("embedding", 1, 32), F.slice("embedding", 33, 32))
+    emb = fx.table(spark, d, "embeddings")
+    return emb.select(F.col("vec_id").alias("example_id"), F.posexplode(halves).alias("variant", "s")).select(
+        "example_id", F.col("variant").cast("int").alias("variant"), F.lit("pair").alias("model_id"), F.col("s").cast("array<double>").alias("scores")
     )
 
 
 def q_pair_soft_vote(spark, d):
-    return decode.pair_soft_vote(_pair_scores(spark, d), width=fx.MODEL_WIDTH).select(
+    return decode.pair_soft_vote(_pair_scores(spark, d), width=32).select(
         "example_id", "model_id", "pred"
     )
 
 
 def _ensemble(spark, d):
     return decode.ensemble_soft_vote(
-        fx.rel_scores(spark, d), expected_models=fx.N_MODELS, width=fx.MODEL_WIDTH
+        fx.rel_scores(spark, d), expected_models=MODEL_IDS, width=fx.MODEL_WIDTH
     )
 
 
@@ -225,7 +245,7 @@ def q_ensemble_soft_vote(spark, d):
 
 def q_hard_vote(spark, d):
     preds = decode.argmax_decode(fx.rel_scores(spark, d))
-    return decode.hard_vote(preds, expected_models=fx.N_MODELS, n_labels=fx.MODEL_WIDTH)
+    return decode.hard_vote(preds, expected_models=MODEL_IDS, n_labels=fx.MODEL_WIDTH)
 
 
 def q_stack_predictions(spark, d):
@@ -272,9 +292,14 @@ def q_accuracy(spark, d):
 
 
 def q_accuracy_from_scores(spark, d):
-    s = fx.rel_scores(spark, d).filter(F.col("model_id") == "0")
-    acc = metrics.accuracy_from_scores(s, fx.rel_answers(spark, d))
-    return acc.select(F.round("accuracy", 6).alias("accuracy"), "n")
+    """Every model's own accuracy."""
+    out = None
+    for m in MODEL_IDS:
+        s = fx.rel_scores(spark, d).filter(F.col("model_id") == m)
+        acc = metrics.accuracy_from_scores(s, fx.rel_answers(spark, d))
+        acc = acc.select(F.lit(m).alias("model_id"), F.round("accuracy", 6).alias("accuracy"), "n")
+        out = acc if out is None else out.unionAll(acc)
+    return out
 
 
 def q_confusion_counts(spark, d):
@@ -282,23 +307,32 @@ def q_confusion_counts(spark, d):
 
 
 def q_bce_with_logits(spark, d):
-    s = fx.rel_scores(spark, d).filter(F.col("model_id") == "0")
-    t = targets.soft_target(fx.rel_answers(spark, d), n_classes=10, label_col="answer")
-    loss = metrics.bce_with_logits(s, t)
-    return loss.select(F.round("loss", 6).alias("loss"), "n")
+    """Every model's own loss."""
+    t = targets.soft_target(fx.rel_answers(spark, d), n_classes=fx.MODEL_WIDTH, label_col="answer")
+    out = None
+    for m in MODEL_IDS:
+        loss = metrics.bce_with_logits(fx.rel_scores(spark, d).filter(F.col("model_id") == m), t)
+        loss = loss.select(F.lit(m).alias("model_id"), F.round("loss", 6).alias("loss"), "n")
+        out = loss if out is None else out.unionAll(loss)
+    return out
 
 
 # --- scoring -------------------------------------------------------------------------------------
 
 
 def fixture_linear_model() -> np.ndarray:
-    """A fixed 64x10 linear layer: class i = x[i] + x[i+10] - x[i+20]."""
-    w = np.zeros((64, 10))
-    for i in range(10):
-        w[i, i] = 1.0
-        w[i + 10, i] = 1.0
-        w[i + 20, i] = -1.0
-    return w
+    """A fixed dense 64x10 linear layer."""
+    return linear_layer(7, 3)
+
+
+def linear_layer(a: int, b: int) -> np.ndarray:
+    i, j = np.arange(64)[:, None], np.arange(10)[None, :]
+    return ((i * a + j * b) % 11 - 5) / 8.0
+
+
+def linear_loader(a: int, b: int):
+    """A loader from a factory: two of them differ only in what they captured."""
+    return lambda: linear_layer(a, b)
 
 
 def fixture_linear_scores(w: np.ndarray, batch: pd.DataFrame) -> np.ndarray:
@@ -326,6 +360,20 @@ def q_score_batches(spark, d):
     )
 
 
+def q_score_two_models(spark, d):
+    """Two models from one loader factory scored in one plan."""
+    emb = fx.table(spark, d, "embeddings").select(
+        F.col("vec_id").alias("example_id"), F.col("embedding").cast("array<double>").alias("embedding")
+    )
+    out = None
+    for name, (a, b) in {"first": (7, 3), "second": (5, 4)}.items():
+        s = jobs.score_batches(emb, fixture_linear_scores, ["embedding"], load_fn=linear_loader(a, b), model_id=name)
+        out = s if out is None else out.unionAll(s)
+    return out.select(
+        "example_id", "model_id", argmax("scores").alias("pred"), F.round(F.array_max("scores"), 6).alias("top_score")
+    )
+
+
 def fixture_hypothesis_scores(_model, batch: pd.DataFrame) -> np.ndarray:
     """Deterministic two-way "model" of the fixture: yes-logit from statement length, relation
     and direction; no-logit 0."""
@@ -342,7 +390,7 @@ def q_score_hypotheses(spark, d):
     from .flows import score_hypotheses
 
     r = score_hypotheses(
-        _examples(spark, d),
+        _texts(spark, d),
         fx.rel_labels(spark, d),
         fixture_hypothesis_scores,
         templates=ASCII_HYPOTHESES,
@@ -361,18 +409,21 @@ def q_score_two_sentence(spark, d):
     """Both questions of each example scored together and soft-voted per row."""
     from .flows import score_two_sentence
 
-    r = score_two_sentence(_examples(spark, d), fixture_question_scores, template=ASCII_TWO_SENTENCE)
+    r = score_two_sentence(_texts(spark, d), fixture_question_scores, template=ASCII_TWO_SENTENCE)
     return r.select("example_id", "pred", F.round(F.array_max("probs"), 6).alias("score"))
 
 
 def q_train_linear_classifier(spark, d):
-    ex = _examples(spark, d)
-    train = inputs.pair_input(ex.filter(F.col("label") != 100)).join(
-        ex.select("example_id", "label"), "example_id"
+    """Fit and score with the default settings on classes that the text decides: the pair's first
+    text repeats a class word (``example_id`` modulo 5) as often as the second, the whole
+    sentence, has words."""
+    label = F.pmod("example_id", F.lit(5)).cast("int")
+    train = _texts(spark, d).select(
+        "example_id", F.lit(0).alias("variant"), F.repeat(F.concat(F.lit("class"), label.cast("string"), F.lit(" ")), F.size(F.split("sentence", " "))).alias("text"),
+        F.col("sentence").alias("text_pair"), label.alias("label"),
     )
-    model = jobs.train_linear_classifier(train, num_features=1 << 14, max_iter=10)
-    scores = jobs.score_linear_classifier(model, inputs.pair_input(ex))
-    return decode.argmax_decode(scores)
+    model = jobs.train_linear_classifier(train)
+    return decode.argmax_decode(jobs.score_linear_classifier(model, train))
 
 
 # --- sources: files written by Spark from the driver tables, read back --------------------------
@@ -383,10 +434,9 @@ def q_read_raw_examples(spark, d):
     raw = fx.rel_examples(spark, d).withColumn("row_tag", F.col("example_id").cast("string"))
     files.write_raw_examples(raw, path)
     back = files.read_raw_examples(spark, path)
-    proj = examples.project_examples(
+    return examples.project_examples(
         back.withColumn("example_id", F.col("row_tag").cast("long")), fx.rel_labels(spark, d)
     )
-    return proj
 
 
 def q_read_tagged_examples(spark, d):
@@ -414,6 +464,157 @@ def q_write_predictions(spark, d):
     return metrics.align_predictions(back, fx.rel_answers(spark, d))
 
 
+def _write_in_order(df: DataFrame, path: str, write) -> str:
+    """Rows written in ``example_id`` order over several files, so that position is identity."""
+    write(df.repartitionByRange("example_id").sortWithinPartitions("example_id"), path)
+    return path
+
+
+def _raw_file(spark, d, name: str) -> str:
+    raw = fx.rel_examples(spark, d).withColumn("row_tag", F.col("example_id").cast("string"))
+    return _write_in_order(raw, scratch_path(spark, name), files.write_raw_examples)
+
+
+def q_row_position(spark, d):
+    """Both scopes over a folder of several raw files: the folder position of each row, its
+    position in its own file counted from that file's first row, and the tag it was written with."""
+    path = _raw_file(spark, d, "positions")
+    whole = files.read_raw_examples(spark, path, scope="dir").select("row_tag", F.col("example_id").alias("position"))
+    own = files.read_raw_examples(spark, path, scope="file").select("row_tag", F.col("example_id").alias("in_file"))
+    both = whole.join(own, "row_tag")
+    # the file a row is in is known by the difference of its two positions
+    first = both.groupBy((F.col("position") - F.col("in_file")).alias("begins")).agg(F.min("in_file").alias("least"), F.count(F.lit(1)).alias("n"), F.max("in_file").alias("most"))
+    ok = F.broadcast(first.agg(F.max((F.col("least") != 0) | (F.col("most") + 1 != F.col("n"))).alias("broken")))  # one row
+    out = both.select(F.col("row_tag").cast("long").alias("example_id"), "position", F.lit(1).alias("one"))
+    return out.join(ok.withColumn("one", F.lit(1)), "one").select("example_id", "position", (~F.col("broken")).alias("file_positions_ok"))
+
+
+def q_read_predictions(spark, d):
+    """Each model's predictions written as one positional column, read back with positions."""
+    base = scratch_path(spark, "read_predictions")
+    preds = decode.argmax_decode(fx.rel_scores(spark, d))
+    for m in MODEL_IDS:
+        files.write_positional_predictions(preds.filter(F.col("model_id") == m), f"{base}/m{m}")
+    return files.read_predictions(spark, [f"{base}/m{m}" for m in MODEL_IDS], scope="dir")
+
+
+def q_hard_vote_files(spark, d):
+    """Majority vote over prediction files aligned by position."""
+    return decode.hard_vote(q_read_predictions(spark, d), [f"m{m}" for m in MODEL_IDS], n_labels=fx.MODEL_WIDTH)
+
+
+def q_read_quoted_breaks(spark, d):
+    """Raw examples whose sentences keep their line breaks, written and read back."""
+    docs = fx.table(spark, d, "documents").select(F.col("doc_id").alias("example_id"), F.trim("text").alias("raw"))
+    ex = fx.rel_examples(spark, d).join(docs, "example_id").withColumn("sentence", F.col("raw"))
+    ex = ex.withColumn("row_tag", F.col("example_id").cast("string"))
+    path = _write_in_order(ex, scratch_path(spark, "quoted_breaks"), files.write_raw_examples)
+    back = files.read_raw_examples(spark, path, quoted_breaks=True, scope="dir")
+    return back.select(F.col("row_tag").cast("long").alias("doc_id"), F.col("example_id").alias("position"), "sentence", "relation")
+
+
+def q_label_dimension(spark, d):
+    return fx.rel_labels(spark, d)
+
+
+def q_read_templates(spark, d):
+    """Template lines written from the label dimension (every fifth with two more statements),
+    between brace lines, read back."""
+    dim = fx.rel_labels(spark, d)
+    ask = lambda pattern: F.concat(F.lit('"'), *[F.col(x) if x.endswith("_part") else F.lit(x) for x in pattern], F.lit('"'))
+    line = F.concat(
+        F.lit("  '"), F.col("label_name"), F.lit("': "), F.col("label_id").cast("string"), F.lit(", "),
+        ask(["attribute_part", " of?"]), F.lit(", "), ask(["subject_part", " to?"]),
+        F.when(F.col("label_id") % 5 == 0, F.concat(F.lit(" "), ask(["{1} ", "attribute_part"]), F.lit(" "), ask(["{2} ", "subject_part"]))).otherwise(F.lit("")),
+    )
+    path = scratch_path(spark, "templates")
+    lines = F.when(F.col("label_id") == 0, F.concat(F.lit("{\n\n"), line, F.lit(","))).when(F.col("label_id") == 24, F.concat(line, F.lit("\n}"))).otherwise(F.concat(line, F.lit(",")))
+    dim.select(lines.alias("value")).write.text(path)
+    t = files.read_templates(spark, path)
+    return t.select("label_id", "label_name", "forward", "reverse", F.array_join("extra", "|").alias("extra"))
+
+
+def _experiments(spark, d) -> DataFrame:
+    """One JSON config file for each nation, read back; flags by the nation's key."""
+    k = F.col("n_nationkey")
+    flag = lambda n, r: F.when(k % n == r, "on").otherwise("off")
+    conf = fx.table(spark, d, "nation").select(
+        k.alias("key"), k.cast("int").alias("seed"), F.col("n_name").alias("MODEL_NAME"),
+        F.concat(F.lit("./out/"), F.when(k % 12 == 3, F.lit("shared")).otherwise(F.col("n_name"))).alias("output_dir"),
+        F.concat(F.lit("./log/"), F.col("n_regionkey").cast("string"), F.lit("/"), F.when(k % 9 == 4, F.lit("same")).otherwise(F.col("n_name"))).alias("logging_dir"),
+        F.lit(2).alias("EPOCH"), F.lit("SGD").alias("optimizer"), F.lit(0.25).alias("learning_rate"),
+        F.when(k % 8 != 7, F.lit(4)).cast("int").alias("batch_size"),
+        flag(5, 1).alias("rtq"), flag(3, 0).alias("two_sentence"), flag(4, 2).alias("except_0"),
+        F.when(k % 10 != 9, flag(2, 0)).alias("entity_token"),
+    )
+    path = scratch_path(spark, "configs")
+    conf.write.partitionBy("key").json(path)
+    return files.read_experiments(spark, f"{path}/*/*.json")
+
+
+def q_read_experiments(spark, d):
+    return _experiments(spark, d).drop("file")
+
+
+def q_num_labels(spark, d):
+    return _experiments(spark, d).select(F.col("MODEL_NAME").alias("model"), experiments.num_labels(42).alias("num_labels"))
+
+
+def q_input_style(spark, d):
+    return _experiments(spark, d).select(F.col("MODEL_NAME").alias("model"), experiments.input_style().alias("style"), experiments.decoder_choice().alias("decoder"))
+
+
+def q_experiment_check(spark, d):
+    c = experiments.experiment_check(_experiments(spark, d))
+    return c.select(F.col("MODEL_NAME").alias("model"), F.array_join(F.array_sort("missing_keys"), ",").alias("missing_keys"),
+                    "duplicate_output_dir", "duplicate_run_name", "conflict", "ok")
+
+
+def q_run_name(spark, d):
+    return _experiments(spark, d).select(F.col("MODEL_NAME").alias("model"), files.run_name("logging_dir").alias("run_name"))
+
+
+def q_load_test_dataset(spark, d):
+    """Raw file -> question inputs; labels of the file are checked."""
+    path = _raw_file(spark, d, "test_dataset")
+    return flows.load_test_dataset(spark, path, fx.rel_labels(spark, d), style=inputs.STYLE_TWO_SENTENCE, scope="dir", template=ASCII_TWO_SENTENCE)
+
+
+def q_tagged_test_dataset(spark, d):
+    """Tagged file -> typed-pair inputs, tags by a loaded model."""
+    path = _write_in_order(_examples(spark, d).withColumn("row_tag", F.lit("t")), scratch_path(spark, "tagged_dataset"), files.write_tagged_examples)
+    return flows.tagged_test_dataset(spark, path, pandas_tagger=fixture_model_tagger, load_fn=load_fixture_tagger, scope="dir")
+
+
+def length_loader(a: int, b: int):
+    return lambda: (a, b)
+
+
+def fixture_length_scores(model: tuple[int, int], batch: pd.DataFrame) -> np.ndarray:
+    """Three classes from the lengths of both texts, by the model's two numbers."""
+    a, b = model
+    n, m = batch["text"].str.len().to_numpy(), batch["text_pair"].str.len().to_numpy()
+    return np.stack([(n % a) * 0.23, (m % b) * 0.51, ((n + m) % (a + b)) * 0.117], axis=1)
+
+
+def q_ensemble_files(spark, d):
+    """Raw and tagged file -> four models -> soft vote -> positional file -> accuracy."""
+    raw_path = _raw_file(spark, d, "ensemble_raw")
+    tagged = _examples(spark, d).withColumn("row_tag", F.lit("t"))
+    tagged_path = _write_in_order(tagged, scratch_path(spark, "ensemble_tagged"), files.write_tagged_examples)
+    answers = fx.rel_texts(spark, d).select("example_id", F.pmod("example_id", F.lit(3)).cast("int").alias("answer"))
+    answer_path = scratch_path(spark, "ensemble_answers")
+    files.write_positional_predictions(answers, answer_path, column="answer")
+    out_path = scratch_path(spark, "ensemble_predictions")
+    flows.ensemble_files(
+        spark, raw_path, tagged_path, fx.rel_labels(spark, d),
+        {"p1": length_loader(5, 3), "p2": length_loader(7, 4)}, {"t1": length_loader(6, 5), "t2": length_loader(9, 2)},
+        fixture_length_scores, fixture_model_tagger, out_path, tagger_load_fn=load_fixture_tagger, width=3, scope="dir",
+    )
+    acc = flows.evaluate_files(spark, out_path, answer_path, scope="dir")
+    return acc.select(F.round("accuracy", 6).alias("accuracy"), "n")
+
+
 QUERIES: dict[str, Query] = {
     "project_examples": q_project_examples,
     "encode_label": q_encode_label,
@@ -460,4 +661,19 @@ QUERIES: dict[str, Query] = {
     "read_tagged_examples": q_read_tagged_examples,
     "read_marked_examples": q_read_marked_examples,
     "write_predictions": q_write_predictions,
+    "score_two_models": q_score_two_models,
+    "row_position": q_row_position,
+    "read_predictions": q_read_predictions,
+    "hard_vote_files": q_hard_vote_files,
+    "read_quoted_breaks": q_read_quoted_breaks,
+    "label_dimension": q_label_dimension,
+    "read_templates": q_read_templates,
+    "read_experiments": q_read_experiments,
+    "num_labels": q_num_labels,
+    "input_style": q_input_style,
+    "experiment_check": q_experiment_check,
+    "run_name": q_run_name,
+    "load_test_dataset": q_load_test_dataset,
+    "tagged_test_dataset": q_tagged_test_dataset,
+    "ensemble_files": q_ensemble_files,
 }

@@ -14,6 +14,7 @@ from pyspark.sql import SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 _LOCAL_FALLBACK: dict[str, str] = {}
+_SCRATCH: set[str] = set()
 
 
 def build_session(
@@ -54,13 +55,16 @@ def build_session(
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder, choosing one only when the cluster names none."""
+    conf = spark.sparkContext.getConf()
     path = (
         spark.conf.get(CHECKPOINT_CONF, None)
-        or spark.sparkContext.getConf().get(CHECKPOINT_CONF, None)
+        or conf.get(CHECKPOINT_CONF, None)
         or spark.sparkContext.getCheckpointDir()
     )
     if not path:
-        # Local runs and tests only: a cluster sets spark.checkpoint.dir to shared storage.
+        # Local runs and tests only: a cluster must name shared storage.
+        if conf.get("spark.master", "local").split("[")[0] != "local":
+            raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _LOCAL_FALLBACK:
             _LOCAL_FALLBACK[app] = tempfile.mkdtemp(prefix="relspark-ckpt-")
@@ -71,6 +75,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique folder below the shared checkpoint folder for a written table."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
+    """A fresh, unique folder below the shared checkpoint folder for a written table.  All such
+    folders of an application stand in one, which is removed when the application ends."""
+    app = spark.sparkContext.applicationId
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/relspark-{app}"
+    if base not in _SCRATCH:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(base)
+        fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(folder)
+        fs.deleteOnExit(folder)
+        _SCRATCH.add(base)
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"

@@ -10,30 +10,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..plans.joins import DEFAULT_BROADCAST_ROWS, checked_broadcast
+from ..plans.joins import require
 from ..schemas import EXPERIMENT_JSON, RAW_EXAMPLE, TAGGED_EXAMPLE
-
-# --- scan parallelism ------------------------------------------------------------------------
-
-
-def spread_scan(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Hash-partition a scan by ``key`` only when it yields fewer splits than the cluster has
-    task slots (e.g. one file with a single row group).
-
-    A large input already has more splits than slots and is returned unchanged, so no shuffle
-    is added at scale.  When it does apply, rows are placed by the key, which later keyed
-    aggregations and joins on the same key reuse.
-    """
-    try:
-        slots = df.sparkSession.sparkContext.defaultParallelism
-        # Planning only: the number of file splits of the scan, no job runs.
-        splits = df.rdd.getNumPartitions()
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave the scan as is
-        return df
-    if splits >= slots:
-        return df
-    return df.repartition(slots, key) if key else df.repartition(slots)
-
+from ..session import ensure_checkpoint_dir
 
 # --- S7: file position ----------------------------------------------------------------------
 
@@ -48,21 +27,15 @@ def _with_scan_meta(df: DataFrame) -> DataFrame:
     )
 
 
-def with_row_position(
-    scanned: DataFrame,
-    scope: str = "file",
-    out_col: str = "position",
-    max_broadcast_rows: int = DEFAULT_BROADCAST_ROWS,
-    keep_file: bool = False,
-) -> DataFrame:
+def with_row_position(scanned: DataFrame, scope: str = "file", out_col: str = "position", keep_file: bool = False) -> DataFrame:
     """0-based line position of each row, per file (``scope='file'``) or over all files of
-    one folder taken in file-name order (``scope='dir'``, for multi-part outputs).
+    one folder (``scope='dir'``, for multi-part outputs: parts by their number, then by name).
 
     ``scanned`` comes from :func:`_with_scan_meta`.  Rows of one split are contiguous in
-    ``monotonically_increasing_id``; a small table with one row per split (count, first id)
-    gets running offsets from a window and is joined back on a 64-bit hash of the file path
-    and the split start.  That table grows with the number of splits, not rows, and is
-    broadcast only after a size check.
+    ``monotonically_increasing_id``.  One job counts the rows of each split (file metadata
+    columns only) and stores the running offsets, one row per split, below the checkpoint
+    folder; they are joined back on the file path and the split start.  Offsets of one file or
+    folder are summed in one window group, which grows with its splits, not its rows.
     """
     if scope == "file":
         group = F.col("__file")
@@ -70,41 +43,48 @@ def with_row_position(
         group = F.regexp_replace(F.col("__file"), "/[^/]*$", "")
     else:
         raise ValueError(f"unknown scope {scope!r}")
-    keyed = scanned.withColumn("__fid", F.xxhash64("__file"))
-    blocks = (
-        keyed.groupBy("__file", "__fid", "__block")
-        .agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
-        .withColumn("__group", group)
-    )
+    ensure_checkpoint_dir(scanned.sparkSession)
+    blocks = scanned.groupBy("__file", "__block").agg(F.count(F.lit(1)).alias("__n"), F.min("__mid").alias("__first"))
+    name = F.regexp_extract("__file", "([^/]*)$", 1)
+    part = F.expr("try_cast(regexp_extract(regexp_extract(__file, '([^/]*)$', 1), '^part-([0-9]+)', 1) as bigint)")
+    blocks = blocks.select("*", group.alias("__group"), part.alias("__part"), name.alias("__name"))
     w = (
         Window.partitionBy("__group")
-        .orderBy("__file", "__block")
+        .orderBy(F.col("__part").asc_nulls_first(), "__name", "__file", "__block")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     offsets = blocks.withColumn("__offset", F.coalesce(F.sum("__n").over(w), F.lit(0))).select(
-        "__fid", "__block", (F.col("__offset") - F.col("__first")).alias("__shift")
-    )
-    joined = keyed.join(checked_broadcast(offsets, max_broadcast_rows), ["__fid", "__block"])
+        "__file", "__block", (F.col("__offset") - F.col("__first")).alias("__shift")
+    ).checkpoint(eager=True)
+    joined = scanned.join(offsets, ["__file", "__block"])
     pos = (F.col("__shift") + F.col("__mid")).cast("long")
-    out = joined.withColumn(out_col, pos).drop("__fid", "__block", "__mid", "__shift")
+    out = joined.withColumn(out_col, pos).drop("__block", "__mid", "__shift")
     return out if keep_file else out.drop("__file")
 
 
 # --- S1 / S2: example files -----------------------------------------------------------------
 
 
-def read_raw_examples(spark: SparkSession, path: str | Sequence[str], mode: str = "FAILFAST") -> DataFrame:
+def read_raw_examples(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    mode: str = "FAILFAST",
+    quoted_breaks: bool = False,
+    scope: str = "file",
+) -> DataFrame:
     """Tab-separated, header-less example file(s) -> ``RAW_EXAMPLE`` + ``example_id``.
 
     Quotes are doubled inside quoted fields (``escape='"'``).  The words ``NA``/``None`` stay
     text; an empty field is null; blank lines are skipped.  ``mode='FAILFAST'`` raises on
     short or malformed rows; ``PERMISSIVE`` fills nulls, and :func:`split_rejects` then
-    separates incomplete rows.  ``example_id`` is the 0-based row position within the file.
+    separates incomplete rows.  ``example_id`` is the 0-based row position within the file
+    (``scope='dir'``: within the folder).  ``quoted_breaks`` accepts line breaks inside quoted
+    fields; a file is then read by one task, so large inputs should come as several files.
     """
     df = spark.read.csv(
-        path, schema=RAW_EXAMPLE, sep="\t", header=False, quote='"', escape='"', mode=mode
+        path, schema=RAW_EXAMPLE, sep="\t", header=False, quote='"', escape='"', mode=mode, multiLine=quoted_breaks
     )
-    return with_row_position(_with_scan_meta(df), out_col="example_id")
+    return with_row_position(_with_scan_meta(df), scope=scope, out_col="example_id")
 
 
 REQUIRED_RAW = ("sentence", "entity_01", "e1_s", "e1_e", "entity_02", "e2_s", "e2_e", "relation")
@@ -120,11 +100,20 @@ def split_rejects(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return raw.filter(~bad), raw.filter(bad)
 
 
-def read_tagged_examples(spark: SparkSession, path: str | Sequence[str], mode: str = "FAILFAST") -> DataFrame:
+def read_tagged_examples(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    mode: str = "FAILFAST",
+    quoted_breaks: bool = False,
+    scope: str = "file",
+) -> DataFrame:
     """Comma-separated tagged example file(s) with one header line -> ``TAGGED_EXAMPLE`` +
-    ``example_id`` (0-based position after the header).  A non-integer label raises."""
-    df = spark.read.csv(path, schema=TAGGED_EXAMPLE, sep=",", header=True, quote='"', escape='"', mode=mode)
-    return with_row_position(_with_scan_meta(df), out_col="example_id")
+    ``example_id`` (0-based position after the header).  A non-integer label raises;
+    ``quoted_breaks`` and ``scope`` as in :func:`read_raw_examples`."""
+    df = spark.read.csv(
+        path, schema=TAGGED_EXAMPLE, sep=",", header=True, quote='"', escape='"', mode=mode, multiLine=quoted_breaks
+    )
+    return with_row_position(_with_scan_meta(df), scope=scope, out_col="example_id")
 
 
 def write_raw_examples(df: DataFrame, path: str) -> None:
@@ -148,12 +137,14 @@ def read_templates(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Template lines ``'name': id, "q1", "q2" ["s1" "s2"]`` -> ``TEMPLATE_DIM``.
 
     The files look like JSON but are not (single-quoted keys, missing commas), so each line is
-    matched by regular expressions; lines without a ``'name': id`` head are skipped.
+    matched by regular expressions.  Lines of braces and blank lines are skipped; any other line
+    that does not begin with ``'name': id`` raises.
     """
-    lines = spark.read.text(path)
+    lines = spark.read.text(path).filter(~F.col("value").rlike(r"^[\s{},]*$"))
     head = r"^\s*'([^']+)'\s*:\s*(\d+)"
     quoted = F.regexp_extract_all(F.col("value"), F.lit(r'"([^"]*)"'), F.lit(1))
-    parsed = lines.filter(F.col("value").rlike(head)).select(
+    lines = require(lines, ~F.col("value").rlike(head), F.concat(F.lit("not a template line: "), F.col("value")))
+    parsed = lines.select(
         F.regexp_extract("value", head, 2).cast("int").alias("label_id"),
         F.regexp_extract("value", head, 1).alias("label_name"),
         quoted.alias("__q"),
@@ -163,7 +154,7 @@ def read_templates(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
         "label_name",
         F.try_element_at("__q", F.lit(1)).alias("forward"),
         F.try_element_at("__q", F.lit(2)).alias("reverse"),
-        F.when(F.size("__q") > 2, F.slice("__q", 3, 1 << 20)).otherwise(F.array().cast("array<string>")).alias("extra"),
+        F.when(F.size("__q") > 2, F.slice("__q", F.lit(3), F.size("__q") - 2)).otherwise(F.array().cast("array<string>")).alias("extra"),
     )
 
 
@@ -184,8 +175,8 @@ def read_label_dimension(spark: SparkSession, path: str | Sequence[str], fmt: st
 
 
 def read_experiments(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """One row per JSON config file; a missing key is null (not "off")."""
-    df = spark.read.schema(EXPERIMENT_JSON).option("multiLine", True).json(path)
+    """One row per JSON config file; a missing key is null (not "off"), broken JSON raises."""
+    df = spark.read.schema(EXPERIMENT_JSON).option("multiLine", True).option("mode", "FAILFAST").json(path)
     return df.select(F.col("_metadata.file_name").alias("file"), *EXPERIMENT_JSON.fieldNames())
 
 
@@ -215,6 +206,13 @@ def read_predictions(
     return pos.select("example_id", name.alias("model_id"), F.col(column))
 
 
+def write_positional_predictions(predictions: DataFrame, path: str, column: str = "pred") -> None:
+    """Write one column in ``example_id`` order without the key: position is identity, as
+    ``read_predictions(..., scope='dir')`` reads it back.  Refuses an existing folder."""
+    ordered = predictions.select("example_id", F.col(column).cast("int").alias(column)).repartitionByRange("example_id")
+    ordered.sortWithinPartitions("example_id").select(column).write.mode("errorifexists").csv(path, header=True)
+
+
 def read_keyed_predictions(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
     """Prediction files written by :func:`write_predictions` (they carry ``example_id``)."""
     return spark.read.csv(paths, header=True, schema="example_id long, pred int", mode="FAILFAST")

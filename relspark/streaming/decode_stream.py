@@ -3,8 +3,8 @@
 The per-row operators (label encoding, input builders, targets, argmax / threshold /
 per-hypothesis decoding) have no state, so they apply unchanged to a streaming DataFrame;
 the label dimension joins as a static broadcast side.  This module wires score files that
-arrive in a folder through a per-row decoder into a parquet sink whose checkpoint lives
-under the cluster's shared ``spark.checkpoint.dir``.
+arrive in a folder through a per-row decoder into a parquet sink whose checkpoint folder the
+caller names.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators import decode, examples, inputs
 from ..schemas import SCORES
-from ..session import scratch_path
 
 PER_ROW_DECODERS = {
     "argmax_decode": decode.argmax_decode,
@@ -60,17 +59,15 @@ def pair_input_stream(raw: DataFrame, dim: DataFrame) -> DataFrame:
 def write_prediction_stream(
     predictions: DataFrame,
     out_folder: str,
-    checkpoint: str | None = None,
+    checkpoint: str,
     available_now: bool = False,
 ) -> StreamingQuery:
     """Append rows (decoded predictions or model inputs) to parquet; exactly-once through the
-    file sink's commit log."""
-    spark = predictions.sparkSession
-    ckpt = checkpoint or scratch_path(spark, "prediction-stream-checkpoint")
+    file sink's commit log, as long as a restart names the same ``checkpoint`` folder."""
     writer = (
         predictions.writeStream.format("parquet")
         .option("path", out_folder)
-        .option("checkpointLocation", ckpt)
+        .option("checkpointLocation", checkpoint)
         .outputMode("append")
     )
     if available_now:

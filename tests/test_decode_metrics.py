@@ -198,12 +198,12 @@ def test_bucketed_scores_and_answers_need_no_shuffle(spark, tmp_dir):
     try:
         files.save_bucketed(fx.rel_scores(spark, SF_SMALL), "scores_b", 4)
         files.save_bucketed(fx.rel_answers(spark, SF_SMALL), "answers_b", 4)
-        vote = decode.ensemble_soft_vote(spark.table("scores_b"), expected_models=4, width=10)
+        vote = decode.ensemble_soft_vote(spark.table("scores_b"), expected_models=[str(m) for m in range(4)], width=fx.MODEL_WIDTH)
         acc = metrics.accuracy(vote, spark.table("answers_b"))
         plan = physical_plan(acc)
         assert "Exchange hashpartitioning" not in plan
         direct = metrics.accuracy(
-            decode.ensemble_soft_vote(fx.rel_scores(spark, SF_SMALL), 4, width=10), fx.rel_answers(spark, SF_SMALL)
+            decode.ensemble_soft_vote(fx.rel_scores(spark, SF_SMALL), 4, width=fx.MODEL_WIDTH), fx.rel_answers(spark, SF_SMALL)
         )
         assert acc.first() == direct.first()
     finally:
@@ -223,3 +223,56 @@ def test_compact_rollup_equals_grouped_rollup(spark):
     bad = compact_in.select("example_id", F.slice("scores", 1, 5).alias("scores"))
     with pytest.raises(Exception, match="two-wide hypothesis score vectors"):
         decode.hypothesis_rollup_compact(bad, n_labels=17).collect()
+
+
+def test_votes_need_each_key_once(spark):
+    twice = scores_df(spark, [(0, 0, "m0", [1.0, 0.0]), (0, 0, "m0", [1.0, 0.0]), (0, 0, "m1", [0.0, 1.0])])
+    for expected in (3, ["m0", "m1", "m2"]):
+        with pytest.raises(Exception, match="expected 3 models"):
+            decode.ensemble_soft_vote(twice, expected, width=2).collect()
+    preds = twice.select("example_id", "model_id", F.lit(1).alias("pred"))
+    for kw in ({}, {"n_labels": 2}):
+        with pytest.raises(Exception, match="expected 3 model predictions"):
+            decode.hard_vote(preds, 3, **kw).collect()
+        with pytest.raises(Exception, match="expected 3 model predictions"):
+            decode.hard_vote(preds, ["m0", "m1", "m2"], **kw).collect()
+    pair = scores_df(spark, [(0, 0, "m", [1.0, 0.0]), (0, 0, "m", [1.0, 0.0])])
+    with pytest.raises(Exception, match="expected 2 variants"):
+        decode.pair_soft_vote(pair, width=2).collect()
+
+
+def test_rollup_needs_each_hypothesis_once(spark):
+    # sums and sums of squares of these variants equal those of 0..7
+    rows = [(0, v, "m", [0.0, float(v)]) for v in (1, 1, 2, 2, 3, 6, 6, 7)]
+    with pytest.raises(Exception, match="once each"):
+        decode.hypothesis_rollup(scores_df(spark, rows), n_labels=5).collect()
+    short = scores_df(spark, [(0, v, "m", [0.0, 1.0]) for v in (0, 1, 2, 3, 4, 5)])
+    with pytest.raises(Exception, match="expected 8 hypotheses"):
+        decode.hypothesis_rollup(short, n_labels=5).count()
+
+
+def test_checks_survive_column_selection(spark):
+    s = fx.rel_scores(spark, SF_SMALL).filter("model_id <> '3'")
+    with pytest.raises(Exception, match="expected 4 models"):
+        decode.ensemble_soft_vote(s, 4, width=fx.MODEL_WIDTH).select("example_id", "probs").collect()
+    with pytest.raises(Exception, match="expected 4 models"):
+        decode.ensemble_soft_vote(s, ["0", "1", "2", "3"], width=fx.MODEL_WIDTH).count()
+    p = spark.createDataFrame([(0, 1), (1, 1)], "example_id long, pred int")
+    a = spark.createDataFrame([(0, 1)], "example_id long, answer int")
+    with pytest.raises(Exception, match="differ in length"):
+        metrics.align_predictions(p, a).count()
+    wide = spark.createDataFrame([(0, [[1.0, 2.0]])], "example_id long, scores array<array<double>>")
+    with pytest.raises(Exception, match="two-wide"):
+        decode.hypothesis_rollup_compact(wide, n_labels=3).count()
+
+
+def test_bce_needs_each_row_on_both_sides(spark):
+    s = spark.createDataFrame([(i, [0.1, 0.2]) for i in range(3)], "example_id long, scores array<double>")
+    t = spark.createDataFrame([(0, [0.0, 1.0])], "example_id long, target array<double>")
+    with pytest.raises(Exception, match="differ in length"):
+        metrics.bce_with_logits(s, t).collect()
+    twice = t.unionAll(t).unionAll(spark.createDataFrame([(1, [0.0, 1.0]), (2, [0.0, 1.0])], "example_id long, target array<double>"))
+    with pytest.raises(Exception, match="duplicate example_id in targets"):
+        metrics.bce_with_logits(s, twice).collect()
+    whole = spark.createDataFrame([(i, [0.0, 1.0]) for i in range(3)], "example_id long, target array<double>")
+    assert "SortAggregate" not in physical_plan(metrics.bce_with_logits(s, whole))

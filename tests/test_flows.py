@@ -115,6 +115,17 @@ def test_tag_entities_with_a_hot_entity(spark):
         seen.add(len(s))
         return s.str.slice(0, 1)
 
+    out = jobs.tag_entities(ex, pandas_tagger=tagger)
+    # the entity join carries no text: the sentence is only joined by example_id
+    from relspark.plans.inspect import physical_plan
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = physical_plan(jobs.tag_entities(ex, pandas_tagger=tagger))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "hashpartitioning(coalesce(entity" in plan.replace("(coalesce(", "(coalesce(") and "hashpartitioning(entity_01" not in plan
+    seen.value = 0
     out = jobs.tag_entities(ex, pandas_tagger=tagger)
     rows = out.groupBy("tag_01", "tag_02").count().collect()
     assert {(r.tag_01, r.tag_02): r["count"] for r in rows} == {("H", "t"): n // 3, ("e", "t"): n - n // 3}
@@ -137,3 +148,45 @@ def test_file_loaders(spark, tmp_path):
     ).first()
     assert typed.text == "[E1][E1-NER]ORG[E1-NER]AB[E1][E2][E2-NER]O[E2-NER]cd[E2]"
     assert typed.text_pair == "AB met cd" and typed.max_length == 200
+
+
+def test_two_loaders_of_one_factory_are_two_models(spark):
+    import numpy as np
+
+    from relspark.operators import jobs
+
+    def loader(c):
+        return lambda: c
+
+    df = spark.range(0, 20).select(F.col("id").alias("example_id"), F.col("id").cast("double").alias("x"))
+    score = lambda c, b: np.stack([b["x"].to_numpy() * c], axis=1)
+    one = jobs.score_batches(df, score, ["x"], load_fn=loader(2.0)).collect()
+    two = jobs.score_batches(df, score, ["x"], load_fn=loader(3.0)).collect()
+    assert {r.example_id: r.scores[0] for r in one} == {i: 2.0 * i for i in range(20)}
+    assert {r.example_id: r.scores[0] for r in two} == {i: 3.0 * i for i in range(20)}
+
+
+def test_typed_loader_with_a_model_tagger(spark, tmp_path):
+    tagged = tmp_path / "tagged.csv"
+    tagged.write_text("tag,sentence,e1,e2,label\n0,AB met cd,AB,cd,1\n")
+    got = flows.tagged_test_dataset(
+        spark, str(tagged), pandas_tagger=lambda m, s: s.str.isupper().map(m), load_fn=lambda: {True: "ORG", False: "O"}
+    ).first()
+    assert got.text == "[E1][E1-NER]ORG[E1-NER]AB[E1][E2][E2-NER]O[E2-NER]cd[E2]"
+
+
+def test_ensemble_of_files_fails_on_unequal_lengths(spark, tmp_path):
+    import numpy as np
+
+    raw, tagged = tmp_path / "raw.tsv", tmp_path / "tagged.csv"
+    raw.write_text("t\tA met B\tA\t0\t0\tB\t6\t6\tp:job\nt\tC saw D\tC\t0\t0\tD\t6\t6\tblind\n")
+    tagged.write_text("tag,sentence,e1,e2,label\n0,A met B,A,B,2\n0,C saw D,C,D,100\n")
+    score = lambda c, b: np.stack([np.full(len(b), c), b["text"].str.len().to_numpy() * 0.1], axis=1)
+    run = lambda path, out: flows.ensemble_files(
+        spark, str(raw), str(path), dim(spark), {"a": lambda: 0.5, "b": lambda: 1.0}, {"c": lambda: 2.0}, score,
+        lambda s: s.str.slice(0, 1), str(tmp_path / out), width=2)
+    assert run(tagged, "out").count() == 2
+    short = tmp_path / "short.csv"
+    short.write_text("tag,sentence,e1,e2,label\n0,A met B,A,B,2\n")
+    with pytest.raises(Exception, match="expected 3 models"):
+        run(short, "out2").count()

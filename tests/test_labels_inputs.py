@@ -204,3 +204,53 @@ def test_whitespace_tokens_match_regex_split(spark):
     want = [[w for w in re.split("[ \t\n\x0b\f\r]+", t) if w] for t in texts]
     assert got == want
     assert got[3] == ["a", "b", "c", "d", "e", "f", "g"]
+
+
+def test_duplicate_names_are_rejected_not_multiplied(spark):
+    dim = labels.label_dimension(spark.createDataFrame([(0, "n"), (1, "a:b"), (2, "a:b")], "label_id int, label_name string"))
+    raw = raw_rows(spark, [(0, "a b", "a", 0, 0, "b", 2, 2, "a:b")])
+    with pytest.raises(ValueError, match="duplicate label_name"):
+        labels.encode_label(raw, dim)
+
+
+def test_unknown_relation_raises_whatever_is_selected(spark):
+    raw = raw_rows(spark, [(0, "a b", "a", 0, 0, "b", 2, 2, "no:such")])
+    ex = examples.project_examples(raw, small_dim(spark))
+    with pytest.raises(Exception, match="unknown relation"):
+        inputs.pair_input(ex).collect()
+    with pytest.raises(Exception, match="unknown relation"):
+        ex.count()
+
+
+def test_encode_pair_rejects_a_length_without_room(spark):
+    df = spark.createDataFrame([(0, "a", "b", 2)], "example_id long, text string, text_pair string, max_length int")
+    with pytest.raises(ValueError):
+        inputs.encode_pair(df, max_length=2)
+    with pytest.raises(Exception, match="leave room"):
+        inputs.encode_pair(df).collect()
+
+
+def test_bounded_split_gives_the_same_cut(spark):
+    rows = []
+    for la in (0, 1, 5, 6, 7, 8, 20, 40):
+        for lb in (0, 1, 5, 6, 7, 8, 20, 40):
+            a, b = " ".join(f"a{i}" for i in range(la)), " ".join(f"b{i}" for i in range(lb))
+            rows += [(len(rows) + k, lead + a, lead + b) for k, lead in enumerate(("", "  "))]
+    df = spark.createDataFrame(rows, "example_id long, text string, text_pair string")
+    own = inputs.encode_pair(df, max_length=10)
+    full = inputs.encode_pair(df, max_length=10, tokens_a=inputs.whitespace_tokens(F.col("text")), tokens_b=inputs.whitespace_tokens(F.col("text_pair")))
+    assert own.exceptAll(full).count() == 0 and full.exceptAll(own).count() == 0
+
+
+TEXT_ONLY = [
+    "pair_input", "single_input", "two_sentence_input", "typed_pair_input", "tag_entities", "encode_pair",
+    "first_example", "score_hypotheses", "score_two_sentence", "expand_hypotheses",
+]
+
+
+@pytest.mark.parametrize("name", TEXT_ONLY)
+def test_text_queries_read_no_labels(spark, name):
+    from relspark.plans.registry import QUERIES
+
+    plan = physical_plan(QUERIES[name](spark, SF_SMALL))
+    assert "labels.parquet" not in plan

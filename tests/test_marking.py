@@ -1,4 +1,4 @@
-"""Entity-span marking against a brute-force slicing rule written from the semantics."""
+"""Entity-span marking: hand-worked strings, and a reader that walks the characters."""
 
 import random
 
@@ -8,12 +8,21 @@ from relspark.functions.text import mark_spans, spans_overlap
 
 
 def brute_mark(s, e1s, e1e, e2s, e2e):
-    pts = sorted([(e1s, 0, 1), (e1e, 1, 1), (e2s, 2, 2), (e2e, 3, 2)])
-    (p0, _, n0), (p1, _, n1), (p2, _, n2), (p3, _, n3) = pts
-    return (
-        s[:p0] + f"[E{n0}]" + s[p0 : p1 + 1] + f"[/E{n1}]" + s[p1 + 1 : p2]
-        + f"[E{n2}]" + s[p2 : p3 + 1] + f"[/E{n3}]" + s[p3 + 1 :]
-    )
+    """Reads the sentence one character at a time with a queue of points still to come.  Openings
+    stand before their character and closings after it; a point that lies behind the reading
+    place (touching or crossing spans) reads again from there."""
+    queue = sorted([(e1s, 0), (e1e, 1), (e2s, 2), (e2e, 3)])
+    out, at = [], 0
+    for turn, (pos, which) in enumerate(queue):
+        opening = turn % 2 == 0
+        stop = pos if opening else pos + 1
+        while at < stop and at < len(s):
+            out.append(s[at])
+            at += 1
+        at = stop
+        out.append(("[E" if opening else "[/E") + ("1]" if which < 2 else "2]"))
+    out.extend(s[at:])
+    return "".join(out)
 
 
 def run(spark, rows):
