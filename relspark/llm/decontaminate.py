@@ -117,6 +117,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
         F.collect_set(F.when(F.col("start").isNotNull(), F.struct("start", "n"))).alias("hits"),
         F.collect_set("window_id").alias("windows"),
     )
+    per_doc = stored(docs.sparkSession, per_doc, "hits")  # one scan, and row ids that stay
     covered = F.array_distinct(F.flatten(F.transform("hits", lambda h: F.sequence(h["start"], h["start"] + h["n"] - 1))))
     spans = F.array_sort(F.transform("hits", lambda h: F.struct((h["start"] - 1).alias("start"), (h["start"] + h["n"] - 1).alias("end"))))
     named = (
