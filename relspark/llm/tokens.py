@@ -97,14 +97,17 @@ def byte_letters() -> list[str]:
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """One row: ``vocab`` 0 and ``pieces``, the piece of every id as byte letters (a special
-    token's string too).  Its size is that of the vocabulary file."""
+    """One row: ``vocab`` 0, ``pieces``, the piece of every id as byte letters (a special token's
+    string too), and ``hex_pieces``, its bytes in hex.  Its size is that of the vocabulary file."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     letters = byte_letters()
     piece = {i: p for p, i in spec["model"]["vocab"].items()}
     piece |= {t["id"]: "".join(letters[b] for b in t["content"].encode()) for t in spec["added_tokens"]}
-    return spark.createDataFrame([(0, [piece.get(i) for i in range(max(piece) + 1)])], "vocab int, pieces array<string>")
+    rows = [piece.get(i) for i in range(max(piece) + 1)]
+    byte_of = {c: b for b, c in enumerate(letters)}
+    as_hex = [None if p is None else bytes(byte_of[c] for c in p).hex() for p in rows]
+    return spark.createDataFrame([(0, rows, as_hex)], "vocab int, pieces array<string>, hex_pieces array<string>")
 
 
 def split_words(docs: DataFrame, path: str, key: str = "doc_id") -> DataFrame:
@@ -292,7 +295,7 @@ def _assemble(key_type: pa.DataType, digests: bool):
 def with_pieces(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` (``vocab`` 0, ``ids``: words' comma-joined ids, joined by spaces) with ``pieces``:
     the same words as byte letters, through a join with the id-to-piece table."""
-    table = piece_table(rows.sparkSession, path)
+    table = piece_table(rows.sparkSession, path).select("vocab", "pieces")
     word = lambda w: F.array_join(F.transform(F.split(w, ","), lambda i: F.get("pieces", i.cast("int"))), "")
     joined = rows.join(F.broadcast(table), "vocab")  # a vocabulary file: fixed size
     return joined.select("block", "numbers", "ids", F.array_join(F.transform(F.split("ids", " "), word), " ").alias("pieces"))
@@ -323,8 +326,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", digests: bool = Fals
 def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """``encoded`` with ``decoded``: the text of each row's ids through the id-to-piece table.  Bytes
     that are not UTF-8 become U+FFFD; null ids give an empty text; an unknown id gives nothing."""
-    table = piece_table(encoded.sparkSession, path).select("vocab", F.transform("pieces", lambda p: F.hex(F.encode(
-        F.translate(p, "".join(byte_letters()), "".join(map(chr, range(256)))), "ISO-8859-1"))).alias("hex_pieces"))
+    table = piece_table(encoded.sparkSession, path).select("vocab", "hex_pieces")
     rows = encoded.withColumn("vocab", F.when(F.col(ids).isNull(), F.lit(0)).otherwise(F.size(ids) * 0))
     joined = rows.join(F.broadcast(table), "vocab")
     letters = F.array_join(F.transform(F.coalesce(ids, F.array().cast("array<int>")), lambda i: F.get("hex_pieces", i)), "")
