@@ -21,10 +21,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        # stored, so that the join is between two exchanges and a hub's edges can be split
+        least = stored(spark, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "edges")
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(spark, large, "edges")
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = stored(spark, large.groupBy("u").agg(F.min("v").alias("m")), "edges")
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         now = stored(spark, small, "edges")

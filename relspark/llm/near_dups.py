@@ -130,7 +130,8 @@ def _split_buckets(members: DataFrame, comp: DataFrame) -> tuple[DataFrame, int,
     placed = members.join(comp, members["cid"] == comp["node"], "left").select("band", "cid", "centre", F.coalesce("component", "cid").alias("comp"))
     groups = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
     largest = groups.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
-    split = stored(members.sparkSession, placed.join(largest.select("band", "main"), "band"), "split-buckets")
+    spark = members.sparkSession
+    split = stored(spark, placed.join(stored(spark, largest.select("band", "main"), "mains"), "band"), "split-buckets")
     size = split.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("comp") != F.col("main"), 1).otherwise(0)).alias("o"))
     cross, rows = size.agg(F.coalesce(F.sum(F.col("n") * F.col("o")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     return split, cross, rows
@@ -154,7 +155,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     bands = signed.join(first.select("rep.row_id"), "row_id").select("cid", "bands")
     bucket = bands.select("cid", F.explode("bands").alias("band"))
     centres = bucket.groupBy("band").agg(F.min("cid").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "centre")
-    members = stored(spark, bucket.join(centres, "band"), "buckets")
+    # stored, so that the join is between two exchanges and a hot bucket can be split
+    members = stored(spark, bucket.join(stored(spark, centres, "centres"), "band"), "buckets")
     star = members.where("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
     # one text of each group of equal texts is read again
     meets = members.select("cid").distinct().join(first, "cid").select("cid", F.col("rep.key").alias("key"))
@@ -183,7 +185,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     named = first.join(comp, first["cid"] == comp["node"], "left").select("cid", "rep", F.coalesce("component", "cid").alias("comp"))
     named = stored(spark, named, "classes")
     best = named.groupBy("comp").agg(F.min("rep").alias("best"))
-    named = named.join(best, "comp").select("cid", "best")
+    named = named.join(stored(spark, best, "classes"), "comp").select("cid", "best")
     return ids.join(named, "cid").select(
         F.col("key").alias(key), F.col("best.key").alias("class_id"), F.lower(F.hex("cid")).alias("text_id"),
         (F.col("row_id") == F.col("best.row_id")).alias("kept"))
