@@ -53,6 +53,8 @@ def one_round(state: DataFrame, shards: int, total: int) -> DataFrame:
     )
     homes = F.slice(F.filter("all", lambda x: x["open"] | (x["n"] >= quota)), F.lit(1), F.ceil(F.col("members") / quota).cast("int"))
     ranked = ranked.select("link", "all", homes.alias("homes")).where(F.size("homes") > 0)
+    # stored, so that the join is between two exchanges and a hot link's rows can be split
+    ranked = stored(state.sparkSession, ranked, "shard-homes")
     asking = linked.join(ranked, "link")
     own = F.filter("all", lambda x: -x["back"] == F.col("label"))[0]["n"]
     home = F.get("homes", F.pmod(F.xxhash64("row_id", F.lit(7)), F.size("homes")).cast("int"))
@@ -80,7 +82,8 @@ def propagate(vertices: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFra
     spark = vertices.sparkSession
     total = vertices.count()
     links = vertices.where("link is not null").groupBy("link").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("link")
-    linked = vertices.join(links.withColumn("shared", F.lit(True)), "link", "left")
+    links = stored(spark, links.withColumn("shared", F.lit(True)), "shard-links")
+    linked = vertices.join(links, "link", "left")
     lone = linked.select("row_id", "order", F.when(F.col("shared"), F.col("link")).alias("link"))
     state = stored(spark, start_state(lone, shards, total), "shard-state")
     for _ in range(rounds if total else 0):
