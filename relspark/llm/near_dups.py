@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import _MULT, batch_rows, broadcast_if_small, mix64, shingle_hashes, stored, text_bytes, word_bounds, word_hashes
+from relspark.llm.common import _MULT, batch_rows, broadcast_if_small, mix64, release, shingle_hashes, stored, text_bytes, word_bounds, word_hashes
 from relspark.llm.components import connected_components
 
 RUN = 5
@@ -103,6 +103,8 @@ def _bands(batches):
             some = np.diff(first) > 0
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32), pa.array(key[some].ravel()))
             yield pa.RecordBatch.from_arrays([*part.columns[:3], lists], ["key", "row_id", "cid", "bands"])
+            del cells, first, sig, key, lists
+            release()
 
 
 def _cells(batches):
@@ -111,6 +113,7 @@ def _cells(batches):
             cells, first = unit_cells(part.column("text"))
             short = (cells >> np.uint64(32)).astype(np.uint32).view(np.int32)
             yield pa.RecordBatch.from_arrays([part.column("cid"), pa.ListArray.from_arrays(first.astype(np.int32), pa.array(short))], ["cid", "cells"])
+            release()
 
 
 def verified(pairs: DataFrame, cells: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

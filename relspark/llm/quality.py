@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import IS_WORD, batch_rows, text_bytes, word_hashes
+from relspark.llm.common import IS_WORD, batch_rows, release, text_bytes, word_hashes
 
 PASSAGE = 64  # words
 MAX_TRAIN = 4_000  # labelled documents
@@ -165,6 +165,7 @@ def _encode(batches):
             x, first = passages(part.column("text"))
             flat = pa.array(x.astype(np.float32).ravel())
             yield pa.RecordBatch.from_arrays([part.column("label"), pa.ListArray.from_arrays((first * FEATURES).astype(np.int32), flat)], ["label", "x"])
+            release()
 
 
 def _fit(table: pa.Table) -> pa.Table:
@@ -199,6 +200,8 @@ def score(docs: DataFrame, weights: dict, key: str = "doc_id") -> DataFrame:
                 x, first = passages(part.column("text"))
                 s = np.clip(score_passages(weights, x, first), 0.0, 1.0)
                 yield pa.RecordBatch.from_arrays([part.column("key"), pa.array(s), pa.array(np.diff(first).astype(np.int32))], ["key", "score", "n_passages"])
+                del x, first, s
+                release()
 
     kind = docs.schema[key].dataType.simpleString()
     scored = docs.select(F.col(key).alias("key"), "text").mapInArrow(run, f"key {kind}, score double, n_passages int")
@@ -214,5 +217,7 @@ def keep_good(docs: DataFrame, weights: dict) -> DataFrame:
             for part in batch_rows(batch, BATCH_BYTES):
                 x, first = passages(part.column("text"))
                 yield part.filter(pa.array(score_passages(weights, x, first) >= THRESHOLD))
+                del x, first
+                release()
 
     return docs.mapInArrow(run, docs.schema)

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relspark.llm.common import stored
+from relspark.llm.common import broadcast_if_small, stored
 
 # fixed values: the base patterns
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -194,6 +194,8 @@ def redact(docs: DataFrame, fdr: float = FDR, key: str = "doc_id") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``MARK``; other columns, and texts without
     a span, as they were.  Overlapping spans are replaced once."""
     found = find_spans(docs, fdr, key).where(F.size("found") > 0).groupBy(F.col(key).alias("f_key"), F.col("text_hash").alias("f_hash")).agg(F.first("found").alias("f_spans"))
+    found = stored(docs.sparkSession, found, "secret-spans")
+    found = broadcast_if_small(found, found.agg(F.sum(F.size("f_spans") * 32 + 64)))
     same = docs[key].eqNullSafe(F.col("f_key")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("f_hash"))
     joined = docs.join(found, same, "left")
     # the text between spans: each piece begins at the furthest end so far

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from relspark.llm.common import batch_rows, bucketed, text_bytes, word_hashes
+from relspark.llm.common import batch_rows, bucketed, release, text_bytes, word_hashes
 
 BLOCK_BYTES = 8 << 20  # text bytes of a block
 # fixed values: the byte-level pre-tokenizer's word pattern, with Unicode white space
@@ -206,7 +206,7 @@ def _blocks(path: str, buckets: int, key_type: pa.DataType):
                 if held >= BLOCK_BYTES:
                     yield from flush(base + seq, keys, counts, flats)
                     keys, counts, flats, held, seq = [], [], [], 0, seq + 1
-                    pa.default_memory_pool().release_unused()
+                    release()
         if keys:
             yield from flush(base + seq, keys, counts, flats)
 
@@ -217,6 +217,7 @@ def _encode_bucket(path: str):
     """applyInArrow function over one bucket of words: each distinct word is encoded once."""
 
     def run(table: pa.Table) -> pa.Table:
+        release()
         vocab = vocabulary(path)
         sizes = [_unpack(x) for x in table.column("sizes").to_pylist()]
         data = b"".join(_expand(x) for x in table.column("words").to_pylist())
@@ -257,7 +258,7 @@ def _assemble(key_type: pa.DataType, digests: bool):
         return [data[a:b] for a, b in zip([0] + ends[:-1], ends, strict=True)]
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
-        pa.default_memory_pool().release_unused()
+        release()
         rank = np.concatenate([np.cumsum(_unpack(x)) for x in found.column("numbers").to_pylist()] or [np.zeros(0, np.int64)])
         ids, pieces = np.empty(len(rank), object), np.empty(len(rank), object)
         ids[rank] = [w for x in found.column("ids").to_pylist() for w in _expand(x).decode().split(" ")]
