@@ -9,10 +9,10 @@ all coordinates are expected to be struck (about ``COORDINATES`` x ``DARTS`` dar
 document's length) and further for the few documents that are not filled by then.
 
 Equal texts are one class before anything else.  Classes that agree in a whole band meet in a
-bucket.  A bucket does not emit its pairs: its members are compared with the bucket's smallest
-class first and the verified links give components.  Where many members stay outside their bucket's
-largest component, they meet further centres of it, one a turn, which is linear in the members
-and soon joins what belongs together.  Then every pair of a bucket that could still join two
+bucket.  A bucket does not emit its pairs: its members are first compared with one centre, the class that is
+in the most and largest buckets, and the verified links give components.  Where many members stay outside their bucket's
+largest component, they meet further centres of it, one a turn, as long as that helps; each turn
+is linear in the members.  Then every pair of a bucket that could still join two
 components is verified, so no link is lost.  A link needs an exact weighted Jaccard similarity of ``SIMILARITY``.
 
 Cases: null counts as empty; texts without words are linked only to equal texts; a text of fewer
@@ -32,10 +32,12 @@ from relspark.llm.components import connected_components
 
 RUN = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 25, 5
+BANDS, ROWS = 24, 6
 COORDINATES = BANDS * ROWS
 DARTS = 10.0  # darts expected at each coordinate
-LINEAR, TURNS = 4, 12  # further centres are tried while the pairs left exceed LINEAR for each member
+# further centres are tried while the pairs left exceed LINEAR for each member and the last
+# centre has brought them below GAIN of what they were
+LINEAR, GAIN = 4, 0.8
 BATCH_BYTES = 4 << 20
 
 
@@ -157,10 +159,16 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     first = ids.groupBy("cid").agg(F.min(F.struct("key", "row_id")).alias("rep"))
     bands = signed.join(first.select("rep.row_id"), "row_id").select("cid", "bands")
     bucket = bands.select("cid", F.explode("bands").alias("band"))
-    centres = bucket.groupBy("band").agg(F.min("cid").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").select("band", "centre")
-    # stored, so that the join is between two exchanges and a hot bucket can be split
-    members = stored(spark, bucket.join(stored(spark, centres, "centres"), "band"), "buckets")
-    star = members.where("cid <> centre").select(F.col("centre").alias("a"), F.col("cid").alias("b")).distinct()
+    # aggregates are stored before they are joined back: the join is then between two exchanges,
+    # and a hot bucket can be split
+    sizes = stored(spark, bucket.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
+    shared = stored(spark, bucket.join(sizes, "band"), "buckets")
+    # the text that edited copies come from is in more and larger buckets than they are
+    reach = stored(spark, shared.groupBy("cid").agg(F.sum("n").alias("reach")), "reach")
+    shared = stored(spark, shared.select("band", "cid").join(reach, "cid"), "buckets")
+    centres = shared.groupBy("band").agg(F.max_by("cid", F.struct("reach", "cid")).alias("centre"))
+    members = stored(spark, shared.select("band", "cid").join(stored(spark, centres, "centres"), "band"), "buckets")
+    star = members.where("cid <> centre").select(F.least("centre", "cid").alias("a"), F.greatest("centre", "cid").alias("b")).distinct()
     # one text of each group of equal texts is read again
     meets = members.select("cid").distinct().join(first, "cid").select("cid", F.col("rep.key").alias("key"))
     meets = broadcast_if_small(meets, meets.agg(F.count(F.lit(1)) * 64))
@@ -172,10 +180,10 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     links = stored(spark, verified(star, cells, similarity), "links")
     comp = stored(spark, connected_components(links), "components")
     split, cross, rows = _split_buckets(members, comp)
-    turn = 0
-    while cross > LINEAR * rows and turn < TURNS:
+    turn, before = 0, None
+    while cross > LINEAR * rows and (before is None or cross < GAIN * before):
         # another centre for each bucket: members elsewhere meet one more of its largest component
-        turn += 1
+        turn, before = turn + 1, cross
         others = split.where("comp = main").groupBy("band").agg(F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("c"))
         pairs = split.where("comp <> main").join(others, "band").select(F.least("c", "cid").alias("a"), F.greatest("c", "cid").alias("b")).distinct()
         links = stored(spark, links.unionByName(verified(pairs, cells, similarity)), "links")
