@@ -13,7 +13,10 @@ bucket.  A bucket does not emit its pairs: its members are first compared with o
 in the most and largest buckets, and the verified links give components.  Where many members stay outside their bucket's
 largest component, they meet further centres of it, one a turn, as long as that helps; each turn
 is linear in the members.  Then every pair of a bucket that could still join two
-components is verified, so no link is lost.  A link needs an exact weighted Jaccard similarity of ``SIMILARITY``.
+components is verified, so no link of a bucket is lost; pairs whose cell counts alone rule a link out
+are left out before.  A pair of exactly ``SIMILARITY`` shares no bucket with probability 4.9e-5 (closer
+pairs with less): such a link is found only if other texts connect the two.  A link needs an exact
+weighted Jaccard similarity of ``SIMILARITY``.
 
 Cases: null counts as empty; texts without words are linked only to equal texts; a text of fewer
 than five words is one run.  Repeated rows and ids give one row each.  An empty table gives no
@@ -24,7 +27,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relspark.llm.common import _MULT, batch_rows, broadcast_if_small, mix64, release, shingle_hashes, stored, text_bytes, word_bounds, word_hashes
@@ -32,7 +35,7 @@ from relspark.llm.components import connected_components
 
 RUN = 5
 SIMILARITY = 0.8
-BANDS, ROWS = 24, 6
+BANDS, ROWS = 25, 5  # a pair at SIMILARITY meets in no band with probability (1 - 0.8**5)**25 = 4.9e-5
 COORDINATES = BANDS * ROWS
 DARTS = 10.0  # darts expected at each coordinate
 # further centres are tried while the pairs left exceed LINEAR for each member and the last
@@ -104,7 +107,8 @@ def _bands(batches):
             key = mix64(key + np.arange(BANDS, dtype=np.uint64) * _MULT).view(np.int64)
             some = np.diff(first) > 0
             lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.where(some, BANDS, 0))]).astype(np.int32), pa.array(key[some].ravel()))
-            yield pa.RecordBatch.from_arrays([*part.columns[:3], lists], ["key", "row_id", "cid", "bands"])
+            n_cells = pa.array(np.diff(first).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], n_cells, lists], ["key", "row_id", "cid", "n_cells", "bands"])
             del cells, first, sig, key, lists
             release()
 
@@ -118,6 +122,11 @@ def _cells(batches):
             release()
 
 
+def near_size(a: str, b: str, similarity: float) -> Column:
+    """Whether texts of ``a`` and ``b`` cells can be so similar: they share the fewer of them at most."""
+    return F.least(a, b) >= similarity * F.greatest(a, b)
+
+
 def verified(pairs: DataFrame, cells: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """The ``pairs`` (``a``, ``b``) whose weighted Jaccard similarity is ``similarity`` or more.  Cells are
     compared by 32 bits of their hashes, distinct within a text up to a share of n / 2**33."""
@@ -132,7 +141,7 @@ def verified(pairs: DataFrame, cells: DataFrame, similarity: float = SIMILARITY)
 def _split_buckets(members: DataFrame, comp: DataFrame) -> tuple[DataFrame, int, int]:
     """Members of the buckets that hold several components (``main``: the bucket's largest), the pairs
     that remain between an outsider and another member, and the members' number."""
-    placed = members.join(comp, members["cid"] == comp["node"], "left").select("band", "cid", "centre", F.coalesce("component", "cid").alias("comp"))
+    placed = members.join(comp, members["cid"] == comp["node"], "left").select("band", "cid", "n_cells", "centre", F.coalesce("component", "cid").alias("comp"))
     groups = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
     largest = groups.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
     spark = members.sparkSession
@@ -154,21 +163,22 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     cid = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("cid")
     rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row_id"), cid, "text")
     key_type = docs.schema[key].dataType.simpleString()
-    signed = stored(spark, rows.mapInArrow(_bands, f"key {key_type}, row_id long, cid binary, bands array<long>"), "signatures")
+    signed = stored(spark, rows.mapInArrow(_bands, f"key {key_type}, row_id long, cid binary, n_cells int, bands array<long>"), "signatures")
     ids = signed.select("key", "row_id", "cid")
     first = ids.groupBy("cid").agg(F.min(F.struct("key", "row_id")).alias("rep"))
-    bands = signed.join(first.select("rep.row_id"), "row_id").select("cid", "bands")
-    bucket = bands.select("cid", F.explode("bands").alias("band"))
+    bands = signed.join(first.select("rep.row_id"), "row_id").select("cid", "n_cells", "bands")
+    bucket = bands.select("cid", "n_cells", F.explode("bands").alias("band"))
     # aggregates are stored before they are joined back: the join is then between two exchanges,
     # and a hot bucket can be split
     sizes = stored(spark, bucket.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
     shared = stored(spark, bucket.join(sizes, "band"), "buckets")
     # the text that edited copies come from is in more and larger buckets than they are
     reach = stored(spark, shared.groupBy("cid").agg(F.sum("n").alias("reach")), "reach")
-    shared = stored(spark, shared.select("band", "cid").join(reach, "cid"), "buckets")
-    centres = shared.groupBy("band").agg(F.max_by("cid", F.struct("reach", "cid")).alias("centre"))
-    members = stored(spark, shared.select("band", "cid").join(stored(spark, centres, "centres"), "band"), "buckets")
-    star = members.where("cid <> centre").select(F.least("centre", "cid").alias("a"), F.greatest("centre", "cid").alias("b")).distinct()
+    shared = stored(spark, shared.select("band", "cid", "n_cells").join(reach, "cid"), "buckets")
+    centres = shared.groupBy("band").agg(F.max_by(F.struct("cid", "n_cells"), F.struct("reach", "cid")).alias("c"))
+    centres = stored(spark, centres.select("band", F.col("c.cid").alias("centre"), F.col("c.n_cells").alias("c_cells")), "centres")
+    members = stored(spark, shared.select("band", "cid", "n_cells").join(centres, "band"), "buckets")
+    star = members.where("cid <> centre").where(near_size("n_cells", "c_cells", similarity)).select(F.least("centre", "cid").alias("a"), F.greatest("centre", "cid").alias("b")).distinct()
     # one text of each group of equal texts is read again
     meets = members.select("cid").distinct().join(first, "cid").select("cid", F.col("rep.key").alias("key"))
     meets = broadcast_if_small(meets, meets.agg(F.count(F.lit(1)) * 64))
@@ -184,13 +194,15 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     while cross > LINEAR * rows and (before is None or cross < GAIN * before):
         # another centre for each bucket: members elsewhere meet one more of its largest component
         turn, before = turn + 1, cross
-        others = split.where("comp = main").groupBy("band").agg(F.min_by("cid", F.xxhash64("cid", F.lit(turn))).alias("c"))
-        pairs = split.where("comp <> main").join(others, "band").select(F.least("c", "cid").alias("a"), F.greatest("c", "cid").alias("b")).distinct()
+        others = split.where("comp = main").groupBy("band").agg(F.min_by(F.struct("cid", "n_cells"), F.xxhash64("cid", F.lit(turn))).alias("c"))
+        others = others.select("band", F.col("c.cid").alias("c"), F.col("c.n_cells").alias("c_cells"))
+        pairs = split.where("comp <> main").join(others, "band").where(near_size("n_cells", "c_cells", similarity))
+        pairs = pairs.select(F.least("c", "cid").alias("a"), F.greatest("c", "cid").alias("b")).distinct()
         links = stored(spark, links.unionByName(verified(pairs, cells, similarity)), "links")
         comp = stored(spark, connected_components(links), "components")
         split, cross, rows = _split_buckets(members, comp)
-    out = split.where("comp <> main").select("band", F.col("cid").alias("o"), F.col("comp").alias("o_comp"))
-    rest = split.join(out, "band").where("comp <> o_comp and cid <> centre and o <> centre and (comp = main or cid < o)")
+    out = split.where("comp <> main").select("band", F.col("cid").alias("o"), F.col("comp").alias("o_comp"), F.col("n_cells").alias("o_cells"))
+    rest = split.join(out, "band").where("comp <> o_comp and cid <> centre and o <> centre and (comp = main or cid < o)").where(near_size("n_cells", "o_cells", similarity))
     more = verified(rest.select(F.least("o", "cid").alias("a"), F.greatest("o", "cid").alias("b")).distinct(), cells, similarity)
     comp = stored(spark, connected_components(links.unionByName(more)), "components")
     named = first.join(comp, first["cid"] == comp["node"], "left").select("cid", "rep", F.coalesce("component", "cid").alias("comp"))

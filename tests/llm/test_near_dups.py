@@ -97,3 +97,7 @@ def test_components(spark):
     got = {r.node: r.component for r in connected_components(edges).collect()}
     assert got == {1: 1, 2: 1, 3: 1, 8: 1, 9: 1, 10: 1, 4: 4, 5: 4}
     assert connected_components(edges.where("a > 99")).count() == 0
+
+
+def test_hardly_a_pair_at_the_bound_meets_in_no_band():
+    assert (1 - near_dups.SIMILARITY**near_dups.ROWS) ** near_dups.BANDS < 5e-5
