@@ -41,6 +41,7 @@ FURNITURE_WORDS = frozenset(
     "header masthead footer sidebar side rail aside widget widgets related recommended trending popular share sharing social follow newsletter subscribe subscription "
     "signup login cookie cookies consent gdpr notice notification alert popup modal overlay comment comments reply replies respond discussion disqus form search "
     "pager pagination pagenav toolbar copyright legal skip hidden".split())
+REPLY_WORDS = frozenset("comment comments reply replies".split())  # articles of readers
 CONTENT_TAGS, CONTENT_ROLES = frozenset(("article", "main")), frozenset(("main", "article"))
 DEFAULT = {"text": 1.0, "link": -1.0, "tag": -0.5, "edge": -2.0}
 WORD_RANGE, TAG_RANGE = (-4.0, 4.0), (-2.0, -0.1)
@@ -60,9 +61,25 @@ def _block(tag: str) -> str:
     return {"th": "td", "dd": "li", "dt": "li", "section": "div", "article": "div", "main": "div", "body": "div"}.get(tag, tag if tag in BLOCK else "other")
 
 
-def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
-    """Whether an element is page furniture, and whether its markup names it as content."""
+def _named(tag: str, content: bool, inside: bool, classes: str, ids: str) -> bool:
+    """Whether class or id words call an element furniture.  Headings and paragraphs never are; content
+    elements only as a reader's reply; sections by class, inside content by a whole class name; the id
+    of a section, or of anything inside content, may come from a heading and says nothing."""
+    if tag in ("html", "body", "p") or HEADING.match(tag):
+        return False
+    if content:
+        return not REPLY_WORDS.isdisjoint(classes.split())
+    if tag == "section" and inside:
+        return not FURNITURE_WORDS.isdisjoint(classes.split())
+    names = classes if inside or tag == "section" else classes + " " + ids
+    return any(p in FURNITURE_WORDS for p in NAME_PART.findall(names))
+
+
+def _marks(tag: str, attributes: str, inside: bool = False) -> tuple[bool, bool]:
+    """Whether an element (``inside`` content or not) is page furniture, and whether its markup names it as
+    content."""
     furniture, content = tag in FURNITURE_TAGS, tag in CONTENT_TAGS
+    names = {"class": "", "id": ""}
     if attributes and len(attributes) > 3:
         for name, *values in ATTRIBUTE.findall(attributes):
             name, value = name.lower(), "".join(values).lower()
@@ -70,12 +87,12 @@ def _marks(tag: str, attributes: str) -> tuple[bool, bool]:
                 furniture |= value in FURNITURE_ROLES
                 content |= value in CONTENT_ROLES
             elif name in ("class", "id"):
-                furniture |= tag not in ("html", "body") and any(p in FURNITURE_WORDS for p in NAME_PART.findall(value))
+                names[name] += " " + value
             elif name == "style":
                 furniture |= "display:none" in value.replace(" ", "")
             elif name == "hidden" or value == "true":
                 furniture = True
-    return furniture, content
+    return furniture or _named(tag, content, inside, names["class"], names["id"]), content
 
 
 def tokens(page: str):
@@ -105,7 +122,7 @@ def tokens(page: str):
             if tag == "p" and stack and stack[-1][0] == "p":  # a new paragraph ends the open one
                 stack.pop()
                 block.pop()
-            f, c = _marks(tag, m[5])
+            f, c = _marks(tag, m[5], content > 0)
             if tag not in INLINE:
                 block.append(_block(tag))
             if not furniture and (f or tag not in INLINE):  # a piece of furniture is one token

@@ -37,3 +37,14 @@ def test_table(spark):
     assert {r.n_chars for r in got if r.page_id == 3} == {5 * 50_000 - 1}
     nothing = pages.where("page_id = 77")
     assert html_text.extract(nothing, html_text.fit(nothing)).count() == 0
+
+
+@pytest.mark.parametrize("page,text", [
+    ('<article><h2 id="related-work">Related work</h2><p>Some words.</p><section id="search-methods"><h3>Search</h3><p>Of methods.</p></section></article>', "Related work Some words. Search Of methods."),
+    ('<article id="popular-science"><p>All of it.</p></article>', "All of it."), ('<main class="header-fixed"><p>All of it.</p></main>', "All of it."),
+    ('<article><p>One.</p><p class="side-note">A note.</p><ul><li id="legal-search">A point of some more words than its tags cost.</li></ul></article>', "One. A note. A point of some more words than its tags cost."),
+    ('<div role="main" id="search-results"><p>All of it.</p></div>', "All of it."), ('<section id="social-history"><p>No article here.</p></section>', "No article here."),
+    ('<article><p>One, which has enough words of its own.</p><section class="comments"><p>Reader words.</p></section><div class="share-bar">Share it</div><p>Two, with some more words than all the tags before it cost.</p></article>', "One, which has enough words of its own. Two, with some more words than all the tags before it cost."),
+])
+def test_names_made_of_headings_are_no_furniture(page, text):
+    assert html_text.main_text(page, WEIGHTS) == text
