@@ -8,9 +8,9 @@ could be uniform random: chi-squared uniformity over the alphabet, runs about th
 lag-1 serial correlation.  Fisher's method combines their p-values.
 
 How random ordinary text looks depends on its length, so the evidence against a token is
-compared with ordinary text of its length class: every document gives one run of its own
-letters (the class and the place by a hash of the text), cut to the shortest length of the
-class.  A token's p-value is the share of its class' runs that look as random.  The
+compared with ordinary text of its length class: all letters of every text outside the tested
+runs, cut into pieces of the shortest lengths of the classes in turn (the first by a hash of the
+text), each letter in one piece.  A token's p-value is the share of its class' runs that look as random.  The
 Benjamini-Hochberg rule over all distinct tokens then bounds the expected share of false
 discoveries by ``FDR``.  Both statistics are histograms over fixed cells (length class x
 evidence), so nothing grows with the corpus but the scan.  DataFrame functions only.
@@ -42,6 +42,9 @@ MARK = "[SECRET]"
 
 FDR = 0.05
 LENGTH_STEP, LENGTH_CLASSES = 8, 9  # 16, 24, ... 64 characters and over
+LENGTHS = [LENGTH_STEP * i for i in range(2, LENGTH_CLASSES)]
+# places and lengths of the pieces of a stretch of letters, each length first in one of them
+CUTS = [[(sum((LENGTHS[i:] + LENGTHS[:i])[:j]), n) for j, n in enumerate(LENGTHS[i:] + LENGTHS[:i])] for i in range(len(LENGTHS))]
 EVIDENCE_STEP, EVIDENCE_CLASSES = 0.05, 400  # of -log10 p
 
 DIGITS, LOWERS, UPPERS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -81,7 +84,8 @@ def evidence(df: DataFrame, token: str) -> DataFrame:
     df = df.withColumn("_n", F.size("_x").cast("double")).withColumn("_k", F.length("_a").cast("double"))
     total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, v: s + v)
     n, k = F.col("_n"), F.col("_k")
-    squares = total(F.transform(F.array_distinct("_x"), lambda u: F.pow(F.size(F.filter("_x", lambda v: v == u)).cast("double"), F.lit(2.0))))
+    left = lambda c: F.length(F.replace(F.col("_t"), c, F.lit(""))).cast("double")
+    squares = total(F.transform(F.array_distinct(F.split("_t", "")), lambda c: F.pow(n - left(c), F.lit(2.0))))
     df = df.withColumn("_chi", k / n * squares - n)
     dof = k - 1
     z_chi = (F.cbrt(F.greatest(F.col("_chi"), F.lit(0.0)) / dof) - (1 - 2 / (9 * dof))) / F.sqrt(2 / (9 * dof))
@@ -118,11 +122,14 @@ def random_cells(docs: DataFrame, fdr: float = FDR) -> list[int]:
     text = F.col("text")
     runs = docs.where(text.rlike(RUN)).select(F.explode(F.regexp_extract_all(text, F.lit(RUN), F.lit(0))).alias("token"))
     runs = runs.where(_mixed(F.col("token"))).select("token", F.lit(True).alias("test"))
-    size = (F.pmod(F.xxhash64(text), F.lit(LENGTH_CLASSES - 2)) + 2) * LENGTH_STEP
-    plain = docs.select(F.lower(F.regexp_replace(text, "[^A-Za-z]+", "")).alias("letters"), F.xxhash64(text).alias("h"), size.cast("int").alias("size"))
-    place = F.pmod(F.xxhash64("h"), F.length("letters") - F.col("size") + 1).cast("int") + 1
-    plain = plain.where(F.length("letters") >= F.col("size")).select(F.substring("letters", place, F.col("size")).alias("token"), F.lit(False).alias("test"))
-    told = evidence(runs.unionByName(plain).distinct(), "token")
+    # tested runs are no part of the ordinary text they are compared with
+    letters = F.lower(F.regexp_replace(F.when(text.rlike(RUN), F.regexp_replace(text, RUN, " ")).otherwise(text), "[^A-Za-z]+", ""))
+    plain = docs.select(letters.alias("letters"), F.pmod(F.xxhash64(text), F.lit(len(CUTS))).cast("int").alias("turn"))
+    plain = plain.select("turn", F.explode(F.regexp_extract_all("letters", F.lit(f"[a-z]{{1,{sum(n for _, n in CUTS[0])}}}"), F.lit(0))).alias("letters"))
+    cuts = F.get(F.array(*[F.array(*[F.struct(F.lit(a).alias("at"), F.lit(n).alias("size")) for a, n in turn]) for turn in CUTS]), F.col("turn"))
+    cuts = F.filter(cuts, lambda c: c["at"] + c["size"] <= F.length("letters"))
+    plain = plain.select(F.explode(F.transform(cuts, lambda c: F.substring("letters", c["at"] + 1, c["size"]))).alias("token"), F.lit(False).alias("test"))
+    told = evidence(runs.distinct().unionByName(plain), "token")
     counts = stored(docs.sparkSession, told.groupBy("cell").agg(
         F.sum(F.when(F.col("test"), 1).otherwise(0)).alias("tested"), F.sum(F.when(F.col("test"), 0).otherwise(1)).alias("plain")), "secret-cells")
     # from here on: at most one row for each cell

@@ -68,3 +68,32 @@ def test_empty_table(spark):
 def test_evidence(spark, token, random_like):
     cell = secret_scan.evidence(spark.createDataFrame([(token,)], "token string"), "token").first().cell
     assert (cell % secret_scan.EVIDENCE_CLASSES * secret_scan.EVIDENCE_STEP < 2) == random_like
+
+
+def planted(plants, seed, ids=10):
+    """Documents with ``ids`` ordinary identifiers each; every tenth has one of ``plants``."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices(PARTS, k=r.randint(1, 4)))
+    rows = []
+    for i in range(400):
+        names = [f"/{word()}/{word()}/{word()}_{word()}{r.randrange(100)}.html" for _ in range(ids)]
+        t = [word() for _ in range(600)] + names
+        r.shuffle(t)
+        if i % 10 == 0 and i // 10 < len(plants):
+            t.insert(300, plants[i // 10])
+        rows.append((i, " ".join(t)))
+    return rows
+
+
+def found_in(spark, rows):
+    texts, out = dict(rows), set()
+    for x in secret_scan.scan(documents(spark, rows, clash=False)).collect():
+        out |= {texts[x.doc_id][int(s) : int(e)] for k, s, e in (p.split(":") for p in x.spans.split(",") if p) if k == "random"}
+    return out
+
+
+def test_few_secrets_among_many_identifiers(spark):
+    r = random.Random(8)
+    plants = ["".join(r.choices(string.ascii_letters + string.digits, k=40)) for _ in range(40)]
+    got = found_in(spark, planted(plants, 9))
+    assert len(got & set(plants)) >= 36 and len(got - set(plants)) <= 4
