@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspark.llm import ann, decontaminate, fixity, html_text, near_dups, passages, quality, secret_scan, sharding, tokens
+from relspark.llm import ann, decontaminate, fixity, html_text, near_dups, passages, quality, secret_scan, sharding, tokens, wavelet
 from relspark.llm.common import stored, table
 
 
@@ -79,6 +79,12 @@ def q_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(left, right)
 
 
+def q_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return wavelet.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES = {
     "op1_near_dups": q_near_dups,
     "op2_quality": q_quality,
@@ -90,6 +96,7 @@ QUERIES = {
     "op8_decontamination": q_decontamination,
     "op9_passages": q_passages,
     "op10_fixity": q_fixity,
+    "op12_wavelet": q_wavelet,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
