@@ -47,6 +47,12 @@ def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(store(spark, df, name))
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a table that ``store`` wrote, once nothing will read it again."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def bucketed(spark: SparkSession, df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
     """``df`` as a table below the shared checkpoint folder, bucketed by ``key``: later groupings and
     joins on ``key`` read it without a shuffle."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspark.llm import ann, decontaminate, fixity, html_text, near_dups, passages, quality, secret_scan, sharding, tokens, wavelet
+from relspark.llm import ann, decontaminate, fixity, html_text, near_dups, passages, quality, secret_scan, shallot, sharding, tokens, wavelet
 from relspark.llm.common import stored, table
 
 
@@ -79,6 +79,10 @@ def q_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fixity.audit(left, right)
 
 
+def q_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shallot.clusters(spark, table(spark, sf_dir, "embeddings"))
+
+
 def q_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -96,12 +100,39 @@ QUERIES = {
     "op8_decontamination": q_decontamination,
     "op9_passages": q_passages,
     "op10_fixity": q_fixity,
+    "op11_clusters": q_clusters,
     "op12_wavelet": q_wavelet,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+
+
+def _rounds_of_means(rounds: int) -> str:
+    """The assignments and moves of k-means as CTEs: ``m0`` to ``m<rounds>`` hold the centroids as one list."""
+    nearest = """SELECT vec_id, v, list_min(list_transform(range(len(ms)), lambda j: {{'d':
+    list_sum(list_transform(range(1, 65), lambda i: (v[i] - ms[j + 1][i]) * (v[i] - ms[j + 1][i])))::BIGINT, 'c': j}})) AS best
+  FROM k, m{0}"""
+    out = []
+    for r in range(rounds):
+        out.append(f"""a{r} AS ({nearest.format(r)}),
+s{r} AS (SELECT best.c AS c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{r}, range(1, 65) AS t(i) GROUP BY 1, 2),
+t{r} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS m FROM s{r} GROUP BY c),
+m{r + 1} AS (SELECT list(coalesce(m, old) ORDER BY j) AS ms
+  FROM (SELECT unnest(ms) AS old, generate_subscripts(ms, 1) - 1 AS j FROM m{r}) LEFT JOIN t{r} ON c = j)""")
+    return ",\n".join([*out, f"a{rounds} AS ({nearest.format(rounds)})"])
+
+
 ORACLE = {
+    "op11_clusters": f"""
+WITH k AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
+m0 AS (SELECT list(v ORDER BY h, v) AS ms FROM (SELECT v, sha256('1:' || coalesce(vec_id::VARCHAR, '')) AS h FROM k ORDER BY h, v LIMIT 16)),
+{_rounds_of_means(3)},
+f AS (SELECT vec_id, best.c AS c, best.d AS d FROM a3)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia,
+       (sum(d) OVER ())::BIGINT AS inertia, sha256(array_to_string(ms[c + 1], ',')) AS centroid_sha256
+FROM f, m3""",
     "op8_decontamination": f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
