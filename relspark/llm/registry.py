@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relspark.llm import ann, decontaminate, fixity, html_text, near_dups, passages, quality, secret_scan, shallot, sharding, tokens, wavelet
+from relspark.llm import ann, conversations, decontaminate, fixity, html_text, near_dups, passages, quality, secret_scan, shallot, sharding, tokens, wavelet
 from relspark.llm.common import stored, table
 
 
@@ -89,6 +89,10 @@ def q_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def q_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair(conversations.damaged(table(spark, sf_dir, "conversations")))
+
+
 QUERIES = {
     "op1_near_dups": q_near_dups,
     "op2_quality": q_quality,
@@ -102,6 +106,7 @@ QUERIES = {
     "op10_fixity": q_fixity,
     "op11_clusters": q_clusters,
     "op12_wavelet": q_wavelet,
+    "op13_conversations": q_conversations,
 }
 
 _WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
@@ -123,7 +128,78 @@ m{r + 1} AS (SELECT list(coalesce(m, old) ORDER BY j) AS ms
     return ",\n".join([*out, f"a{rounds} AS ({nearest.format(rounds)})"])
 
 
+def _repair_sql() -> str:
+    """A turn a step, the cheapest way into each state of the grammar (0 nothing yet, 1 after s, 2 after u,
+    3 after a) is kept as (cost, audit, lines)."""
+    never = "{'c': 1000000000::BIGINT, 'a': '', 'l': []::VARCHAR[]}"
+
+    def way(state, cost, initial, line):
+        return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{initial}', 'l': {state}.l || {line}}}"
+
+    def one(letter, source):
+        """The turn taken as ``letter`` after ``source``: kept, or its role changed."""
+        role = {"u": "user", "a": "assistant"}[letter]
+        kept, changed = way(source, "cut", "K", "[line]"), way(source, "3 + cut", "R", f"['{role}:' || text]")
+        return f"CASE WHEN code = 'x' THEN {never} WHEN code = '{letter}' THEN {kept} ELSE {changed} END"
+
+    def closed(inner):
+        """With the turns that may be put in after a step."""
+        user = ", ".join(way(n, 3, "I", "['user:']") for n in ("n0", "n1", "n3"))
+        assistant = way("m2", 3, "I", "['assistant:']")
+        return (f"SELECT conv_id, idx, n0, n1, m2, list_min([n3, {assistant}]) AS m3 "
+                f"FROM (SELECT *, list_min([n2, {user}]) AS m2 FROM ({inner}))")
+
+    begin = closed(f"SELECT conv_id, 0::BIGINT AS idx, {{'c': 0::BIGINT, 'a': '', 'l': []::VARCHAR[]}} AS n0, "
+                   f"{never} AS n1, {never} AS n2, {never} AS n3 FROM (SELECT DISTINCT conv_id FROM t)")
+    gone = [way(f"w{i}", 4, "D", "[]::VARCHAR[]") for i in range(4)]
+    system = f"CASE WHEN code = 's' THEN {way('w0', 'cut', 'K', '[line]')} ELSE {never} END"
+    after = closed(f"""SELECT t.conv_id, t.idx, {gone[0]} AS n0, list_min([{gone[1]}, {system}]) AS n1,
+    list_min([{gone[2]}, {one("u", "w0")}, {one("u", "w1")}, {one("u", "w3")}]) AS n2, list_min([{gone[3]}, {one("a", "w2")}]) AS n3
+    FROM (SELECT conv_id AS c0, idx AS i0, n0 AS w0, n1 AS w1, m2 AS w2, m3 AS w3 FROM steps)
+    JOIN t ON t.conv_id IS NOT DISTINCT FROM c0 AND t.idx = i0 + 1""")
+    return f"""
+WITH RECURSIVE raw AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS k FROM conversations),
+summed AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(1, length(k) + 1), lambda i: ascii(k[i])::BIGINT)),
+    lambda crc, b: list_reduce(list_prepend(xor(crc, b), range(8)), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)),
+    4294967295::BIGINT) % 20 AS kind FROM raw),
+turned AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM summed, range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END) AS copies(copy)),
+ordered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS idx FROM turned),
+judged AS (
+  SELECT *, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid, left(role, 1) AS ini,
+    row_number() OVER (PARTITION BY conv_id, role, text ORDER BY idx) > 1 AS again,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY idx) AS ini_before FROM ordered),
+faulty AS (
+  SELECT *, CASE WHEN solid = '' THEN 'blank' WHEN again THEN 'duplicate' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault FROM judged),
+t AS (
+  SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' WHEN ini IN ('s', 'u', 'a') THEN ini ELSE 'o' END AS code,
+    CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS cut, role || ':' || text AS line FROM faulty),
+steps AS (
+  {begin}
+  UNION ALL
+  {after}),
+ends AS (
+  SELECT conv_id, list_min([n0, m3]) AS w FROM steps
+  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY idx DESC) = 1),
+counts AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (ini_before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM t GROUP BY conv_id)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate,
+  coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.c, 0)::BIGINT AS cost,
+  coalesce(w.a, '') AS audit, sha256(coalesce(array_to_string(w.l, chr(10)), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts ON o.conv_id IS NOT DISTINCT FROM counts.conv_id
+LEFT JOIN ends ON o.conv_id IS NOT DISTINCT FROM ends.conv_id"""
+
+
+
 ORACLE = {
+    "op13_conversations": _repair_sql(),
     "op11_clusters": f"""
 WITH k AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
   WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = 64),
