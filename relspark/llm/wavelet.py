@@ -45,8 +45,8 @@ from relspark.session import scratch_path
 
 SHARD_TOKENS = 1 << 20
 CHUNK_BITS = 1 << 16
-BATCH_BYTES = 4 << 20
-KNOWN_WORDS = 1 << 18  # words whose ids a worker remembers from batch to batch
+BATCH_BYTES = 8 << 20
+KNOWN_WORDS = 3 << 18  # words whose ids a worker remembers from batch to batch
 LINE_WORDS = 256
 END_ID = 1
 MAGIC = b"RSWM0001"
@@ -83,11 +83,16 @@ class Words:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
-
-        self.encoder = Tokenizer.from_file(path)
-        self.encoder.no_truncation()
-        self.encoder.no_padding()
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.encoder, self.liner = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        for t in (self.encoder, self.liner):
+            t.no_truncation()
+            t.no_padding()
+        # lines of words that are normalised and split already
+        self.liner.normalizer = normalizers.Sequence([])
+        self.liner.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.Split(" ", "removed"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self.kind, self.lower = _tables()
         pieces = self.encoder.get_vocab()
         self.is_end = np.zeros(max(pieces.values()) + 1, bool)
@@ -131,17 +136,16 @@ class Words:
                 begin[after] = True
                 taken |= hit
         starts = np.flatnonzero(begin)
-        width = np.where(code < 0x80, 1, np.where(code < 0x800, 2, np.where(code < 0x10000, 3, 4)))
-        width = np.where(kind == _SPACE, 0, width)
+        width = (np.uint8(1) + (code >= 0x80) + (code >= 0x800) + (code >= 0x10000)) * (kind != _SPACE)
         seen = kind[starts] != _SPACE
         row = np.searchsorted(row_end, starts[seen], "right")
         data = code[kind != _SPACE].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "surrogatepass")
-        ends = np.concatenate([[0], np.cumsum(np.add.reduceat(width, starts)[seen] if len(starts) else [])]).astype(np.int32)
+        ends = np.concatenate([[0], np.cumsum(np.add.reduceat(width, starts, dtype=np.int64)[seen] if len(starts) else [])]).astype(np.int32)
         words = pa.StringArray.from_buffers(len(ends) - 1, pa.py_buffer(ends.tobytes()), pa.py_buffer(data))
         return words, np.bincount(row, minlength=len(texts)).astype(np.int64), whole
 
-    def _whole(self, texts: list[str]) -> list[int]:
-        return [i for e in self.encoder.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids]
+    def _ids(self, encoder, texts: list[str]) -> np.ndarray:
+        return np.array([i for e in encoder.encode_batch_fast(texts, add_special_tokens=False) for i in e.ids], np.uint32)
 
     def _learn(self, words: list[str]) -> None:
         """Ids of new words, encoded in lines of words: the last piece of a word ends with the
@@ -150,14 +154,14 @@ class Words:
             return
         if len(self.known) + len(words) > KNOWN_WORDS:
             self.known.clear()
-        ids = np.array(self._whole([" ".join(words[i : i + LINE_WORDS]) for i in range(0, len(words), LINE_WORDS)]), np.uint32)
+        ids = self._ids(self.liner, [" ".join(words[i : i + LINE_WORDS]) for i in range(0, len(words), LINE_WORDS)])
         ends = np.flatnonzero(self.is_end[ids]) + 1
         if len(ends) == len(words) and ends[-1] == len(ids):
-            for word, found in zip(words, np.split(ids, ends[:-1]), strict=True):
-                self.known[word] = found.tobytes()
+            raw, at = ids.tobytes(), [0, *(ends * 4).tolist()]
+            self.known.update(zip(words, map(raw.__getitem__, map(slice, at[:-1], at[1:])), strict=True))
         else:
             for word in words:
-                self.known[word] = np.array(self._whole([word]), np.uint32).tobytes()
+                self.known[word] = self._ids(self.liner, [word]).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text."""
@@ -165,10 +169,10 @@ class Words:
         coded = words.dictionary_encode()
         distinct = coded.dictionary.to_pylist()
         self._learn([w for w in distinct if w not in self.known])
-        found = [self.known.get(w) for w in distinct]
+        found = list(map(self.known.get, distinct))
         if None in found:  # the batch made room: all its words anew
             self._learn(distinct)
-            found = [self.known[w] for w in distinct]
+            found = list(map(self.known.get, distinct))
         n = np.fromiter(map(len, found), np.int64, len(found)) // 4
         ids = np.frombuffer(b"".join(found), np.uint32)
         word = coded.indices.to_numpy(zero_copy_only=False)
@@ -178,7 +182,7 @@ class Words:
         bounds = np.concatenate([[0], end])[np.concatenate([[0], np.cumsum(count)])]
         rows = [out[a:b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         for i in np.flatnonzero(whole):
-            rows[i] = np.array(self._whole([texts[i]]), np.uint32)
+            rows[i] = self._ids(self.encoder, [texts[i]])
         return rows
 
 
@@ -190,7 +194,7 @@ def pack(ids: np.ndarray, doc_ids: list, counts: np.ndarray, place: int) -> byte
     n = len(ids)
     planes = max(1, int(ids.max()).bit_length()) if n else 1
     chunks = -(-n // CHUNK_BITS)
-    press = zstandard.ZstdCompressor(level=3).compress
+    press = zstandard.ZstdCompressor(level=1).compress
     zeros = np.zeros(planes, np.uint64)
     ones = np.zeros((planes, chunks), np.uint32)  # ones before each chunk
     blobs = []
@@ -202,7 +206,7 @@ def pack(ids: np.ndarray, doc_ids: list, counts: np.ndarray, place: int) -> byte
         ones[p] = np.cumsum(per) - per
         blobs += [press(raw[c * CHUNK_BITS // 8 : (c + 1) * CHUNK_BITS // 8].tobytes()) for c in range(chunks)]
         zeros[p] = n - int(per.sum())
-        x = np.concatenate([x[~bit], x[bit]])
+        x = np.concatenate([np.compress(~bit, x), np.compress(bit, x)])
     known = np.array([d is not None for d in doc_ids], np.uint8)
     docs = np.array([0 if d is None else d for d in doc_ids], np.int64)
     sizes = np.array([len(b) for b in blobs], np.uint32)
@@ -313,8 +317,8 @@ class Shard:
             raw = np.frombuffer(b"".join(self._raw(p, c) for c in range(self.chunks)), np.uint8)
             bit = np.unpackbits(raw, bitorder="little")[: self.n].view(bool)
             y = np.empty_like(x)
-            y[~bit] = x[: self.zeros[p]]
-            y[bit] = x[self.zeros[p] :] | x.dtype.type(1 << (self.planes - 1 - p))
+            y[np.flatnonzero(~bit)] = x[: self.zeros[p]]
+            y[np.flatnonzero(bit)] = x[self.zeros[p] :] | x.dtype.type(1 << (self.planes - 1 - p))
             x = y
         return x
 
