@@ -285,6 +285,7 @@ def statements_to_rows(compact: DataFrame) -> DataFrame:
 # fixed values: special tokens of the encoded layout
 CLS_TOKEN = "[CLS]"
 PAD_TOKEN = "[PAD]"
+PAIR_LAYOUT = ("begin", "between", "pad")
 
 
 def whitespace_tokens(text: Column, limit: Column | int = -1) -> Column:
@@ -322,12 +323,14 @@ def encode_pair(
     padding: str = "none",
     tokens_a: Column | None = None,
     tokens_b: Column | None = None,
+    layout: dict[str, Column] | None = None,
 ) -> DataFrame:
     """Truncate and lay out one or two token sequences as ``[CLS] a [SEP] (b [SEP])``.
 
     Adds ``tokens`` (array<string>), ``attention_mask`` and ``segment_ids`` (array<int>),
     ``n_a`` and ``n_b`` (tokens kept per side).  Tokens default to whitespace splitting; a
-    caller may pass token-array columns instead.  ``padding``: ``none``, ``max_length`` (pad
+    caller may pass token-array columns instead, and with them the ``layout``: the special
+    tokens ``begin``, ``between`` and ``pad`` as values of the arrays' type.  ``padding``: ``none``, ``max_length`` (pad
     every row to its ``max_length``) or ``longest`` (pad to the longest row of the whole
     frame, found with one aggregate).
     """
@@ -335,6 +338,8 @@ def encode_pair(
         raise ValueError("max_length must leave room for the special tokens (3 or more)")
     if isinstance(max_length, str):
         df = require(df, F.col(max_length) < 3, "max_length must leave room for the special tokens (3 or more)")
+    layout = layout or dict(zip(PAIR_LAYOUT, (F.lit(CLS_TOKEN), F.lit(SEP), F.lit(PAD_TOKEN)), strict=True))
+    begin, between = F.array(layout["begin"]), F.array(layout["between"])
     # A side never keeps more than max_length - 2 tokens, so the rest need not be split: one more
     # token than that decides the same cut (and one piece may be a leading empty one).
     limit = F.col(max_length) + 1 if isinstance(max_length, str) else max_length + 1
@@ -343,7 +348,7 @@ def encode_pair(
     tb = (
         tokens_b
         if tokens_b is not None
-        else (whitespace_tokens(F.coalesce(F.col(pair_col), F.lit("")), limit) if pair_col else F.array().cast("array<string>"))
+        else (whitespace_tokens(F.coalesce(F.col(pair_col), F.lit("")), limit) if pair_col else F.slice(ta, 1, 0))
     )
     ml = F.col(max_length) if isinstance(max_length, str) else F.lit(int(max_length))
     out = df.withColumn("__ta", ta).withColumn("__tb", tb).withColumn("__ml", ml.cast("int"))
@@ -363,8 +368,8 @@ def encode_pair(
     seg_b = F.array_repeat(F.lit(1), F.col("n_b") + 1)
     tokens = F.when(
         pair_present,
-        F.concat(F.array(F.lit(CLS_TOKEN)), a_part, F.array(F.lit(SEP)), b_part, F.array(F.lit(SEP))),
-    ).otherwise(F.concat(F.array(F.lit(CLS_TOKEN)), a_part, F.array(F.lit(SEP))))
+        F.concat(begin, a_part, between, b_part, between),
+    ).otherwise(F.concat(begin, a_part, between))
     segments = F.when(pair_present, F.concat(seg_a, seg_b)).otherwise(seg_a)
     out = out.withColumn("tokens", tokens).withColumn("segment_ids", segments)
     out = out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("tokens")))
@@ -379,7 +384,7 @@ def encode_pair(
         out = out.withColumn("__pad", F.greatest(target - F.size("tokens"), F.lit(0)))
         pad = F.col("__pad")
         out = (
-            out.withColumn("tokens", F.concat("tokens", F.array_repeat(F.lit(PAD_TOKEN), pad)))
+            out.withColumn("tokens", F.concat("tokens", F.array_repeat(layout["pad"], pad)))
             .withColumn("segment_ids", F.concat("segment_ids", F.array_repeat(F.lit(0), pad)))
             .withColumn("attention_mask", F.concat("attention_mask", F.array_repeat(F.lit(0), pad)))
             .drop("__pad")

@@ -11,11 +11,13 @@ region, embeddings), so that every operator runs over whole tables and has a SQL
 * ``rel_scores``: the 64 embedding numbers read as four 16-class models.
 * ``rel_answers``: the embedding's class label as the answer.
 * ``rel_hypothesis_scores``: the 64 numbers as 32 two-wide hypothesis score rows.
+* ``rel_pieces``: a piece table for subword encoding: the words of ``benchmark``, their first one to
+  three characters, and any one or two later characters as continuations.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.labels import label_dimension
@@ -23,6 +25,7 @@ from ..operators.labels import label_dimension
 N_MODELS = 4
 MODEL_WIDTH = 16
 N_HYPOTHESIS_ROWS = 32
+_PIECE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"
 
 
 _TABLES: dict[tuple[str, str], DataFrame] = {}
@@ -159,3 +162,21 @@ def rel_hypothesis_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("0").alias("model_id"),
         F.col("s").cast("array<double>").alias("scores"),
     )
+
+
+# fixed values: the first pieces of the fixture's table
+SPECIAL_PIECES = ("[PAD]", "[UNK]", "[CLS]", "[SEP]", "[E1]", "[/E1]", "[E2]", "[/E2]", "[E1-NER]", "[E2-NER]")
+
+
+@_memo
+def rel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``piece, piece_id``: the special pieces, then all others in order."""
+    text = table(spark, sf_dir, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit(_PIECE_WORD), 0)).alias("w")).distinct()
+    head = F.transform(F.sequence(F.lit(1), F.lit(3)), lambda n: F.substring(F.col("w"), F.lit(1), n))
+    places = F.when(F.length("w") > 1, F.sequence(F.lit(2), F.length("w"))).otherwise(F.array().cast("array<int>"))
+    one, two = (F.transform(places, lambda i: F.concat(F.lit("##"), F.substring(F.col("w"), i, n))) for n in (F.lit(1), F.lit(2)))
+    pieces = text.select(F.explode(F.concat(F.array("w"), head, one, two)).alias("piece")).distinct()
+    # a vocabulary: one ordered partition of bounded size
+    numbered = pieces.withColumn("piece_id", F.row_number().over(Window.orderBy("piece")) + len(SPECIAL_PIECES) - 1)
+    special = spark.createDataFrame([(p, i) for i, p in enumerate(SPECIAL_PIECES)], "piece string, piece_id int")
+    return special.unionByName(numbered)

@@ -433,3 +433,43 @@ sf AS (SELECT position, example_id, c, exp(x) / sum(exp(x)) OVER (PARTITION BY p
 av AS (SELECT position, example_id, c, round(avg(p), 12) AS p FROM sf GROUP BY position, example_id, c),
 vt AS (SELECT position, example_id, c, row_number() OVER (PARTITION BY position ORDER BY p DESC, c) AS rn FROM av)
 SELECT round(avg(CASE WHEN c = example_id % 3 THEN 1.0 ELSE 0.0 END), 6) AS accuracy, count(*) AS n FROM vt WHERE rn = 1"""
+
+
+# --- subword pieces --------------------------------------------------------------------------------
+
+_PIECE_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[\x21-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]"
+_MARKED_WORD = r"\[E1-NER\]|\[E2-NER\]|\[/E1\]|\[/E2\]|\[SEP\]|\[E1\]|\[E2\]|" + _PIECE_WORD
+ORACLE["encode_subwords"] = EX.replace("WITH", "WITH RECURSIVE", 1) + f""",
+bw AS (SELECT DISTINCT unnest(regexp_extract_all(text, '{_PIECE_WORD}')) AS w FROM benchmark),
+named AS (
+  SELECT w AS piece FROM bw UNION SELECT w[1:n] FROM bw, range(1, 4) AS r(n)
+  UNION SELECT '##' || w[i : i + n - 1] FROM bw, range(2, length(w) + 1) AS p(i), range(1, 3) AS r(n)),
+special AS (SELECT * FROM (VALUES ('[PAD]', 0), ('[UNK]', 1), ('[CLS]', 2), ('[SEP]', 3), ('[E1]', 4), ('[/E1]', 5),
+  ('[E2]', 6), ('[/E2]', 7), ('[E1-NER]', 8), ('[E2-NER]', 9)) AS v(piece, id)),
+pieces AS (SELECT piece, (row_number() OVER (ORDER BY piece) + 9)::INTEGER AS id FROM named UNION ALL SELECT * FROM special),
+pairs AS (SELECT example_id, regexp_extract_all(entity_01 || '[SEP]' || entity_02, '{_MARKED_WORD}') AS wa,
+  regexp_extract_all(sentence, '{_MARKED_WORD}') AS wb FROM enc),
+words AS (SELECT DISTINCT unnest(wa || wb) AS w FROM pairs),
+best AS (
+  SELECT w, i, max(n) AS n, arg_max(p.id, n) AS id FROM (SELECT w, i FROM words, range(1, length(w) + 1) AS t(i) WHERE length(w) <= 100),
+    range(1, (SELECT max(length(piece)) FROM pieces) + 1) AS t2(n), pieces p
+  WHERE i + n - 1 <= length(w) AND p.piece = CASE WHEN i > 1 THEN '##' ELSE '' END || w[i : i + n - 1] GROUP BY w, i),
+walk AS (
+  SELECT w, 1::BIGINT AS pos, []::INTEGER[] AS ids FROM words
+  UNION ALL SELECT walk.w, pos + n, list_append(ids, best.id) FROM walk JOIN best ON best.w = walk.w AND best.i = pos),
+cut AS (SELECT words.w, CASE WHEN s.id IS NOT NULL THEN [s.id] ELSE coalesce(walk.ids, [1]) END AS ids
+  FROM words LEFT JOIN walk ON walk.w = words.w AND walk.pos = length(words.w) + 1 LEFT JOIN special s ON s.piece = words.w),
+placed AS (
+  SELECT example_id, 0 AS side, k, wa[k] AS w FROM pairs, range(1, len(wa) + 1) AS t(k)
+  UNION ALL SELECT example_id, 1, k, wb[k] FROM pairs, range(1, len(wb) + 1) AS t(k)),
+whole AS (SELECT example_id, coalesce(flatten(list(ids ORDER BY k) FILTER (side = 0)), []::INTEGER[]) AS a,
+  coalesce(flatten(list(ids ORDER BY k) FILTER (side = 1)), []::INTEGER[]) AS b FROM placed JOIN cut USING (w) GROUP BY example_id),
+ln AS (SELECT *, len(a) AS la, len(b) AS lb, greatest(len(a) + len(b) - 97, 0) AS ov, abs(len(a) - len(b)) AS d, least(len(a), len(b)) AS m FROM whole),
+kp AS (SELECT *, CAST(CASE WHEN ov <= d THEN (CASE WHEN la > lb THEN la - ov ELSE la END) ELSE m - floor((ov - d) / 2) END AS INTEGER) AS n_a,
+    CAST(CASE WHEN ov <= d THEN (CASE WHEN la > lb THEN lb ELSE lb - ov END) ELSE m - ceil((ov - d) / 2) END AS INTEGER) AS n_b FROM ln),
+lay AS (SELECT *, 97 - n_a - n_b AS p FROM kp)
+SELECT example_id, la::INTEGER AS pieces_a, lb::INTEGER AS pieces_b, md5(array_to_string(a, ',') || '|' || array_to_string(b, ',')) AS whole_md5, n_a, n_b,
+  array_to_string([2] || a[1:n_a] || [3] || b[1:n_b] || [3] || list_transform(range(p), lambda x: 0), ',') AS input_ids,
+  array_to_string(list_transform(range(100), lambda x: CASE WHEN x >= n_a + 2 AND x < n_a + n_b + 3 THEN 1 ELSE 0 END), ',') AS segments,
+  array_to_string(list_transform(range(100), lambda x: CASE WHEN x < n_a + n_b + 3 THEN 1 ELSE 0 END), ',') AS mask
+FROM lay"""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import argmax, sigmoid_array, softmax
-from ..operators import decode, examples, experiments, inputs, jobs, labels, metrics, targets
+from ..operators import decode, examples, experiments, inputs, jobs, labels, metrics, subwords, targets
 from ..session import scratch_path
 from ..sources import files
 from . import fixtures as fx
@@ -157,6 +157,17 @@ def q_encode_pair(spark, d):
     )
 
 
+def q_encode_subwords(spark, d):
+    """The pair layout in piece ids; whole texts are segmented, the layout cuts them."""
+    enc = subwords.encode_subwords(inputs.pair_input(_texts(spark, d)), fx.rel_pieces(spark, d), padding="max_length")
+    text = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    return enc.select(
+        "example_id", F.size("ids_0").alias("pieces_a"), F.size("ids_1").alias("pieces_b"),
+        F.md5(F.concat(text("ids_0"), F.lit("|"), text("ids_1"))).alias("whole_md5"),
+        "n_a", "n_b", text("input_ids").alias("input_ids"), text("segment_ids").alias("segments"), text("attention_mask").alias("mask"),
+    )
+
+
 def q_first_example(spark, d):
     return (
         inputs.pair_input(_texts(spark, d))
@@ -631,6 +642,7 @@ QUERIES: dict[str, Query] = {
     "hypothesis_input": q_hypothesis_input,
     "hypothesis_statements": q_hypothesis_statements,
     "encode_pair": q_encode_pair,
+    "encode_subwords": q_encode_subwords,
     "first_example": q_first_example,
     "class_target": q_class_target,
     "variant_target": q_variant_target,
