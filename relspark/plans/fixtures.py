@@ -11,6 +11,8 @@ region, embeddings), so that every operator runs over whole tables and has a SQL
 * ``rel_scores``: the 64 embedding numbers read as four 16-class models.
 * ``rel_answers``: the embedding's class label as the answer.
 * ``rel_hypothesis_scores``: the 64 numbers as 32 two-wide hypothesis score rows.
+* ``rel_classes``: whole texts with the document's language as the class (English plays "no
+  relation"); every fifth id is held out.
 * ``rel_pieces``: a piece table for subword encoding: the words of ``benchmark``, their first one to
   three characters, and any one or two later characters as continuations.
 """
@@ -180,3 +182,18 @@ def rel_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     numbered = pieces.withColumn("piece_id", F.row_number().over(Window.orderBy("piece")) + len(SPECIAL_PIECES) - 1)
     special = spark.createDataFrame([(p, i) for i, p in enumerate(SPECIAL_PIECES)], "piece string, piece_id int")
     return special.unionByName(numbered)
+
+
+# fixed values: class numbers of the fixture's languages; any other is "no relation"
+LANGUAGE_CLASSES = {"de": 1, "es": 2, "fr": 3}
+
+
+@_memo
+def rel_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``example_id, sentence, label, held``."""
+    label = F.lit(0)
+    for name, number in LANGUAGE_CLASSES.items():
+        label = F.when(F.col("lang") == name, number).otherwise(label)
+    sentence = F.coalesce(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), F.lit(""))
+    return table(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("example_id"), sentence.alias("sentence"), label.cast("int").alias("label"), (F.col("doc_id") % 5 == 0).alias("held"))

@@ -473,3 +473,42 @@ SELECT example_id, la::INTEGER AS pieces_a, lb::INTEGER AS pieces_b, md5(array_t
   array_to_string(list_transform(range(100), lambda x: CASE WHEN x >= n_a + 2 AND x < n_a + n_b + 3 THEN 1 ELSE 0 END), ',') AS segments,
   array_to_string(list_transform(range(100), lambda x: CASE WHEN x < n_a + n_b + 3 THEN 1 ELSE 0 END), ',') AS mask
 FROM lay"""
+
+
+# --- training on soft targets ----------------------------------------------------------------------
+
+
+def _gradient_steps(epochs: int, features: int = 1024, classes: int = 3, rate: float = 60.0, threshold: float = 0.6) -> str:
+    """Full gradient steps as CTEs; ``told`` has the figures of every epoch."""
+    out = [f"""WITH ex AS (
+  SELECT doc_id AS id, coalesce(replace(text, chr(10), ' '), '') AS sentence, doc_id % 5 = 0 AS held,
+    CASE lang WHEN 'de' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 ELSE 0 END AS label FROM documents),
+wd AS (SELECT id, held, unnest(list_filter(string_split(sentence, ' '), lambda w: w <> '')) AS w FROM ex),
+ft AS (SELECT id, held, ('0x' || substr(md5(w), 1, 7))::BIGINT % {features} AS f FROM wd),
+x AS (
+  SELECT id, held, f, count(*) / (sum(count(*)) OVER (PARTITION BY id))::DOUBLE AS v FROM ft GROUP BY id, held, f
+  UNION ALL SELECT id, held, {features}, 1.0 FROM ex),
+t AS (SELECT id, held, label, k, CASE WHEN label = 0 THEN 1.0::DOUBLE / {classes} WHEN label = k + 1 THEN 1.0 ELSE 0.0 END AS t
+  FROM ex, range({classes}) AS r(k)),
+w0 AS (SELECT f, k, 0.0::DOUBLE AS w FROM range({features} + 1) AS a(f), range({classes}) AS b(k))"""]
+    loss = "avg(greatest(z, 0.0) - z * t + ln(1 + exp(-abs(z))))"
+    for e in range(epochs + 1):
+        out.append(f"""z{e} AS (SELECT t.id, t.held, label, t.k, t, sum(v * w) AS z
+  FROM t JOIN x ON x.id = t.id JOIN w{e} w ON w.f = x.f AND w.k = t.k GROUP BY 1, 2, 3, 4, 5)""")
+        if e < epochs:
+            out.append(f"""g{e} AS (SELECT f, k, sum(v * (1 / (1 + exp(-z)) - t)) / (SELECT count(*) FROM t WHERE NOT held) AS g
+  FROM z{e} z JOIN x ON x.id = z.id WHERE NOT z.held GROUP BY f, k),
+w{e + 1} AS (SELECT w.f, w.k, w - {rate} * coalesce(g, 0) AS w FROM w{e} w LEFT JOIN g{e} g ON g.f = w.f AND g.k = w.k)""")
+    for e in range(1, epochs + 1):
+        out.append(f"""p{e} AS (SELECT id, label, CASE WHEN 1 / (1 + exp(-max(z))) < {threshold} THEN 0 ELSE arg_max(k, z) + 1 END AS pred
+  FROM z{e} WHERE held GROUP BY id, label)""")
+    one = [f"""SELECT {e} AS epoch, (SELECT {loss} FROM z{e - 1} WHERE NOT held) AS train_loss, (SELECT {loss} FROM z{e} WHERE held) AS held_loss,
+  (SELECT avg((pred = label)::DOUBLE) FROM p{e}) AS held_accuracy""" for e in range(1, epochs + 1)]
+    out.append("told AS (" + "\nUNION ALL ".join(one) + ")")
+    return ",\n".join(out)
+
+
+_TOLD = "epoch, round(train_loss, 6) AS train_loss, round(held_loss, 6) AS held_loss, round(held_accuracy, 6) AS held_accuracy"
+ORACLE["train_soft_targets"] = _gradient_steps(3) + f"\nSELECT {_TOLD} FROM told"
+ORACLE["resume_training"] = _gradient_steps(5) + f"""
+SELECT {_TOLD}, epoch = 5 OR row_number() OVER (ORDER BY held_accuracy DESC, held_loss, epoch DESC) <= 3 AS kept FROM told"""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import argmax, sigmoid_array, softmax
-from ..operators import decode, examples, experiments, inputs, jobs, labels, metrics, subwords, targets
+from ..operators import decode, examples, experiments, inputs, jobs, labels, metrics, subwords, targets, training
 from ..session import scratch_path
 from ..sources import files
 from . import fixtures as fx
@@ -437,6 +437,33 @@ def q_train_linear_classifier(spark, d):
     return decode.argmax_decode(jobs.score_linear_classifier(model, train))
 
 
+SOFT_SETTINGS = training.Settings(n_classes=len(fx.LANGUAGE_CLASSES), n_features=1 << 10, learning_rate=60.0)
+
+
+def _soft_rows(spark, d):
+    df = targets.soft_target(fx.rel_classes(spark, d), n_classes=SOFT_SETTINGS.n_classes)
+    return training.training_rows(df, SOFT_SETTINGS)
+
+
+def _rounded_history(spark, told):
+    h = training.history(spark, told)
+    return h.select("epoch", *[F.round(c, 6).alias(c) for c in ("train_loss", "held_loss", "held_accuracy")])
+
+
+def q_train_soft_targets(spark, d):
+    """Three epochs on the documents' words with the language as soft target; figures of each."""
+    return _rounded_history(spark, training.fit(_soft_rows(spark, d), SOFT_SETTINGS, 3)[1])
+
+
+def q_resume_training(spark, d):
+    """A run of five epochs that is taken up again after two, from the store; which epochs stay."""
+    rows, store = _soft_rows(spark, d), scratch_path(spark, "training-epochs")
+    told = training.fit(rows, SOFT_SETTINGS, 2, store=store)[1]
+    told += training.fit(rows, SOFT_SETTINGS, 5, store=store)[1]
+    kept = sorted(training.EpochStore(spark, store, SOFT_SETTINGS).figures())
+    return _rounded_history(spark, told).withColumn("kept", F.col("epoch").isin(*kept))
+
+
 # --- sources: files written by Spark from the driver tables, read back --------------------------
 
 
@@ -669,6 +696,8 @@ QUERIES: dict[str, Query] = {
     "score_hypotheses": q_score_hypotheses,
     "score_two_sentence": q_score_two_sentence,
     "train_linear_classifier": q_train_linear_classifier,
+    "train_soft_targets": q_train_soft_targets,
+    "resume_training": q_resume_training,
     "read_raw_examples": q_read_raw_examples,
     "read_tagged_examples": q_read_tagged_examples,
     "read_marked_examples": q_read_marked_examples,
