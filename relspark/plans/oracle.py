@@ -478,8 +478,8 @@ FROM lay"""
 # --- training on soft targets ----------------------------------------------------------------------
 
 
-def _gradient_steps(epochs: int, features: int = 1024, classes: int = 3, rate: float = 60.0, threshold: float = 0.6) -> str:
-    """Full gradient steps as CTEs; ``told`` has the figures of every epoch."""
+def _gradient_steps(epochs: int, features: int = 1024, classes: int = 3, rate: float = 0.5, threshold: float = 0.6) -> str:
+    """Full gradient steps by moments as CTEs; ``told`` has the figures of every epoch."""
     out = [f"""WITH ex AS (
   SELECT doc_id AS id, coalesce(replace(text, chr(10), ' '), '') AS sentence, doc_id % 5 = 0 AS held,
     CASE lang WHEN 'de' THEN 1 WHEN 'es' THEN 2 WHEN 'fr' THEN 3 ELSE 0 END AS label FROM documents),
@@ -490,7 +490,7 @@ x AS (
   UNION ALL SELECT id, held, {features}, 1.0 FROM ex),
 t AS (SELECT id, held, label, k, CASE WHEN label = 0 THEN 1.0::DOUBLE / {classes} WHEN label = k + 1 THEN 1.0 ELSE 0.0 END AS t
   FROM ex, range({classes}) AS r(k)),
-w0 AS (SELECT f, k, 0.0::DOUBLE AS w FROM range({features} + 1) AS a(f), range({classes}) AS b(k))"""]
+w0 AS (SELECT f, k, 0.0::DOUBLE AS w, 0.0::DOUBLE AS m1, 0.0::DOUBLE AS m2 FROM range({features} + 1) AS a(f), range({classes}) AS b(k))"""]
     loss = "avg(greatest(z, 0.0) - z * t + ln(1 + exp(-abs(z))))"
     for e in range(epochs + 1):
         out.append(f"""z{e} AS (SELECT t.id, t.held, label, t.k, t, sum(v * w) AS z
@@ -498,7 +498,9 @@ w0 AS (SELECT f, k, 0.0::DOUBLE AS w FROM range({features} + 1) AS a(f), range({
         if e < epochs:
             out.append(f"""g{e} AS (SELECT f, k, sum(v * (1 / (1 + exp(-z)) - t)) / (SELECT count(*) FROM t WHERE NOT held) AS g
   FROM z{e} z JOIN x ON x.id = z.id WHERE NOT z.held GROUP BY f, k),
-w{e + 1} AS (SELECT w.f, w.k, w - {rate} * coalesce(g, 0) AS w FROM w{e} w LEFT JOIN g{e} g ON g.f = w.f AND g.k = w.k)""")
+m{e} AS (SELECT w.f, w.k, w, 0.9 * m1 + 0.1 * coalesce(g, 0) AS m1, 0.999 * m2 + 0.001 * coalesce(g, 0) * coalesce(g, 0) AS m2
+  FROM w{e} w LEFT JOIN g{e} g ON g.f = w.f AND g.k = w.k),
+w{e + 1} AS (SELECT f, k, w * (1 - {rate} * 0.01) - {rate} * (m1 / (1 - power(0.9::DOUBLE, {e + 1}))) / (sqrt(m2 / (1 - power(0.999::DOUBLE, {e + 1}))) + 1e-6) AS w, m1, m2 FROM m{e})""")
     for e in range(1, epochs + 1):
         out.append(f"""p{e} AS (SELECT id, label, CASE WHEN 1 / (1 + exp(-max(z))) < {threshold} THEN 0 ELSE arg_max(k, z) + 1 END AS pred
   FROM z{e} WHERE held GROUP BY id, label)""")
@@ -509,6 +511,6 @@ w{e + 1} AS (SELECT w.f, w.k, w - {rate} * coalesce(g, 0) AS w FROM w{e} w LEFT
 
 
 _TOLD = "epoch, round(train_loss, 6) AS train_loss, round(held_loss, 6) AS held_loss, round(held_accuracy, 6) AS held_accuracy"
-ORACLE["train_soft_targets"] = _gradient_steps(3) + f"\nSELECT {_TOLD} FROM told"
-ORACLE["resume_training"] = _gradient_steps(5) + f"""
-SELECT {_TOLD}, epoch = 5 OR row_number() OVER (ORDER BY held_accuracy DESC, held_loss, epoch DESC) <= 3 AS kept FROM told"""
+ORACLE["train_soft_targets"] = _gradient_steps(4) + f"\nSELECT {_TOLD} FROM told"
+ORACLE["resume_training"] = _gradient_steps(8) + f"""
+SELECT {_TOLD}, epoch = 8 OR row_number() OVER (ORDER BY held_accuracy DESC, held_loss, epoch DESC) <= 3 AS kept FROM told"""

@@ -437,7 +437,7 @@ def q_train_linear_classifier(spark, d):
     return decode.argmax_decode(jobs.score_linear_classifier(model, train))
 
 
-SOFT_SETTINGS = training.Settings(n_classes=len(fx.LANGUAGE_CLASSES), n_features=1 << 10, learning_rate=60.0)
+SOFT_SETTINGS = training.Settings(n_classes=len(fx.LANGUAGE_CLASSES), n_features=1 << 10, learning_rate=0.5, optimizer="adamw", weight_decay=0.01, epsilon=1e-6)
 
 
 def _soft_rows(spark, d):
@@ -451,15 +451,15 @@ def _rounded_history(spark, told):
 
 
 def q_train_soft_targets(spark, d):
-    """Three epochs on the documents' words with the language as soft target; figures of each."""
-    return _rounded_history(spark, training.fit(_soft_rows(spark, d), SOFT_SETTINGS, 3)[1])
+    """Four epochs on the documents' words with the language as soft target; figures of each."""
+    return _rounded_history(spark, training.fit(_soft_rows(spark, d), SOFT_SETTINGS, 4)[1])
 
 
 def q_resume_training(spark, d):
-    """A run of five epochs that is taken up again after two, from the store; which epochs stay."""
+    """A run of eight epochs that is taken up again after three, from the store; which epochs stay."""
     rows, store = _soft_rows(spark, d), scratch_path(spark, "training-epochs")
-    told = training.fit(rows, SOFT_SETTINGS, 2, store=store)[1]
-    told += training.fit(rows, SOFT_SETTINGS, 5, store=store)[1]
+    told = training.fit(rows, SOFT_SETTINGS, 3, store=store)[1]
+    told += training.fit(rows, SOFT_SETTINGS, 8, store=store)[1]
     kept = sorted(training.EpochStore(spark, store, SOFT_SETTINGS).figures())
     return _rounded_history(spark, told).withColumn("kept", F.col("epoch").isin(*kept))
 
