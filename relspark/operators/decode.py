@@ -220,9 +220,9 @@ def hypothesis_rollup(
 
     Hypothesis ``variant v`` belongs to relation ``v div 2 + 1``.  Below ``threshold`` the
     example gets 0 (no relation); ties go to the smallest relation id.  Each example must carry
-    exactly the hypotheses 0..2*(K-1)-1, each once.  The rows are dealt by example once; then one
-    row per relation (both directions counted and summed) and one streaming maximum per example,
-    so the work is linear in the hypotheses.
+    exactly the hypotheses 0..2*(K-1)-1, each once.  Rows are reduced map-side to one per relation
+    (both directions counted and summed), then to one streaming maximum per example, so the work is
+    linear in the hypotheses and an example with a large share of the rows is never gathered.
     """
     n_rel = n_labels - 1
     n_hyp = 2 * n_rel
@@ -237,7 +237,7 @@ def hypothesis_rollup(
     probs = softmax(raw) if from_logits else raw
     rows = checked.select(
         *group_cols, F.floor(v / 2).cast("int").alias("__rel"), (v % 2).alias("__dir"), F.element_at(probs, 2).alias("__p")
-    ).repartition("example_id")
+    )
     each = rows.groupBy(*group_cols, "__rel").agg(
         F.count(F.when(F.col("__dir") == 0, 1)).alias("__forward"),
         F.count(F.when(F.col("__dir") == 1, 1)).alias("__reverse"),

@@ -8,6 +8,8 @@ Accuracy and loss are global aggregates with map-side partial sums.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,6 +85,51 @@ def accuracy_from_scores(
     return accuracy(preds, answers, **kw)
 
 
+def align_models(scores: DataFrame, answers: DataFrame, models: Sequence[str], value: Column, answer: Column) -> DataFrame:
+    """``(example_id, model_id, value, answer)``: every model's ``value`` of an example beside its answer.
+
+    One scan of each side: the scores are reduced to one row per example (a count and a value for
+    each of the expected models), joined with the answers' one row per example, and laid out by model
+    again.  Raises unless every model and every answer is there exactly once.
+    """
+    counts, values = [], []
+    for i, m in enumerate(models):
+        mine = F.col("model_id") == F.lit(m)
+        counts.append(F.count(F.when(mine, 1)).alias(f"__n{i}"))
+        values.append(F.max(F.when(mine, F.col("__v"))).alias(f"__v{i}"))
+    per = scores.select("example_id", "model_id", value.alias("__v")).groupBy("example_id").agg(F.count(F.lit(1)).alias("__rows"), *counts, *values)
+    side = answers.select("example_id", answer.alias("answer"))
+    joined = per.join(_one_per_key(side, "answer", "__a"), "example_id", "full_outer")
+    key = F.col("example_id").cast("string")
+    joined = require(joined, F.col("__rows").isNull() | F.col("__a").isNull(), F.concat(F.lit("scores and answers differ in length / keys at example_id "), key))
+    joined = require(joined, F.col("__a") > 1, F.concat(F.lit("duplicate example_id in answers: "), key))
+    wrong = F.col("__rows") != len(models)
+    for i in range(len(models)):
+        wrong = wrong | (F.col(f"__n{i}") != 1)
+    joined = require(joined, wrong, F.concat(F.lit(f"expected {len(models)} models per example, each once, at example_id "), key))
+    laid = F.explode(F.array(*[F.struct(F.lit(m).alias("model_id"), F.col(f"__v{i}").alias("value")) for i, m in enumerate(models)]))
+    return joined.select("example_id", "answer", laid.alias("__m")).select("example_id", "__m.model_id", "__m.value", "answer")
+
+
+def accuracy_by_model(scores: DataFrame, answers: DataFrame, models: Sequence[str], scores_col: str = "scores") -> DataFrame:
+    """``(model_id, accuracy, n)``: :func:`accuracy_from_scores` of every model in one plan."""
+    aligned = align_models(scores, answers, models, argmax(F.col(scores_col)), F.col("answer"))
+    aligned = require(aligned, F.col("answer") == F.lit(BLIND_LABEL), "hidden label 100 among answers")
+    hit = F.coalesce((F.col("value") == F.col("answer")).cast("double"), F.lit(0.0))
+    return aligned.groupBy("model_id").agg(F.avg(hit).alias("accuracy"), F.count(F.lit(1)).alias("n"))
+
+
+def bce_by_model(scores: DataFrame, targets: DataFrame, models: Sequence[str], scores_col: str = "scores", target_col: str = "target") -> DataFrame:
+    """``(model_id, loss, n)``: :func:`bce_with_logits` of every model in one plan."""
+    aligned = align_models(scores, targets, models, as_double_array(scores_col), as_double_array(target_col))
+    aligned = require(
+        aligned, F.col("value").isNull() | F.col("answer").isNull() | (F.size("value") != F.size("answer")), "logit and target vectors differ in width"
+    )
+    return aligned.groupBy("model_id").agg(
+        (F.sum(bce_with_logits_sum("value", "answer")) / F.sum(F.size("value"))).alias("loss"), F.count(F.lit(1)).alias("n")
+    )
+
+
 def confusion_counts(predictions: DataFrame, answers: DataFrame) -> DataFrame:
     """``(answer, pred, n)`` over aligned rows."""
     aligned = align_predictions(predictions, answers)

@@ -514,3 +514,20 @@ _TOLD = "epoch, round(train_loss, 6) AS train_loss, round(held_loss, 6) AS held_
 ORACLE["train_soft_targets"] = _gradient_steps(4) + f"\nSELECT {_TOLD} FROM told"
 ORACLE["resume_training"] = _gradient_steps(8) + f"""
 SELECT {_TOLD}, epoch = 8 OR row_number() OVER (ORDER BY held_accuracy DESC, held_loss, epoch DESC) <= 3 AS kept FROM told"""
+
+
+# --- thresholds ------------------------------------------------------------------------------------
+
+_SWEEP = SC + """,
+best AS (SELECT model_id, list_max(scores) AS top, list_position(scores, list_max(scores)) AS pred, answer
+  FROM rel_scores JOIN rel_answers USING (example_id)),
+per AS (SELECT model_id, top, count(*) AS n, count(*) FILTER (pred = answer) AS hits, count(*) FILTER (answer = 0) AS none FROM best GROUP BY 1, 2),
+swept AS (
+  SELECT model_id, 1 / (1 + exp(-top)) AS threshold, n,
+    (sum(hits) OVER (PARTITION BY model_id ORDER BY top DESC) + sum(none) OVER (PARTITION BY model_id ORDER BY top) - none)::DOUBLE
+      / sum(n) OVER (PARTITION BY model_id) AS accuracy FROM per)"""
+ORACLE["threshold_sweep"] = _SWEEP + """
+SELECT model_id, round(threshold, 6) AS threshold, n, round(accuracy, 6) AS accuracy FROM swept"""
+ORACLE["best_threshold"] = _SWEEP + """
+SELECT model_id, round(threshold, 6) AS threshold, round(accuracy, 6) AS accuracy FROM swept
+QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY accuracy DESC, threshold) = 1"""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import argmax, sigmoid_array, softmax
-from ..operators import decode, examples, experiments, inputs, jobs, labels, metrics, subwords, targets, training
+from ..operators import decode, examples, experiments, inputs, jobs, labels, metrics, subwords, sweep, targets, training
 from ..session import scratch_path
 from ..sources import files
 from . import fixtures as fx
@@ -304,13 +304,8 @@ def q_accuracy(spark, d):
 
 def q_accuracy_from_scores(spark, d):
     """Every model's own accuracy."""
-    out = None
-    for m in MODEL_IDS:
-        s = fx.rel_scores(spark, d).filter(F.col("model_id") == m)
-        acc = metrics.accuracy_from_scores(s, fx.rel_answers(spark, d))
-        acc = acc.select(F.lit(m).alias("model_id"), F.round("accuracy", 6).alias("accuracy"), "n")
-        out = acc if out is None else out.unionAll(acc)
-    return out
+    acc = metrics.accuracy_by_model(fx.rel_scores(spark, d), fx.rel_answers(spark, d), MODEL_IDS)
+    return acc.select("model_id", F.round("accuracy", 6).alias("accuracy"), "n")
 
 
 def q_confusion_counts(spark, d):
@@ -320,12 +315,19 @@ def q_confusion_counts(spark, d):
 def q_bce_with_logits(spark, d):
     """Every model's own loss."""
     t = targets.soft_target(fx.rel_answers(spark, d), n_classes=fx.MODEL_WIDTH, label_col="answer")
-    out = None
-    for m in MODEL_IDS:
-        loss = metrics.bce_with_logits(fx.rel_scores(spark, d).filter(F.col("model_id") == m), t)
-        loss = loss.select(F.lit(m).alias("model_id"), F.round("loss", 6).alias("loss"), "n")
-        out = loss if out is None else out.unionAll(loss)
-    return out
+    loss = metrics.bce_by_model(fx.rel_scores(spark, d), t, MODEL_IDS)
+    return loss.select("model_id", F.round("loss", 6).alias("loss"), "n")
+
+
+def q_threshold_sweep(spark, d):
+    r = sweep.threshold_sweep(fx.rel_scores(spark, d), fx.rel_answers(spark, d), MODEL_IDS)
+    return r.select("model_id", F.round("threshold", 6).alias("threshold"), "n", F.round("accuracy", 6).alias("accuracy"))
+
+
+def q_best_threshold(spark, d):
+    """What the sweep chooses for each model, in place of a threshold that is typed in."""
+    r = sweep.best_threshold(sweep.threshold_sweep(fx.rel_scores(spark, d), fx.rel_answers(spark, d), MODEL_IDS))
+    return r.select("model_id", F.round("threshold", 6).alias("threshold"), F.round("accuracy", 6).alias("accuracy"))
 
 
 # --- scoring -------------------------------------------------------------------------------------
@@ -692,6 +694,8 @@ QUERIES: dict[str, Query] = {
     "accuracy_from_scores": q_accuracy_from_scores,
     "confusion_counts": q_confusion_counts,
     "bce_with_logits": q_bce_with_logits,
+    "threshold_sweep": q_threshold_sweep,
+    "best_threshold": q_best_threshold,
     "score_batches": q_score_batches,
     "score_hypotheses": q_score_hypotheses,
     "score_two_sentence": q_score_two_sentence,
