@@ -531,3 +531,12 @@ SELECT model_id, round(threshold, 6) AS threshold, n, round(accuracy, 6) AS accu
 ORACLE["best_threshold"] = _SWEEP + """
 SELECT model_id, round(threshold, 6) AS threshold, round(accuracy, 6) AS accuracy FROM swept
 QUALIFY row_number() OVER (PARTITION BY model_id ORDER BY accuracy DESC, threshold) = 1"""
+
+
+# --- scores kept by content --------------------------------------------------------------------------
+
+ORACLE["score_store"] = EX + """,
+seen AS (SELECT DISTINCT entity_01 || '[SEP]' || entity_02 AS a, sentence AS b FROM enc),
+again AS (SELECT example_id, CASE WHEN example_id % 7 = 0 THEN entity_02 || '[SEP]' || entity_01 ELSE entity_01 || '[SEP]' || entity_02 END AS a, sentence AS b FROM enc),
+sc AS (SELECT *, [(length(a) % 7) * 0.3::DOUBLE, ((length(a) + length(b)) % 5) * 0.5::DOUBLE] AS s FROM again)
+SELECT example_id, (list_position(s, list_max(s)) - 1)::INTEGER AS pred, round(list_max(s), 6) AS top_score, (a, b) NOT IN (SELECT (a, b) FROM seen) AS fresh FROM sc"""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import argmax, sigmoid_array, softmax
-from ..operators import decode, examples, experiments, inputs, jobs, labels, metrics, subwords, sweep, targets, training
+from ..operators import decode, examples, experiments, inputs, jobs, labels, metrics, score_store, subwords, sweep, targets, training
 from ..session import scratch_path
 from ..sources import files
 from . import fixtures as fx
@@ -426,6 +426,27 @@ def q_score_two_sentence(spark, d):
     return r.select("example_id", "pred", F.round(F.array_max("probs"), 6).alias("score"))
 
 
+def fixture_pair_scores(_model, batch: pd.DataFrame) -> np.ndarray:
+    """Deterministic two-way "model" of the fixture for pair inputs."""
+    a, b = (batch[c].str.len().to_numpy() for c in ("text", "text_pair"))
+    return np.stack([(a % 7) * 0.3, ((a + b) % 5) * 0.5], axis=1)
+
+
+def q_score_store(spark, d):
+    """All pairs scored into a store; then the table again with the entities swapped in every seventh
+    example: its scores, and whether the second run had to make them."""
+    ex = _texts(spark, d)
+    turned = F.col("example_id") % 7 == 0
+    second = ex.withColumns({
+        "entity_01": F.when(turned, F.col("entity_02")).otherwise(F.col("entity_01")),
+        "entity_02": F.when(turned, F.col("entity_01")).otherwise(F.col("entity_02"))})
+    store = score_store.ScoreStore(spark, scratch_path(spark, "scores-kept"), buckets=16)
+    for df in (ex, second):
+        out = store.score(inputs.pair_input(df), fixture_pair_scores, ["text", "text_pair"], model_id="pairs")
+    runs = [r.run for r in store.runs()]
+    return out.select("example_id", argmax("scores").alias("pred"), F.round(F.array_max("scores"), 6).alias("top_score"), (F.col("run") == runs[1]).alias("fresh"))
+
+
 def q_train_linear_classifier(spark, d):
     """Fit and score with the default settings on classes that the text decides: the pair's first
     text repeats a class word (``example_id`` modulo 5) as often as the second, the whole
@@ -699,6 +720,7 @@ QUERIES: dict[str, Query] = {
     "score_batches": q_score_batches,
     "score_hypotheses": q_score_hypotheses,
     "score_two_sentence": q_score_two_sentence,
+    "score_store": q_score_store,
     "train_linear_classifier": q_train_linear_classifier,
     "train_soft_targets": q_train_soft_targets,
     "resume_training": q_resume_training,
