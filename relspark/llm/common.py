@@ -44,7 +44,28 @@ def store(spark: SparkSession, df: DataFrame, name: str, partition_by: str | Non
 def stored(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
     """``df`` written to and read back from the shared checkpoint folder."""
     schema = df.schema
-    return spark.read.schema(schema).parquet(store(spark, df, name))
+    path = store(spark, df, name)
+    out = spark.read.schema(schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Delete tables that ``stored`` returned, once what was made of them is stored itself."""
+    for t in tables:
+        if t is not None:
+            discard(t.sparkSession, t._stored_at)
+
+
+def fresh_names(docs: DataFrame, *names: str) -> list[str]:
+    """``names``, lengthened until no column of ``docs`` has them."""
+    taken = {c.lower() for c in docs.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        out.append(n)
+    return out
 
 
 def discard(spark: SparkSession, path: str) -> None:

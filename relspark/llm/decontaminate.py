@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import ascii_lower, broadcast_if_small, raw_words, stored
+from relspark.llm.common import ascii_lower, broadcast_if_small, fresh_names, raw_words, stored
 
 WINDOW = 13
 WORD_BITS = 18
@@ -138,7 +138,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, k
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that are not contaminated, columns as they came."""
-    bad = contamination(docs, benchmark, window, key).where("contaminated").select(F.col(key).alias("bad_key"), F.col("text_hash").alias("bad_hash")).distinct()
+    bad_key, bad_hash = fresh_names(docs, "bad_key", "bad_hash")
+    bad = contamination(docs, benchmark, window, key).where("contaminated").select(F.col(key).alias(bad_key), F.col("text_hash").alias(bad_hash)).distinct()
     bad = stored(docs.sparkSession, bad, "contaminated")
     bad = broadcast_if_small(bad, bad.agg(F.count(F.lit(1)) * 64))
-    return docs.join(bad, docs[key].eqNullSafe(F.col("bad_key")) & (F.xxhash64(docs["text"]) == F.col("bad_hash")), "left_anti")
+    return docs.join(bad, docs[key].eqNullSafe(F.col(bad_key)) & (F.xxhash64(docs["text"]) == F.col(bad_hash)), "left_anti")

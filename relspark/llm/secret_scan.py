@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relspark.llm.common import broadcast_if_small, stored
+from relspark.llm.common import broadcast_if_small, fresh_names, stored
 
 # fixed values: the base patterns
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -200,17 +200,18 @@ def scan(docs: DataFrame, fdr: float = FDR, key: str = "doc_id") -> DataFrame:
 def redact(docs: DataFrame, fdr: float = FDR, key: str = "doc_id") -> DataFrame:
     """``docs`` with every span of ``text`` replaced by ``MARK``; other columns, and texts without
     a span, as they were.  Overlapping spans are replaced once."""
-    found = find_spans(docs, fdr, key).where(F.size("found") > 0).groupBy(F.col(key).alias("f_key"), F.col("text_hash").alias("f_hash")).agg(F.first("found").alias("f_spans"))
+    f_key, f_hash, f_spans = fresh_names(docs, "f_key", "f_hash", "f_spans")
+    found = find_spans(docs, fdr, key).where(F.size("found") > 0).groupBy(F.col(key).alias(f_key), F.col("text_hash").alias(f_hash)).agg(F.first("found").alias(f_spans))
     found = stored(docs.sparkSession, found, "secret-spans")
-    found = broadcast_if_small(found, found.agg(F.sum(F.size("f_spans") * 32 + 64)))
-    same = docs[key].eqNullSafe(F.col("f_key")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("f_hash"))
+    found = broadcast_if_small(found, found.agg(F.sum(F.size(f_spans) * 32 + 64)))
+    same = docs[key].eqNullSafe(F.col(f_key)) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(f_hash))
     joined = docs.join(found, same, "left")
     # the text between spans: each piece begins at the furthest end so far
-    n = F.size("f_spans")
-    reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice("f_spans", F.lit(1), i), lambda s: s["end"])), F.lit(0).cast("long"))
+    n = F.size(f_spans)
+    reach = lambda i: F.coalesce(F.array_max(F.transform(F.slice(f_spans, F.lit(1), i), lambda s: s["end"])), F.lit(0).cast("long"))
     piece = lambda i: F.when(i == n, F.substring("text", (reach(i) + 1).cast("int"), F.length("text"))).when(
-        (i > 0) & (F.get("f_spans", i)["start"] < reach(i)), F.lit(None).cast("string")).otherwise(
-        F.substring("text", (reach(i) + 1).cast("int"), (F.get("f_spans", i)["start"] - reach(i)).cast("int")))
+        (i > 0) & (F.get(f_spans, i)["start"] < reach(i)), F.lit(None).cast("string")).otherwise(
+        F.substring("text", (reach(i) + 1).cast("int"), (F.get(f_spans, i)["start"] - reach(i)).cast("int")))
     pieces = F.filter(F.transform(F.sequence(F.lit(0), n), piece), lambda p: p.isNotNull())
-    clean = F.when(F.col("f_spans").isNull(), F.col("text")).otherwise(F.array_join(pieces, MARK))
+    clean = F.when(F.col(f_spans).isNull(), F.col("text")).otherwise(F.array_join(pieces, MARK))
     return joined.select(*[clean.alias("text") if c == "text" else docs[c] for c in docs.columns])

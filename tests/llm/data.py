@@ -4,7 +4,8 @@ import random
 
 from pyspark.sql import functions as F
 
-CLASH = ["row_id", "cid", "w", "words", "text_hash", "block", "doc", "score", "n", "label", "spans", "found", "link", "order", "bands"]
+CLASH = ["row_id", "cid", "w", "words", "text_hash", "block", "doc", "score", "n", "label", "spans", "found", "link", "order", "bands",
+         "f_key", "f_hash", "f_spans", "bad_key", "bad_hash", "k_key", "k_text", "text_id", "text_id_", "row"]
 SCHEMA = "doc_id long, text string"
 
 
