@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import stored
+from relspark.llm.common import forget, stored
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -22,13 +22,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.select("u", "v").unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # stored, so that the join is between two exchanges and a hub's edges can be split
-        least = stored(spark, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "edges")
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        nearest = stored(spark, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "edges")
+        large = both.join(nearest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = stored(spark, large, "edges")
+        forget(now, nearest)
         least = stored(spark, large.groupBy("u").agg(F.min("v").alias("m")), "edges")
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").unionAll(least.select("u", F.col("m").alias("v"))).distinct()
         now = stored(spark, small, "edges")
+        forget(large, least)
         seen = now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if seen == mark:
             break

@@ -13,8 +13,10 @@ bucket.  A bucket does not emit its pairs: its members are first compared with o
 in the most and largest buckets, and the verified links give components.  Where many members stay outside their bucket's
 largest component, they meet further centres of it, one a turn, as long as that helps; each turn
 is linear in the members.  Then every pair of a bucket that could still join two
-components is verified, so no link of a bucket is lost; pairs whose cell counts alone rule a link out
-are left out before.  A pair of exactly ``SIMILARITY`` shares no bucket with probability 4.9e-5 (closer
+components is verified, so no link of a bucket is lost.  Left out before are texts and pairs that
+cannot reach ``SIMILARITY``: what two texts share is at most the smaller one, and at most what
+either shares with any text at all, so a text with many cells of its own (an edited copy whose
+edits nobody else has) meets nobody.  A pair of exactly ``SIMILARITY`` shares no bucket with probability 4.9e-5 (closer
 pairs with less): such a link is found only if other texts connect the two.  A link needs an exact
 weighted Jaccard similarity of ``SIMILARITY``.
 
@@ -30,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import _MULT, batch_rows, broadcast_if_small, mix64, release, shingle_hashes, stored, text_bytes, word_bounds, word_hashes
+from relspark.llm.common import _MULT, batch_rows, broadcast_if_small, forget, fresh_names, mix64, release, shingle_hashes, stored, text_bytes, word_bounds, word_hashes
 from relspark.llm.components import connected_components
 
 RUN = 5
@@ -138,14 +140,32 @@ def verified(pairs: DataFrame, cells: DataFrame, similarity: float = SIMILARITY)
     return both.where(common >= similarity * union).select("a", "b")
 
 
-def _split_buckets(members: DataFrame, comp: DataFrame) -> tuple[DataFrame, int, int]:
-    """Members of the buckets that hold several components (``main``: the bucket's largest), the pairs
-    that remain between an outsider and another member, and the members' number."""
-    placed = members.join(comp, members["cid"] == comp["node"], "left").select("band", "cid", "n_cells", "centre", F.coalesce("component", "cid").alias("comp"))
-    groups = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"))
-    largest = groups.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+def shared_cells(members: DataFrame, cells: DataFrame) -> DataFrame:
+    """``cid``, ``most``: how many cells of a text are in another one of ``members`` too.  Counted map-side;
+    equal cells within a text or by their 32 bits only raise the bound."""
+    each = cells.join(members.select("cid").distinct(), "cid").select("cid", F.explode("cells").alias("cell"))
+    alone = each.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("cid")).where("n = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
+    sizes = members.select("cid", "n_cells").distinct()
+    return sizes.join(alone, "cid", "left").select("cid", (F.col("n_cells") - F.coalesce("alone", F.lit(0))).cast("int").alias("most"))
+
+
+def can_reach(most: Column, n: Column, other: Column, similarity: float) -> Column:
+    """Whether a text of ``n`` cells that shares ``most`` at most can be so similar to one of ``other`` cells."""
+    return most >= similarity * (n + F.greatest(other, most) - most)
+
+
+def _split_buckets(members: DataFrame, comp: DataFrame, similarity: float) -> tuple[DataFrame, int, int]:
+    """Members (``band, cid, n_cells, most, centre``) of the buckets that hold several components (``main``: the
+    bucket's largest) and can have a link there, the pairs that remain between an outsider and
+    another member, and the members' number."""
+    placed = members.join(comp, members["cid"] == comp["node"], "left").select("band", "cid", "n_cells", "most", "centre", F.coalesce("component", "cid").alias("comp"))
+    groups = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("n_cells").alias("least"))
+    largest = groups.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("parts"), F.min("least").alias("least")).where("parts > 1")
     spark = members.sparkSession
-    split = stored(spark, placed.join(stored(spark, largest.select("band", "main"), "mains"), "band"), "split-buckets")
+    mains = stored(spark, largest.select("band", "main", "least"), "mains")
+    live = placed.join(mains, "band").where(can_reach(F.col("most"), F.col("n_cells"), F.col("least"), similarity)).drop("least")
+    split = stored(spark, live, "split-buckets")
+    forget(mains)
     size = split.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("comp") != F.col("main"), 1).otherwise(0)).alias("o"))
     cross, rows = size.agg(F.coalesce(F.sum(F.col("n") * F.col("o")), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     return split, cross, rows
@@ -156,28 +176,30 @@ def has_repeats(ids: DataFrame) -> bool:
     return not ids.groupBy("key", "cid").agg(F.count(F.lit(1)).alias("n")).where("n > 1").isEmpty()
 
 
-def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id") -> DataFrame:
-    """One row per document: ``key``, ``class_id`` (the smallest ``key`` of its near-duplicate class),
-    ``text_id`` (same for equal texts) and ``kept`` (the one row of its class to keep)."""
+def _classes(docs: DataFrame, similarity: float, key: str) -> tuple[DataFrame, list[DataFrame]]:
+    """``near_duplicates``, and the stored tables that it reads."""
     spark = docs.sparkSession
     cid = F.unhex(F.md5(F.coalesce(F.col("text"), F.lit("")))).alias("cid")
     rows = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row_id"), cid, "text")
     key_type = docs.schema[key].dataType.simpleString()
     signed = stored(spark, rows.mapInArrow(_bands, f"key {key_type}, row_id long, cid binary, n_cells int, bands array<long>"), "signatures")
-    ids = signed.select("key", "row_id", "cid")
+    ids = stored(spark, signed.select("key", "row_id", "cid"), "ids")
     first = ids.groupBy("cid").agg(F.min(F.struct("key", "row_id")).alias("rep"))
     bands = signed.join(first.select("rep.row_id"), "row_id").select("cid", "n_cells", "bands")
     bucket = bands.select("cid", "n_cells", F.explode("bands").alias("band"))
     # aggregates are stored before they are joined back: the join is then between two exchanges,
     # and a hot bucket can be split
     sizes = stored(spark, bucket.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
-    shared = stored(spark, bucket.join(sizes, "band"), "buckets")
+    met = stored(spark, bucket.join(sizes, "band"), "buckets")
+    forget(signed, sizes)
     # the text that edited copies come from is in more and larger buckets than they are
-    reach = stored(spark, shared.groupBy("cid").agg(F.sum("n").alias("reach")), "reach")
-    shared = stored(spark, shared.select("band", "cid", "n_cells").join(reach, "cid"), "buckets")
+    reach = stored(spark, met.groupBy("cid").agg(F.sum("n").alias("reach")), "reach")
+    shared = stored(spark, met.select("band", "cid", "n_cells").join(reach, "cid"), "buckets")
+    forget(met, reach)
     centres = shared.groupBy("band").agg(F.max_by(F.struct("cid", "n_cells"), F.struct("reach", "cid")).alias("c"))
     centres = stored(spark, centres.select("band", F.col("c.cid").alias("centre"), F.col("c.n_cells").alias("c_cells")), "centres")
     members = stored(spark, shared.select("band", "cid", "n_cells").join(centres, "band"), "buckets")
+    forget(shared, centres)
     star = members.where("cid <> centre").where(near_size("n_cells", "c_cells", similarity)).select(F.least("centre", "cid").alias("a"), F.greatest("centre", "cid").alias("b")).distinct()
     # one text of each group of equal texts is read again
     meets = members.select("cid").distinct().join(first, "cid").select("cid", F.col("rep.key").alias("key"))
@@ -189,7 +211,12 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
     cells = stored(spark, cells, "cells")
     links = stored(spark, verified(star, cells, similarity), "links")
     comp = stored(spark, connected_components(links), "components")
-    split, cross, rows = _split_buckets(members, comp)
+    # at first every cell may be shared; what is shared in fact is counted for the buckets that are left
+    split, cross, _ = _split_buckets(members.withColumn("most", F.col("n_cells")), comp, similarity)
+    forget(members)
+    left = stored(spark, split.select("band", "cid", "n_cells", "centre").join(shared_cells(split, cells), "cid"), "buckets")
+    forget(split)
+    split, cross, rows = _split_buckets(left, comp, similarity)
     turn, before = 0, None
     while cross > LINEAR * rows and (before is None or cross < GAIN * before):
         # another centre for each bucket: members elsewhere meet one more of its largest component
@@ -198,28 +225,46 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str =
         others = others.select("band", F.col("c.cid").alias("c"), F.col("c.n_cells").alias("c_cells"))
         pairs = split.where("comp <> main").join(others, "band").where(near_size("n_cells", "c_cells", similarity))
         pairs = pairs.select(F.least("c", "cid").alias("a"), F.greatest("c", "cid").alias("b")).distinct()
-        links = stored(spark, links.unionByName(verified(pairs, cells, similarity)), "links")
-        comp = stored(spark, connected_components(links), "components")
-        split, cross, rows = _split_buckets(members, comp)
-    out = split.where("comp <> main").select("band", F.col("cid").alias("o"), F.col("comp").alias("o_comp"), F.col("n_cells").alias("o_cells"))
+        more = stored(spark, links.unionByName(verified(pairs, cells, similarity)), "links")
+        forget(links, comp, split)
+        links, comp = more, stored(spark, connected_components(more), "components")
+        split, cross, rows = _split_buckets(left, comp, similarity)
+    forget(left)
+    out = split.where("comp <> main").select("band", F.col("cid").alias("o"), F.col("comp").alias("o_comp"), F.col("n_cells").alias("o_cells"), F.col("most").alias("o_most"))
     rest = split.join(out, "band").where("comp <> o_comp and cid <> centre and o <> centre and (comp = main or cid < o)").where(near_size("n_cells", "o_cells", similarity))
+    both = F.least("most", "o_most")
+    rest = rest.where(both >= similarity * (F.col("n_cells") + F.col("o_cells") - both))
     more = verified(rest.select(F.least("o", "cid").alias("a"), F.greatest("o", "cid").alias("b")).distinct(), cells, similarity)
-    comp = stored(spark, connected_components(links.unionByName(more)), "components")
+    whole = stored(spark, links.unionByName(more), "links")
+    forget(links, comp, split, cells)
+    comp = stored(spark, connected_components(whole), "components")
+    forget(whole)
     named = first.join(comp, first["cid"] == comp["node"], "left").select("cid", "rep", F.coalesce("component", "cid").alias("comp"))
-    named = stored(spark, named, "classes")
-    best = named.groupBy("comp").agg(F.min("rep").alias("best"))
-    named = named.join(stored(spark, best, "classes"), "comp").select("cid", "best")
+    classes = stored(spark, named, "classes")
+    forget(comp)
+    best = stored(spark, classes.groupBy("comp").agg(F.min("rep").alias("best")), "classes")
+    named = stored(spark, classes.join(best, "comp").select("cid", "best"), "classes")
+    forget(classes, best)
     return ids.join(named, "cid").select(
         F.col("key").alias(key), F.col("best.key").alias("class_id"), F.lower(F.hex("cid")).alias("text_id"),
-        (F.col("row_id") == F.col("best.row_id")).alias("kept"))
+        (F.col("row_id") == F.col("best.row_id")).alias("kept")), [ids, named]
+
+
+def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id") -> DataFrame:
+    """One row per document: ``key``, ``class_id`` (the smallest ``key`` of its near-duplicate class),
+    ``text_id`` (same for equal texts) and ``kept`` (the one row of its class to keep)."""
+    return _classes(docs, similarity, key)[0]
 
 
 def drop_near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, key: str = "doc_id") -> DataFrame:
     """``docs`` with one row of each near-duplicate class: that of the smallest ``key`` (of the
     smallest text hash among equal keys)."""
-    found = stored(docs.sparkSession, near_duplicates(docs, similarity, key).where("kept").select(F.col(key).alias("k_key"), F.col("text_id").alias("k_text")), "kept")
-    found = broadcast_if_small(found, found.agg(F.count(F.lit(1)) * 64))
+    k_key, k_text, text_hash = fresh_names(docs, "k_key", "k_text", "text_id")
+    found, tables = _classes(docs, similarity, key)
+    kept = stored(docs.sparkSession, found.where("kept").select(F.col(key).alias(k_key), F.col("text_id").alias(k_text)), "kept")
+    forget(*tables)
+    kept = broadcast_if_small(kept, kept.agg(F.count(F.lit(1)) * 64))
     text_id = F.md5(F.coalesce(docs["text"], F.lit("")))
-    kept = docs.join(found, docs[key].eqNullSafe(F.col("k_key")) & (text_id == F.col("k_text")), "left_semi")
+    out = docs.join(kept, docs[key].eqNullSafe(F.col(k_key)) & (text_id == F.col(k_text)), "left_semi")
     repeats = has_repeats(docs.select(F.col(key).alias("key"), text_id.alias("cid")))
-    return kept.withColumn("text_id_", text_id).dropDuplicates([key, "text_id_"]).drop("text_id_") if repeats else kept
+    return out.withColumn(text_hash, text_id).dropDuplicates([key, text_hash]).drop(text_hash) if repeats else out
