@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from relspark.llm.common import batch_rows
+
 BATCH_BYTES = 8 << 20
 
 # fixed values: HTML elements by role
-RAW = ("script", "style", "noscript", "template", "iframe", "svg", "math", "object", "textarea", "title", "select", "canvas", "audio", "video")
+RAW = ("script", "style", "noscript", "template", "iframe", "svg", "annotation", "object", "textarea", "title", "select", "canvas", "audio", "video")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset(
-    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+    "math mi mn mo ms mrow msup msub msubsup mfrac msqrt mroot mtext mstyle mspace munder mover munderover semantics a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 BLOCK = ("p", "h", "li", "td", "pre", "blockquote", "div", "other")
 FURNITURE_TAGS = frozenset("nav header footer aside form button menu dialog head fieldset".split())
 FURNITURE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alertdialog toolbar".split())
@@ -41,6 +43,11 @@ FURNITURE_WORDS = frozenset(
     "header masthead footer sidebar side rail aside widget widgets related recommended trending popular share sharing social follow newsletter subscribe subscription "
     "signup login cookie cookies consent gdpr notice notification alert popup modal overlay comment comments reply replies respond discussion disqus form search "
     "pager pagination pagenav toolbar copyright legal skip hidden".split())
+# words that say what an element is, not what it is about: a furniture word with these alone names furniture
+CONTAINER_WORDS = frozenset(
+    "area bar block blocks body box button buttons card cards col column container content group icons inner item items left link links list "
+    "main media mobile module outer page panel placeholder post posts right row section site slot small stories tag tags title top bottom unit wrap wrapper".split())
+NAMED_INSIDE = frozenset("div section ul ol dl figure iframe center".split())
 REPLY_WORDS = frozenset("comment comments reply replies".split())  # articles of readers
 CONTENT_TAGS, CONTENT_ROLES = frozenset(("article", "main")), frozenset(("main", "article"))
 DEFAULT = {"text": 1.0, "link": -1.0, "tag": -0.5, "edge": -2.0}
@@ -48,6 +55,7 @@ WORD_RANGE, TAG_RANGE = (-4.0, 4.0), (-2.0, -0.1)
 
 TOKEN = re.compile(
     r"<!--(?:>|->|.*?(?:--!?>|\Z))|<[!?][^>]*(?:>|\Z)"
+    r"|<svg\b(?:\"[^\"]*\"|'[^']*'|[^'\">])*/>"  # closed in its own tag
     r"|<(" + "|".join(RAW) + r")\b((?:\"[^\"]*\"|'[^']*'|[^'\">])*)>(?:.*?</\1\s*[^>]*(?:>|\Z)|.*\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|[^<]+|<", re.S | re.I)
 ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -62,23 +70,31 @@ def _block(tag: str) -> str:
 
 
 def _named(tag: str, content: bool, inside: bool, classes: str, ids: str) -> bool:
-    """Whether class or id words call an element furniture.  Headings and paragraphs never are; content
-    elements only as a reader's reply; sections by class, inside content by a whole class name; the id
-    of a section, or of anything inside content, may come from a heading and says nothing."""
-    if tag in ("html", "body", "p") or HEADING.match(tag):
+    """Whether class or id words call an element furniture.  Headings, paragraphs and inline elements never
+    are; content elements only as a reader's reply.  Inside content only plain containers can be, by a
+    class that holds nothing but furniture and container words (``share-bar``, not ``side-effects``); ids
+    of sections, and of anything inside content, may come from a heading and say nothing."""
+    if tag in ("html", "body", "p") or HEADING.match(tag) or tag in INLINE:
         return False
     if content:
         return not REPLY_WORDS.isdisjoint(classes.split())
-    if tag == "section" and inside:
-        return not FURNITURE_WORDS.isdisjoint(classes.split())
-    names = classes if inside or tag == "section" else classes + " " + ids
-    return any(p in FURNITURE_WORDS for p in NAME_PART.findall(names))
+    if inside:
+        return tag in NAMED_INSIDE and any(_furniture_class(c) for c in classes.split())
+    if tag == "section":
+        return any(p in FURNITURE_WORDS for p in NAME_PART.findall(classes))
+    return any(p in FURNITURE_WORDS for p in NAME_PART.findall(classes + " " + ids))
+
+
+def _furniture_class(name: str) -> bool:
+    parts = NAME_PART.findall(name)
+    return not FURNITURE_WORDS.isdisjoint(parts) and all(p in FURNITURE_WORDS or p in CONTAINER_WORDS for p in parts)
 
 
 def _marks(tag: str, attributes: str, inside: bool = False) -> tuple[bool, bool]:
     """Whether an element (``inside`` content or not) is page furniture, and whether its markup names it as
     content."""
-    furniture, content = tag in FURNITURE_TAGS, tag in CONTENT_TAGS
+    # an article's own header has its headline
+    furniture, content = tag in FURNITURE_TAGS and not (inside and tag == "header"), tag in CONTENT_TAGS
     names = {"class": "", "id": ""}
     if attributes and len(attributes) > 3:
         for name, *values in ATTRIBUTE.findall(attributes):
@@ -126,7 +142,8 @@ def tokens(page: str):
             if tag not in INLINE:
                 block.append(_block(tag))
             if not furniture and (f or tag not in INLINE):  # a piece of furniture is one token
-                yield "tag", "furniture" if f else _block(tag), "", not f, content > 0
+                kind = "gap" if tag == "header" and not f else "tag"  # an article's header only breaks
+                yield kind, "furniture" if f else _block(tag), " ", not f, content > 0
             stack.append((tag, f, c))
             furniture, content, links = furniture + f, content + c, links + (tag == "a")
             continue
@@ -143,7 +160,7 @@ def tokens(page: str):
             if name not in INLINE:
                 block.pop()
         if tag not in INLINE and not furniture and not f:
-            yield "tag", _block(tag), "", True, content > 0
+            yield "gap" if tag == "header" else "tag", _block(tag), " ", True, content > 0
 
 
 def count_contexts(page: str) -> Counter:
@@ -210,10 +227,10 @@ def main_text(page: str | None, weights: dict) -> str:
 def _count(batches):
     total: Counter = Counter()
     for batch in batches:
-        for page in batch.column(0):
-            page = page.as_py()
-            if page:
-                total.update(count_contexts(page))
+        for part in batch_rows(batch, BATCH_BYTES, "html"):
+            for page in part.column(0).to_pylist():
+                if page:
+                    total.update(count_contexts(page))
     rows = [(k, w, i, n) for (k, w, i), n in total.items()]
     yield pa.RecordBatch.from_pylist([dict(zip(("kind", "context", "inside", "n"), r, strict=True)) for r in rows],
                                      pa.schema([("kind", pa.string()), ("context", pa.string()), ("inside", pa.bool_()), ("n", pa.int64())]))
@@ -231,9 +248,10 @@ def extract(pages: DataFrame, weights: dict, key: str = "page_id") -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = [main_text(p.as_py(), weights) for p in batch.column("html")]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("key"), batch.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["key", "url", "text", "n_chars"])
+            for part in batch_rows(batch, BATCH_BYTES, "html"):
+                texts = [main_text(p, weights) for p in part.column("html").to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("key"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["key", "url", "text", "n_chars"])
 
     kind = pages.schema[key].dataType.simpleString()
     return pages.select(F.col(key).alias("key"), "url", "html").mapInArrow(run, f"key {kind}, url string, text string, n_chars long").withColumnRenamed("key", key)

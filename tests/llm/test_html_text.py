@@ -48,3 +48,31 @@ def test_table(spark):
 ])
 def test_names_made_of_headings_are_no_furniture(page, text):
     assert html_text.main_text(page, WEIGHTS) == text
+
+
+ARTICLE = "<article><h1>Head</h1><p>Words before it, more than the tags cost.</p>{}<p>Words after it, more than the tags cost as well.</p></article>"
+AROUND = "Head Words before it, more than the tags cost.{} Words after it, more than the tags cost as well."
+
+
+@pytest.mark.parametrize("inner,text", [
+    ('<svg class="i"/>', ""), ("<svg viewBox='0 0 1 1'><title>icon</title><text>x</text></svg>", ""), ('<p>One <svg class="i" /> two.</p>', " One two."),
+    ('<table class="side-effects"><tr><td>Nausea and other effects</td></tr></table>', " Nausea and other effects"),
+    ('<p>It is <em class="notice">very important</em> to say.</p>', " It is very important to say."),
+    ('<p>Where <math><mi>a</mi><mo>=</mo><mn>2</mn></math> holds.</p>', " Where a=2 holds."), ('<div class="side-story"><p>A story of its own.</p></div>', " A story of its own."),
+    ('<div class="ad-slot">Buy it</div>', ""), ('<section class="user comments"><p>First!</p></section>', ""), ('<ul class="related-posts"><li>Other</li></ul>', ""),
+    ('<div class="newsletter box">Sign up</div>', ""), ("<footer>Filed under things</footer>", ""),
+])
+def test_names_inside_an_article(inner, text):
+    assert html_text.main_text(ARTICLE.format(inner), WEIGHTS) == AROUND.format(text)
+
+
+def test_an_articles_header_keeps_its_headline():
+    page = "<header><p>Site name</p></header><article><header><h1>Headline</h1></header><p>Some words here.</p></article>"
+    assert html_text.main_text(page, WEIGHTS) == "Headline Some words here."
+
+
+def test_batches_are_bounded_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(html_text, "BATCH_BYTES", 100)
+    pages = spark.createDataFrame([(i, "u", f"<p>{'word ' * 30}{i}</p>" if i % 7 else None) for i in range(40)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(pages, WEIGHTS).collect()}
+    assert got == {i: f"{'word ' * 30}{i}" if i % 7 else "" for i in range(40)}
