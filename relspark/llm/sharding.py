@@ -5,11 +5,15 @@ Documents that share a link key (equal texts, in the registered query) are neigh
 start is a balanced deal: documents in hash order, one to each shard in turn, so shard sizes
 differ by one at most.  Each round counts every link's members by shard (pre-aggregated map
 side, so one link may hold any share of the rows), takes the ``ceil(members / quota)`` fullest
-shards that have room as the link's homes, and lets members elsewhere ask for a home.  Moves
-happen only as exchanges, which is what keeps the sizes: first two askers in opposite
-directions, then an asker against an unlinked document of the wanted shard; the largest gains
-first.  Exchanges are matched inside ``(shard, salt)`` groups of bounded size.  DataFrame
-functions only; each round's state is a written table.
+shards as the link's homes (ties drawn anew each round), and lets members elsewhere ask for a home.
+Moves happen only as exchanges, which is what keeps the sizes: first two askers in opposite
+directions, then an asker against a row of the wanted shard that loses less than the asker gains: an
+unlinked one, one that is away from its own home, or a member of a weaker link; the largest gains
+first, the smallest losses first.  In a round half of the rows may ask there and the other half may
+be asked, by a hash, so no row moves twice.  Rounds go on until ``PATIENCE`` of them in a row have
+not brought the cut links below the fewest so far; the state with the fewest is the result.  Exchanges are
+matched inside ``(shard, salt)`` groups of bounded size.  DataFrame functions only; each round's
+state is a written table, deleted when the next one stands.
 
 Cases: a null text counts as empty (size 16, CRC 0, and equal to the empty text).  Repeated
 ``doc_id`` and equal rows are placed row by row.  An empty table gives no rows.  Fewer
@@ -21,9 +25,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from relspark.llm.common import stored
+from relspark.llm.common import forget, stored
 
-ROUNDS = 4
+PATIENCE = 3  # rounds without fewer cut links, after which the search ends
 GROUP_ROWS = 50_000  # rows meant to meet in one matching or numbering group
 
 
@@ -38,47 +42,59 @@ def start_state(vertices: DataFrame, shards: int, total: int) -> DataFrame:
     return v.join(before, "bucket").select("row_id", "order", "link", F.pmod(number, F.lit(shards)).cast("int").alias("label"))
 
 
-def one_round(state: DataFrame, shards: int, total: int) -> DataFrame:
+def members_by_shard(state: DataFrame) -> DataFrame:
+    """``link, label, n`` of the linked rows."""
+    return state.where("link is not null").groupBy("link", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+def one_round(state: DataFrame, by_shard: DataFrame, shards: int, total: int, turn: int) -> DataFrame:
     """One round of requests and exchanges; the number of rows of every label stays."""
+    spark = state.sparkSession
     salts = max(1, total // (shards * GROUP_ROWS))
     quota = max(1, total // shards)
-    salt = F.pmod(F.xxhash64("row_id"), F.lit(salts)).alias("salt")
-    linked, free = state.where("link is not null"), state.where("link is null")
-    room = free.groupBy("label").agg(F.count(F.lit(1)).alias("room"))
-    by_shard = linked.groupBy("link", "label").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(room), "label", "left")
-    # at most one entry for each shard
-    ranked = by_shard.groupBy("link").agg(
-        F.sum("n").alias("members"),
-        F.reverse(F.array_sort(F.collect_list(F.struct("n", (-F.col("label")).alias("back"), (F.coalesce("room", F.lit(0)) > 0).alias("open"))))).alias("all"),
-    )
-    homes = F.slice(F.filter("all", lambda x: x["open"] | (x["n"] >= quota)), F.lit(1), F.ceil(F.col("members") / quota).cast("int"))
-    ranked = ranked.select("link", "all", homes.alias("homes")).where(F.size("homes") > 0)
+    salt = F.pmod(F.xxhash64("row_id", F.lit(turn)), F.lit(salts)).alias("salt")
+    asks = F.pmod(F.xxhash64("row_id", F.lit(turn), F.lit(5)), F.lit(2)) == 0
+    # at most one entry for each shard, the fullest first
+    entry = F.struct("n", F.xxhash64("link", "label", F.lit(turn)).alias("draw"), "label")
+    ranked = by_shard.groupBy("link").agg(F.sum("n").alias("members"), F.reverse(F.array_sort(F.collect_list(entry))).alias("all"))
+    ranked = ranked.select("link", "all", F.slice("all", F.lit(1), F.ceil(F.col("members") / quota).cast("int")).alias("homes"))
     # stored, so that the join is between two exchanges and a hot link's rows can be split
-    ranked = stored(state.sparkSession, ranked, "shard-homes")
-    asking = linked.join(ranked, "link")
-    own = F.filter("all", lambda x: -x["back"] == F.col("label"))[0]["n"]
+    ranked = stored(spark, ranked, "shard-homes")
+    linked = state.where("link is not null").join(ranked, "link")
     home = F.get("homes", F.pmod(F.xxhash64("row_id", F.lit(7)), F.size("homes")).cast("int"))
-    asking = asking.where(~F.exists("homes", lambda x: -x["back"] == F.col("label"))).select(
-        "row_id", salt, F.col("label").alias("src"), (-home["back"]).alias("dst"), (home["n"] - own).alias("gain")
-    ).where("gain >= 0")
+    placed = stored(spark, linked.select(
+        "row_id", "label", salt, asks.alias("asks"), F.exists("homes", lambda x: x["label"] == F.col("label")).alias("settled"),
+        F.filter("all", lambda x: x["label"] == F.col("label"))[0]["n"].alias("own"), home["label"].alias("dst"), home["n"].alias("there"),
+    ), "shard-asks")
+    asking = placed.where("not settled").select("row_id", "salt", "asks", "own", F.col("label").alias("src"), "dst", (F.col("there") - F.col("own")).alias("gain"))
     first = Window.partitionBy("salt", "src", "dst").orderBy(F.desc("gain"), "row_id")
     asking = asking.withColumn("k", F.row_number().over(first))
     opposite = asking.groupBy("salt", F.col("dst").alias("src"), F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
     asking = asking.join(opposite, ["salt", "src", "dst"], "left").withColumn("swapped", F.col("k") <= F.coalesce("n", F.lit(0)))
+    asking = stored(spark, asking.drop("n", "k"), "shard-asks")
     swaps = asking.where("swapped").select("row_id", F.col("dst").alias("to"))
-    rest = asking.where("not swapped").withColumn("k", F.row_number().over(Window.partitionBy("salt", "dst").orderBy(F.desc("gain"), "row_id")))
-    spare = free.select(F.col("row_id").alias("other"), F.col("label").alias("dst"), salt, "order")
-    spare = spare.withColumn("k", F.row_number().over(Window.partitionBy("salt", "dst").orderBy("order", "other")))
-    pairs = rest.join(spare, ["salt", "dst", "k"])
+    rest = asking.where("not swapped and asks").select("row_id", "salt", "src", "dst", "gain")
+    rest = rest.withColumn("k", F.row_number().over(Window.partitionBy("salt", "dst").orderBy(F.desc("gain"), "row_id")))
+    # what leaves for an asker: unlinked rows cost nothing, rows away from home little
+    free = state.where("link is null").select("row_id", salt, F.col("label").alias("dst"), F.lit(0).alias("away"), F.lit(0).cast("long").alias("loss"))
+    away = asking.where("not swapped and not asks").select("row_id", "salt", F.col("src").alias("dst"), F.lit(1).alias("away"), F.col("own").alias("loss"))
+    weaker = placed.where("settled and not asks").select("row_id", "salt", F.col("label").alias("dst"), F.lit(2).alias("away"), F.col("own").alias("loss"))
+    spare = free.unionByName(away).unionByName(weaker).withColumnRenamed("row_id", "other")
+    spare = spare.withColumn("k", F.row_number().over(Window.partitionBy("salt", "dst").orderBy("away", "loss", "other")))
+    # the sum of squared counts grows by 2 * (gain + 2 - loss) at least
+    pairs = rest.join(spare, ["salt", "dst", "k"]).where("loss < gain + 2")
     moves = pairs.select(F.explode(F.array(
         F.struct(F.col("row_id"), F.col("dst").alias("to")), F.struct(F.col("other").alias("row_id"), F.col("src").alias("to"))
     )).alias("m")).select("m.*")
-    return state.join(swaps.unionByName(moves), "row_id", "left").select("row_id", "order", "link", F.coalesce("to", "label").alias("label"))
+    moved = state.join(swaps.unionByName(moves), "row_id", "left").select("row_id", "order", "link", F.coalesce("to", "label").alias("label"))
+    after = stored(spark, moved, "shard-state")
+    forget(ranked, placed, asking)
+    return after
 
 
-def propagate(vertices: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFrame:
+def propagate(vertices: DataFrame, shards: int, rounds: int | None = None) -> DataFrame:
     """``(row_id, label)`` of ``vertices`` (``row_id`` unique, ``order`` long, ``link``: null or a key
-    that neighbours share).  Label sizes differ by one at most."""
+    that neighbours share).  Label sizes differ by one at most.  ``rounds`` at most, if given."""
     spark = vertices.sparkSession
     total = vertices.count()
     links = vertices.where("link is not null").groupBy("link").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("link")
@@ -86,9 +102,31 @@ def propagate(vertices: DataFrame, shards: int, rounds: int = ROUNDS) -> DataFra
     linked = vertices.join(links, "link", "left")
     lone = linked.select("row_id", "order", F.when(F.col("shared"), F.col("link")).alias("link"))
     state = stored(spark, start_state(lone, shards, total), "shard-state")
-    for _ in range(rounds if total else 0):
-        state = stored(spark, one_round(state, shards, total), "shard-state")
-    return state
+    forget(links)
+    best, fewest, idle, turn = None, None, 0, 0
+    while True:
+        by_shard = stored(spark, members_by_shard(state), "shard-counts")
+        apart = _apart(by_shard, max(1, total // shards))
+        idle = 0 if fewest is None or apart < fewest else idle + 1
+        if fewest is None or apart < fewest:
+            if best is not None:
+                forget(best)
+            best, fewest = state, apart
+        if not apart or idle >= PATIENCE or turn == rounds:
+            break
+        after = one_round(state, by_shard, shards, total, turn)
+        forget(by_shard, *([] if state is best else [state]))
+        state, turn = after, turn + 1
+    forget(by_shard, *([] if state is best else [state]))
+    return best
+
+
+def _apart(by_shard: DataFrame, quota: int) -> int:
+    """Linked rows outside the fullest shards that their link needs at least."""
+    most = F.slice(F.sort_array(F.collect_list("n"), asc=False), F.lit(1), F.ceil(F.sum("n") / quota).cast("int"))
+    per = by_shard.groupBy("link").agg(F.sum("n").alias("all"), most.alias("most"))
+    away = F.col("all") - F.aggregate("most", F.lit(0).cast("long"), lambda a, x: a + x)
+    return per.agg(F.coalesce(F.sum(away), F.lit(0))).first()[0]
 
 
 def number_slots(placed: DataFrame, total: int) -> DataFrame:
@@ -102,7 +140,7 @@ def number_slots(placed: DataFrame, total: int) -> DataFrame:
     return p.join(before, ["label", "bucket"]).withColumn("slot", F.col("before") + inside - 1).drop("bucket", "before")
 
 
-def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS, key: str = "doc_id") -> DataFrame:
+def shard_documents(docs: DataFrame, shards: int = 40, rounds: int | None = None, key: str = "doc_id") -> DataFrame:
     """Every row of ``docs`` in one of ``shards`` shards of equal row counts (one apart at most),
     equal texts together as far as a shard's quota lets them: ``key``, ``size``, ``text_crc32``,
     ``shard``, ``slot``."""
@@ -111,9 +149,10 @@ def shard_documents(docs: DataFrame, shards: int = 40, rounds: int = ROUNDS, key
     base = docs.select(
         F.col(key).alias("key"), F.monotonically_increasing_id().alias("row_id"),
         (F.octet_length(text).cast("long") + 16).alias("size"), F.crc32(text).alias("text_crc32"),
-        F.unhex(F.md5(text)).alias("link"), F.xxhash64(F.col(key), F.lit(3)).alias("order"),
+        F.unhex(F.md5(text)).alias("link"),
     )
-    base = stored(spark, base, "shard-base")
+    # the row's number too, so that a repeated id is no group of its own
+    base = stored(spark, base.withColumn("order", F.xxhash64("key", "row_id")), "shard-base")
     total = base.count()
     state = propagate(base.select("row_id", "order", "link"), shards, rounds)
     placed = number_slots(state.select("row_id", "order", "label"), total)
