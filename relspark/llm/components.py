@@ -37,3 +37,21 @@ def connected_components(edges: DataFrame) -> DataFrame:
         mark = seen
     ends = now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionAll(ends)
+
+
+def merged_components(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """``comp`` (``node``, ``component``, stored) after further ``links`` (``a``, ``b``): only the components that they
+    join are worked on.  ``comp`` itself where they join none; else it is deleted."""
+    spark = comp.sparkSession
+    of = lambda side: comp.select(F.col("node").alias(side), F.col("component").alias(f"c_{side}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("c_a", "a").alias("a"), F.coalesce("c_b", "b").alias("b"))
+    joins = stored(spark, named.where("a <> b").distinct(), "joins")
+    if joins.isEmpty():
+        forget(joins)
+        return comp
+    sub = stored(spark, connected_components(joins).select("node", F.col("component").alias("into")), "joins")
+    moved = comp.join(sub.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("into", "component").alias("component"))
+    new = sub.join(comp.select("node"), "node", "left_anti").select("node", F.col("into").alias("component"))
+    out = stored(spark, moved.unionByName(new), "components")
+    forget(comp, joins, sub)
+    return out

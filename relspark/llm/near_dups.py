@@ -14,9 +14,10 @@ in the most and largest buckets, and the verified links give components.  Where
 largest component, they meet further centres of it, one a turn, as long as that helps; each turn
 is linear in the members.  Then every pair of a bucket that could still join two
 components is verified, so no link of a bucket is lost.  Left out before are texts and pairs that
-cannot reach ``SIMILARITY``: what two texts share is at most the smaller one, and at most what
-either shares with any text at all, so a text with many cells of its own (an edited copy whose
-edits nobody else has) meets nobody.  A pair of exactly ``SIMILARITY`` shares no bucket with probability 4.9e-5 (closer
+cannot reach ``SIMILARITY``: what two texts share is at most what either has in common cells, those of
+more than ``RARE`` texts, unless they share a rare cell too; pairs with a shared rare cell are few (at
+most ``RARE`` for each cell and text) and are verified by themselves.  So a text with many cells of
+its own (an edited copy whose edits nobody else has) meets nobody.  A pair of exactly ``SIMILARITY`` shares no bucket with probability 4.9e-5 (closer
 pairs with less): such a link is found only if other texts connect the two.  A link needs an exact
 weighted Jaccard similarity of ``SIMILARITY``.
 
@@ -33,12 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from relspark.llm.common import _MULT, batch_rows, broadcast_if_small, forget, fresh_names, mix64, release, shingle_hashes, stored, text_bytes, word_bounds, word_hashes
-from relspark.llm.components import connected_components
+from relspark.llm.components import connected_components, merged_components
 
 RUN = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 25, 5  # a pair at SIMILARITY meets in no band with probability (1 - 0.8**5)**25 = 4.9e-5
 COORDINATES = BANDS * ROWS
+RARE = 8  # texts that a rare cell is in at most
 DARTS = 10.0  # darts expected at each coordinate
 # further centres are tried while the pairs left exceed LINEAR for each member and the last
 # centre has brought them below GAIN of what they were
@@ -140,13 +142,24 @@ def verified(pairs: DataFrame, cells: DataFrame, similarity: float = SIMILARITY)
     return both.where(common >= similarity * union).select("a", "b")
 
 
-def shared_cells(members: DataFrame, cells: DataFrame) -> DataFrame:
-    """``cid``, ``most``: how many cells of a text are in another one of ``members`` too.  Counted map-side;
-    equal cells within a text or by their 32 bits only raise the bound."""
-    each = cells.join(members.select("cid").distinct(), "cid").select("cid", F.explode("cells").alias("cell"))
-    alone = each.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("cid")).where("n = 1").groupBy("cid").agg(F.count(F.lit(1)).alias("alone"))
+def shared_cells(members: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``cid``, ``most`` and ``core``: how many cells of a text are in another one of ``members`` too, and how many
+    in more than ``RARE`` of them; and the pairs ``a``, ``b`` that share a rarer one.  Equal cells
+    within a text, or by their 32 bits, only raise the bounds."""
+    spark = members.sparkSession
     sizes = members.select("cid", "n_cells").distinct()
-    return sizes.join(alone, "cid", "left").select("cid", (F.col("n_cells") - F.coalesce("alone", F.lit(0))).cast("int").alias("most"))
+    each = cells.join(sizes.select("cid"), "cid").select("cid", F.explode("cells").alias("cell"))
+    few = stored(spark, each.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("one")).where(F.col("n") <= RARE), "rare-cells")
+    alone = few.where("n = 1").groupBy(F.col("one").alias("cid")).agg(F.count(F.lit(1)).alias("alone"))
+    rare = stored(spark, each.join(few.where("n > 1").select("cell"), "cell"), "rare-cells")
+    pairs = rare.select("cell", F.col("cid").alias("a")).join(rare.select("cell", F.col("cid").alias("b")), "cell").where("a < b").select("a", "b").distinct()
+    scarce = rare.groupBy("cid").agg(F.count(F.lit(1)).alias("scarce"))
+    known = sizes.join(alone, "cid", "left").join(scarce, "cid", "left")
+    most = F.col("n_cells") - F.coalesce("alone", F.lit(0))
+    bounds = stored(spark, known.select("cid", "n_cells", most.cast("int").alias("most"), (most - F.coalesce("scarce", F.lit(0))).cast("int").alias("core")), "cell-bounds")
+    found = stored(spark, pairs, "rare-pairs")
+    forget(few, rare)
+    return bounds, found
 
 
 def can_reach(most: Column, n: Column, other: Column, similarity: float) -> Column:
@@ -154,16 +167,31 @@ def can_reach(most: Column, n: Column, other: Column, similarity: float) -> Colu
     return most >= similarity * (n + F.greatest(other, most) - most)
 
 
+def bounded(x: str, n: str, y: str, m: str, similarity: float) -> Column:
+    """Whether texts of ``n`` and ``m`` cells that can share ``x`` and ``y`` of them can be so similar."""
+    both = F.least(x, y)
+    return both >= similarity * (F.col(n) + F.col(m) - both)
+
+
+def _apart(pairs: DataFrame, bounds: DataFrame, comp: DataFrame, similarity: float) -> DataFrame:
+    """The ``pairs`` of different components that can be so similar."""
+    named = bounds.join(comp, bounds["cid"] == comp["node"], "left").select("cid", "n_cells", "most", F.coalesce("component", "cid").alias("comp"))
+    left = named.toDF("a", "na", "ma", "ca")
+    right = named.toDF("b", "nb", "mb", "cb")
+    both = pairs.join(left, "a").join(right, "b").where("ca <> cb").where(near_size("na", "nb", similarity))
+    return both.where(bounded("ma", "na", "mb", "nb", similarity)).select("a", "b")
+
+
 def _split_buckets(members: DataFrame, comp: DataFrame, similarity: float) -> tuple[DataFrame, int, int]:
-    """Members (``band, cid, n_cells, most, centre``) of the buckets that hold several components (``main``: the
+    """Members (``band, cid, n_cells, core, centre``) of the buckets that hold several components (``main``: the
     bucket's largest) and can have a link there, the pairs that remain between an outsider and
     another member, and the members' number."""
-    placed = members.join(comp, members["cid"] == comp["node"], "left").select("band", "cid", "n_cells", "most", "centre", F.coalesce("component", "cid").alias("comp"))
+    placed = members.join(comp, members["cid"] == comp["node"], "left").select("band", "cid", "n_cells", "core", "centre", F.coalesce("component", "cid").alias("comp"))
     groups = placed.groupBy("band", "comp").agg(F.count(F.lit(1)).alias("n"), F.min("n_cells").alias("least"))
     largest = groups.groupBy("band").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("parts"), F.min("least").alias("least")).where("parts > 1")
     spark = members.sparkSession
     mains = stored(spark, largest.select("band", "main", "least"), "mains")
-    live = placed.join(mains, "band").where(can_reach(F.col("most"), F.col("n_cells"), F.col("least"), similarity)).drop("least")
+    live = placed.join(mains, "band").where(can_reach(F.col("core"), F.col("n_cells"), F.col("least"), similarity)).drop("least")
     split = stored(spark, live, "split-buckets")
     forget(mains)
     size = split.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("comp") != F.col("main"), 1).otherwise(0)).alias("o"))
@@ -211,10 +239,12 @@ def _classes(docs: DataFrame, similarity: float, key: str) -> tuple[DataFrame, l
     cells = stored(spark, cells, "cells")
     links = stored(spark, verified(star, cells, similarity), "links")
     comp = stored(spark, connected_components(links), "components")
+    forget(links)
     # at first every cell may be shared; what is shared in fact is counted for the buckets that are left
-    split, cross, _ = _split_buckets(members.withColumn("most", F.col("n_cells")), comp, similarity)
+    split, cross, _ = _split_buckets(members.withColumn("core", F.col("n_cells")), comp, similarity)
     forget(members)
-    left = stored(spark, split.select("band", "cid", "n_cells", "centre").join(shared_cells(split, cells), "cid"), "buckets")
+    bounds, rare = shared_cells(split, cells)
+    left = stored(spark, split.select("band", "cid", "centre").join(bounds.select("cid", "n_cells", "core"), "cid"), "buckets")
     forget(split)
     split, cross, rows = _split_buckets(left, comp, similarity)
     turn, before = 0, None
@@ -225,20 +255,16 @@ def _classes(docs: DataFrame, similarity: float, key: str) -> tuple[DataFrame, l
         others = others.select("band", F.col("c.cid").alias("c"), F.col("c.n_cells").alias("c_cells"))
         pairs = split.where("comp <> main").join(others, "band").where(near_size("n_cells", "c_cells", similarity))
         pairs = pairs.select(F.least("c", "cid").alias("a"), F.greatest("c", "cid").alias("b")).distinct()
-        more = stored(spark, links.unionByName(verified(pairs, cells, similarity)), "links")
-        forget(links, comp, split)
-        links, comp = more, stored(spark, connected_components(more), "components")
+        comp = merged_components(comp, verified(pairs, cells, similarity))
+        forget(split)
         split, cross, rows = _split_buckets(left, comp, similarity)
     forget(left)
-    out = split.where("comp <> main").select("band", F.col("cid").alias("o"), F.col("comp").alias("o_comp"), F.col("n_cells").alias("o_cells"), F.col("most").alias("o_most"))
+    out = split.where("comp <> main").select("band", F.col("cid").alias("o"), F.col("comp").alias("o_comp"), F.col("n_cells").alias("o_cells"), F.col("core").alias("o_core"))
     rest = split.join(out, "band").where("comp <> o_comp and cid <> centre and o <> centre and (comp = main or cid < o)").where(near_size("n_cells", "o_cells", similarity))
-    both = F.least("most", "o_most")
-    rest = rest.where(both >= similarity * (F.col("n_cells") + F.col("o_cells") - both))
-    more = verified(rest.select(F.least("o", "cid").alias("a"), F.greatest("o", "cid").alias("b")).distinct(), cells, similarity)
-    whole = stored(spark, links.unionByName(more), "links")
-    forget(links, comp, split, cells)
-    comp = stored(spark, connected_components(whole), "components")
-    forget(whole)
+    rest = rest.where(bounded("core", "n_cells", "o_core", "o_cells", similarity)).select(F.least("o", "cid").alias("a"), F.greatest("o", "cid").alias("b"))
+    rest = rest.unionByName(_apart(rare, bounds, comp, similarity))
+    comp = merged_components(comp, verified(rest.distinct(), cells, similarity))
+    forget(split, cells, bounds, rare)
     named = first.join(comp, first["cid"] == comp["node"], "left").select("cid", "rep", F.coalesce("component", "cid").alias("comp"))
     classes = stored(spark, named, "classes")
     forget(comp)

@@ -1,11 +1,13 @@
 import collections
+import random
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
 from relspark.llm import near_dups
-from relspark.llm.components import connected_components
+from relspark.llm.common import stored
+from relspark.llm.components import connected_components, merged_components
 
 from . import brute
 from .data import BASE, documents, edited, empty, odd_rows, prose
@@ -99,5 +101,35 @@ def test_components(spark):
     assert connected_components(edges.where("a > 99")).count() == 0
 
 
+def test_components_after_further_links(spark):
+    def links(*pairs):
+        return spark.createDataFrame(list(pairs), "a long, b long")
+
+    comp = stored(spark, connected_components(links((1, 2), (3, 4), (5, 6))), "components")
+    assert merged_components(comp, links((2, 1), (6, 5))) is comp
+    got = {r.node: r.component for r in merged_components(comp, links((4, 6), (7, 8), (9, 2), (8, 0))).collect()}
+    assert got == {1: 1, 2: 1, 9: 1, 3: 3, 4: 3, 5: 3, 6: 3, 7: 0, 8: 0, 0: 0}
+
+
+def test_texts_that_share_rare_and_common_cells(spark, monkeypatch):
+    """Groups whose copies share edits with one or two others, so that rare cells decide; brute force agrees."""
+    monkeypatch.setattr(near_dups, "RARE", 3)
+    r = random.Random(5)
+    rows = []
+    for g in range(3):
+        base = prose(120, 900 + g).split()
+        pool = [[(r.randrange(120), f"e{g}x{i}y{j}") for j in range(r.choice((2, 4, 6)))] for i in range(12)]
+        for i in range(45):
+            w = list(base)
+            for at, new in r.choice(pool) + r.choice(pool)[: r.randrange(4)]:
+                w[at] = new
+            rows.append((1000 * g + i, " ".join(w)))
+    got = near_dups.near_duplicates(documents(spark, rows, clash=False)).collect()
+    mine = collections.defaultdict(set)
+    for x in got:
+        mine[x.class_id].add(x.doc_id)
+    assert set(map(frozenset, mine.values())) == {frozenset(rows[i][0] for i in g) for g in truth(rows)}
+
+
 def test_hardly_a_pair_at_the_bound_meets_in_no_band():
     assert (1 - near_dups.SIMILARITY**near_dups.ROWS) ** near_dups.BANDS < 5e-5
