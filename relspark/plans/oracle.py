@@ -540,3 +540,16 @@ seen AS (SELECT DISTINCT entity_01 || '[SEP]' || entity_02 AS a, sentence AS b F
 again AS (SELECT example_id, CASE WHEN example_id % 7 = 0 THEN entity_02 || '[SEP]' || entity_01 ELSE entity_01 || '[SEP]' || entity_02 END AS a, sentence AS b FROM enc),
 sc AS (SELECT *, [(length(a) % 7) * 0.3::DOUBLE, ((length(a) + length(b)) % 5) * 0.5::DOUBLE] AS s FROM again)
 SELECT example_id, (list_position(s, list_max(s)) - 1)::INTEGER AS pred, round(list_max(s), 6) AS top_score, (a, b) NOT IN (SELECT (a, b) FROM seen) AS fresh FROM sc"""
+
+
+# --- interval of the accuracy ------------------------------------------------------------------------
+
+ORACLE["accuracy_interval"] = SC + """,
+hit AS (SELECT example_id, model_id, (list_position(scores, list_max(scores)) - 1 = answer)::INTEGER AS hit FROM rel_scores JOIN rel_answers USING (example_id)),
+drawn AS (SELECT *, ('0x' || substr(md5(example_id || ':' || (b // 8)), (4 * (b % 8) + 1)::INTEGER, 4))::INTEGER AS u FROM hit, range(96) AS r(b)),
+weighed AS (SELECT *, list_sum(list_transform([24109, 48219, 60273, 64292, 65296, 65497, 65531, 65535], lambda t: (u >= t)::INTEGER)) AS w FROM drawn),
+per AS (SELECT model_id, b, sum(w * hit)::DOUBLE / sum(w) AS a FROM weighed GROUP BY model_id, b),
+ranked AS (SELECT model_id, a, row_number() OVER (PARTITION BY model_id ORDER BY a) AS k FROM per)
+SELECT model_id, (SELECT round(avg(hit), 6) FROM hit h WHERE h.model_id = r.model_id) AS accuracy,
+  round(max(a) FILTER (k = 3), 6) AS low, round(max(a) FILTER (k = 94), 6) AS high, (SELECT count(*) FROM hit h WHERE h.model_id = r.model_id) AS n
+FROM ranked r GROUP BY model_id"""

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import argmax, sigmoid_array, softmax
-from ..operators import decode, examples, experiments, inputs, jobs, labels, metrics, score_store, subwords, sweep, targets, training
+from ..operators import decode, examples, experiments, inputs, jobs, labels, metrics, resample, score_store, subwords, sweep, targets, training
 from ..session import scratch_path
 from ..sources import files
 from . import fixtures as fx
@@ -319,6 +319,11 @@ def q_bce_with_logits(spark, d):
     return loss.select("model_id", F.round("loss", 6).alias("loss"), "n")
 
 
+def q_accuracy_interval(spark, d):
+    r = resample.accuracy_interval(fx.rel_scores(spark, d), fx.rel_answers(spark, d), MODEL_IDS)
+    return r.select("model_id", *[F.round(c, 6).alias(c) for c in ("accuracy", "low", "high")], "n")
+
+
 def q_threshold_sweep(spark, d):
     r = sweep.threshold_sweep(fx.rel_scores(spark, d), fx.rel_answers(spark, d), MODEL_IDS)
     return r.select("model_id", F.round("threshold", 6).alias("threshold"), "n", F.round("accuracy", 6).alias("accuracy"))
@@ -715,6 +720,7 @@ QUERIES: dict[str, Query] = {
     "accuracy_from_scores": q_accuracy_from_scores,
     "confusion_counts": q_confusion_counts,
     "bce_with_logits": q_bce_with_logits,
+    "accuracy_interval": q_accuracy_interval,
     "threshold_sweep": q_threshold_sweep,
     "best_threshold": q_best_threshold,
     "score_batches": q_score_batches,
