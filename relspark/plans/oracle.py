@@ -553,3 +553,30 @@ ranked AS (SELECT model_id, a, row_number() OVER (PARTITION BY model_id ORDER BY
 SELECT model_id, (SELECT round(avg(hit), 6) FROM hit h WHERE h.model_id = r.model_id) AS accuracy,
   round(max(a) FILTER (k = 3), 6) AS low, round(max(a) FILTER (k = 94), 6) AS high, (SELECT count(*) FROM hit h WHERE h.model_id = r.model_id) AS n
 FROM ranked r GROUP BY model_id"""
+
+
+# --- batches under a token budget --------------------------------------------------------------------
+
+_TOKEN_BATCHES = EX.replace("WITH", "WITH RECURSIVE", 1) + """,
+tk AS (SELECT example_id, entity_01 || '[SEP]' || entity_02 AS a, sentence AS b,
+  len(list_filter(string_split_regex(entity_01 || '[SEP]' || entity_02, '\\s+'), lambda x: x <> '')) AS la,
+  len(list_filter(string_split_regex(sentence, '\\s+'), lambda x: x <> '')) AS lb FROM enc),
+ln AS (SELECT *, least(la + lb, 97) + 3 AS n_tokens FROM tk),
+hist AS (SELECT n_tokens AS l, count(*) AS n, row_number() OVER (ORDER BY n_tokens) AS i, greatest(1, 2000 // n_tokens) AS cap FROM ln GROUP BY n_tokens),
+pack AS (
+  SELECT 0::BIGINT AS i, 0::BIGINT AS l, 0::BIGINT AS fill, 0::BIGINT AS first, 0::BIGINT AS next, 1::BIGINT AS cap, 0::BIGINT AS held, 0::BIGINT AS batch
+  UNION ALL
+  SELECT i, l, fill, batch, next, cap, CASE WHEN n > fill THEN (n - fill - 1) % cap + 1 ELSE held + fill END,
+    CASE WHEN n > fill THEN next + (n - fill - 1) // cap ELSE batch END
+  FROM (SELECT h.*, pack.held, pack.batch, pack.batch + CASE WHEN pack.held > 0 THEN 1 ELSE 0 END AS next,
+          CASE WHEN pack.held > 0 THEN least(h.n, greatest(0, h.cap - pack.held)) ELSE 0 END AS fill
+        FROM pack JOIN hist h ON h.i = pack.i + 1)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY n_tokens ORDER BY example_id) - 1 AS k FROM ln),
+dealt AS (SELECT numbered.*, CASE WHEN k < fill THEN first ELSE next + (k - fill) // cap END AS batch FROM numbered JOIN pack ON l = n_tokens)"""
+ORACLE["token_batches"] = _TOKEN_BATCHES + """,
+sc AS (SELECT *, [(length(a) % 7) * 0.3::DOUBLE, ((length(a) + length(b)) % 5) * 0.5::DOUBLE] AS s FROM dealt)
+SELECT example_id, batch, (list_position(s, list_max(s)) - 1)::INTEGER AS pred, round(list_max(s), 6) AS top_score FROM sc"""
+ORACLE["padding_report"] = _TOKEN_BATCHES + """,
+per AS (SELECT batch, count(*) AS n, sum(n_tokens) AS t, max(n_tokens) AS m FROM dealt GROUP BY batch)
+SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_batches, sum(t)::BIGINT AS n_tokens, sum(n * m)::BIGINT AS n_padded,
+  round(1 - sum(t)::DOUBLE / sum(n * m), 6) AS padding_share FROM per"""

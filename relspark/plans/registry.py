@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import argmax, sigmoid_array, softmax
-from ..operators import decode, examples, experiments, inputs, jobs, labels, metrics, resample, score_store, subwords, sweep, targets, training
+from ..operators import batching, decode, examples, experiments, inputs, jobs, labels, metrics, resample, score_store, subwords, sweep, targets, training
 from ..session import scratch_path
 from ..sources import files
 from . import fixtures as fx
@@ -437,6 +437,26 @@ def fixture_pair_scores(_model, batch: pd.DataFrame) -> np.ndarray:
     return np.stack([(a % 7) * 0.3, ((a + b) % 5) * 0.5], axis=1)
 
 
+BATCH_TOKENS = 2000
+
+
+def _token_batches(spark, d):
+    enc = inputs.encode_pair(inputs.pair_input(_texts(spark, d)))
+    return batching.token_batches(enc.select("example_id", "text", "text_pair", F.size("tokens").cast("int").alias("n_tokens")), BATCH_TOKENS)
+
+
+def q_token_batches(spark, d):
+    """Pairs scored in batches of at most ``BATCH_TOKENS`` tokens with padding: each row's batch and score."""
+    batches = _token_batches(spark, d)
+    scored = batching.score_token_batches(batches, fixture_pair_scores, ["text", "text_pair"])
+    return scored.select("example_id", "batch", argmax("scores").alias("pred"), F.round(F.array_max("scores"), 6).alias("top_score"))
+
+
+def q_padding_report(spark, d):
+    r = batching.padding_report(_token_batches(spark, d))
+    return r.select("n_rows", "n_batches", "n_tokens", "n_padded", F.round("padding_share", 6).alias("padding_share"))
+
+
 def q_score_store(spark, d):
     """All pairs scored into a store; then the table again with the entities swapped in every seventh
     example: its scores, and whether the second run had to make them."""
@@ -727,6 +747,8 @@ QUERIES: dict[str, Query] = {
     "score_hypotheses": q_score_hypotheses,
     "score_two_sentence": q_score_two_sentence,
     "score_store": q_score_store,
+    "token_batches": q_token_batches,
+    "padding_report": q_padding_report,
     "train_linear_classifier": q_train_linear_classifier,
     "train_soft_targets": q_train_soft_targets,
     "resume_training": q_resume_training,
