@@ -13,6 +13,10 @@ region, embeddings), so that every operator runs over whole tables and has a SQL
 * ``rel_hypothesis_scores``: the 64 numbers as 32 two-wide hypothesis score rows.
 * ``rel_classes``: whole texts with the document's language as the class (English plays "no
   relation"); every fifth id is held out.
+* ``rel_tagged_tokens``: the words of each part's type, name and brand, tagged by which they are, and
+  of each nation's and region's name.
+* ``rel_entity_names``: what is to be tagged: part names and brands in other orders, and the entities of
+  ``rel_texts``.
 * ``rel_pieces``: a piece table for subword encoding: the words of ``benchmark``, their first one to
   three characters, and any one or two later characters as continuations.
 """
@@ -197,3 +201,25 @@ def rel_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     sentence = F.coalesce(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), F.lit(""))
     return table(spark, sf_dir, "documents").select(
         F.col("doc_id").alias("example_id"), sentence.alias("sentence"), label.cast("int").alias("label"), (F.col("doc_id") % 5 == 0).alias("held"))
+
+
+@_memo
+def rel_tagged_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``sequence, position, token, tag``."""
+    def tagged(c, tag):
+        return F.transform(F.split(F.col(c), " "), lambda w: F.struct(w.alias("token"), F.lit(tag).alias("tag")))
+
+    part = table(spark, sf_dir, "part").select(
+        F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("sequence"), F.concat(tagged("p_type", "TYPE"), tagged("p_name", "NAME"), tagged("p_brand", "BRAND")).alias("t"))
+    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
+    place = nation.join(region, nation.n_regionkey == region.r_regionkey).select(
+        F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("sequence"), F.concat(tagged("n_name", "PLACE"), tagged("r_name", "AREA")).alias("t"))
+    return part.unionByName(place).select("sequence", F.posexplode("t").alias("position", "t")).select("sequence", "position", "t.token", "t.tag")
+
+
+@_memo
+def rel_entity_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``entity``."""
+    part = table(spark, sf_dir, "part").select(F.explode(F.array(
+        F.col("p_name"), F.concat_ws(" ", "p_name", "p_type"), F.concat_ws(" ", "p_brand", "p_name"))).alias("entity"))
+    return part.unionByName(rel_texts(spark, sf_dir).select(F.explode(F.array("entity_01", "entity_02")).alias("entity")))

@@ -580,3 +580,39 @@ ORACLE["padding_report"] = _TOKEN_BATCHES + """,
 per AS (SELECT batch, count(*) AS n, sum(n_tokens) AS t, max(n_tokens) AS m FROM dealt GROUP BY batch)
 SELECT sum(n)::BIGINT AS n_rows, count(*) AS n_batches, sum(t)::BIGINT AS n_tokens, sum(n * m)::BIGINT AS n_padded,
   round(1 - sum(t)::DOUBLE / sum(n * m), 6) AS padding_share FROM per"""
+
+
+# --- trained tagger ------------------------------------------------------------------------------------
+
+ORACLE["tag_paths"] = EX.replace("WITH", "WITH RECURSIVE", 1) + """,
+sq AS (
+  SELECT 'p' || p_partkey AS sequence, list_transform(string_split(p_type, ' '), lambda w: {'w': w, 't': 'TYPE'}) || list_transform(string_split(p_name, ' '), lambda w: {'w': w, 't': 'NAME'})
+    || list_transform(string_split(p_brand, ' '), lambda w: {'w': w, 't': 'BRAND'}) AS l FROM part
+  UNION ALL SELECT 'n' || n_nationkey, list_transform(string_split(n_name, ' '), lambda w: {'w': w, 't': 'PLACE'}) || list_transform(string_split(r_name, ' '), lambda w: {'w': w, 't': 'AREA'})
+  FROM nation JOIN region ON n_regionkey = r_regionkey),
+tt AS (SELECT sequence, i, l[i].w AS w, l[i].t AS t, l[i - 1].t AS b FROM (SELECT sequence, l, unnest(range(1, len(l) + 1)) AS i FROM sq)),
+tags AS (SELECT t, row_number() OVER (ORDER BY t) AS k, count(*) AS n FROM tt GROUP BY t),
+st AS (SELECT CASE WHEN i > 1 THEN b END AS b, t, count(*) AS n FROM tt GROUP BY 1, 2),
+pairs AS (SELECT f.b, f.k0, g.t, g.k FROM (SELECT NULL AS b, 0 AS k0 UNION ALL SELECT t, k FROM tags) f, tags g),
+tr AS (SELECT k0, k, ln((coalesce(n, 0) + 0.5::DOUBLE) / (sum(coalesce(n, 0)) OVER (PARTITION BY k0) + 0.5 * (SELECT count(*) FROM tags))::DOUBLE) AS v
+  FROM pairs LEFT JOIN st ON st.b IS NOT DISTINCT FROM pairs.b AND st.t = pairs.t),
+step AS (SELECT list(v ORDER BY k) FILTER (k0 = 0) AS starts FROM tr),
+inn AS (SELECT list(l ORDER BY k) AS into_ FROM (SELECT k, list(v ORDER BY k0) AS l FROM tr WHERE k0 > 0 GROUP BY k)),
+sz AS (SELECT count(DISTINCT w) + 1 AS size FROM tt),
+em AS (SELECT w, list(ln((n + 0.5::DOUBLE) / (total + 0.5 * size)::DOUBLE) ORDER BY k) AS e
+  FROM (SELECT ws.w, k, tags.n AS total, count(tt.w) AS n FROM (SELECT DISTINCT w FROM tt) ws CROSS JOIN tags LEFT JOIN tt ON tt.w = ws.w AND tt.t = tags.t GROUP BY 1, 2, 3), sz GROUP BY w),
+un AS (SELECT list(ln(0.5::DOUBLE / (n + 0.5 * size)::DOUBLE) ORDER BY k) AS e FROM tags, sz),
+en AS (SELECT DISTINCT e FROM (SELECT unnest([p_name, p_name || ' ' || p_type, p_brand || ' ' || p_name]) AS e FROM part
+  UNION ALL SELECT unnest([entity_01, entity_02]) FROM enc)),
+tk AS (SELECT e AS entity, i, ws[i] AS w, len(ws) AS m FROM (SELECT e, list_filter(string_split_regex(e, '\\s+'), lambda x: x <> '') AS ws FROM en), range(1, len(ws) + 1) AS r(i)),
+lg AS (SELECT entity, i, m, coalesce(em.e, un.e) AS e FROM tk CROSS JOIN un LEFT JOIN em ON em.w = tk.w),
+walk AS (
+  SELECT entity, i, m, list_transform(range(1, len(e) + 1), lambda t: {'v': starts[t] + e[t], 'p': [t]::BIGINT[]}) AS s FROM lg, step WHERE i = 1
+  UNION ALL
+  SELECT entity, i, m, list_transform(range(1, len(e) + 1), lambda t: {'v': b[t].v + e[t], 'p': s[-b[t].neg].p || [t]::BIGINT[]}) FROM (
+    SELECT lg.entity, lg.i, lg.m, lg.e, walk.s, list_transform(range(1, len(lg.e) + 1), lambda t:
+      list_max(list_transform(range(1, len(lg.e) + 1), lambda f: {'v': walk.s[f].v + into_[t][f], 'neg': -f}))) AS b
+    FROM walk JOIN lg ON lg.entity = walk.entity AND lg.i = walk.i + 1, inn)),
+done AS (SELECT entity, s[-list_max(list_transform(range(1, len(s) + 1), lambda f: {'v': s[f].v, 'neg': -f})).neg].p AS p FROM walk WHERE i = m),
+names AS (SELECT list(t ORDER BY k) AS nm FROM tags)
+SELECT e AS entity, array_to_string(list_transform(p, lambda i: nm[i]), ' ') AS tags, nm[p[1]] AS tag FROM en CROSS JOIN names LEFT JOIN done ON entity = e"""

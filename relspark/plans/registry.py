@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scores import argmax, sigmoid_array, softmax
-from ..operators import batching, decode, examples, experiments, inputs, jobs, labels, metrics, resample, score_store, subwords, sweep, targets, training
+from ..operators import batching, decode, examples, experiments, inputs, jobs, labels, metrics, resample, score_store, subwords, sweep, tagger, targets, training
 from ..session import scratch_path
 from ..sources import files
 from . import fixtures as fx
@@ -123,6 +123,12 @@ def q_typed_pair_input(spark, d):
     )
 
 
+def q_tag_paths(spark, d):
+    """A tagger learned from tagged names; the path and the tag of every distinct entity."""
+    found = tagger.tag_paths(fx.rel_entity_names(spark, d), tagger.fit_tagger(fx.rel_tagged_tokens(spark, d)))
+    return found.select("entity", F.array_join("tags", " ").alias("tags"), "tag")
+
+
 def q_expand_hypotheses(spark, d):
     ex = _texts(spark, d).select("example_id")
     return inputs.expand_hypotheses(ex, fx.rel_labels(spark, d)).select(
@@ -713,6 +719,7 @@ QUERIES: dict[str, Query] = {
     "two_sentence_input": q_two_sentence_input,
     "tag_entities": q_tag_entities,
     "typed_pair_input": q_typed_pair_input,
+    "tag_paths": q_tag_paths,
     "expand_hypotheses": q_expand_hypotheses,
     "hypothesis_input": q_hypothesis_input,
     "hypothesis_statements": q_hypothesis_statements,
