@@ -14,11 +14,12 @@ in the most and largest buckets, and the verified links give components.  Where
 largest component, they meet further centres of it, one a turn, as long as that helps; each turn
 is linear in the members.  Then every pair of a bucket that could still join two
 components is verified, so no link of a bucket is lost.  Left out before are texts and pairs that
-cannot reach ``SIMILARITY``: what two texts share is at most what either has in common cells, those of
-more than ``RARE`` texts, unless they share a rare cell too; pairs with a shared rare cell are few (at
-most ``RARE`` for each cell and text) and are verified by themselves.  So a text with many cells of
-its own (an edited copy whose edits nobody else has) meets nobody.  A pair of exactly ``SIMILARITY`` shares no bucket with probability 4.9e-5 (closer
-pairs with less): such a link is found only if other texts connect the two.  A link needs an exact
+cannot reach ``SIMILARITY``: what texts of two components share is at most what either has in common
+cells, those of other components and more than ``RARE`` texts, unless they share a rare cell too; pairs with a
+shared rare cell are few (at most ``RARE`` for each cell and text) and are verified by themselves.  So a
+text with many cells of its own (an edited copy whose edits nobody else has) meets nobody.  A pair of
+exactly ``SIMILARITY`` shares no bucket with probability 4.9e-5 (closer pairs with less): such a link
+is found only if other texts connect the two.  A link needs an exact
 weighted Jaccard similarity of ``SIMILARITY``.
 
 Cases: null counts as empty; texts without words are linked only to equal texts; a text of fewer
@@ -143,22 +144,27 @@ def verified(pairs: DataFrame, cells: DataFrame, similarity: float = SIMILARITY)
 
 
 def shared_cells(members: DataFrame, cells: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``cid``, ``most`` and ``core``: how many cells of a text are in another one of ``members`` too, and how many
-    in more than ``RARE`` of them; and the pairs ``a``, ``b`` that share a rarer one.  Equal cells
-    within a text, or by their 32 bits, only raise the bounds."""
+    """``cid``, ``most`` and ``core``: how many cells of a text are in a text of another component (``comp``) of
+    ``members`` too, and how many of these in more than ``RARE`` texts; and the pairs ``a``, ``b`` of
+    two components that share a rarer one.  Equal cells within a text, or by their 32 bits, only raise the bounds."""
     spark = members.sparkSession
-    sizes = members.select("cid", "n_cells").distinct()
-    each = cells.join(sizes.select("cid"), "cid").select("cid", F.explode("cells").alias("cell"))
-    few = stored(spark, each.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("cid").alias("one")).where(F.col("n") <= RARE), "rare-cells")
-    alone = few.where("n = 1").groupBy(F.col("one").alias("cid")).agg(F.count(F.lit(1)).alias("alone"))
-    rare = stored(spark, each.join(few.where("n > 1").select("cell"), "cell"), "rare-cells")
-    pairs = rare.select("cell", F.col("cid").alias("a")).join(rare.select("cell", F.col("cid").alias("b")), "cell").where("a < b").select("a", "b").distinct()
-    scarce = rare.groupBy("cid").agg(F.count(F.lit(1)).alias("scarce"))
-    known = sizes.join(alone, "cid", "left").join(scarce, "cid", "left")
-    most = F.col("n_cells") - F.coalesce("alone", F.lit(0))
-    bounds = stored(spark, known.select("cid", "n_cells", most.cast("int").alias("most"), (most - F.coalesce("scarce", F.lit(0))).cast("int").alias("core")), "cell-bounds")
+    # texts and components by number: sums over long numbers are hashed, over binary ids they would be sorted
+    texts = stored(spark, members.select("cid", "n_cells", "comp").distinct().withColumn("t", F.monotonically_increasing_id()), "texts")
+    numbers = stored(spark, texts.groupBy("comp").agg(F.min("t").alias("c")), "texts")
+    each = cells.join(texts.join(numbers, "comp").select("cid", "t", "c"), "cid").select("t", "c", F.explode("cells").alias("cell"))
+    met = each.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("cell", "n")
+    met = stored(spark, met, "shared-cells")
+    cross = stored(spark, each.join(met, "cell"), "shared-cells")
+    rare = cross.where(F.col("n") <= RARE)
+    pairs = rare.select("cell", F.col("t").alias("x"), F.col("c").alias("cx")).join(rare.select("cell", F.col("t").alias("y"), F.col("c").alias("cy")), "cell")
+    pairs = pairs.where("x < y and cx <> cy").select("x", "y").distinct()
+    of = lambda t, name: texts.select(F.col("t").alias(t), F.col("cid").alias(name))
+    pairs = pairs.join(of("x", "a"), "x").join(of("y", "b"), "y").select("a", "b")
+    counts = cross.groupBy("t").agg(F.count(F.lit(1)).cast("int").alias("most"), F.count(F.when(F.col("n") > RARE, 1)).cast("int").alias("core"))
+    known = texts.join(counts, "t", "left").select("cid", "n_cells", F.coalesce("most", F.lit(0)).alias("most"), F.coalesce("core", F.lit(0)).alias("core"))
+    bounds = stored(spark, known, "cell-bounds")
     found = stored(spark, pairs, "rare-pairs")
-    forget(few, rare)
+    forget(met, cross, texts, numbers)
     return bounds, found
 
 
