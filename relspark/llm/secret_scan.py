@@ -2,18 +2,26 @@
 
 Base kinds (``assign``, ``access``, ``hex``) are leftmost non-overlapping matches of fixed
 patterns.  The battery looks at every other run of 16 or more characters of the usual key
-alphabets that mixes letters and digits.  Its encoding is inferred (hex, base32, lower-case or
-mixed alphanumerics, base64), the characters become numbers, and three tests ask whether they
-could be uniform random: chi-squared uniformity over the alphabet, runs about the median, and
-lag-1 serial correlation.  Fisher's method combines their p-values.
-
-How random ordinary text looks depends on its length, so the evidence against a token is
-compared with ordinary text of its length class: all letters of every text outside the tested
-runs, cut into pieces of the shortest lengths of the classes in turn (the first by a hash of the
-text), each letter in one piece.  A token's p-value is the share of its class' runs that look as random.  The
-Benjamini-Hochberg rule over all distinct tokens then bounds the expected share of false
-discoveries by ``FDR``.  Both statistics are histograms over fixed cells (length class x
-evidence), so nothing grows with the corpus but the scan.  DataFrame functions only.
+alphabets, letter-only ones too.  Its encoding is inferred from the classes of characters that it has
+(digits, lower case, upper case, signs), and two tests ask whether the classes could be drawn at random from that
+encoding: chi-squared for their shares, and the number of runs of one class (names and paths keep
+to a class for a word's length).  A run that fails one of them at ``CLASS_LEVEL`` is no candidate.
+
+The letters of the others are then held against ordinary text.  Three tests ask whether they could be uniform
+random: chi-squared over four groups of letters from common to rare, runs of vowels and consonants, and
+the lag-1 serial correlation of the two commoner groups.  Fisher's method combines them.  How
+random ordinary text looks depends on its length, so the evidence against a token is compared with
+ordinary text of its length class: all letters of every text outside long runs, cut
+into pieces of the shortest lengths of the classes in turn (the first by a hash of the text), each
+letter in one piece.  A token's p-value is the share of its class' pieces that look as random.  The
+Benjamini-Hochberg rule over all distinct candidates then bounds the expected share of false
+discoveries by ``FDR``.  The statistics are histograms over fixed cells (length class x evidence),
+so nothing grows with the corpus but the scan.  Every count is a difference of string lengths; no test
+walks over characters one at a time.  DataFrame functions only.
+
+What it misses: a token with fewer than ``LENGTH_STEP`` letters is never added, nor one in hexadecimal digits (24
+and more are a base kind); short random tokens look like ordinary ones by chance, the more so the rarer secrets are among the candidates
+(README: measured by length).
 
 Positions are code points, end exclusive; they come from the pieces between matches by a
 running sum.  Cases: null or empty text has no spans; repeated documents and ids give one row
@@ -41,29 +49,17 @@ KINDS = ("assign", "access", "hex", "random")
 MARK = "[SECRET]"
 
 FDR = 0.05
-LENGTH_STEP, LENGTH_CLASSES = 8, 9  # 16, 24, ... 64 characters and over
-LENGTHS = [LENGTH_STEP * i for i in range(2, LENGTH_CLASSES)]
+CLASS_LEVEL = 0.001  # share of random tokens that each class test may lose
+LENGTH_STEP, LENGTH_CLASSES = 8, 9  # 8, 16, ... 64 letters and over
+LENGTHS = [LENGTH_STEP * i for i in range(1, LENGTH_CLASSES)]
 # places and lengths of the pieces of a stretch of letters, each length first in one of them
 CUTS = [[(sum((LENGTHS[i:] + LENGTHS[:i])[:j]), n) for j, n in enumerate(LENGTHS[i:] + LENGTHS[:i])] for i in range(len(LENGTHS))]
 EVIDENCE_STEP, EVIDENCE_CLASSES = 0.05, 400  # of -log10 p
 
-DIGITS, LOWERS, UPPERS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
-
-def alphabet(token: Column) -> Column:
-    """The alphabet of the narrowest encoding that has all characters of ``token``."""
-    return (
-        F.when(token.rlike("^[0-9a-f]+$"), DIGITS + "abcdef")
-        .when(token.rlike("^[0-9A-F]+$"), DIGITS + "ABCDEF")
-        .when(token.rlike("^[a-z]+$"), LOWERS)
-        .when(token.rlike("^[A-Z]+$"), UPPERS)
-        .when(token.rlike("^[A-Z2-7]+$"), UPPERS + "234567")
-        .when(token.rlike("^[a-z0-9]+$"), DIGITS + LOWERS)
-        .when(token.rlike("^[A-Za-z]+$"), LOWERS + UPPERS)
-        .when(token.rlike("^[A-Za-z0-9]+$"), DIGITS + LOWERS + UPPERS)
-        .when(token.rlike("^[A-Za-z0-9+/]+$"), DIGITS + LOWERS + UPPERS + "+/")
-        .otherwise(DIGITS + LOWERS + UPPERS + "+/_-")
-    )
+DIGITS, LOWERS, UPPERS, SIGNS = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "+/_-"
+# fixed values: letters from common to rare in Latin-script languages, and the vowels
+GROUPS = ("etaoins", "rhldcum", "fpgwyb", "vkjxqz")
+VOWELS = "aeiouy"
 
 
 def _upper_tail(z: Column) -> Column:
@@ -73,63 +69,91 @@ def _upper_tail(z: Column) -> Column:
     return F.greatest(F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly, F.lit(1e-250))
 
 
-def evidence(df: DataFrame, token: str) -> DataFrame:
-    """``df`` with ``cell`` for its ``token`` column: length class x -log10 of the probability that
-    uniform random characters look as odd as the token's."""
-    df = df.withColumn("_a", alphabet(F.col(token)))
-    # a word's first capital says nothing about its letters
-    df = df.withColumn("_t", F.when(F.col(token).rlike("^[A-Z][a-z]+$"), F.lower(token)).otherwise(F.col(token)))
-    df = df.withColumn("_a", F.when(F.col(token).rlike("^[A-Z][a-z]+$"), F.lit(LOWERS)).otherwise(F.col("_a")))
-    df = df.withColumn("_x", F.transform(F.split("_t", ""), lambda c: (F.position(c, F.col("_a")) - 1).cast("double")))
-    df = df.withColumn("_n", F.size("_x").cast("double")).withColumn("_k", F.length("_a").cast("double"))
-    total = lambda arr: F.aggregate(arr, F.lit(0.0), lambda s, v: s + v)
-    n, k = F.col("_n"), F.col("_k")
-    left = lambda c: F.length(F.replace(F.col("_t"), c, F.lit(""))).cast("double")
-    squares = total(F.transform(F.array_distinct(F.split("_t", "")), lambda c: F.pow(n - left(c), F.lit(2.0))))
-    df = df.withColumn("_chi", k / n * squares - n)
-    dof = k - 1
-    z_chi = (F.cbrt(F.greatest(F.col("_chi"), F.lit(0.0)) / dof) - (1 - 2 / (9 * dof))) / F.sqrt(2 / (9 * dof))
-    p_chi = F.when(z_chi >= 0, _upper_tail(F.abs(z_chi))).otherwise(1 - _upper_tail(F.abs(z_chi)))
-    df = df.withColumn("_p1", p_chi)
-    df = df.withColumn("_b", F.transform("_x", lambda v: F.when(v >= k / 2, 1.0).otherwise(0.0)))
-    up = total(F.col("_b"))
-    changes = total(F.transform(F.sequence(F.lit(1), F.size("_b") - 1), lambda i: F.abs(F.get("_b", i) - F.get("_b", i - 1))))
-    df = df.withColumn("_u", up).withColumn("_r", changes + 1)
+def _above(z: Column) -> Column:
+    """P(Z >= z) for any z."""
+    return F.when(z >= 0, _upper_tail(F.abs(z))).otherwise(1 - _upper_tail(F.abs(z)))
+
+
+def _chi_tail(chi: Column, dof: Column) -> Column:
+    """P(X >= chi) of the chi-squared variable with ``dof`` degrees (Wilson and Hilferty)."""
+    return _above((F.cbrt(F.greatest(chi, F.lit(0.0)) / dof) - (1 - 2 / (9 * dof))) / F.sqrt(2 / (9 * dof)))
+
+
+def _times(c: str, part: str) -> Column:
+    """How often ``part`` stands in column ``c``, without overlaps."""
+    return (F.length(c) - F.length(F.replace(F.col(c), F.lit(part), F.lit("")))).cast("double") / len(part)
+
+
+def evidence(df: DataFrame, letters: str) -> DataFrame:
+    """``df`` with ``cell`` for its column of lower-case ``letters``: length class x -log10 of the
+    probability that uniform random letters look as odd.  Null below ``LENGTH_STEP`` letters."""
+    every = "".join(GROUPS)
+    group = "".join(str(i) * len(g) for i, g in enumerate(GROUPS))
+    df = df.withColumn("_g", F.translate(letters, every, group)).withColumn("_v", F.translate(letters, LOWERS, "".join("v" if c in VOWELS else "c" for c in LOWERS)))
+    df = df.withColumn("_h", F.translate("_g", "0123", "1100")).withColumn("_n", F.length(letters).cast("double"))
+    n = F.col("_n")
+    for i in range(len(GROUPS)):
+        df = df.withColumn(f"_c{i}", _times("_g", str(i)))
+    chi = sum((F.pow(F.col(f"_c{i}") - n * (len(g) / 26), F.lit(2.0)) / (n * (len(g) / 26)) for i, g in enumerate(GROUPS)), F.lit(0.0))
+    df = df.withColumn("_p1", _chi_tail(chi, F.lit(len(GROUPS) - 1.0)))
+    # runs of vowels and consonants
+    df = df.withColumn("_u", _times("_v", "v")).withColumn("_r", 1 + _times("_v", "vc") + _times("_v", "cv"))
     both = 2 * F.col("_u") * (n - F.col("_u"))
     var = both * (both - n) / (n * n * (n - 1))
-    z_runs = F.when(var > 0, F.abs(F.col("_r") - both / n - 1) / F.sqrt(var)).otherwise(F.sqrt(n))
-    df = df.withColumn("_p2", 2 * _upper_tail(z_runs)).withColumn("_m", total(F.col("_x")) / n)
-    dev = total(F.transform("_x", lambda v: (v - F.col("_m")) * (v - F.col("_m"))))
-    lag = total(F.transform(F.sequence(F.lit(1), F.size("_x") - 1), lambda i: (F.get("_x", i) - F.col("_m")) * (F.get("_x", i - 1) - F.col("_m"))))
-    df = df.withColumn("_d", dev).withColumn("_l", lag)
-    z_serial = F.when(F.col("_d") > 0, F.abs(F.col("_l") / F.col("_d") + 1 / n) * F.sqrt(n)).otherwise(F.sqrt(n))
-    df = df.withColumn("_p3", 2 * _upper_tail(z_serial))
-    half = -(F.log("_p1") + F.log(F.least("_p2", F.lit(1.0))) + F.log(F.least("_p3", F.lit(1.0))))
-    df = df.withColumn("_h", half)
-    log_p = (-F.col("_h") + F.log(1 + F.col("_h") + F.col("_h") * F.col("_h") / 2)) / math.log(10)  # chi-squared, 6 degrees
+    df = df.withColumn("_p2", 2 * _upper_tail(F.when(var > 0, F.abs(F.col("_r") - both / n - 1) / F.sqrt(var)).otherwise(F.sqrt(n))))
+    # lag-1 correlation of common letters: of k ones, those followed by a one are k less the runs of ones
+    k = F.col("_c0") + F.col("_c1")
+    runs = _times("_h", "01") + F.startswith("_h", F.lit("1")).cast("double")
+    spread = k * (k - 1) * (n - k) * (n - k + 1) / (n * n * (n - 1))
+    df = df.withColumn("_p3", 2 * _upper_tail(F.when(spread > 0, F.abs(runs - k * (n - k + 1) / n) / F.sqrt(spread)).otherwise(F.sqrt(n))))
+    df = df.withColumn("_f", -(F.log("_p1") + F.log(F.least("_p2", F.lit(1.0))) + F.log(F.least("_p3", F.lit(1.0)))))
+    log_p = (-F.col("_f") + F.log(1 + F.col("_f") + F.col("_f") * F.col("_f") / 2)) / math.log(10)  # chi-squared, 6 degrees
     step = F.least(F.floor(F.greatest(-log_p, F.lit(0.0)) / EVIDENCE_STEP), F.lit(EVIDENCE_CLASSES - 1))
     length = F.least(F.floor(n / LENGTH_STEP), F.lit(LENGTH_CLASSES - 1))
-    df = df.withColumn("cell", (length * EVIDENCE_CLASSES + step).cast("int"))
-    return df.drop("_a", "_t", "_x", "_n", "_k", "_chi", "_p1", "_b", "_u", "_r", "_p2", "_m", "_d", "_l", "_p3", "_h")
-
-
-def _mixed(token: Column) -> Column:
-    return token.rlike("[0-9]") & token.rlike("[A-Za-z]")
+    df = df.withColumn("cell", F.when(n >= LENGTH_STEP, (length * EVIDENCE_CLASSES + step).cast("int")))
+    return df.drop("_g", "_v", "_h", "_n", *[f"_c{i}" for i in range(len(GROUPS))], "_p1", "_u", "_r", "_p2", "_p3", "_f")
+
+
+def candidates(df: DataFrame, token: str) -> DataFrame:
+    """``df`` with ``letters``: those of its ``token`` in lower case, null where the token's classes of
+    characters could not be drawn from its encoding."""
+    classes = "".join(c * len(x) for c, x in zip("dlus", (DIGITS, LOWERS, UPPERS, SIGNS), strict=True))
+    df = df.withColumn("_t", F.translate(token, DIGITS + LOWERS + UPPERS + SIGNS, classes)).withColumn("_n", F.length(token).cast("double"))
+    n = F.col("_n")
+    for c in "dlus":
+        df = df.withColumn(f"_{c}", _times("_t", c))
+    # the encoding's characters of each class: base32 has six digits; at most two signs are in use at once
+    base32 = F.col(token).rlike("^[A-Z2-7]+$")
+    of = {"d": F.when(base32, 6.0).otherwise(10.0), "l": F.lit(26.0), "u": F.lit(26.0), "s": F.lit(2.0)}
+    size = sum((F.when(F.col(f"_{c}") > 0, of[c]).otherwise(0.0) for c in "dlus"), F.lit(0.0))
+    kinds = sum(((F.col(f"_{c}") > 0).cast("double") for c in "dlus"), F.lit(0.0))
+    df = df.withColumn("_k", kinds).withColumn("_a", size)
+    share = {c: n * of[c] / F.col("_a") for c in "dlus"}
+    chi = sum((F.when(F.col(f"_{c}") > 0, F.pow(F.col(f"_{c}") - share[c], F.lit(2.0)) / share[c]).otherwise(0.0) for c in "dlus"), F.lit(0.0))
+    p_chi = F.when(F.col("_k") > 1, _chi_tail(chi, F.greatest(F.col("_k") - 1, F.lit(1.0)))).otherwise(1.0)
+    s2 = sum((F.pow(F.col(f"_{c}"), F.lit(2.0)) for c in "dlus"), F.lit(0.0))
+    s3 = sum((F.pow(F.col(f"_{c}"), F.lit(3.0)) for c in "dlus"), F.lit(0.0))
+    var = (s2 * (s2 + n * (n + 1)) - 2 * n * s3 - n * n * n) / (n * n * (n - 1))
+    runs = F.length(F.regexp_replace("_t", r"(.)\1+", "$1")).cast("double")
+    few = F.when(var > 0, (1 + (n * n - s2) / n - runs) / F.sqrt(F.greatest(var, F.lit(1e-9)))).otherwise(0.0)
+    passed = (p_chi >= CLASS_LEVEL) & (_above(few) >= CLASS_LEVEL) & (F.col("_l") + F.col("_u") >= LENGTH_STEP)
+    letters = F.when(passed, F.lower(F.regexp_replace(token, "[^A-Za-z]+", "")))
+    return df.withColumn("letters", letters).drop("_t", "_n", "_k", "_a", *[f"_{c}" for c in "dlus"])
 
 
 def random_cells(docs: DataFrame, fdr: float = FDR) -> list[int]:
     """The cells whose tokens count as secrets; at most LENGTH_CLASSES x EVIDENCE_CLASSES numbers."""
     text = F.col("text")
-    runs = docs.where(text.rlike(RUN)).select(F.explode(F.regexp_extract_all(text, F.lit(RUN), F.lit(0))).alias("token"))
-    runs = runs.where(_mixed(F.col("token"))).select("token", F.lit(True).alias("test"))
-    # tested runs are no part of the ordinary text they are compared with
-    letters = F.lower(F.regexp_replace(F.when(text.rlike(RUN), F.regexp_replace(text, RUN, " ")).otherwise(text), "[^A-Za-z]+", ""))
-    plain = docs.select(letters.alias("letters"), F.pmod(F.xxhash64(text), F.lit(len(CUTS))).cast("int").alias("turn"))
+    runs = docs.where(text.rlike(RUN)).select(F.explode(F.regexp_extract_all(text, F.lit(RUN), F.lit(0))).alias("token")).distinct()
+    runs = candidates(runs, "token").where("letters is not null").select("letters", F.lit(True).alias("test"))
+    # long runs are no part of the ordinary text they are compared with
+    plain = F.lower(F.regexp_replace(F.when(text.rlike(RUN), F.regexp_replace(text, RUN, " ")).otherwise(text), "[^A-Za-z]+", ""))
+    plain = docs.select(plain.alias("letters"), F.pmod(F.xxhash64(text), F.lit(len(CUTS))).cast("int").alias("turn"))
     plain = plain.select("turn", F.explode(F.regexp_extract_all("letters", F.lit(f"[a-z]{{1,{sum(n for _, n in CUTS[0])}}}"), F.lit(0))).alias("letters"))
     cuts = F.get(F.array(*[F.array(*[F.struct(F.lit(a).alias("at"), F.lit(n).alias("size")) for a, n in turn]) for turn in CUTS]), F.col("turn"))
     cuts = F.filter(cuts, lambda c: c["at"] + c["size"] <= F.length("letters"))
-    plain = plain.select(F.explode(F.transform(cuts, lambda c: F.substring("letters", c["at"] + 1, c["size"]))).alias("token"), F.lit(False).alias("test"))
-    told = evidence(runs.distinct().unionByName(plain), "token")
+    plain = plain.select(F.explode(F.transform(cuts, lambda c: F.substring("letters", c["at"] + 1, c["size"]))).alias("letters"), F.lit(False).alias("test"))
+    told = evidence(runs.unionByName(plain), "letters")
     counts = stored(docs.sparkSession, told.groupBy("cell").agg(
         F.sum(F.when(F.col("test"), 1).otherwise(0)).alias("tested"), F.sum(F.when(F.col("test"), 0).otherwise(1)).alias("plain")), "secret-cells")
     # from here on: at most one row for each cell
@@ -171,11 +195,11 @@ def find_spans(docs: DataFrame, fdr: float = FDR, key: str = "doc_id") -> DataFr
     w = Window.partitionBy("row_id", "kind").orderBy("i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("end", F.sum(F.col("before") + F.length("match")).over(w))
     rows = rows.withColumn("start", F.col("end") - F.length("match"))
-    token = F.when((F.col("kind") == 3) & _mixed(F.col("match")), F.col("match"))
-    rows = evidence(rows.withColumn("token", token), "token")
+    token = F.when(F.col("kind") == 3, F.col("match"))
+    rows = evidence(candidates(rows.withColumn("token", token), "token"), "letters")
     good = (
         ((F.col("kind") == 0) & (F.length("value") >= MIN_VALUE)) | ((F.col("kind") == 1) & (F.length("match") >= MIN_ACCESS))
-        | (F.col("kind") == 2) | (F.col("token").isNotNull() & (F.col("cell").isin(cells) if cells else F.lit(False)))
+        | (F.col("kind") == 2) | (F.col("letters").isNotNull() & (F.col("cell").isin(cells) if cells else F.lit(False)))
     )
     span = F.when(good, F.struct("start", "kind", "end"))
     per = rows.groupBy("row_id").agg(F.first("key").alias("key"), F.first("text_hash").alias("text_hash"), F.array_sort(F.collect_list(span)).alias("all"))

@@ -1,7 +1,9 @@
+import math
 import random
 import string
 
 import pytest
+from pyspark.sql import functions as F
 
 from relspark.llm import secret_scan
 
@@ -64,12 +66,91 @@ def test_empty_table(spark):
     assert secret_scan.scan(empty(spark)).collect() == []
 
 
-@pytest.mark.parametrize("token,random_like", [("f3ef4d6b2755a36d7d9c25bd72c4d5f67e061fda", True), ("aaaaaaaaaaaaaaaa1111111111111111", False), ("abcdefghijklmnopqrstuvwxyz012345", False)])
+@pytest.mark.parametrize("token,random_like", [("qkzwjxvbnmplfghtreyusdica", True), ("theinternationalorganisation", False), ("aaaaaaaaaaaaaaaaaaaaaaaa", False), ("thereisnothinginthisstory", False)])
 def test_evidence(spark, token, random_like):
-    cell = secret_scan.evidence(spark.createDataFrame([(token,)], "token string"), "token").first().cell
+    cell = secret_scan.evidence(spark.createDataFrame([(token,)], "letters string"), "letters").first().cell
     assert (cell % secret_scan.EVIDENCE_CLASSES * secret_scan.EVIDENCE_STEP < 2) == random_like
 
 
+def z_tail(z):
+    return math.erfc(z / math.sqrt(2)) / 2
+
+
+def twin(letters):
+    """The three tests in plain Python, character by character."""
+    n = len(letters)
+    chi = 0
+    for g in secret_scan.GROUPS:
+        want = n * len(g) / 26
+        chi += (sum(c in g for c in letters) - want) ** 2 / want
+    p1 = z_tail((abs(chi / 3) ** (1 / 3) - (1 - 2 / 27)) / math.sqrt(2 / 27))
+    vowel = [c in secret_scan.VOWELS for c in letters]
+    u, runs = sum(vowel), 1 + sum(a != b for a, b in zip(vowel, vowel[1:]))
+    both = 2 * u * (n - u)
+    var = both * (both - n) / (n * n * (n - 1))
+    p2 = 2 * z_tail(abs(runs - both / n - 1) / math.sqrt(var) if var > 0 else math.sqrt(n))
+    common = [c in secret_scan.GROUPS[0] + secret_scan.GROUPS[1] for c in letters]
+    k, ones = sum(common), sum(b and not a for a, b in zip([False, *common], common))
+    var = k * (k - 1) * (n - k) * (n - k + 1) / (n * n * (n - 1))
+    p3 = 2 * z_tail(abs(ones - k * (n - k + 1) / n) / math.sqrt(var) if var > 0 else math.sqrt(n))
+    h = -(math.log(p1) + math.log(min(p2, 1)) + math.log(min(p3, 1)))
+    return max((h - math.log(1 + h + h * h / 2)) / math.log(10), 0)
+
+
+def test_evidence_equals_its_twin(spark):
+    r = random.Random(6)
+    words = ["".join(r.choices(string.ascii_lowercase, k=r.randrange(8, 90))) for _ in range(60)] + ["".join(r.choices(PARTS, k=r.randrange(5, 30))) for _ in range(60)]
+    df = spark.createDataFrame([(w,) for w in words] + [("short",)], "letters string")
+    for x in secret_scan.evidence(df, "letters").collect():
+        if len(x.letters) < 8:
+            assert x.cell is None
+            continue
+        assert x.cell // secret_scan.EVIDENCE_CLASSES == min(len(x.letters) // 8, 8)
+        got = x.cell % secret_scan.EVIDENCE_CLASSES * secret_scan.EVIDENCE_STEP
+        assert got - 0.06 <= min(twin(x.letters), 19.95) <= got + 0.11, x.letters
+
+
+ALPHABETS = {"base62": string.ascii_letters + string.digits, "letters": string.ascii_letters, "base32": string.ascii_uppercase + "234567", "lower": string.ascii_lowercase + string.digits,
+             "base64": string.ascii_letters + string.digits + "+/"}
+
+
+def test_random_tokens_pass_the_class_tests_and_many_names_do_not(spark):
+    r = random.Random(7)
+    tokens = {k: ["".join(r.choices(a, k=r.choice((20, 32, 40, 64)))) for _ in range(300)] for k, a in ALPHABETS.items()}
+    word = lambda: "".join(r.choices(PARTS, k=r.randint(1, 4)))
+    tokens["names"] = [f"/{word()}/{word()}/{word()}_{word()}{r.randrange(100)}/index" for _ in range(300)] + [f"{word()}{word()}{word()}_{word()}_{r.randrange(1000):03d}" for _ in range(300)]
+    rows = [(k, t) for k, ts in tokens.items() for t in ts]
+    got = secret_scan.candidates(spark.createDataFrame(rows, "kind string, token string"), "token")
+    share = {x.kind: x.n for x in got.groupBy("kind").agg(F.avg(F.col("letters").isNotNull().cast("double")).alias("n")).collect()}
+    assert all(share[k] >= 0.98 for k in ALPHABETS) and share["names"] < 0.6, share
+
+
+def plain_docs(n, r):
+    return [" ".join("".join(r.choices(PARTS, k=r.randint(1, 4))) for _ in range(60)) for _ in range(n)]
+
+
+def test_recall_by_length_and_alphabet(spark):
+    """3,000 documents, 1,200 identifiers and 1,200 secrets: at least nine of ten secrets of 32 characters are found."""
+    r = random.Random(11)
+    rows, plants = [], {}
+    word = lambda: "".join(r.choices(PARTS, k=r.randint(1, 4)))
+    kinds = [("base62", n) for n in (20, 32, 40, 64)] + [("letters", 32), ("base32", 40)]
+    for i, t in enumerate(plain_docs(3000, r)):
+        if i < 1200:
+            kind = kinds[i % len(kinds)]
+            s = "".join(r.choices(ALPHABETS[kind[0]], k=kind[1]))
+            plants[s] = kind
+            t = f"{t[:100]} {s} {t[100:]}"
+        elif i < 2400:
+            t = f"{t[:100]} {word()}/{word()}_{word()}-{word()}{r.randrange(1000)} {t[100:]}"
+        rows.append((i, t))
+    found = found_in(spark, rows)
+    hits = {k: sum(plants[s] == k for s in found if s in plants) / sum(v == k for v in plants.values()) for k in kinds}
+    print(hits, len(found - set(plants)))
+    assert all(v >= 0.9 for k, v in hits.items() if k[1] >= 32), hits
+    assert hits["base62", 20] >= 0.6 and len(found - set(plants)) <= 0.1 * len(found)
+
+
 def planted(plants, seed, ids=10):
     """Documents with ``ids`` ordinary identifiers each; every tenth has one of ``plants``."""
     r = random.Random(seed)
