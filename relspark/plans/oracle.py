@@ -616,3 +616,4 @@ walk AS (
 done AS (SELECT entity, s[-list_max(list_transform(range(1, len(s) + 1), lambda f: {'v': s[f].v, 'neg': -f})).neg].p AS p FROM walk WHERE i = m),
 names AS (SELECT list(t ORDER BY k) AS nm FROM tags)
 SELECT e AS entity, array_to_string(list_transform(p, lambda i: nm[i]), ' ') AS tags, nm[p[1]] AS tag FROM en CROSS JOIN names LEFT JOIN done ON entity = e"""
+ORACLE["stream_confusion"] = ORACLE["confusion_counts"]

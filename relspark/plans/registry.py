@@ -19,6 +19,7 @@ from ..functions.scores import argmax, sigmoid_array, softmax
 from ..operators import batching, decode, examples, experiments, inputs, jobs, labels, metrics, resample, score_store, subwords, sweep, tagger, targets, training
 from ..session import scratch_path
 from ..sources import files
+from ..streaming import evaluate_stream
 from . import fixtures as fx
 from . import flows
 from .oracle import ASCII_HYPOTHESES, ASCII_TWO_SENTENCE
@@ -548,6 +549,16 @@ def q_read_marked_examples(spark, d):
     return examples.mark_entities(back, fx.rel_labels(spark, d))
 
 
+def q_stream_confusion(spark, d):
+    """Predictions and answers as streams of files; the running counts when all have been read."""
+    pred, answer = scratch_path(spark, "pred-files"), scratch_path(spark, "answer-files")
+    files.write_predictions(_ensemble(spark, d).repartition(3), pred)
+    fx.rel_answers(spark, d).repartition(4).write.csv(answer, header=True)
+    out = scratch_path(spark, "running-counts")
+    evaluate_stream.run_evaluation(spark, pred, answer, out, scratch_path(spark, "evaluation-state"), 2).awaitTermination()
+    return evaluate_stream.running_confusion(spark, out)
+
+
 def q_write_predictions(spark, d):
     """Ensemble predictions written with their key, read back and aligned with the answers."""
     path = scratch_path(spark, "predictions")
@@ -746,6 +757,7 @@ QUERIES: dict[str, Query] = {
     "accuracy": q_accuracy,
     "accuracy_from_scores": q_accuracy_from_scores,
     "confusion_counts": q_confusion_counts,
+    "stream_confusion": q_stream_confusion,
     "bce_with_logits": q_bce_with_logits,
     "accuracy_interval": q_accuracy_interval,
     "threshold_sweep": q_threshold_sweep,
