@@ -6,9 +6,10 @@ vector is projected, a gated attention network (``tanh(V h) * sigmoid(U h)``) we
 and a logistic unit scores the weighted sum.  All weights are learned from document labels by
 full-batch gradient steps.
 
-Training reads at most ``MAX_TRAIN`` labelled documents (the smallest hashes of their ids; a
-documented bound), encodes their passages on the executors and fits in one task, whose size
-that bound fixes.  Scoring reads every passage of every document.
+Training reads at most ``MAX_TRAIN`` labelled documents (the smallest hashes of their ids) and of these, in that
+order, those that fit into ``MAX_PASSAGES`` passages in all, one text an id (the smallest hash): a documented
+bound.  Their passages are encoded on the executors and fitted in one task, whose size that bound fixes; it takes
+them in that order, so the weights do not depend on partitions.  Scoring reads every passage of every document.
 
 Nothing but the text enters a score.  Cases: null and empty texts are a bag of one passage
 without words.  Labels that are null, not 0 or 1, or whose document is missing are not learned
@@ -24,10 +25,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import IS_WORD, batch_rows, release, text_bytes, word_hashes
+from relspark.llm.common import IS_WORD, batch_rows, forget, release, stored, text_bytes, word_hashes
 
 PASSAGE = 64  # words
 MAX_TRAIN = 4_000  # labelled documents
+MAX_PASSAGES = 100_000  # of them together
 THRESHOLD = 0.3
 HASHED = 16  # slots for hashed word shapes
 HIDDEN, ATTENTION = 16, 8
@@ -125,6 +127,22 @@ def _forward(w: dict, x: np.ndarray, first: np.ndarray):
     return h, t, g, a, z, 1 / (1 + np.exp(-(z @ w["c"] + w["b"])))
 
 
+def _gradients(w: dict, x: np.ndarray, first: np.ndarray, y: np.ndarray) -> dict:
+    """Slopes of the mean log loss over the documents."""
+    h, t, g, a, z, s = _forward(w, x, first)
+    d = (s - y) / len(y)
+    grad = {"c": z.T @ d, "b": d.sum()}
+    dz = _spread(d[:, None] * w["c"], first)
+    da = (dz * h).sum(axis=1)
+    de = a * (da - _spread(np.add.reduceat(a * da, first[:-1]), first))
+    grad["a"] = (t * g).T @ de
+    dt, dg = de[:, None] * w["a"] * g * (1 - t * t), de[:, None] * w["a"] * t * g * (1 - g)
+    grad["V"], grad["U"] = h.T @ dt, h.T @ dg
+    dh = (a[:, None] * dz + dt @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
+    grad["P"], grad["p"] = x.T @ dh, dh.sum(axis=0)
+    return grad
+
+
 def fit_weights(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 11) -> dict:
     """Weights of the network by full-batch Adam steps on the log loss; both labels weigh alike
     up to the square root of their ratio."""
@@ -135,17 +153,7 @@ def fit_weights(x: np.ndarray, first: np.ndarray, y: np.ndarray, seed: int = 11)
     w = {k: rng.normal(0, 1 / np.sqrt(max(s[0] if s else 1, 1)), s) * (k not in "pb") for k, s in shape.items()}
     m, v = ({k: np.zeros(s) for k, s in shape.items()} for _ in range(2))
     for step in range(1, STEPS + 1):
-        h, t, g, a, z, s = _forward(w, x, first)
-        d = (s - y) / len(y)
-        grad = {"c": z.T @ d, "b": d.sum()}
-        dz = _spread(d[:, None] * w["c"], first)
-        da = (dz * h).sum(axis=1)
-        de = a * (da - _spread(np.add.reduceat(a * da, first[:-1]), first))
-        grad["a"] = (t * g).T @ de
-        dt, dg = de[:, None] * w["a"] * g * (1 - t * t), de[:, None] * w["a"] * t * g * (1 - g)
-        grad["V"], grad["U"] = h.T @ dt, h.T @ dg
-        dh = (a[:, None] * dz + dt @ w["V"].T + dg @ w["U"].T) * (1 - h * h)
-        grad["P"], grad["p"] = x.T @ dh, dh.sum(axis=0)
+        grad = _gradients(w, x, first, y)
         for k in w:
             gk = grad[k] + DECAY * w[k] * (k not in "pb")
             m[k], v[k] = 0.9 * m[k] + 0.1 * gk, 0.999 * v[k] + 0.001 * gk * gk
@@ -164,13 +172,16 @@ def _encode(batches):
         for part in batch_rows(batch, BATCH_BYTES):
             x, first = passages(part.column("text"))
             flat = pa.array(x.astype(np.float32).ravel())
-            yield pa.RecordBatch.from_arrays([part.column("label"), pa.ListArray.from_arrays((first * FEATURES).astype(np.int32), flat)], ["label", "x"])
+            n = pa.array(np.diff(first).astype(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns[:3], n, pa.ListArray.from_arrays((first * FEATURES).astype(np.int32), flat)], ["key", "label", "hash", "n", "x"])
             release()
 
 
 def _fit(table: pa.Table) -> pa.Table:
     import pickle
 
+    table = table.sort_by("place")
     y = table.column("label").to_numpy().astype(np.float64)
     lists = table.column("x").combine_chunks()
     x = lists.flatten().to_numpy().astype(np.float64).reshape(-1, FEATURES)
@@ -179,16 +190,33 @@ def _fit(table: pa.Table) -> pa.Table:
     return pa.table({"weights": pa.array([pickle.dumps(w)], pa.binary())})
 
 
-def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_train: int = MAX_TRAIN) -> dict:
+def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "quality", max_train: int = MAX_TRAIN,
+        max_passages: int = MAX_PASSAGES) -> dict:
     """The network's weights (a few kilobytes), learned from rows that are not held out."""
     import pickle
 
     told = labels.where(~held_out(F.col(key)) & F.col(label).isin(0, 1)).select(F.col(key).alias("key"), F.col(label).cast("int").alias("label"))
     told = told.orderBy(F.xxhash64("key"), "key", "label").limit(max_train)
-    train = docs.select(F.col(key).alias("key"), "text").join(F.broadcast(told), "key").select("label", "text")
-    encoded = train.mapInArrow(_encode, "label int, x array<float>").withColumn("one", F.lit(1))
-    got = encoded.groupBy("one").applyInArrow(lambda t: _fit(t), "weights binary").collect()
-    return pickle.loads(got[0][0]) if got else {"share": np.array(0.5)}
+    spark = docs.sparkSession
+    kind = docs.schema[key].dataType.simpleString()
+    hashed = F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("hash")
+    train = docs.select(F.col(key).alias("key"), "text").join(F.broadcast(told), "key").select("key", "label", hashed, "text")
+    bags = stored(spark, train.mapInArrow(_encode, f"key {kind}, label int, hash string, n long, x array<float>"), "training-bags")
+    one = bags.groupBy("key", "label").agg(F.min(F.struct("hash", "n")).alias("f"))
+    rows = one.select("key", "label", "f.hash", "f.n").orderBy(F.xxhash64("key"), "key", "label").collect()  # max_train rows
+    chosen, left = [], max_passages
+    for place, (k, told_label, text_hash, n) in enumerate(rows):
+        if n <= left:
+            chosen.append((k, told_label, text_hash, place))
+            left -= n
+    if not chosen:
+        forget(bags)
+        return {"share": np.array(0.5)}
+    side = spark.createDataFrame(chosen, f"key {kind}, label int, hash string, place int")
+    picked = bags.join(F.broadcast(side), ["key", "label", "hash"]).select("place", "label", "x").dropDuplicates(["place"])
+    got = picked.withColumn("one", F.lit(1)).groupBy("one").applyInArrow(lambda t: _fit(t), "weights binary").collect()
+    forget(bags)
+    return pickle.loads(got[0][0])
 
 
 def score(docs: DataFrame, weights: dict, key: str = "doc_id") -> DataFrame:

@@ -61,3 +61,58 @@ def test_passages_cover_every_word():
     sizes = np.expm1(x[:, len(quality.CLASSES) + 9] * np.log1p(quality.PASSAGE)).round().astype(int)
     assert [int(sizes[a:b].sum()) for a, b in zip(first[:-1], first[1:], strict=True)] == [0, 0, 1, 200, 2, 1]
     assert np.isfinite(x).all()
+
+
+def small_net(seed=3):
+    r = np.random.default_rng(seed)
+    first = np.array([0, 3, 4, 9, 11])
+    x, y = r.normal(size=(11, quality.FEATURES)), np.array([1.0, 0.0, 1.0, 0.0])
+    shape = {"P": (quality.FEATURES, quality.HIDDEN), "p": (quality.HIDDEN,), "V": (quality.HIDDEN, quality.ATTENTION), "U": (quality.HIDDEN, quality.ATTENTION),
+             "a": (quality.ATTENTION,), "c": (quality.HIDDEN,), "b": ()}
+    return {k: np.array(r.normal(0, 0.4, s)) for k, s in shape.items()}, x, first, y
+
+
+def twin_scores(w, x, first):
+    """The forward pass, one document and one passage at a time."""
+    out = []
+    for a, b in zip(first[:-1], first[1:]):
+        hidden = [np.tanh(sum(x[i, f] * w["P"][f] for f in range(x.shape[1])) + w["p"]) for i in range(a, b)]
+        weigh = [sum(w["a"][k] * np.tanh(h @ w["V"][:, k]) / (1 + np.exp(-(h @ w["U"][:, k]))) for k in range(len(w["a"]))) for h in hidden]
+        share = np.exp(np.array(weigh)) / np.exp(np.array(weigh)).sum()
+        out.append(1 / (1 + np.exp(-(sum(s * h for s, h in zip(share, hidden)) @ w["c"] + w["b"]))))
+    return np.array(out)
+
+
+def test_forward_pass_equals_its_twin():
+    w, x, first, _ = small_net()
+    np.testing.assert_allclose(quality._forward(w, x, first)[-1], twin_scores(w, x, first), rtol=1e-12)
+
+
+def test_gradients_are_the_losss_slopes():
+    w, x, first, y = small_net()
+
+    def loss(v):
+        s = twin_scores(v, x, first)
+        return -(y * np.log(s) + (1 - y) * np.log(1 - s)).mean()
+
+    grad = quality._gradients(w, x, first, y)
+    r = np.random.default_rng(1)
+    for k in w:
+        for _ in range(4):
+            at = tuple(r.integers(0, n) for n in w[k].shape)
+            up, down = ({**w, k: w[k].copy()} for _ in range(2))
+            up[k][at] += 1e-5
+            down[k][at] -= 1e-5
+            assert abs((loss(up) - loss(down)) / 2e-5 - grad[k][at]) < 1e-7, k
+
+
+def test_fit_is_bounded_and_does_not_depend_on_order_or_repeats(spark):
+    docs, labels = labelled(spark, 200)
+    a = quality.fit(docs, labels)
+    again = docs.unionByName(docs.where("doc_id = 7")).unionByName(docs.where("doc_id = 7")).repartition(7)
+    b = quality.fit(again, labels)
+    assert all(np.array_equal(a[k], b[k]) for k in a)
+    # a hundred passages in all: fewer documents, in the same order
+    c = quality.fit(docs, labels, max_passages=100)
+    assert "share" in c or not np.array_equal(a["c"], c["c"])
+    assert quality.fit(docs, labels, max_passages=0)["share"] == 0.5
