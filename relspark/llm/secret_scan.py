@@ -62,21 +62,20 @@ GROUPS = ("etaoins", "rhldcum", "fpgwyb", "vkjxqz")
 VOWELS = "aeiouy"
 
 
-def _upper_tail(z: Column) -> Column:
-    """P(Z >= z) of the standard normal for z >= 0, by a rational approximation."""
-    t = 1 / (1 + 0.2316419 * z)
+def _with_tail(df: DataFrame, name: str, z: Column) -> DataFrame:
+    """``df`` with ``name``: P(Z >= z) of the standard normal, by a rational approximation.  What is used
+    several times is a column of its own, so that the plan holds each term once."""
+    df = df.withColumn(f"{name}z", z).withColumn(f"{name}t", 1 / (1 + 0.2316419 * F.abs(F.col(f"{name}z"))))
+    zz, t = F.col(f"{name}z"), F.col(f"{name}t")
     poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    return F.greatest(F.exp(-z * z / 2) / math.sqrt(2 * math.pi) * poly, F.lit(1e-250))
+    df = df.withColumn(f"{name}u", F.greatest(F.exp(-zz * zz / 2) / math.sqrt(2 * math.pi) * poly, F.lit(1e-250)))
+    upper = F.col(f"{name}u")
+    return df.withColumn(name, F.when(zz >= 0, upper).otherwise(1 - upper)).drop(f"{name}z", f"{name}t", f"{name}u")
 
 
-def _above(z: Column) -> Column:
-    """P(Z >= z) for any z."""
-    return F.when(z >= 0, _upper_tail(F.abs(z))).otherwise(1 - _upper_tail(F.abs(z)))
-
-
-def _chi_tail(chi: Column, dof: Column) -> Column:
-    """P(X >= chi) of the chi-squared variable with ``dof`` degrees (Wilson and Hilferty)."""
-    return _above((F.cbrt(F.greatest(chi, F.lit(0.0)) / dof) - (1 - 2 / (9 * dof))) / F.sqrt(2 / (9 * dof)))
+def _chi_z(chi: Column, dof: Column) -> Column:
+    """The normal variable that stands for a chi-squared one with ``dof`` degrees (Wilson and Hilferty)."""
+    return (F.cbrt(F.greatest(chi, F.lit(0.0)) / dof) - (1 - 2 / (9 * dof))) / F.sqrt(2 / (9 * dof))
 
 
 def _times(c: str, part: str) -> Column:
@@ -95,23 +94,25 @@ def evidence(df: DataFrame, letters: str) -> DataFrame:
     for i in range(len(GROUPS)):
         df = df.withColumn(f"_c{i}", _times("_g", str(i)))
     chi = sum((F.pow(F.col(f"_c{i}") - n * (len(g) / 26), F.lit(2.0)) / (n * (len(g) / 26)) for i, g in enumerate(GROUPS)), F.lit(0.0))
-    df = df.withColumn("_p1", _chi_tail(chi, F.lit(len(GROUPS) - 1.0)))
+    df = _with_tail(df, "_p1", _chi_z(chi, F.lit(len(GROUPS) - 1.0)))
     # runs of vowels and consonants
     df = df.withColumn("_u", _times("_v", "v")).withColumn("_r", 1 + _times("_v", "vc") + _times("_v", "cv"))
-    both = 2 * F.col("_u") * (n - F.col("_u"))
-    var = both * (both - n) / (n * n * (n - 1))
-    df = df.withColumn("_p2", 2 * _upper_tail(F.when(var > 0, F.abs(F.col("_r") - both / n - 1) / F.sqrt(var)).otherwise(F.sqrt(n))))
+    df = df.withColumn("_b", 2 * F.col("_u") * (n - F.col("_u")))
+    both = F.col("_b")
+    df = df.withColumn("_s", both * (both - n) / (n * n * (n - 1)))
+    df = _with_tail(df, "_p2", F.when(F.col("_s") > 0, F.abs(F.col("_r") - both / n - 1) / F.sqrt("_s")).otherwise(F.sqrt(n)))
     # lag-1 correlation of common letters: of k ones, those followed by a one are k less the runs of ones
-    k = F.col("_c0") + F.col("_c1")
-    runs = _times("_h", "01") + F.startswith("_h", F.lit("1")).cast("double")
-    spread = k * (k - 1) * (n - k) * (n - k + 1) / (n * n * (n - 1))
-    df = df.withColumn("_p3", 2 * _upper_tail(F.when(spread > 0, F.abs(runs - k * (n - k + 1) / n) / F.sqrt(spread)).otherwise(F.sqrt(n))))
-    df = df.withColumn("_f", -(F.log("_p1") + F.log(F.least("_p2", F.lit(1.0))) + F.log(F.least("_p3", F.lit(1.0)))))
+    df = df.withColumn("_k", F.col("_c0") + F.col("_c1")).withColumn("_o", _times("_h", "01") + F.startswith("_h", F.lit("1")).cast("double"))
+    k = F.col("_k")
+    df = df.withColumn("_q", k * (k - 1) * (n - k) * (n - k + 1) / (n * n * (n - 1)))
+    df = _with_tail(df, "_p3", F.when(F.col("_q") > 0, F.abs(F.col("_o") - k * (n - k + 1) / n) / F.sqrt("_q")).otherwise(F.sqrt(n)))
+    two_sided = lambda c: F.log(F.least(2 * F.col(c), F.lit(1.0)))
+    df = df.withColumn("_f", -(F.log("_p1") + two_sided("_p2") + two_sided("_p3")))
     log_p = (-F.col("_f") + F.log(1 + F.col("_f") + F.col("_f") * F.col("_f") / 2)) / math.log(10)  # chi-squared, 6 degrees
     step = F.least(F.floor(F.greatest(-log_p, F.lit(0.0)) / EVIDENCE_STEP), F.lit(EVIDENCE_CLASSES - 1))
     length = F.least(F.floor(n / LENGTH_STEP), F.lit(LENGTH_CLASSES - 1))
     df = df.withColumn("cell", F.when(n >= LENGTH_STEP, (length * EVIDENCE_CLASSES + step).cast("int")))
-    return df.drop("_g", "_v", "_h", "_n", *[f"_c{i}" for i in range(len(GROUPS))], "_p1", "_u", "_r", "_p2", "_p3", "_f")
+    return df.drop("_g", "_v", "_h", "_n", *[f"_c{i}" for i in range(len(GROUPS))], "_p1", "_u", "_r", "_b", "_s", "_p2", "_k", "_o", "_q", "_p3", "_f")
 
 
 def candidates(df: DataFrame, token: str) -> DataFrame:
@@ -128,17 +129,19 @@ def candidates(df: DataFrame, token: str) -> DataFrame:
     size = sum((F.when(F.col(f"_{c}") > 0, of[c]).otherwise(0.0) for c in "dlus"), F.lit(0.0))
     kinds = sum(((F.col(f"_{c}") > 0).cast("double") for c in "dlus"), F.lit(0.0))
     df = df.withColumn("_k", kinds).withColumn("_a", size)
-    share = {c: n * of[c] / F.col("_a") for c in "dlus"}
-    chi = sum((F.when(F.col(f"_{c}") > 0, F.pow(F.col(f"_{c}") - share[c], F.lit(2.0)) / share[c]).otherwise(0.0) for c in "dlus"), F.lit(0.0))
-    p_chi = F.when(F.col("_k") > 1, _chi_tail(chi, F.greatest(F.col("_k") - 1, F.lit(1.0)))).otherwise(1.0)
-    s2 = sum((F.pow(F.col(f"_{c}"), F.lit(2.0)) for c in "dlus"), F.lit(0.0))
-    s3 = sum((F.pow(F.col(f"_{c}"), F.lit(3.0)) for c in "dlus"), F.lit(0.0))
-    var = (s2 * (s2 + n * (n + 1)) - 2 * n * s3 - n * n * n) / (n * n * (n - 1))
+    for c in "dlus":
+        df = df.withColumn(f"_e{c}", n * of[c] / F.col("_a"))
+    chi = sum((F.when(F.col(f"_{c}") > 0, F.pow(F.col(f"_{c}") - F.col(f"_e{c}"), F.lit(2.0)) / F.col(f"_e{c}")).otherwise(0.0) for c in "dlus"), F.lit(0.0))
+    df = _with_tail(df, "_p1", F.when(F.col("_k") > 1, _chi_z(chi, F.greatest(F.col("_k") - 1, F.lit(1.0)))).otherwise(0.0))
+    for power in (2, 3):
+        df = df.withColumn(f"_s{power}", sum((F.pow(F.col(f"_{c}"), F.lit(float(power))) for c in "dlus"), F.lit(0.0)))
+    s2, s3 = F.col("_s2"), F.col("_s3")
+    df = df.withColumn("_w", (s2 * (s2 + n * (n + 1)) - 2 * n * s3 - n * n * n) / (n * n * (n - 1)))
     runs = F.length(F.regexp_replace("_t", r"(.)\1+", "$1")).cast("double")
-    few = F.when(var > 0, (1 + (n * n - s2) / n - runs) / F.sqrt(F.greatest(var, F.lit(1e-9)))).otherwise(0.0)
-    passed = (p_chi >= CLASS_LEVEL) & (_above(few) >= CLASS_LEVEL) & (F.col("_l") + F.col("_u") >= LENGTH_STEP)
+    df = _with_tail(df, "_p2", F.when(F.col("_w") > 0, (1 + (n * n - s2) / n - runs) / F.sqrt(F.greatest("_w", F.lit(1e-9)))).otherwise(0.0))
+    passed = (F.col("_p1") >= CLASS_LEVEL) & (F.col("_p2") >= CLASS_LEVEL) & (F.col("_l") + F.col("_u") >= LENGTH_STEP)
     letters = F.when(passed, F.lower(F.regexp_replace(token, "[^A-Za-z]+", "")))
-    return df.withColumn("letters", letters).drop("_t", "_n", "_k", "_a", *[f"_{c}" for c in "dlus"])
+    return df.withColumn("letters", letters).drop("_t", "_n", "_k", "_a", "_p1", "_s2", "_s3", "_w", "_p2", *[f"_{c}" for c in "dlus"], *[f"_e{c}" for c in "dlus"])
 
 
 def random_cells(docs: DataFrame, fdr: float = FDR) -> list[int]:
