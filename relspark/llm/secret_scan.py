@@ -86,13 +86,20 @@ def _times(c: str, part: str) -> Column:
 def evidence(df: DataFrame, letters: str) -> DataFrame:
     """``df`` with ``cell`` for its column of lower-case ``letters``: length class x -log10 of the
     probability that uniform random letters look as odd.  Null below ``LENGTH_STEP`` letters."""
-    every = "".join(GROUPS)
-    group = "".join(str(i) * len(g) for i, g in enumerate(GROUPS))
-    df = df.withColumn("_g", F.translate(letters, every, group)).withColumn("_v", F.translate(letters, LOWERS, "".join("v" if c in VOWELS else "c" for c in LOWERS)))
-    df = df.withColumn("_h", F.translate("_g", "0123", "1100")).withColumn("_n", F.length(letters).cast("double"))
+    # one symbol for a letter's group and whether it is a vowel; its other views by whole-string replacement
+    symbol = {c: "01234567"[2 * i + (c not in VOWELS)] for i, g in enumerate(GROUPS) for c in g}
+    df = df.withColumn("_g", F.translate(letters, LOWERS, "".join(symbol[c] for c in LOWERS))).withColumn("_n", F.length(letters).cast("double"))
+
+    def seen(names: dict[str, str]) -> Column:
+        out = F.col("_g")
+        for i in sorted(set(symbol.values())):
+            out = F.replace(out, F.lit(i), F.lit(names[i]))
+        return out
+
+    df = df.withColumn("_v", seen({i: "c" if int(i) % 2 else "v" for i in "01234567"})).withColumn("_h", seen({i: "h" if int(i) < 4 else "l" for i in "01234567"}))
     n = F.col("_n")
     for i in range(len(GROUPS)):
-        df = df.withColumn(f"_c{i}", _times("_g", str(i)))
+        df = df.withColumn(f"_c{i}", sum((_times("_g", x) for x in (str(2 * i), str(2 * i + 1)) if x in symbol.values()), F.lit(0.0)))
     chi = sum((F.pow(F.col(f"_c{i}") - n * (len(g) / 26), F.lit(2.0)) / (n * (len(g) / 26)) for i, g in enumerate(GROUPS)), F.lit(0.0))
     df = _with_tail(df, "_p1", _chi_z(chi, F.lit(len(GROUPS) - 1.0)))
     # runs of vowels and consonants
@@ -102,7 +109,7 @@ def evidence(df: DataFrame, letters: str) -> DataFrame:
     df = df.withColumn("_s", both * (both - n) / (n * n * (n - 1)))
     df = _with_tail(df, "_p2", F.when(F.col("_s") > 0, F.abs(F.col("_r") - both / n - 1) / F.sqrt("_s")).otherwise(F.sqrt(n)))
     # lag-1 correlation of common letters: of k ones, those followed by a one are k less the runs of ones
-    df = df.withColumn("_k", F.col("_c0") + F.col("_c1")).withColumn("_o", _times("_h", "01") + F.startswith("_h", F.lit("1")).cast("double"))
+    df = df.withColumn("_k", F.col("_c0") + F.col("_c1")).withColumn("_o", _times("_h", "lh") + F.startswith("_h", F.lit("h")).cast("double"))
     k = F.col("_k")
     df = df.withColumn("_q", k * (k - 1) * (n - k) * (n - k + 1) / (n * n * (n - 1)))
     df = _with_tail(df, "_p3", F.when(F.col("_q") > 0, F.abs(F.col("_o") - k * (n - k + 1) / n) / F.sqrt("_q")).otherwise(F.sqrt(n)))
