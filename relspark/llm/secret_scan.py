@@ -49,7 +49,7 @@ KINDS = ("assign", "access", "hex", "random")
 MARK = "[SECRET]"
 
 FDR = 0.05
-CLASS_LEVEL = 0.001  # share of random tokens that each class test may lose
+CLASS_LEVEL, CLASS_Z = 0.001, 3.0902  # share of random tokens that each class test may lose, and its normal deviate
 LENGTH_STEP, LENGTH_CLASSES = 8, 9  # 8, 16, ... 64 letters and over
 LENGTHS = [LENGTH_STEP * i for i in range(1, LENGTH_CLASSES)]
 # places and lengths of the pieces of a stretch of letters, each length first in one of them
@@ -62,15 +62,11 @@ GROUPS = ("etaoins", "rhldcum", "fpgwyb", "vkjxqz")
 VOWELS = "aeiouy"
 
 
-def _with_tail(df: DataFrame, name: str, z: Column) -> DataFrame:
-    """``df`` with ``name``: P(Z >= z) of the standard normal, by a rational approximation.  What is used
-    several times is a column of its own, so that the plan holds each term once."""
-    df = df.withColumn(f"{name}z", z).withColumn(f"{name}t", 1 / (1 + 0.2316419 * F.abs(F.col(f"{name}z"))))
-    zz, t = F.col(f"{name}z"), F.col(f"{name}t")
-    poly = t * (0.319381530 + t * (-0.356563782 + t * (1.781477937 + t * (-1.821255978 + t * 1.330274429))))
-    df = df.withColumn(f"{name}u", F.greatest(F.exp(-zz * zz / 2) / math.sqrt(2 * math.pi) * poly, F.lit(1e-250)))
-    upper = F.col(f"{name}u")
-    return df.withColumn(name, F.when(zz >= 0, upper).otherwise(1 - upper)).drop(f"{name}z", f"{name}t", f"{name}u")
+def _surprise(z: Column) -> Column:
+    """-ln P(Z >= z) of the standard normal by its logistic approximation.  All evidence is compared with that of
+    ordinary text, so only its order matters."""
+    near = F.greatest(F.least(z, F.lit(15.0)), F.lit(-8.0))
+    return F.log1p(F.exp(near * (1.5976 + 0.070566 * near * near)))
 
 
 def _chi_z(chi: Column, dof: Column) -> Column:
@@ -101,20 +97,20 @@ def evidence(df: DataFrame, letters: str) -> DataFrame:
     for i in range(len(GROUPS)):
         df = df.withColumn(f"_c{i}", sum((_times("_g", x) for x in (str(2 * i), str(2 * i + 1)) if x in symbol.values()), F.lit(0.0)))
     chi = sum((F.pow(F.col(f"_c{i}") - n * (len(g) / 26), F.lit(2.0)) / (n * (len(g) / 26)) for i, g in enumerate(GROUPS)), F.lit(0.0))
-    df = _with_tail(df, "_p1", _chi_z(chi, F.lit(len(GROUPS) - 1.0)))
+    df = df.withColumn("_p1", _chi_z(chi, F.lit(len(GROUPS) - 1.0)))
     # runs of vowels and consonants
     df = df.withColumn("_u", _times("_v", "v")).withColumn("_r", 1 + _times("_v", "vc") + _times("_v", "cv"))
     df = df.withColumn("_b", 2 * F.col("_u") * (n - F.col("_u")))
     both = F.col("_b")
     df = df.withColumn("_s", both * (both - n) / (n * n * (n - 1)))
-    df = _with_tail(df, "_p2", F.when(F.col("_s") > 0, F.abs(F.col("_r") - both / n - 1) / F.sqrt("_s")).otherwise(F.sqrt(n)))
+    df = df.withColumn("_p2", F.when(F.col("_s") > 0, F.abs(F.col("_r") - both / n - 1) / F.sqrt("_s")).otherwise(F.sqrt(n)))
     # lag-1 correlation of common letters: of k ones, those followed by a one are k less the runs of ones
     df = df.withColumn("_k", F.col("_c0") + F.col("_c1")).withColumn("_o", _times("_h", "lh") + F.startswith("_h", F.lit("h")).cast("double"))
     k = F.col("_k")
     df = df.withColumn("_q", k * (k - 1) * (n - k) * (n - k + 1) / (n * n * (n - 1)))
-    df = _with_tail(df, "_p3", F.when(F.col("_q") > 0, F.abs(F.col("_o") - k * (n - k + 1) / n) / F.sqrt("_q")).otherwise(F.sqrt(n)))
-    two_sided = lambda c: F.log(F.least(2 * F.col(c), F.lit(1.0)))
-    df = df.withColumn("_f", -(F.log("_p1") + two_sided("_p2") + two_sided("_p3")))
+    df = df.withColumn("_p3", F.when(F.col("_q") > 0, F.abs(F.col("_o") - k * (n - k + 1) / n) / F.sqrt("_q")).otherwise(F.sqrt(n)))
+    two_sided = lambda c: _surprise(F.col(c)) - math.log(2)  # noqa: E731  (z is not below 0)
+    df = df.withColumn("_f", _surprise(F.col("_p1")) + two_sided("_p2") + two_sided("_p3"))
     log_p = (-F.col("_f") + F.log(1 + F.col("_f") + F.col("_f") * F.col("_f") / 2)) / math.log(10)  # chi-squared, 6 degrees
     step = F.least(F.floor(F.greatest(-log_p, F.lit(0.0)) / EVIDENCE_STEP), F.lit(EVIDENCE_CLASSES - 1))
     length = F.least(F.floor(n / LENGTH_STEP), F.lit(LENGTH_CLASSES - 1))
@@ -139,14 +135,14 @@ def candidates(df: DataFrame, token: str) -> DataFrame:
     for c in "dlus":
         df = df.withColumn(f"_e{c}", n * of[c] / F.col("_a"))
     chi = sum((F.when(F.col(f"_{c}") > 0, F.pow(F.col(f"_{c}") - F.col(f"_e{c}"), F.lit(2.0)) / F.col(f"_e{c}")).otherwise(0.0) for c in "dlus"), F.lit(0.0))
-    df = _with_tail(df, "_p1", F.when(F.col("_k") > 1, _chi_z(chi, F.greatest(F.col("_k") - 1, F.lit(1.0)))).otherwise(0.0))
+    df = df.withColumn("_p1", F.when(F.col("_k") > 1, _chi_z(chi, F.greatest(F.col("_k") - 1, F.lit(1.0)))).otherwise(0.0))
     for power in (2, 3):
         df = df.withColumn(f"_s{power}", sum((F.pow(F.col(f"_{c}"), F.lit(float(power))) for c in "dlus"), F.lit(0.0)))
     s2, s3 = F.col("_s2"), F.col("_s3")
     df = df.withColumn("_w", (s2 * (s2 + n * (n + 1)) - 2 * n * s3 - n * n * n) / (n * n * (n - 1)))
     runs = F.length(F.regexp_replace("_t", r"(.)\1+", "$1")).cast("double")
-    df = _with_tail(df, "_p2", F.when(F.col("_w") > 0, (1 + (n * n - s2) / n - runs) / F.sqrt(F.greatest("_w", F.lit(1e-9)))).otherwise(0.0))
-    passed = (F.col("_p1") >= CLASS_LEVEL) & (F.col("_p2") >= CLASS_LEVEL) & (F.col("_l") + F.col("_u") >= LENGTH_STEP)
+    df = df.withColumn("_p2", F.when(F.col("_w") > 0, (1 + (n * n - s2) / n - runs) / F.sqrt(F.greatest("_w", F.lit(1e-9)))).otherwise(0.0))
+    passed = (F.col("_p1") <= CLASS_Z) & (F.col("_p2") <= CLASS_Z) & (F.col("_l") + F.col("_u") >= LENGTH_STEP)
     letters = F.when(passed, F.lower(F.regexp_replace(token, "[^A-Za-z]+", "")))
     return df.withColumn("letters", letters).drop("_t", "_n", "_k", "_a", "_p1", "_s2", "_s3", "_w", "_p2", *[f"_{c}" for c in "dlus"], *[f"_e{c}" for c in "dlus"])
 
