@@ -14,7 +14,8 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
 
 NAMES = ["hypothesis_input", "hypothesis_statements", "score_hypotheses", "score_two_sentence", "encode_label", "mark_entities", "tag_entities", "accuracy",
-         "hard_vote", "hypothesis_rollup", "read_raw_examples", "stack_predictions", "score_batches"]
+         "hard_vote", "hypothesis_rollup", "read_raw_examples", "stack_predictions", "score_batches",
+         "accuracy_from_scores", "bce_with_logits", "threshold_sweep", "accuracy_interval", "encode_subwords", "token_batches", "tag_paths"]
 
 
 def main() -> None:
