@@ -23,7 +23,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from relspark.llm.common import stored
+from relspark.llm.common import fresh_names, stored
 
 RANGE_BYTES = 1 << 16
 FANOUT = 16
@@ -53,9 +53,19 @@ def page_records(pages: DataFrame, html: Column | None = None, per_archive: int
 
 def with_offsets(records: DataFrame) -> DataFrame:
     """``records`` (``archive``, ``record_id``, ``length``, ``digest``) with ``offset``: in id order, one after the
-    other.  Only digests and lengths are shuffled; an archive has a bounded number of records."""
-    w = Window.partitionBy("archive").orderBy("record_id", "digest").rowsBetween(Window.unboundedPreceding, 0)
-    return records.withColumn("offset", F.sum("length").over(w) - F.col("length"))
+    other.  Only the columns of ``records`` are shuffled (no contents).  They are dealt by ranges of archive, id and digest,
+    and last by row, so an archive or an id that a third of all records have is cut into many ranges; a range is
+    added up by itself, and an archive's ranges by one row each."""
+    number, row, before = fresh_names(records, "range_no", "row_no", "before")
+    order = [F.col("archive").asc_nulls_first(), F.col("record_id").asc_nulls_first(), F.col("digest"), F.col(row)]
+    numbered = records.withColumn(row, F.monotonically_increasing_id())
+    dealt = stored(records.sparkSession, numbered.repartitionByRange(*order).withColumn(number, F.spark_partition_id()), "record-ranges")
+    sums = dealt.groupBy(number, "archive").agg(F.sum("length").alias("held"))
+    so_far = F.sum("held").over(Window.partitionBy("archive").orderBy(number)) - F.col("held")
+    sums = stored(records.sparkSession, sums.select(F.col(number).alias("s_range"), F.col("archive").alias("s_archive"), so_far.alias(before)), "range-sums")
+    placed = dealt.join(sums, (dealt[number] == sums["s_range"]) & dealt["archive"].eqNullSafe(sums["s_archive"]))
+    inside = F.sum("length").over(Window.partitionBy(number, "archive").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0))
+    return placed.select(*records.columns, (F.col(before) + inside - F.col("length")).alias("offset"))
 
 
 def manifest(records: DataFrame) -> DataFrame:

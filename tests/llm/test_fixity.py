@@ -64,3 +64,25 @@ def test_written_archives_round_trip_and_damage_on_disk_is_located(spark, tmp_pa
         os.remove(os.path.join(folder, crc))
     found = fixity.audit(back, fixity.read_warc(spark, copy), range_bytes=256).collect()
     assert [(r.archive, r.record_id, r.offset, r.state) for r in found] == [(1, 99, target.offset, "changed")]
+
+
+def test_one_id_on_a_third_of_the_records_is_cut_into_ranges(spark, monkeypatch):
+    rows = [(i % 40, 7 if i % 3 == 0 else i, 10 + i % 5, bytes([i % 11])) for i in range(900)] + [(None, None, 3, b"x")] * 50
+    rows = [(1 if i % 3 == 0 else a, r, n, d) for i, (a, r, n, d) in enumerate(rows)]
+    df = spark.createDataFrame(rows, "archive long, record_id long, length long, digest binary").repartition(6).selectExpr("*", "1 range_no", "2 before")
+    tables, plain = [], fixity.stored
+    monkeypatch.setattr(fixity, "stored", lambda s, t, name: tables.append(plain(s, t, name)) or tables[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = fixity.with_offsets(df)
+        assert got.columns == [*df.columns, "offset"]
+        got = sorted(((r.archive is not None, r.archive or 0, r.offset, r.record_id or 0, r.length) for r in got.collect()))
+        per = tables[0].where("record_id = 7").groupBy("range_no_").count().collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(per) >= 3 and max(r["count"] for r in per) < 200
+    assert sorted((known, a, r, n) for known, a, _, r, n in got) == sorted((a is not None, a or 0, r or 0, n) for a, r, n, _ in rows)
+    ends = {}
+    for known, a, offset, _, n in got:
+        assert offset == ends.get((known, a), 0)
+        ends[known, a] = offset + n
