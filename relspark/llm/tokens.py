@@ -226,9 +226,11 @@ def _encode_bucket(path: str):
         words, ids = coded.dictionary.to_pylist(), []
         for i in range(0, len(words), 4096):
             ids += [",".join(map(str, x)) for x in vocab.encode_words(words[i : i + 4096])]
-        took = pa.array(ids, pa.string()).take(coded.indices).to_pylist()
+        listed, indices = pa.array(ids, pa.string()), coded.indices
+        del words, ids, coded, data
         at = np.concatenate([[0], np.cumsum([len(x) for x in sizes])]).tolist()
-        packed = [" ".join(took[a:b]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        # one block's words as strings at a time
+        packed = [" ".join(listed.take(indices[a:b]).to_pylist()) for a, b in zip(at[:-1], at[1:], strict=True)]
         return pa.table({"block": table.column("block"), "numbers": table.column("numbers"), "vocab": pa.array([0] * len(packed), pa.int32()), "ids": pa.array(packed, pa.string())})
 
     return run
