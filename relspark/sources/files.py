@@ -259,8 +259,10 @@ def write_predictions(
     fmt: str = "csv",
     mode: str = "errorifexists",
     partition_col: str | None = None,
+    max_rows: int = 0,
 ) -> None:
-    """Write ``(example_id, pred)`` (with the key, unlike a bare positional column).
+    """Write ``(example_id, pred)`` (with the key, unlike a bare positional column), in files of at most
+    ``max_rows`` rows (0: any number).
 
     The default mode refuses an existing folder, so two runs sharing a name cannot overwrite
     each other silently.  ``partition_col`` (e.g. a :func:`run_name` column) writes one
@@ -269,7 +271,7 @@ def write_predictions(
     cols = [F.col("example_id").cast("long"), F.col("pred").cast("int")]
     if partition_col:
         cols.append(F.col(partition_col))
-    writer = predictions.select(*cols).write.mode(mode)
+    writer = predictions.select(*cols).write.mode(mode).option("maxRecordsPerFile", max_rows)
     if partition_col:
         writer = writer.partitionBy(partition_col)
     if fmt == "csv":

@@ -31,7 +31,8 @@ def evaluation_stream(spark: SparkSession, predictions: str, answers: str, max_f
     null, zero, one = F.lit(None).cast("int"), F.lit(0), F.lit(1)
     rows = side(predictions, "pred").select("example_id", "pred", one.alias("p"), null.alias("answer"), zero.alias("a")).unionByName(
         side(answers, "answer").select("example_id", null.alias("pred"), zero.alias("p"), "answer", one.alias("a")))
-    return rows.groupBy("example_id").agg(
+    # dealt out before they are grouped: an example has few rows, and a table of all those of a file would fill a task
+    return rows.repartition("example_id").groupBy("example_id").agg(
         F.sum("p").alias("predictions"), F.sum("a").alias("answers"), F.max("pred").alias("pred"), F.max("answer").alias("answer"))
 
 

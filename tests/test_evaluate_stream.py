@@ -91,3 +91,14 @@ def test_null_values_are_wrong_but_there(spark, tmp_dir):
     f.put("answer", [(1, 0), (2, 1)])
     assert f.run() == {(0, None): 1, (1, 1): 1}
     assert es.running_accuracy(spark, f"{tmp_dir}/out").first().accuracy == 0.5
+
+
+def test_rows_are_dealt_out_before_they_are_grouped(spark, tmp_dir):
+    f = Folders(spark, tmp_dir)
+    f.put("pred", [(i, 1) for i in range(50)])
+    f.put("answer", [(i, i % 2) for i in range(50)])
+    q = es.run_evaluation(spark, f"{tmp_dir}/pred", f"{tmp_dir}/answer", f"{tmp_dir}/out", f"{tmp_dir}/ckpt", 1)
+    q.awaitTermination()
+    plan = q._jsq.explainInternal(False)
+    # one exchange, of the rows as they are read: no table of all examples of a file before it
+    assert plan.count("Exchange hashpartitioning") == 1 and "HashAggregate" not in plan[plan.index("Exchange hashpartitioning"):]
