@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from relspark.llm.common import batch_rows, bucketed, release, text_bytes, word_hashes
 
-BLOCK_BYTES = 8 << 20  # text bytes of a block
+BLOCK_BYTES = 4 << 20  # text bytes of a block
 # fixed values: the byte-level pre-tokenizer's word pattern, with Unicode white space
 WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # characters on which both regular-expression engines agree (tested one by one)
