@@ -3,11 +3,11 @@
 A text's words (the tokenizer's own pre-tokens, which partition the text) are split by a SQL
 regular expression.  Blocks of documents of bounded size become a dictionary of distinct words
 and, per document, word positions as numbers into it.  The dictionaries meet in a table that is
-dealt by word: every distinct word of the corpus is encoded once, by the vocabulary's merges,
-and its ids decoded once through a join with the id-to-piece table.  Ids and pieces then go
-back to their block and are put in place by position.  So what is shuffled is dictionaries and
+dealt by word: every distinct word of the corpus is encoded once, by the vocabulary's merges.
+Its ids go back to their blocks, are decoded there by the id-to-piece table, once for each
+distinct word of a block, and are put in place by position.  So what is shuffled is dictionaries and
 word numbers, never one row for each word or token, and the costly merge loop runs once for
-each distinct word.
+each distinct word.  Only ids go back: the piece table meets the blocks in a join, one row a block.
 
 The split is exact where the expression's and the tokenizer's character classes agree; a text
 with a character outside those ranges, or with a special token's string, is split by the
@@ -184,7 +184,7 @@ def _blocks(path: str, buckets: int, key_type: pa.DataType):
         while i < len(count):  # about chunk_words words to a row
             begin = ends[i] - count[i]
             j = max(i + 1, int(np.searchsorted(ends, begin + chunk_words)))
-            yield row(kind="docs", block=block, keys=all_keys[i:j], counts=pa.array(count[i:j], pa.int32()), numbers=_pack(rank[number[begin : ends[j - 1]]]))
+            yield row(kind="docs", block=block, bucket=None if i else 0, keys=all_keys[i:j], counts=pa.array(count[i:j], pa.int32()), numbers=_pack(rank[number[begin : ends[j - 1]]]))
             i = j
 
     def run(batches):
@@ -230,41 +230,33 @@ def _encode_bucket(path: str):
         del words, ids, coded, data
         at = np.concatenate([[0], np.cumsum([len(x) for x in sizes])]).tolist()
         # one block's words as strings at a time
-        packed = [" ".join(listed.take(indices[a:b]).to_pylist()) for a, b in zip(at[:-1], at[1:], strict=True)]
-        return pa.table({"block": table.column("block"), "numbers": table.column("numbers"), "vocab": pa.array([0] * len(packed), pa.int32()), "ids": pa.array(packed, pa.string())})
+        packed = [_press(" ".join(listed.take(indices[a:b]).to_pylist()).encode()) for a, b in zip(at[:-1], at[1:], strict=True)]
+        return pa.table({"block": table.column("block"), "numbers": table.column("numbers"), "ids": pa.array(packed, pa.binary())})
 
     return run
 
 
-def _pressed(batches):
-    """Word strings compressed for the way back to their block."""
-    for b in batches:
-        yield pa.RecordBatch.from_arrays(
-            [b.column("block"), b.column("numbers"), *(pa.array([_press(x.encode()) for x in b.column(c).to_pylist()], pa.binary()) for c in ("ids", "pieces"))],
-            ["block", "numbers", "ids", "pieces"])
-
-
 def _assemble(key_type: pa.DataType, digests: bool):
-    """Cogrouped function over one block: ids and pieces put back by position."""
+    """Cogrouped function over one block: ids and their pieces put back by position."""
     letter_byte = np.zeros(512, np.uint8)
     for b, c in enumerate(byte_letters()):
         letter_byte[ord(c)] = b
 
-    def words_of(packed: str) -> list[bytes]:
-        """The words of space-joined byte letters, as bytes."""
-        points = np.frombuffer(packed.encode("utf-32-le"), np.uint32)
-        gap = points == 32
-        data = letter_byte[points[~gap]].tobytes()
-        cut = np.flatnonzero(gap) - np.arange(gap.sum())
-        ends = np.concatenate([cut, [len(data)]]).tolist()
-        return [data[a:b] for a, b in zip([0] + ends[:-1], ends, strict=True)]
+    def piece_bytes(letters: list) -> dict[str, bytes]:
+        """The bytes of every id's piece, by the id in decimal; an id without a piece has none."""
+        letters = [x or "" for x in letters]
+        data = letter_byte[np.frombuffer("".join(letters).encode("utf-32-le"), np.uint32)].tobytes()
+        ends = np.cumsum([len(x) for x in letters]).tolist()
+        return {str(i): data[a:b] for i, (a, b) in enumerate(zip([0] + ends[:-1], ends, strict=True))}
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         release()
         rank = np.concatenate([np.cumsum(_unpack(x)) for x in found.column("numbers").to_pylist()] or [np.zeros(0, np.int64)])
         ids, pieces = np.empty(len(rank), object), np.empty(len(rank), object)
         ids[rank] = [w for x in found.column("ids").to_pylist() for w in _expand(x).decode().split(" ")]
-        pieces[rank] = [w for x in found.column("pieces").to_pylist() for w in words_of(_expand(x).decode())]
+        piece = piece_bytes(next(x.as_py() for x in docs.column("pieces") if x.is_valid))
+        pieces[rank] = [piece[w] if "," not in w else b"".join([piece[i] for i in w.split(",")]) for w in ids[rank]]
+        del piece
         n_ids = np.fromiter((x.count(",") + 1 for x in ids), np.int64, len(ids))
         flat_ids = np.array(",".join(ids).split(","), dtype=np.int32) if not digests and len(ids) else np.zeros(0, np.int32)
         id_at = np.concatenate([[0], np.cumsum(n_ids)])[:-1]
@@ -295,13 +287,11 @@ def _assemble(key_type: pa.DataType, digests: bool):
     return run
 
 
-def with_pieces(rows: DataFrame, path: str) -> DataFrame:
-    """``rows`` (``vocab`` 0, ``ids``: words' comma-joined ids, joined by spaces) with ``pieces``:
-    the same words as byte letters, through a join with the id-to-piece table."""
-    table = piece_table(rows.sparkSession, path).select("vocab", "pieces")
-    word = lambda w: F.array_join(F.transform(F.split(w, ","), lambda i: F.get("pieces", i.cast("int"))), "")
-    joined = rows.join(F.broadcast(table), "vocab")  # a vocabulary file: fixed size
-    return joined.select("block", "numbers", "ids", F.array_join(F.transform(F.split("ids", " "), word), " ").alias("pieces"))
+def with_pieces(rows: DataFrame, path: str, at: str) -> DataFrame:
+    """``rows`` with ``pieces``, the piece of every id as byte letters, where the column ``at`` is 0,
+    else null."""
+    table = piece_table(rows.sparkSession, path).select(F.col("vocab").alias(at), "pieces")
+    return rows.join(F.broadcast(table), at, "left")  # a vocabulary file: fixed size
 
 
 def encode(docs: DataFrame, path: str, key: str = "doc_id", digests: bool = False) -> DataFrame:
@@ -318,11 +308,12 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", digests: bool = Fals
     # bucketed by block: the documents are not shuffled again when their ids come back
     kept = bucketed(spark, blocks, "word_blocks", "block", max(8, total // (2 * BLOCK_BYTES)))
     words = kept.where("kind = 'words'").select("block", "bucket", "numbers", "sizes", "words")
-    coded = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block long, numbers binary, vocab int, ids string")
-    back = with_pieces(coded, path).mapInArrow(_pressed, "block long, numbers binary, ids binary, pieces binary")
-    numbered = kept.where("kind = 'docs'").select("block", "keys", "counts", "numbers")
+    coded = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block long, numbers binary, ids binary")
+    # the first row of each block (its bucket is 0) brings the pieces
+    numbered = with_pieces(kept.where("kind = 'docs'").select("block", "bucket", "keys", "counts", "numbers"), path, "bucket")
+    numbered = numbered.select("block", "keys", "counts", "numbers", "pieces")
     names = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
-    out = numbered.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(_assemble(key_type, digests), f"key {key_sql}, {names}")
+    out = numbered.groupBy("block").cogroup(coded.groupBy("block")).applyInArrow(_assemble(key_type, digests), f"key {key_sql}, {names}")
     return out.withColumnRenamed("key", key)
 
 

@@ -61,3 +61,14 @@ def test_plain_characters_split_as_the_tokenizer_does(spark):
 
 def test_empty_table(spark):
     assert tokens.encode(empty(spark), registry.vocabulary_path()).count() == 0
+
+
+def test_only_ids_go_back_to_their_blocks(spark, monkeypatch):
+    """One Python step a task, the pieces joined to one row of each block, documents not shuffled again."""
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 200)
+    rows = [(i, f"word{i} word{i % 7} été {'x' * (i % 50)}") for i in range(60)]
+    out = tokens.encode(documents(spark, rows, clash=False), registry.vocabulary_path())
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" not in plan and plan.count("BroadcastHashJoin") == 1 and plan.count("Exchange hashpartitioning") == 2
+    assert "pieces" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(block" in x)
+    assert sorted((r.doc_id, r.decoded) for r in out.collect()) == rows
