@@ -6,6 +6,9 @@ unseen key once, appends the rows under a run name of its own, and then writes t
 ``_runs``: rows of a run that is not listed there (a driver that was lost) are not read.  Any
 session opens the store again by its path; the bucket numbers are in the file names.
 
+Rows are dealt to tasks by key, so many that each task gets about ``TASK_BYTES`` of features: a worker then
+holds no more at once, whatever the corpus' size or the session's batch size.
+
 Nulls are values of their own.  Equal inputs share a key and are scored once.  Repeated input rows all
 get their scores.
 """
@@ -24,6 +27,7 @@ from .jobs import score_batches
 
 _STORED = "key string, model_id string, scores array<double>, run string"
 _RUN = "run string, buckets int, n_scored long"
+TASK_BYTES = 4 << 20  # bytes of features to a task that scores
 
 
 def content_key(model_id: str, features: Sequence[str]) -> Column:
@@ -35,6 +39,11 @@ def content_key(model_id: str, features: Sequence[str]) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
+def _bytes(df: DataFrame, features: Sequence[str]) -> int:
+    """Bytes of the features as text, all rows together."""
+    return df.agg(F.sum(sum((F.coalesce(F.octet_length(F.col(f).cast("string")), F.lit(0)).cast("long") for f in features), F.lit(0).cast("long")))).first()[0] or 0
+
+
 class ScoreStore:
     def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
         self.spark, self.path = spark, path.rstrip("/")
@@ -91,7 +100,8 @@ class ScoreStore:
         keyed = df.select(*dict.fromkeys([*ids, *features]), content_key(model_id, features).alias("__key"))
         known = self.rows().select(F.col("key").alias("__key"))
         unseen = keyed.select("__key").distinct().join(known, "__key", "left_anti")
-        wanted = keyed.join(unseen, "__key", "left_semi").dropDuplicates(["__key"])
+        n = _bytes(keyed, features) // TASK_BYTES + 1
+        wanted = keyed.join(unseen, "__key", "left_semi").dropDuplicates(["__key"]).repartition(n, "__key")
         run = f"{len(self.runs()) + 1:06d}-{uuid.uuid4().hex}"
         new = score_batches(wanted, score_fn, features, load_fn, model_id, batch_size, key_cols=("__key",))
         new = new.select(F.col("__key").alias("key"), "model_id", "scores", F.lit(run).alias("run"))

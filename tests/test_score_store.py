@@ -92,3 +92,20 @@ def test_repeated_rows_share_one_score_and_nulls_differ_from_text(spark, place):
 def test_empty_table(spark, place):
     store = score_store.ScoreStore(spark, place, buckets=2)
     assert run(store, spark.createDataFrame([], SCHEMA)) == ([], 0)
+
+
+def test_a_scoring_task_gets_a_bounded_share_of_the_features(spark, place, monkeypatch):
+    monkeypatch.setattr(score_store, "TASK_BYTES", 1000)
+    dealt, plain = [], score_store.score_batches
+
+    def seen(df, *args, **kw):
+        size = F.coalesce(F.length("text"), F.lit(0)) + F.length("text_pair")
+        dealt.extend(r.b for r in df.groupBy(F.spark_partition_id()).agg(F.sum(size).alias("b")).collect())
+        return plain(df, *args, **kw)
+
+    monkeypatch.setattr(score_store, "score_batches", seen)
+    many = [(i, None if i % 9 == 0 else f"{i:050d}", "é" * (i % 40)) for i in range(400)]
+    df = spark.createDataFrame(many + many[:50], SCHEMA).coalesce(1)
+    got, n = run(score_store.ScoreStore(spark, place, buckets=2), df)
+    assert got == expected(df) and n == len({r[1:] for r in many})
+    assert len(dealt) > 20 and max(dealt) < 4000
