@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from relspark.llm.common import batch_rows, bucketed, release, text_bytes, word_hashes
+from relspark.llm.common import batch_bytes, batch_rows, bucketed, release, text_bytes, word_hashes
 
 BLOCK_BYTES = 4 << 20  # text bytes of a block
 # fixed values: the byte-level pre-tokenizer's word pattern, with Unicode white space
@@ -86,6 +86,7 @@ def vocabulary(path: str) -> Vocabulary:
     """The vocabulary of a file, read once for each worker process and path."""
     if path not in _LOADED:
         _LOADED[path] = Vocabulary(path)
+        release()  # the parsed file
     return _LOADED[path]
 
 
@@ -190,7 +191,6 @@ def _blocks(path: str, buckets: int, key_type: pa.DataType):
     def run(batches):
         from pyspark import TaskContext
 
-        vocab = vocabulary(path)
         base, seq = TaskContext.get().partitionId() << 32, 0
         keys, counts, flats, held = [], [], [], 0
         for batch in batches:
@@ -198,6 +198,7 @@ def _blocks(path: str, buckets: int, key_type: pa.DataType):
                 lists = part.column("words")
                 if lists.null_count:
                     texts = part.column("text").to_pylist()
+                    vocab = vocabulary(path)
                     lists = pa.array([vocab.split(t) if t is not None else w for t, w in zip(texts, lists.to_pylist(), strict=True)], pa.list_(pa.string()))
                 keys.append(part.column("key"))
                 counts.append(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
@@ -250,6 +251,7 @@ def _assemble(key_type: pa.DataType, digests: bool):
         return {str(i): data[a:b] for i, (a, b) in enumerate(zip([0] + ends[:-1], ends, strict=True))}
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        _LOADED.clear()  # an earlier stage's, of no use here
         release()
         rank = np.concatenate([np.cumsum(_unpack(x)) for x in found.column("numbers").to_pylist()] or [np.zeros(0, np.int64)])
         ids, pieces = np.empty(len(rank), object), np.empty(len(rank), object)
@@ -306,7 +308,8 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", digests: bool = Fals
     schema = f"kind string, block long, bucket int, numbers binary, sizes binary, words binary, keys array<{key_sql}>, counts array<int>"
     blocks = split_words(docs, path, key).mapInArrow(_blocks(path, buckets, key_type), schema)
     # bucketed by block: the documents are not shuffled again when their ids come back
-    kept = bucketed(spark, blocks, "word_blocks", "block", max(8, total // (2 * BLOCK_BYTES)))
+    with batch_bytes(spark, BLOCK_BYTES):
+        kept = bucketed(spark, blocks, "word_blocks", "block", max(8, total // (2 * BLOCK_BYTES)))
     words = kept.where("kind = 'words'").select("block", "bucket", "numbers", "sizes", "words")
     coded = words.groupBy("bucket").applyInArrow(_encode_bucket(path), "block long, numbers binary, ids binary")
     # the first row of each block (its bucket is 0) brings the pieces

@@ -72,3 +72,24 @@ def test_only_ids_go_back_to_their_blocks(spark, monkeypatch):
     assert "MapInArrow" not in plan and plan.count("BroadcastHashJoin") == 1 and plan.count("Exchange hashpartitioning") == 2
     assert "pieces" not in "".join(x for x in plan.splitlines() if "Exchange hashpartitioning(block" in x)
     assert sorted((r.doc_id, r.decoded) for r in out.collect()) == rows
+
+
+def test_python_gets_a_bounded_batch_of_texts(spark, monkeypatch, tmp_dir):
+    monkeypatch.setattr(tokens, "BLOCK_BYTES", 20_000)
+    plain = tokens.batch_rows
+
+    def seen(batch, *args):
+        with open(f"{tmp_dir}/sizes", "a") as f:
+            f.write(f"{batch.nbytes}\n")
+        return plain(batch, *args)
+
+    monkeypatch.setattr(tokens, "batch_rows", seen)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    rows = [(i, f"{i} word " * 50) for i in range(400)]
+    out = tokens.encode(documents(spark, rows, clash=False).coalesce(1), registry.vocabulary_path())
+    assert spark.conf.get(name) == before
+    with open(f"{tmp_dir}/sizes") as f:
+        sizes = [int(x) for x in f]
+    assert len(sizes) > 4 and max(sizes) < 60_000
+    assert sorted((r.doc_id, r.decoded) for r in out.collect()) == rows
