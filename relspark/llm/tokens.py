@@ -33,7 +33,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from relspark.llm.common import batch_bytes, batch_rows, bucketed, release, text_bytes, word_hashes
 
-BLOCK_BYTES = 4 << 20  # text bytes of a block
+BLOCK_BYTES = 4 << 20  # text bytes of an Arrow batch; a block holds about twice that
 # fixed values: the byte-level pre-tokenizer's word pattern, with Unicode white space
 WORD = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # characters on which both regular-expression engines agree (tested one by one)
@@ -204,7 +204,7 @@ def _blocks(path: str, buckets: int, key_type: pa.DataType):
                 counts.append(pa.compute.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64))
                 flats.append(lists.flatten())
                 held += pa.compute.sum(part.column("size")).as_py() or 0
-                if held >= BLOCK_BYTES:
+                if held >= 7 * BLOCK_BYTES // 4:  # a block is two such parts or several small batches
                     yield from flush(base + seq, keys, counts, flats)
                     keys, counts, flats, held, seq = [], [], [], 0, seq + 1
                     release()
