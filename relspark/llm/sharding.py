@@ -29,6 +29,13 @@ from relspark.llm.common import forget, stored
 
 PATIENCE = 3  # rounds without fewer cut links, after which the search ends
 GROUP_ROWS = 50_000  # rows meant to meet in one matching or numbering group
+TASK_ROWS = 10_000  # rows meant for a task that writes a round's table
+
+
+def _tasks(total: int) -> int:
+    """Tasks for a table of ``total`` narrow rows: the many rounds pay for each task, however many
+    partitions a shuffle has."""
+    return total // TASK_ROWS + 1
 
 
 def start_state(vertices: DataFrame, shards: int, total: int) -> DataFrame:
@@ -47,48 +54,62 @@ def members_by_shard(state: DataFrame) -> DataFrame:
     return state.where("link is not null").groupBy("link", "label").agg(F.count(F.lit(1)).alias("n"))
 
 
-def one_round(state: DataFrame, by_shard: DataFrame, shards: int, total: int, turn: int) -> DataFrame:
+def ranked_links(state: DataFrame, shards: int, total: int, turn: int) -> DataFrame:
+    """``link``, its shards as ``all``, the fullest first, those of them that are its ``homes`` and the
+    number of its rows that are ``apart`` from them; one entry for each shard at most."""
+    by_shard = members_by_shard(state).coalesce(_tasks(total))
+    entry = F.struct("n", F.xxhash64("link", "label", F.lit(turn)).alias("draw"), "label")
+    ranked = by_shard.groupBy("link").agg(F.sum("n").alias("members"), F.reverse(F.array_sort(F.collect_list(entry))).alias("all"))
+    ranked = ranked.withColumn("homes", F.slice("all", F.lit(1), F.ceil(F.col("members") / max(1, total // shards)).cast("int")))
+    apart = F.col("members") - F.aggregate("homes", F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    return ranked.select("link", "all", "homes", apart.alias("apart")).coalesce(_tasks(total))
+
+
+def one_round(state: DataFrame, ranked: DataFrame, shards: int, total: int, turn: int) -> DataFrame:
     """One round of requests and exchanges; the number of rows of every label stays."""
     spark = state.sparkSession
     salts = max(1, total // (shards * GROUP_ROWS))
-    quota = max(1, total // shards)
     salt = F.pmod(F.xxhash64("row_id", F.lit(turn)), F.lit(salts)).alias("salt")
     asks = F.pmod(F.xxhash64("row_id", F.lit(turn), F.lit(5)), F.lit(2)) == 0
-    # at most one entry for each shard, the fullest first
-    entry = F.struct("n", F.xxhash64("link", "label", F.lit(turn)).alias("draw"), "label")
-    ranked = by_shard.groupBy("link").agg(F.sum("n").alias("members"), F.reverse(F.array_sort(F.collect_list(entry))).alias("all"))
-    ranked = ranked.select("link", "all", F.slice("all", F.lit(1), F.ceil(F.col("members") / quota).cast("int")).alias("homes"))
-    # stored, so that the join is between two exchanges and a hot link's rows can be split
-    ranked = stored(spark, ranked, "shard-homes")
+    # ranked is stored, so that the join is between two exchanges and a hot link's rows can be split
     linked = state.where("link is not null").join(ranked, "link")
     home = F.get("homes", F.pmod(F.xxhash64("row_id", F.lit(7)), F.size("homes")).cast("int"))
     placed = stored(spark, linked.select(
         "row_id", "label", salt, asks.alias("asks"), F.exists("homes", lambda x: x["label"] == F.col("label")).alias("settled"),
         F.filter("all", lambda x: x["label"] == F.col("label"))[0]["n"].alias("own"), home["label"].alias("dst"), home["n"].alias("there"),
-    ), "shard-asks")
+    ).coalesce(_tasks(total)), "shard-asks")
     asking = placed.where("not settled").select("row_id", "salt", "asks", "own", F.col("label").alias("src"), "dst", (F.col("there") - F.col("own")).alias("gain"))
-    first = Window.partitionBy("salt", "src", "dst").orderBy(F.desc("gain"), "row_id")
-    asking = asking.withColumn("k", F.row_number().over(first))
-    opposite = asking.groupBy("salt", F.col("dst").alias("src"), F.col("src").alias("dst")).agg(F.count(F.lit(1)).alias("n"))
-    asking = asking.join(opposite, ["salt", "src", "dst"], "left").withColumn("swapped", F.col("k") <= F.coalesce("n", F.lit(0)))
-    asking = stored(spark, asking.drop("n", "k"), "shard-asks")
+    # both directions between two shards meet in one group
+    asking = asking.withColumns({"low": F.least("src", "dst"), "high": F.greatest("src", "dst"), "down": (F.col("src") > F.col("dst")).cast("long")})
+    between = Window.partitionBy("salt", "low", "high")
+    asking = asking.withColumns({"both": F.count(F.lit(1)).over(between), "downs": F.sum("down").over(between)})
+    first = Window.partitionBy("salt", "low", "high", "src").orderBy(F.desc("gain"), "row_id")
+    opposite = F.when(F.col("down") == 1, F.col("both") - F.col("downs")).otherwise(F.col("downs"))
+    asking = asking.withColumn("k", F.row_number().over(first)).withColumn("swapped", F.col("k") <= opposite)
+    asking = stored(spark, asking.select("row_id", "salt", "asks", "own", "src", "dst", "gain", "swapped").coalesce(_tasks(total)), "shard-asks")
     swaps = asking.where("swapped").select("row_id", F.col("dst").alias("to"))
-    rest = asking.where("not swapped and asks").select("row_id", "salt", "src", "dst", "gain")
-    rest = rest.withColumn("k", F.row_number().over(Window.partitionBy("salt", "dst").orderBy(F.desc("gain"), "row_id")))
     # what leaves for an asker: unlinked rows cost nothing, rows away from home little
-    free = state.where("link is null").select("row_id", salt, F.col("label").alias("dst"), F.lit(0).alias("away"), F.lit(0).cast("long").alias("loss"))
-    away = asking.where("not swapped and not asks").select("row_id", "salt", F.col("src").alias("dst"), F.lit(1).alias("away"), F.col("own").alias("loss"))
-    weaker = placed.where("settled and not asks").select("row_id", "salt", F.col("label").alias("dst"), F.lit(2).alias("away"), F.col("own").alias("loss"))
-    spare = free.unionByName(away).unionByName(weaker).withColumnRenamed("row_id", "other")
-    spare = spare.withColumn("k", F.row_number().over(Window.partitionBy("salt", "dst").orderBy("away", "loss", "other")))
+    none = F.lit(None)
+    rest = asking.where("not swapped and asks").select("row_id", "salt", "dst", F.lit(-1).alias("away"), "src", "gain", none.cast("long").alias("loss"))
+    spare = [
+        state.where("link is null").select("row_id", salt, F.col("label").alias("dst"), F.lit(0).alias("away"), F.lit(0).cast("long").alias("loss")),
+        asking.where("not swapped and not asks").select("row_id", "salt", F.col("src").alias("dst"), F.lit(1).alias("away"), F.col("own").alias("loss")),
+        placed.where("settled and not asks").select("row_id", "salt", F.col("label").alias("dst"), F.lit(2).alias("away"), F.col("own").alias("loss")),
+    ]
+    meet = rest
+    for part in spare:
+        meet = meet.unionByName(part.withColumns({"src": none.cast("int"), "gain": none.cast("long")}))
+    # one exchange: the k-th asker for a shard meets the k-th row that may leave it
+    meet = meet.repartition("salt", "dst").withColumn("asker", F.col("away") < 0)
+    turns = Window.partitionBy("salt", "dst", "asker").orderBy("away", F.desc("gain"), "loss", "row_id")
+    meet = meet.withColumn("k", F.row_number().over(turns))
+    pair = Window.partitionBy("salt", "dst", "k")
+    meet = meet.withColumns({c: F.max(c).over(pair) for c in ("src", "gain", "loss")})
     # the sum of squared counts grows by 2 * (gain + 2 - loss) at least
-    pairs = rest.join(spare, ["salt", "dst", "k"]).where("loss < gain + 2")
-    moves = pairs.select(F.explode(F.array(
-        F.struct(F.col("row_id"), F.col("dst").alias("to")), F.struct(F.col("other").alias("row_id"), F.col("src").alias("to"))
-    )).alias("m")).select("m.*")
-    moved = state.join(swaps.unionByName(moves), "row_id", "left").select("row_id", "order", "link", F.coalesce("to", "label").alias("label"))
-    after = stored(spark, moved, "shard-state")
-    forget(ranked, placed, asking)
+    moves = meet.where("loss < gain + 2").select("row_id", F.when(F.col("asker"), F.col("dst")).otherwise(F.col("src")).alias("to"))
+    moved = state.join(swaps.unionByName(moves.coalesce(_tasks(total))), "row_id", "left").select("row_id", "order", "link", F.coalesce("to", "label").alias("label"))
+    after = stored(spark, moved.coalesce(_tasks(total)), "shard-state")
+    forget(placed, asking)
     return after
 
 
@@ -98,15 +119,15 @@ def propagate(vertices: DataFrame, shards: int, rounds: int | None = None) -> Da
     spark = vertices.sparkSession
     total = vertices.count()
     links = vertices.where("link is not null").groupBy("link").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("link")
-    links = stored(spark, links.withColumn("shared", F.lit(True)), "shard-links")
+    links = stored(spark, links.withColumn("shared", F.lit(True)).coalesce(_tasks(total)), "shard-links")
     linked = vertices.join(links, "link", "left")
     lone = linked.select("row_id", "order", F.when(F.col("shared"), F.col("link")).alias("link"))
-    state = stored(spark, start_state(lone, shards, total), "shard-state")
+    state = stored(spark, start_state(lone, shards, total).coalesce(_tasks(total)), "shard-state")
     forget(links)
     best, fewest, idle, turn = None, None, 0, 0
     while True:
-        by_shard = stored(spark, members_by_shard(state), "shard-counts")
-        apart = _apart(by_shard, max(1, total // shards))
+        ranked = stored(spark, ranked_links(state, shards, total, turn), "shard-homes")
+        apart = _apart(ranked)
         idle = 0 if fewest is None or apart < fewest else idle + 1
         if fewest is None or apart < fewest:
             if best is not None:
@@ -114,19 +135,16 @@ def propagate(vertices: DataFrame, shards: int, rounds: int | None = None) -> Da
             best, fewest = state, apart
         if not apart or idle >= PATIENCE or turn == rounds:
             break
-        after = one_round(state, by_shard, shards, total, turn)
-        forget(by_shard, *([] if state is best else [state]))
+        after = one_round(state, ranked, shards, total, turn)
+        forget(ranked, *([] if state is best else [state]))
         state, turn = after, turn + 1
-    forget(by_shard, *([] if state is best else [state]))
+    forget(ranked, *([] if state is best else [state]))
     return best
 
 
-def _apart(by_shard: DataFrame, quota: int) -> int:
+def _apart(ranked: DataFrame) -> int:
     """Linked rows outside the fullest shards that their link needs at least."""
-    most = F.slice(F.sort_array(F.collect_list("n"), asc=False), F.lit(1), F.ceil(F.sum("n") / quota).cast("int"))
-    per = by_shard.groupBy("link").agg(F.sum("n").alias("all"), most.alias("most"))
-    away = F.col("all") - F.aggregate("most", F.lit(0).cast("long"), lambda a, x: a + x)
-    return per.agg(F.coalesce(F.sum(away), F.lit(0))).first()[0]
+    return ranked.agg(F.coalesce(F.sum("apart"), F.lit(0))).first()[0]
 
 
 def number_slots(placed: DataFrame, total: int) -> DataFrame:

@@ -100,3 +100,29 @@ def test_one_id_on_a_third_of_the_rows_is_no_group(spark):
         sharding.GROUP_ROWS = sharding_rows
     per = collections.Counter(r.shard for r in got if r.doc_id == 7)
     assert len(got) == 4500 and max(per.values()) < 1.3 * min(per.values())
+
+
+def test_rounds_cost_tasks_by_rows_not_by_shuffle_partitions(spark, monkeypatch):
+    """Tables of a round are written by as many tasks as their rows need, and their tables stay few."""
+    real, files = sharding.stored, []
+
+    def noted(session, df, name):
+        out = real(session, df, name)
+        files.append((name, len(out.inputFiles())))
+        return out
+
+    one = documents(spark, rows_with_groups(), clash=False).select(
+        F.monotonically_increasing_id().alias("row_id"), F.xxhash64("doc_id").alias("order"), F.col("text").alias("link"))
+    one = real(spark, one, "vertices")
+    keys = {"spark.sql.shuffle.partitions": "61", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in keys}
+    monkeypatch.setattr(sharding, "stored", noted)
+    try:
+        for k, v in keys.items():
+            spark.conf.set(k, v)
+        sharding.propagate(one, 40, rounds=2)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert max(n for _, n in files) <= sharding._tasks(one.count())
+    assert len(files) <= 2 + 3 * 4  # two to begin with, four a round
