@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from relspark.llm.common import IS_WORD, batch_rows, forget, release, stored, text_bytes, word_hashes
+from relspark.llm.common import IS_WORD, batch_bytes, batch_rows, forget, release, stored, text_bytes, word_hashes
 
 PASSAGE = 64  # words
 MAX_TRAIN = 4_000  # labelled documents
@@ -34,7 +34,8 @@ THRESHOLD = 0.3
 HASHED = 16  # slots for hashed word shapes
 HIDDEN, ATTENTION = 16, 8
 STEPS, RATE, DECAY = 150, 0.05, 1e-4
-BATCH_BYTES = 4 << 20
+ARROW_BYTES = 4 << 20  # of an Arrow batch of training texts
+BATCH_BYTES = 1 << 20  # of text that is laid out in numpy arrays at once; these take about 40 times as much
 
 _B = np.arange(256)
 # byte classes whose shares in a passage are features
@@ -168,6 +169,7 @@ def score_passages(w: dict, x: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 def _encode(batches):
+    release()  # what an earlier query left in this worker
     for batch in batches:
         for part in batch_rows(batch, BATCH_BYTES):
             x, first = passages(part.column("text"))
@@ -201,7 +203,8 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", label: str = "q
     kind = docs.schema[key].dataType.simpleString()
     hashed = F.md5(F.coalesce(F.col("text"), F.lit(""))).alias("hash")
     train = docs.select(F.col(key).alias("key"), "text").join(F.broadcast(told), "key").select("key", "label", hashed, "text")
-    bags = stored(spark, train.mapInArrow(_encode, f"key {kind}, label int, hash string, n long, x array<float>"), "training-bags")
+    with batch_bytes(spark, ARROW_BYTES):
+        bags = stored(spark, train.mapInArrow(_encode, f"key {kind}, label int, hash string, n long, x array<float>"), "training-bags")
     one = bags.groupBy("key", "label").agg(F.min(F.struct("hash", "n")).alias("f"))
     rows = one.select("key", "label", "f.hash", "f.n").orderBy(F.xxhash64("key"), "key", "label").collect()  # max_train rows
     chosen, left = [], max_passages
@@ -241,6 +244,7 @@ def keep_good(docs: DataFrame, weights: dict) -> DataFrame:
     """The rows of ``docs`` whose text is not rejected, columns as they came."""
 
     def run(batches):
+        release()  # what an earlier stage left in this worker
         for batch in batches:
             for part in batch_rows(batch, BATCH_BYTES):
                 x, first = passages(part.column("text"))

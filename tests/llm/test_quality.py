@@ -116,3 +116,26 @@ def test_fit_is_bounded_and_does_not_depend_on_order_or_repeats(spark):
     c = quality.fit(docs, labels, max_passages=100)
     assert "share" in c or not np.array_equal(a["c"], c["c"])
     assert quality.fit(docs, labels, max_passages=0)["share"] == 0.5
+
+
+def test_memory_beside_a_batch_is_that_of_small_parts():
+    import tracemalloc
+
+    class Rows:
+        schema = None
+
+        def mapInArrow(self, run, _schema):
+            return run
+
+    words = np.array(["ab", "cde", "f.", "ghij", "KL", "m", "1234", "opqrstu"])
+    r = np.random.default_rng(3)
+    texts = [" ".join(words[r.integers(0, 8, 500)]) for _ in range(3000)]  # 6 MB
+    batch = pa.RecordBatch.from_arrays([pa.array(range(3000)), pa.array(texts)], ["doc_id", "text"])
+    run = quality.keep_good(Rows(), {"share": np.array(0.5)})
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert rows == 3000 and peak < 90e6
